@@ -109,7 +109,7 @@ def alarm_states(windows: DataFrame, rules: list[AlarmRule], groups: list[str],
 
 
 def alarm_transitions(windows: DataFrame, rules: list[AlarmRule], groups: list[str], seconds: int) -> DataFrame:
-    """Changes of state: rows (groups, metric, state, at) with ``at`` the window's start.
+    """Changes of state: rows (groups, metric, state, changed_at), the time being the window's start.
 
     Breaching windows that follow each other without a gap form a run. A run of
     at least M windows raises the alarm at its M-th window and clears it at the
@@ -124,7 +124,7 @@ def alarm_transitions(windows: DataFrame, rules: list[AlarmRule], groups: list[s
         .where(F.col("length") >= F.col("periods"))
     )
     changes = F.array(
-        F.struct(F.lit("ALARM").alias("state"), (F.col("first") + (F.col("periods") - 1) * seconds).alias("at")),
-        F.struct(F.lit("OK").alias("state"), (F.col("first") + F.col("length") * seconds).alias("at")),
+        F.struct(F.lit("ALARM").alias("state"), (F.col("first") + (F.col("periods") - 1) * seconds).alias("changed_at")),
+        F.struct(F.lit("OK").alias("state"), (F.col("first") + F.col("length") * seconds).alias("changed_at")),
     )
     return runs.select(*groups, "metric", F.inline(changes))

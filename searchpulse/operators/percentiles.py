@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +24,29 @@ def upper_middle(n: Column) -> Column:
     return F.floor(n / 2).cast("long")
 
 
-def _bucket(v: Column, lo: Column, hi: Column) -> Column:
-    """Monotone bucket number of ``v`` in [lo, hi]."""
+def _coarse_bucket(v: Column) -> Column:
+    """Monotone bucket number on a logarithmic scale, 1.6 % wide, the same for every input."""
+    size = F.least(F.log1p(F.abs(v)), F.lit(1000.0))
+    return F.when(F.isnan(v), F.lit(64_001)).otherwise((F.signum(v) * F.floor(size * 64)).cast("int"))
+
+
+def _fine_bucket(v: Column, lo: Column, hi: Column) -> Column:
+    """Monotone bucket number of ``v`` in [lo, hi], linear."""
     share = (v - lo) / (hi - lo)
     return F.when(hi > lo, F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).otherwise(F.lit(0))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join that keeps null groups.
+
+    It also adds no not-null filter to one side only, so both uses of the value
+    counts stay the same subplan and are computed once.
+    """
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def order_statistics(
     df: DataFrame,
     groups: list[str],
@@ -38,10 +56,10 @@ def order_statistics(
     """Per group, the values at the given positions: columns groups, statistic, value.
 
     Equal values are counted first (combining before the shuffle). A histogram
-    over the value range then locates the bucket of every wanted position; the
-    bucket's own range is divided once more, and only the values of the final
-    bucket, one 4096th of a 4096th of the range, are sorted. No step sorts or
-    collects a whole group, and windows run over at most 4096 buckets.
+    with logarithmic buckets then locates the bucket of every wanted position;
+    that bucket's own range is divided into 4096 parts, and only the values of
+    the part that holds the position are sorted. No step sorts or collects a
+    whole group, and the windows run over buckets, not rows.
     """
     v, c = F.col("_v"), F.col("_c")
     counts = (
@@ -49,9 +67,7 @@ def order_statistics(
         .groupBy(*groups, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
-    low = counts.agg(F.min("_v").alias("v")).scalar()
-    high = counts.agg(F.max("_v").alias("v")).scalar()
-    coarse = counts.withColumn("_b", _bucket(v, low, high))
+    coarse = counts.withColumn("_b", _coarse_bucket(v))
 
     def locate(histogram: DataFrame, keys: list[str], bucket: str) -> DataFrame:
         """Keep the bucket that holds position ``_k``, re-basing ``_k`` to it."""
@@ -76,11 +92,11 @@ def order_statistics(
     by_stat = [*groups, "statistic"]
     hit = locate(first, by_stat, "_b")
 
-    fine = coarse.join(hit, [*groups, "_b"]).withColumn("_f", _bucket(v, F.col("_lo"), F.col("_hi")))
+    fine = _join_null_safe(coarse, hit, [*groups, "_b"]).withColumn("_f", _fine_bucket(v, F.col("_lo"), F.col("_hi")))
     second = fine.groupBy(*by_stat, "_k", "_f").agg(F.sum("_c").alias("_c"))
     hit2 = locate(second, by_stat, "_f").withColumnRenamed("_k", "_k2")
 
-    last = fine.drop("_k", "_lo", "_hi", "_b").join(hit2, [*by_stat, "_f"]).withColumnRenamed("_k2", "_k")
+    last = _join_null_safe(fine.drop("_k", "_lo", "_hi", "_b"), hit2, [*by_stat, "_f"]).withColumnRenamed("_k2", "_k")
     return locate(last, by_stat, "_v").select(*by_stat, v.alias("value"))
 
 

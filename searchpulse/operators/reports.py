@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,9 @@ def latency_report(requests: DataFrame, groups: list[str], target_rps: float | N
     wanted = {"lower": lower_middle, "upper": upper_middle, "p95": floor_rank(95), "p99": floor_rank(99)}
     order = spread(order_statistics(requests.where(ok), groups, "latency_ms", wanted), groups, list(wanted))
     duration = F.col("duration_seconds")
-    report = totals.join(order, groups, "left").select(
+    renamed = order.withColumnsRenamed({g: f"_o_{g}" for g in groups})
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in groups])
+    report = totals.join(renamed, same, "left").select(
         *groups,
         "total_requests",
         "successful",

@@ -1 +1,88 @@
+"""Streaming queries, run to completion over the event table as a file stream."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from searchpulse.operators import metrics
+from searchpulse.plans.batch_queries import DAILY_OUT_SQL, rounded
+from searchpulse.plans.landing_queries import REJECT_SQL, messages_with_defects, summarise
+from searchpulse.plans.registry import DAILY_SQL, query
+from searchpulse.plans.report_queries import FIXTURE_RULES, HOUR, TRANSITIONS_SQL, WINDOWS_SQL
+from searchpulse.session import work_dir
+from searchpulse.sources.fixtures import as_search_log
+from searchpulse.streaming.alarms import alarm_stream, stream_metric_windows
+from searchpulse.streaming.consolidate import stream_consolidate
+from searchpulse.streaming.land import land_stream
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def run_to_files(stream: DataFrame, name: str) -> DataFrame:
+    """Process everything available in append mode and read the written files."""
+    spark = stream.sparkSession
+    path = work_dir(spark, name)
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-checkpoint")
+    writer.trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query("land_stream", REJECT_SQL)
+def land_stream_query(spark, sf_dir):
+    path = work_dir(spark, "landed")
+    messages = messages_with_defects(as_search_log(event_stream(spark, sf_dir)))
+    run = land_stream(
+        messages,
+        f"{path}/table",
+        f"{path}/errors",
+        f"{path}/checkpoint",
+        available_now=True,
+        partition_time=F.col("timestamp"),
+    )
+    run.awaitTermination()
+    return summarise(spark.read.parquet(f"{path}/table"), spark.read.parquet(f"{path}/errors"))
+
+
+@query("stream_consolidate", f"""
+SELECT {DAILY_OUT_SQL} FROM ({DAILY_SQL})
+WHERE CAST(date + 1 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)
+""")
+def stream_consolidate_query(spark, sf_dir):
+    """Complete days only: a day is emitted once the watermark has passed its end."""
+    log = as_search_log(event_stream(spark, sf_dir)).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return rounded(run_to_files(stream_consolidate(log, "1 day"), "stream-daily"))
+
+
+def _request_stream(spark, sf_dir) -> DataFrame:
+    return event_stream(spark, sf_dir).select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("service"),
+        F.col("value").alias("latency_ms"),
+        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
+        F.length("props").alias("bytes"),
+    )
+
+
+def _window_stream(spark, sf_dir, seconds):
+    return stream_metric_windows(
+        _request_stream(spark, sf_dir), "ts", seconds, ["service"], metrics.request_stats(), "1 hour"
+    )
+
+
+CLOSED_SQL = "(SELECT epoch_us(max(ts)) / 1000000.0 - 3600 FROM events)"
+
+
+@query("stream_metric_windows", f"SELECT * FROM ({WINDOWS_SQL.format(s=300)}) WHERE window_start + 300 <= {CLOSED_SQL}")
+def stream_metric_windows_query(spark, sf_dir):
+    windows = run_to_files(_window_stream(spark, sf_dir, 300).drop("window"), "stream-windows")
+    return windows.withColumn("latency_avg_ms", F.round("latency_avg_ms", 9))
+
+
+@query("alarm_stream", f"SELECT * FROM ({TRANSITIONS_SQL}) WHERE changed_at + {HOUR} <= {CLOSED_SQL}")
+def alarm_stream_query(spark, sf_dir):
+    windows = _window_stream(spark, sf_dir, HOUR)
+    return run_to_files(alarm_stream(windows, FIXTURE_RULES, ["service"], HOUR), "stream-alarms")

@@ -1 +1,212 @@
+"""Tokens, TF-IDF, clustering and labels over whole documents."""
 
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import HashingTF, StopWordsRemover, Tokenizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from searchpulse.config import TrendConfig
+from searchpulse.functions.text import tokens
+from searchpulse.operators import cluster, label
+from searchpulse.operators.features import fit_features, simple_config, term_idf, term_tfidf
+from searchpulse.plans.daily import Tables, run_daily
+from searchpulse.plans.registry import query
+from searchpulse.session import work_dir
+from searchpulse.sources.fixtures import AS_OF, query_docs, search_log, table
+
+RUN_TS = "2024-01-31T02:00:00"
+
+# The default English stop words of Spark ML.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+herself it its itself they them their theirs themselves what which who whom this that these those am is
+are was were be been being have has had having do does did doing a an the and but if or because as until
+while of at by for with about against between into through during before after above below to from up
+down in out on off over under again further then once here there when where why how all any both each
+few more most other some such no nor not only own same so than too very s t can will just don should now
+i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're
+they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't
+won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's
+there's what's when's where's who's why's would
+""".split()
+
+# Keywords that occur in the bundled documents, for the offline labeller.
+DOC_KEYWORDS = {
+    "news": ["the", "that", "was"],
+    "education": ["of", "and", "to"],
+    "travel": ["le", "la", "les", "de"],
+    "finance": ["der", "die", "und"],
+    "sports": ["el", "los", "que"],
+}
+
+TOKENS_SQL = r"[w FOR w IN string_split_regex(lower(text), '[ \t\n\x0B\f\r]') IF w <> '']"
+STOPS_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
+
+IDF_SQL = f"""
+SELECT term, count(*) AS doc_freq,
+       CASE WHEN count(*) >= 2 THEN ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) ELSE 0 END AS idf
+FROM (SELECT unnest(list_distinct({TOKENS_SQL})) AS term FROM documents) GROUP BY term
+"""
+
+TOP_TEXTS_SQL = """
+SELECT source, text, rn FROM (
+  SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, text, doc_id) AS rn FROM documents)
+WHERE rn <= 10
+"""
+
+LABELS_SQL = f"""
+SELECT source, coalesce(category, 'other') AS category FROM (
+  SELECT source, category, row_number() OVER (PARTITION BY source ORDER BY hits DESC, category ASC NULLS LAST) AS rn
+  FROM (
+    SELECT source, category, count(category) AS hits
+    FROM (SELECT source, unnest({TOKENS_SQL}) AS term FROM ({TOP_TEXTS_SQL})) t
+    LEFT JOIN (VALUES {", ".join(f"('{w}', '{c}')" for c, ws in DOC_KEYWORDS.items() for w in ws)}) d(term, category) USING (term)
+    GROUP BY source, category))
+WHERE rn = 1
+"""
+
+
+@query("tokens", f"SELECT doc_id, len({TOKENS_SQL}) AS n_tokens, array_to_string({TOKENS_SQL}, ' ') AS words FROM documents")
+def tokens_query(spark, sf_dir):
+    words = Tokenizer(inputCol="query_text", outputCol="words").transform(query_docs(spark, sf_dir))
+    kept = F.filter("words", lambda w: w != "")
+    return words.select("doc_id", F.size(kept).cast("long").alias("n_tokens"), F.array_join(kept, " ").alias("words"))
+
+
+@query("tokens_no_stop", f"""
+SELECT doc_id, len(words) AS n_tokens, array_to_string(words, ' ') AS words
+FROM (SELECT doc_id, [w FOR w IN {TOKENS_SQL} IF NOT list_contains({STOPS_SQL}, w)] AS words FROM documents)
+""")
+def tokens_no_stop(spark, sf_dir):
+    stages = [Tokenizer(inputCol="query_text", outputCol="words"), StopWordsRemover(inputCol="words", outputCol="filtered_words")]
+    docs = query_docs(spark, sf_dir)
+    words = Pipeline(stages=stages).fit(docs).transform(docs)
+    kept = F.filter("filtered_words", lambda w: w != "")
+    return words.select("doc_id", F.size(kept).cast("long").alias("n_tokens"), F.array_join(kept, " ").alias("words"))
+
+
+def _non_zero(vector: str):
+    return F.size(F.filter(vector_to_array(vector), lambda x: x != 0))
+
+
+@query("tf_nnz")
+def tf_nnz(spark, sf_dir):
+    words = query_docs(spark, sf_dir).withColumn("words", tokens(F.col("query_text")))
+    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=1000).transform(words)
+    return hashed.select("doc_id", _non_zero("tf").alias("nnz"), F.size("words").alias("n_tokens"))
+
+
+@query("features")
+def features(spark, sf_dir):
+    _, rows = fit_features(query_docs(spark, sf_dir))
+    norm = F.sqrt(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x))
+    return rows.select("doc_id", _non_zero("features").alias("nnz"), F.round(norm, 9).alias("norm"))
+
+
+@query("term_idf", f"SELECT term, doc_freq, round(idf, 9) AS idf FROM ({IDF_SQL})")
+def term_idf_query(spark, sf_dir):
+    return term_idf(query_docs(spark, sf_dir)).withColumn("idf", F.round("idf", 9))
+
+
+@query("term_tfidf", f"""
+SELECT doc_id, term, tf, doc_freq, round(idf, 9) AS idf, round(tf * idf, 9) AS tfidf
+FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) GROUP BY doc_id, term)
+JOIN ({IDF_SQL}) USING (term)
+""")
+def term_tfidf_query(spark, sf_dir):
+    weighted = term_tfidf(query_docs(spark, sf_dir), "doc_id")
+    return weighted.withColumns({"idf": F.round("idf", 9), "tfidf": F.round("tfidf", 9)})
+
+
+def _clustered(spark, sf_dir, cfg=TrendConfig()):
+    docs = query_docs(spark, sf_dir).select("doc_id", "query_text", "query_count")
+    return cluster.cluster_queries(docs, RUN_TS, cfg, key=("doc_id",))
+
+
+@query("cluster_queries")
+def cluster_queries(spark, sf_dir):
+    return _clustered(spark, sf_dir).rows.drop("query_text")
+
+
+@query("cluster_queries_simple")
+def cluster_queries_simple(spark, sf_dir):
+    return _clustered(spark, sf_dir, simple_config()).rows.drop("query_text")
+
+
+@query("cluster_sizes")
+def cluster_sizes(spark, sf_dir):
+    return cluster.cluster_sizes(_clustered(spark, sf_dir).rows)
+
+
+@query("cluster_stats")
+def cluster_stats(spark, sf_dir):
+    stats = cluster.group_stats(_clustered(spark, sf_dir).rows, sample=10, order=("doc_id",))
+    return stats.withColumn("sample_queries", F.transform("sample_queries", F.md5))
+
+
+@query("clustered_write")
+def clustered_write(spark, sf_dir):
+    """Consolidate, filter, cluster and store by date; read the stored table back."""
+    from searchpulse.operators.consolidate import consolidate, recent_high_volume, write_by_date
+
+    path = work_dir(spark, "clustered")
+    daily = recent_high_volume(consolidate(search_log(spark, sf_dir, texts=20)), AS_OF)
+    write_by_date(cluster.cluster_queries(daily, RUN_TS).rows, path)
+    return spark.read.parquet(path)
+
+
+@query("daily_trends")
+def daily_trends(spark, sf_dir):
+    tables = Tables(work_dir(spark, "daily"))
+    return run_daily(search_log(spark, sf_dir, texts=20), tables, AS_OF, "2024-01-31 02:00:00")
+
+
+def _top_texts(spark, sf_dir):
+    return label.top_texts(query_docs(spark, sf_dir), key="source", order=("doc_id",))
+
+
+@query("label_clusters", LABELS_SQL)
+def label_clusters(spark, sf_dir):
+    return label.label_by_keywords(_top_texts(spark, sf_dir), DOC_KEYWORDS, key="source")
+
+
+@query("label_clusters_injected", f"""
+SELECT source, CASE WHEN max(length(text)) > 5000 THEN 'long texts' ELSE 'short texts' END AS category
+FROM ({TOP_TEXTS_SQL}) GROUP BY source
+""")
+def label_clusters_injected(spark, sf_dir):
+    """A Python labeller called once per cluster inside the tasks."""
+    lists = label.text_lists(_top_texts(spark, sf_dir), key="source")
+    return label.label_with(lists, lambda texts: " Long texts" if max(map(len, texts)) > 5000 else "SHORT texts ", key="source")
+
+
+@query("label_prompt", f"""
+SELECT source, md5('Analyze the following search queries and classify them into a single category.' || chr(10) ||
+  'Choose from these categories: {", ".join(label.LABELS)}.' || chr(10) || chr(10) || 'Search queries:' || chr(10) ||
+  string_agg('- ' || text, chr(10) ORDER BY rn) || chr(10) || chr(10) ||
+  'Respond with only the category name, nothing else.') AS prompt
+FROM ({TOP_TEXTS_SQL}) GROUP BY source
+""")
+def label_prompt(spark, sf_dir):
+    lists = label.text_lists(_top_texts(spark, sf_dir), key="source")
+    return lists.select("source", F.md5(label.label_prompt(F.col("texts"))).alias("prompt"))
+
+
+@query("attach_labels", f"SELECT doc_id, source, coalesce(category, 'other') AS category FROM documents LEFT JOIN ({LABELS_SQL}) USING (source)")
+def attach_labels(spark, sf_dir):
+    labels = label.label_by_keywords(_top_texts(spark, sf_dir), DOC_KEYWORDS, key="source")
+    docs = query_docs(spark, sf_dir).select("doc_id", "source")
+    return label.attach_labels(docs, labels, key="source").select("doc_id", "source", "category")
+
+
+@query("label_normalise", """
+SELECT event_id, coalesce(CASE WHEN event_type <> 'view' THEN event_type END, 'other') AS category,
+       coalesce(CASE WHEN event_type <> 'view' THEN event_type END, 'other') IN ('click', 'purchase', 'other') AS in_label_set
+FROM events
+""")
+def label_normalise(spark, sf_dir):
+    reply = F.when(F.col("event_type") != "view", F.concat(F.lit("  "), F.upper("event_type"), F.lit(" ")))
+    raw = table(spark, sf_dir, "events").select("event_id", reply.alias("category"))
+    return label.normalise_labels(raw, labels=["click", "purchase", "other"])

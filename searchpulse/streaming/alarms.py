@@ -19,7 +19,7 @@ def stream_metric_windows(df: DataFrame, ts: str, seconds: int, groups: list[str
 
 
 def alarm_stream(windows: DataFrame, rules: list[AlarmRule], groups: list[str], seconds: int) -> DataFrame:
-    """State changes of every rule: (groups, metric, state, at), append mode.
+    """State changes of every rule: (groups, metric, state, changed_at), append mode.
 
     A second, sliding aggregation looks at the last M + 1 windows of a metric.
     It keeps the start times of the breaching ones only (at most M + 1), so a
@@ -39,4 +39,4 @@ def alarm_stream(windows: DataFrame, rules: list[AlarmRule], groups: list[str],
     now = F.forall(F.sequence(F.lit(0), F.col("periods") - 1), breached)
     before = F.forall(F.sequence(F.lit(1), F.col("periods")), breached)
     state = F.when(now & ~before, "ALARM").when(~now & before, "OK")
-    return spans.select(*groups, "metric", state.alias("state"), last.alias("at")).where(F.col("state").isNotNull())
+    return spans.select(*groups, "metric", state.alias("state"), last.alias("changed_at")).where(F.col("state").isNotNull())
