@@ -22,8 +22,9 @@ class TrendConfig:
     num_features: int = 1000
     min_doc_freq: int = 2
     remove_stop_words: bool = True
-    # Partitions of the feature table. Fixed, so that a seeded fit is repeatable.
-    feature_partitions: int = 64
+    # Partitions of the feature table; the session's shuffle partitions if None.
+    # A seeded fit is repeatable as long as this number is.
+    feature_partitions: int | None = None
     per_cluster: int | None = 5
     top_n: int = 50
     label_texts: int = 10

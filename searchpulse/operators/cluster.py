@@ -68,8 +68,10 @@ def cluster_queries(
     source. The feature table is checkpointed: the scan and filters run once, the
     iterations read the feature table, and a lost executor costs a re-read.
     """
-    ensure_checkpoint_dir(daily.sparkSession)
-    ordered = daily.repartition(cfg.feature_partitions, *key).sortWithinPartitions(*key).checkpoint()
+    spark = daily.sparkSession
+    ensure_checkpoint_dir(spark)
+    partitions = cfg.feature_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = daily.repartition(partitions, *key).sortWithinPartitions(*key).checkpoint()
     n_rows = ordered.count()
     if n_rows == 0:
         raise NoRecentQueries("no query-day rows left after filtering")

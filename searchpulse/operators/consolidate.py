@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from searchpulse.functions.columns import as_date, click_rate, with_date_parts
 
+# Dates a recompute lists in its filter; about ten years.
+MAX_LISTED_DATES = 3660
+
 
 def canonical_log(df: DataFrame) -> DataFrame:
     """One ``query_text`` column whichever of the two field names the producer used."""
@@ -76,9 +79,15 @@ def write_by_date(df: DataFrame, path: str, replace_all: bool = False) -> None:
 def recompute_touched_days(spark: SparkSession, raw_path: str, new_rows: DataFrame, out_path: str) -> None:
     """Redo the days that newly landed rows belong to, and only those.
 
-    The raw table is partitioned by ``date``; the semi join on it is a dynamic
-    partition filter, so untouched days are not read.
+    The raw table is partitioned by ``date``. The touched dates become a literal
+    partition filter, so untouched days are not read and nothing is joined. A
+    load that touches more dates than ``MAX_LISTED_DATES`` uses a semi join.
     """
     touched = new_rows.select(F.to_date("timestamp").alias("date")).distinct()
     raw = spark.read.parquet(raw_path)
-    write_by_date(consolidate(raw.join(touched, "date", "left_semi").drop("date")), out_path)
+    dates = [row["date"] for row in touched.limit(MAX_LISTED_DATES + 1).collect()]
+    if len(dates) <= MAX_LISTED_DATES:
+        affected = raw.where(F.col("date").isin(dates))
+    else:
+        affected = raw.join(touched, "date", "left_semi")
+    write_by_date(consolidate(affected.drop("date")), out_path)

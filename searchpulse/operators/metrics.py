@@ -64,6 +64,38 @@ def request_stats() -> dict[str, Column]:
     }
 
 
+def run_stats() -> dict[str, Column]:
+    """Outcome and duration series of runs: columns status and duration_ms."""
+    outcomes = ["succeeded", "failed", "timed_out"]
+    return {
+        "runs_started": F.count("*"),
+        **{f"runs_{o}": F.count_if(F.col("status") == o) for o in outcomes},
+        "duration_avg_ms": F.avg("duration_ms"),
+        "duration_max_ms": F.max("duration_ms"),
+    }
+
+
+def function_stats() -> dict[str, Column]:
+    """Invocations, errors, throttles and mean duration of functions."""
+    return {
+        "function_invocations": F.count("*"),
+        "function_errors": F.count_if(F.col("status") == "error"),
+        "function_throttles": F.count_if(F.col("status") == "throttled"),
+        "duration_avg_ms": F.avg("duration_ms"),
+    }
+
+
+def table_stats() -> dict[str, Column]:
+    """Consumed capacity and errors of a results table, and its completed tasks."""
+    return {
+        "read_units": F.sum("read_units"),
+        "write_units": F.sum("write_units"),
+        "table_user_errors": F.count_if(F.col("status") == "user_error"),
+        "table_system_errors": F.count_if(F.col("status") == "system_error"),
+        "tasks_completed": F.count_if(F.col("status") == "completed"),
+    }
+
+
 def lag_windows(df: DataFrame, seconds: int, groups: list[str]) -> DataFrame:
     """Largest delivery lag per arrival window, in milliseconds."""
     arrived, happened = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("arrival_time", "event_time"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from searchpulse.config import TrendConfig
 from searchpulse.functions.columns import as_date
-from searchpulse.operators.cluster import cluster_queries, group_stats
+from searchpulse.operators.cluster import cluster_queries, even_chunks, group_stats
 from searchpulse.operators.consolidate import consolidate, recent_high_volume, write_by_date
 from searchpulse.operators.growth import day_growth
 from searchpulse.operators.label import attach_labels, label_by_keywords, label_with, text_lists, top_texts
@@ -35,6 +35,10 @@ class Tables:
     def cluster_stats(self) -> str:
         return f"{self.root}/cluster-stats"
 
+    @property
+    def cluster_texts(self) -> str:
+        return f"{self.root}/cluster-texts"
+
     @property
     def results(self) -> str:
         return f"{self.root}/results"
@@ -53,6 +57,7 @@ def cluster_stage(spark: SparkSession, tables: Tables, as_of: str, run_ts: str,
     write_by_date(result.rows, tables.clustered)
     written = spark.read.parquet(tables.clustered).where(F.col("date") > F.date_sub(as_date(as_of), cfg.recent_days))
     group_stats(written, sample=cfg.label_texts, order=("date",)).write.mode("overwrite").parquet(tables.cluster_stats)
+    even_chunks(written, ["query_text", "date"]).write.mode("overwrite").parquet(tables.cluster_texts)
     return result.k
 
 

@@ -120,6 +120,22 @@ def metric_windows_hourly(spark, sf_dir):
     return hourly(spark, sf_dir).withColumn("latency_avg_ms", F.round("latency_avg_ms", 9))
 
 
+@query("run_windows", f"""
+SELECT CAST(floor(epoch_us(ts) / {HOUR * 1000000.0}) AS BIGINT) * {HOUR} AS window_start, count(*) AS runs_started,
+       count(*) FILTER (event_type = 'view') AS runs_succeeded, count(*) FILTER (event_type = 'error') AS runs_failed,
+       count(*) FILTER (event_type = 'signup') AS runs_timed_out,
+       round(avg(value), 9) AS duration_avg_ms, max(value) AS duration_max_ms
+FROM events GROUP BY 1
+""")
+def run_windows(spark, sf_dir):
+    status = F.create_map(*[F.lit(x) for x in ("view", "succeeded", "error", "failed", "signup", "timed_out")])
+    runs = table(spark, sf_dir, "events").select(
+        "ts", F.element_at(status, F.col("event_type")).alias("status"), F.col("value").alias("duration_ms")
+    )
+    windows = metrics.metric_windows(runs, HOUR, [], metrics.run_stats())
+    return windows.withColumn("duration_avg_ms", F.round("duration_avg_ms", 9))
+
+
 @query("lag_windows", """
 SELECT CAST(floor(epoch_us(arrival_time) / 300000000.0) AS BIGINT) * 300 AS window_start, service,
        max((epoch_us(arrival_time) - epoch_us(ts)) // 1000) AS max_lag_ms

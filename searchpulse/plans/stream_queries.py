@@ -14,7 +14,7 @@ from searchpulse.session import work_dir
 from searchpulse.sources.fixtures import as_search_log
 from searchpulse.streaming.alarms import alarm_stream, stream_metric_windows
 from searchpulse.streaming.consolidate import stream_consolidate
-from searchpulse.streaming.land import land_stream
+from searchpulse.streaming.land import land_stream, landed_events, landed_rejects
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,15 +36,10 @@ def land_stream_query(spark, sf_dir):
     path = work_dir(spark, "landed")
     messages = messages_with_defects(as_search_log(event_stream(spark, sf_dir)))
     run = land_stream(
-        messages,
-        f"{path}/table",
-        f"{path}/errors",
-        f"{path}/checkpoint",
-        available_now=True,
-        partition_time=F.col("timestamp"),
+        messages, path, f"{path}-checkpoint", available_now=True, partition_time=F.col("timestamp")
     )
     run.awaitTermination()
-    return summarise(spark.read.parquet(f"{path}/table"), spark.read.parquet(f"{path}/errors"))
+    return summarise(landed_events(spark, path), landed_rejects(spark, path))
 
 
 @query("stream_consolidate", f"""

@@ -143,11 +143,13 @@ def register_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     Run again after new data has landed: columns and partitions that appeared
     are added, nothing is removed.
     """
-    found = discover(spark, path)
     if not spark.catalog.tableExists(name):
-        spark.catalog.createTable(name, path=path, source="parquet", schema=found.schema)
+        spark.catalog.createTable(name, path=path, source="parquet", mergeSchema="true")
     known = {f.name for f in spark.table(name).schema.fields}
-    added = [f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name not in known]
+    added = [f for f in discover(spark, path).schema.fields if f.name not in known]
     if added:
-        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(added)})")
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({columns})")
+    if any(c.isPartition for c in spark.catalog.listColumns(name)):
+        spark.catalog.recoverPartitions(name)
     return spark.table(name)

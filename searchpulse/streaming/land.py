@@ -1,18 +1,38 @@
-"""Continuous landing: messages to partitioned Parquet, rejects beside it."""
+"""Continuous landing: messages to partitioned Parquet, rejects in a partition of their own."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from searchpulse.sources.ingest import HOUR_PARTITIONS, parse_wire, split_rejects, with_hour_partitions
+from searchpulse.sources.ingest import HOUR_PARTITIONS, parse_wire, with_hour_partitions
+
+ACCEPTED, REJECTED = "accepted", "rejected"
+
+
+def landing_rows(messages: DataFrame, partition_time: Column | None = None) -> DataFrame:
+    """Parsed events with their folder columns; rejects keep the raw text and the reason.
+
+    Folders follow the delivery time by default. ``partition_time`` (an expression
+    on the parsed event) follows the event time instead; rejects, which may have
+    none, are then filed by delivery time.
+    """
+    parsed = parse_wire(messages)
+    good = F.col("reject_reason").isNull()
+    filed = F.current_timestamp() if partition_time is None else F.coalesce(partition_time, F.current_timestamp())
+    rows = parsed.withColumns(
+        {
+            "raw": F.when(~good, F.col("raw")),
+            "outcome": F.when(good, F.lit(ACCEPTED)).otherwise(F.lit(REJECTED)),
+        }
+    )
+    return with_hour_partitions(rows, filed)
 
 
 def land_stream(
     messages: DataFrame,
-    table_path: str,
-    reject_path: str,
+    path: str,
     checkpoint: str,
     interval: str = "300 seconds",
     available_now: bool = False,
@@ -20,28 +40,25 @@ def land_stream(
 ) -> StreamingQuery:
     """Start the landing query on a stream of JSON messages (column ``value``).
 
-    Folders follow the delivery time by default; pass ``partition_time`` (an
-    expression on the parsed event) to follow the event time. Each micro-batch
-    overwrites its own ``batch`` folder of rejects and its own slice of the
-    table, so a batch that is repeated after a failure does not double its rows.
+    One pass over the messages writes both outcomes: the file sink commits every
+    micro-batch exactly once, and readers of one outcome prune the other's folders.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_wire(batch).persist()
-        good, bad = split_rejects(parsed)
-        when = F.current_timestamp() if partition_time is None else partition_time
-        landed = with_hour_partitions(good, when).withColumn("batch", F.lit(batch_id))
-        (
-            landed.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*HOUR_PARTITIONS, "batch")
-            .parquet(table_path)
-        )
-        bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch").parquet(reject_path)
-        parsed.unpersist()
-
-    writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = (
+        landing_rows(messages, partition_time)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .partitionBy("outcome", *HOUR_PARTITIONS)
+        .option("checkpointLocation", checkpoint)
+    )
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return writer.trigger(**trigger).start()
+    return writer.trigger(**trigger).start(path)
+
+
+def landed_events(spark: SparkSession, path: str) -> DataFrame:
+    """The raw search log: good events only."""
+    rows = spark.read.parquet(path).where(F.col("outcome") == ACCEPTED)
+    return rows.drop("outcome", "raw", "reject_reason")
+
+
+def landed_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("outcome") == REJECTED).select("raw", "reject_reason")
