@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchpulse.functions.columns import as_timestamp
+
 # The query texts by topic and the five hot ones.
 TOPIC_QUERIES = {
     "technology": [
@@ -55,7 +57,7 @@ def _pick(texts: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in texts]), (index + 1).cast("int"))
 
 
-def generate_log(ids: DataFrame, start: Column, seed: int = 42, id_col: str = "id") -> DataFrame:
+def generate_log(ids: DataFrame, start, seed: int = 42, id_col: str = "id") -> DataFrame:
     """One search event per id, within the hour before ``start``.
 
     30 % of the events ask one of the hot queries, the rest any query evenly;
@@ -66,7 +68,7 @@ def generate_log(ids: DataFrame, start: Column, seed: int = 42, id_col: str = "i
     rid = F.col(id_col).cast("string")
     one = F.md5(F.concat(F.lit(f"{seed}:a:"), rid))
     two = F.md5(F.concat(F.lit(f"{seed}:b:"), rid))
-    drawn = ids.withColumns({"_a": one, "_b": two, "_start": start})
+    drawn = ids.withColumns({"_a": one, "_b": two, "_start": as_timestamp(start)})
     a, b = F.col("_a"), F.col("_b")
     results = _draw(b, 1, 501)
     return drawn.select(
@@ -83,15 +85,15 @@ def generate_log(ids: DataFrame, start: Column, seed: int = 42, id_col: str = "i
     )
 
 
-def generate_batch(spark: SparkSession, count: int, start: Column, seed: int = 42) -> DataFrame:
+def generate_batch(spark: SparkSession, count: int, start, seed: int = 42) -> DataFrame:
     return generate_log(spark.range(count), start, seed)
 
 
-def generate_series(ids: DataFrame, end: Column, per_hour: int, seed: int = 42, id_col: str = "id") -> DataFrame:
+def generate_series(ids: DataFrame, end, per_hour: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """Id blocks of ``per_hour`` become one hour each, going back from ``end``."""
     hours_back = F.make_dt_interval(hours=F.floor(F.col(id_col) / per_hour).cast("int"))
-    return generate_log(ids, end - hours_back, seed, id_col)
+    return generate_log(ids, as_timestamp(end) - hours_back, seed, id_col)
 
 
-def generate_time_series(spark: SparkSession, hours: int, per_hour: int, end: Column, seed: int = 42) -> DataFrame:
+def generate_time_series(spark: SparkSession, hours: int, per_hour: int, end, seed: int = 42) -> DataFrame:
     return generate_series(spark.range(hours * per_hour), end, per_hour, seed)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from searchpulse.functions.columns import as_date, as_timestamp
 from searchpulse.schemas import schema_differences
+from searchpulse.sources.files import list_files
 
 CHECK_COLUMNS = ["validation", "success", "details"]
 
@@ -74,15 +75,12 @@ def check_schema(spark: SparkSession, df: DataFrame, declared: T.StructType, nam
 
 
 def check_partitions(spark: SparkSession, path: str, columns: tuple[str, ...] = ("year", "month", "day", "hour"), name: str = "partitions") -> DataFrame:
-    """The table below ``path`` is partitioned by ``columns`` and has no empty file.
-
-    Only the file listing is read: the content column is never selected.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path)
-    pattern = "/" + "/".join(f"{c}=[^/]+" for c in columns) + "/[^/]+$"
+    """The table below ``path`` is partitioned by ``columns`` and has no empty file; only listings are read."""
+    files = list_files(spark, path)
+    pattern = "^" + "/".join(f"{c}=[^/]+" for c in columns) + "/[^/]+$"
     seen = files.agg(
         F.count("*").alias("files"),
-        F.count_if(~F.col("path").rlike(pattern)).alias("misplaced"),
+        F.count_if(~F.col("key").rlike(pattern)).alias("misplaced"),
         F.count_if(F.col("length") == 0).alias("empty"),
     )
     good = (F.col("files") > 0) & (F.col("misplaced") == 0) & (F.col("empty") == 0)

@@ -286,7 +286,7 @@ FROM events
 def gen_log(spark, sf_dir):
     """One generated event per row of the event table."""
     ids = table(spark, sf_dir, "events").select("event_id")
-    log = generate_log(ids, F.lit(GEN_END).cast("timestamp"), id_col="event_id")
+    log = generate_log(ids, GEN_END, id_col="event_id")
     return log.withColumn("seconds", F.unix_timestamp("timestamp")).drop("timestamp", "source")
 
 
@@ -298,7 +298,7 @@ FROM ({GEN_SQL}) GROUP BY 1
 """)
 def gen_series(spark, sf_dir):
     ids = table(spark, sf_dir, "events").select("event_id")
-    log = generate_series(ids, F.lit(GEN_END).cast("timestamp"), 500, id_col="event_id")
+    log = generate_series(ids, GEN_END, 500, id_col="event_id")
     return log.groupBy(F.floor(F.col("event_id") / 500).cast("int").alias("hours_back")).agg(
         F.count("*").alias("events"),
         F.count_if(F.col("query") == "python programming").alias("hot_events"),
