@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchpulse.config import TrendConfig
-from searchpulse.operators.features import feature_pipeline
+from searchpulse.operators.features import idf_stage, term_stages
 from searchpulse.session import ensure_checkpoint_dir
 
 RESULT_COLUMNS = [
@@ -65,18 +65,22 @@ def cluster_queries(
 
     Rows are hash-partitioned by key into a fixed number of partitions and sorted
     inside them, so a seeded fit sees the same input whatever the layout of the
-    source. The feature table is checkpointed: the scan and filters run once, the
-    iterations read the feature table, and a lost executor costs a re-read.
+    source. The rows are checkpointed with their hashed term counts: scan, filters
+    and tokenising run once, the fits read sparse vectors, and a lost executor
+    costs a re-read.
     """
     spark = daily.sparkSession
     ensure_checkpoint_dir(spark)
     partitions = cfg.feature_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = daily.repartition(partitions, *key).sortWithinPartitions(*key).checkpoint()
+    stages = term_stages(cfg)
+    counted = PipelineModel(stages).transform(daily.repartition(partitions, *key).sortWithinPartitions(*key))
+    ordered = counted.drop("words", "filtered_words").checkpoint()
     n_rows = ordered.count()
     if n_rows == 0:
         raise NoRecentQueries("no query-day rows left after filtering")
-    pipeline = feature_pipeline(cfg).fit(ordered)
-    features = pipeline.transform(ordered)
+    idf = idf_stage(cfg).fit(ordered)
+    pipeline = PipelineModel([*stages, idf])
+    features = idf.transform(ordered)
 
     k = choose_k(n_rows, cfg.cluster_count)
     k = min(k, _distinct_vectors_up_to(features, k))

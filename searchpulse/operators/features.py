@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, Tokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +13,24 @@ from searchpulse.config import TrendConfig
 from searchpulse.functions.text import tokens
 
 
-def feature_pipeline(cfg: TrendConfig = TrendConfig(), text_col: str = "query_text") -> Pipeline:
-    """Tokenise, optionally drop stop words, hash to term counts, weight by IDF."""
-    stages = [Tokenizer(inputCol=text_col, outputCol="words")]
+def term_stages(cfg: TrendConfig = TrendConfig(), text_col: str = "query_text") -> list[Transformer]:
+    """Tokenise, optionally drop stop words, hash to term counts: nothing to fit."""
+    stages: list[Transformer] = [Tokenizer(inputCol=text_col, outputCol="words")]
     terms = "words"
     if cfg.remove_stop_words:
         stages.append(StopWordsRemover(inputCol="words", outputCol="filtered_words"))
         terms = "filtered_words"
     stages.append(HashingTF(inputCol=terms, outputCol="rawFeatures", numFeatures=cfg.num_features))
-    stages.append(IDF(inputCol="rawFeatures", outputCol="features", minDocFreq=cfg.min_doc_freq))
-    return Pipeline(stages=stages)
+    return stages
+
+
+def idf_stage(cfg: TrendConfig = TrendConfig()) -> IDF:
+    return IDF(inputCol="rawFeatures", outputCol="features", minDocFreq=cfg.min_doc_freq)
+
+
+def feature_pipeline(cfg: TrendConfig = TrendConfig(), text_col: str = "query_text") -> Pipeline:
+    """Term counts weighted by IDF, as one pipeline."""
+    return Pipeline(stages=[*term_stages(cfg, text_col), idf_stage(cfg)])
 
 
 def simple_config(cfg: TrendConfig = TrendConfig()) -> TrendConfig:

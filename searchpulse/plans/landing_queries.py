@@ -22,7 +22,7 @@ def wire_log(log: DataFrame) -> DataFrame:
 
 def messages_with_defects(log: DataFrame) -> DataFrame:
     """Wire messages in which some sources send a bad time or broken JSON."""
-    sent = ingest.to_wire(wire_log(log)).withColumn("source", F.get_json_object("value", "$.source"))
+    sent = ingest.to_wire(wire_log(log), "source")
     bad_time = F.regexp_replace("value", '"timestamp":"[^"]*"', '"timestamp":"yesterday"')
     broken = F.concat(F.lit("{"), F.col("value"))
     value = F.when(F.col("source") == "error", bad_time).when(F.col("source") == "signup", broken).otherwise(F.col("value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchpulse.session import spread_small
+
 AS_OF = "2024-01-30"
 
 
@@ -34,7 +36,7 @@ def search_log(spark: SparkSession, sf_dir: str, texts: int | None = None) -> Da
 
 def query_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as query-day rows: whole text, length as volume."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_small(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.col("text").alias("query_text"),
         F.col("n_chars").alias("query_count"),

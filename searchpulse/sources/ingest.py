@@ -16,11 +16,11 @@ HOUR_PARTITIONS = ["year", "month", "day", "hour"]
 CORRUPT = "_corrupt_record"
 
 
-def to_wire(log: DataFrame) -> DataFrame:
-    """Events as keyed JSON messages: key is the user, value the JSON object."""
+def to_wire(log: DataFrame, *kept: str) -> DataFrame:
+    """Events as keyed JSON messages: key is the user, value the JSON object; ``kept`` columns stay."""
     names = [f.name for f in SEARCH_EVENT_WIRE.fields if f.name in log.columns]
     columns = [iso_utc(F.col(n)).alias(n) if n == "timestamp" else F.col(n) for n in names]
-    return log.select(F.col("user_id").alias("key"), F.to_json(F.struct(*columns)).alias("value"))
+    return log.select(F.col("user_id").alias("key"), F.to_json(F.struct(*columns)).alias("value"), *kept)
 
 
 def parse_wire(messages: DataFrame, value: str = "value") -> DataFrame:
@@ -30,10 +30,10 @@ def parse_wire(messages: DataFrame, value: str = "value") -> DataFrame:
     not parse are kept with their reason instead of failing the job.
     """
     schema = T.StructType([*SEARCH_EVENT_WIRE.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = messages.withColumn(
-        "_r",
-        F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}),
-    ).select(F.col(value).alias("raw"), "_r.*")
+    record = F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    # Going through a generator keeps the parse from being repeated in every filter
+    # and column that is built on its fields.
+    parsed = messages.select(F.col(value).alias("raw"), F.inline(F.array(record)))
     ts = F.try_to_timestamp("timestamp")
     reason = F.when(F.col(CORRUPT).isNotNull(), "unreadable record").when(ts.isNull(), "bad timestamp")
     return canonical_log(parsed).withColumns({"timestamp": ts, "reject_reason": reason}).drop(CORRUPT)
