@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from searchpulse.functions.columns import as_date, as_timestamp
 from searchpulse.operators.consolidate import write_by_date
-from searchpulse.schemas import TREND_ITEM_FIELDS
+from searchpulse.schemas import RESULT_ROW, TREND_ITEM_FIELDS
 
 
 def top_per_cluster(df: DataFrame, n: int = 5, keys: tuple[str, ...] = ("cluster_id",), tie: tuple[str, ...] = ("query_text", "date")) -> DataFrame:
@@ -98,6 +99,17 @@ def nest_results(rows: DataFrame) -> DataFrame:
     )
 
 
+def json_results(nested: DataFrame) -> DataFrame:
+    """The nested view with its items as one JSON text per date."""
+    return nested.withColumn("trending_queries", F.to_json("trending_queries"))
+
+
+def parse_json_results(texts: DataFrame) -> DataFrame:
+    """Back from JSON text to the nested view."""
+    items = T.ArrayType(T.StructType([RESULT_ROW[name] for name in TREND_ITEM_FIELDS]))
+    return texts.withColumn("trending_queries", F.from_json("trending_queries", items))
+
+
 def explode_results(nested: DataFrame) -> DataFrame:
     """Back from one row per date to one row per query."""
     flat = nested.select("date", F.inline("trending_queries"), "ttl", "processed_at")

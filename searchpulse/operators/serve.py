@@ -13,6 +13,7 @@ from searchpulse.functions.columns import as_date
 
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 100
+ITEM_FIELDS = ["query", "rank", "count", "growth_rate", "category", "cluster_id"]
 
 
 def parse_date(date: str | None) -> str:
@@ -99,8 +100,8 @@ def by_cluster(results: DataFrame, cluster_id: int, descending: bool = False) ->
     return results.where(F.col("cluster_id") == cluster_id).orderBy(order, "date", "rank")
 
 
-def format_items(rows: DataFrame) -> DataFrame:
-    """Stored rows in response shape, as columns and as JSON.
+def format_items(rows: DataFrame, *kept: str) -> DataFrame:
+    """Stored rows in response shape, as columns and as JSON; ``kept`` columns stay.
 
     The text may be stored under either name; optional fields that are null are
     left out of the JSON.
@@ -117,9 +118,29 @@ def format_items(rows: DataFrame) -> DataFrame:
         stored("growth_rate").cast("double").alias("growth_rate"),
         stored("category").cast("string").alias("category"),
         stored("cluster_id").cast("int").alias("cluster_id"),
+        *kept,
+    )
+    return shaped.withColumn("item", F.to_json(F.struct(*ITEM_FIELDS)))
+
+
+def page_document(
+    results: DataFrame, date: str | None, limit: str | int | None = None, token: str | None = None
+) -> DataFrame:
+    """A page as one JSON document: date, trending_queries by rank, next_token if there is one.
+
+    A page holds at most ``MAX_LIMIT`` items; a date without rows gives an empty list.
+    """
+    items = format_items(trending_page(results, date, limit, token), "next_token")
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "query", F.struct(*ITEM_FIELDS).alias("item"))))
+    return items.agg(
+        F.to_json(
+            F.struct(
+                F.lit(parse_date(date)).alias("date"),
+                F.transform(ordered, lambda e: e["item"]).alias("trending_queries"),
+                F.max("next_token").alias("next_token"),
+            )
+        ).alias("document")
     )
-    fields = ["query", "rank", "count", "growth_rate", "category", "cluster_id"]
-    return shaped.withColumn("item", F.to_json(F.struct(*fields)))
 
 
 def register_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> None:

@@ -196,6 +196,22 @@ def explode_results(spark, sf_dir):
     return rank.explode_results(rank.nest_results(result_table(spark, sf_dir)))
 
 
+@query("json_results", f"""
+SELECT date, '[' || string_agg('{{"query":"' || query || '","rank":' || rank || ',"count":' || count || ',"unique_users":' || unique_users
+       || ',"category":"' || category || '","cluster_id":' || cluster_id || ',"click_through_rate":' || click_through_rate
+       || ',"growth_rate":' || growth_rate || '}}', ',' ORDER BY rank) || ']' AS trending_queries
+FROM ({RESULTS_SQL}) GROUP BY date
+""")
+def json_results(spark, sf_dir):
+    return rank.json_results(rank.nest_results(result_table(spark, sf_dir))).select("date", "trending_queries")
+
+
+@query("parse_json_results", f"SELECT {RESULT_COLUMNS_SQL} FROM ({RESULTS_SQL})")
+def parse_json_results(spark, sf_dir):
+    texts = rank.json_results(rank.nest_results(result_table(spark, sf_dir)))
+    return rank.explode_results(rank.parse_json_results(texts))
+
+
 @query("ttl_filter", f"SELECT date, query_id, ttl FROM ({RESULTS_SQL}) WHERE ttl > epoch(TIMESTAMP '2024-02-15 00:00:00')")
 def ttl_filter(spark, sf_dir):
     return retention.visible(result_table(spark, sf_dir), "2024-02-15 00:00:00").select("date", "query_id", "ttl")

@@ -69,12 +69,24 @@ def by_cluster(spark, sf_dir):
     return serve.by_cluster(result_table(spark, sf_dir), 3)
 
 
-@query("format_page", f"""
-SELECT date, query, rank, '{{"query":"' || query || '","rank":' || rank || ',"count":' || count || ',"growth_rate":0.0'
-       || CASE WHEN category <> 'other' THEN ',"category":"' || category || '"' ELSE '' END
-       || ',"cluster_id":' || cluster_id || '}}' AS item
-FROM ({RESULTS_SQL})
+ITEM_SQL = """
+'{"query":"' || query || '","rank":' || rank || ',"count":' || count || ',"growth_rate":0.0'
+|| CASE WHEN category <> 'other' THEN ',"category":"' || category || '"' ELSE '' END
+|| ',"cluster_id":' || cluster_id || '}'
+"""
+
+
+@query("page_document", f"""
+SELECT '{{"date":"{AS_OF}","trending_queries":[' || string_agg({ITEM_SQL}, ',' ORDER BY rank) || '],"next_token":"' ||
+       base64(encode('{{"date":"{AS_OF}","query_id":"' || max(query_id) || '"}}')) || '"}}' AS document
+FROM ({RESULTS_SQL}) WHERE date = DATE '{AS_OF}' AND rank <= 20
 """)
+def page_document(spark, sf_dir):
+    rows = result_table(spark, sf_dir).withColumn("category", F.nullif(F.col("category"), F.lit("other")))
+    return serve.page_document(rows, AS_OF, 20)
+
+
+@query("format_page", f"SELECT date, query, rank, {ITEM_SQL} AS item FROM ({RESULTS_SQL})")
 def format_page(spark, sf_dir):
     """Rows without a category leave it out of the JSON item."""
     rows = result_table(spark, sf_dir).withColumn("category", F.nullif(F.col("category"), F.lit("other")))
