@@ -46,6 +46,15 @@ def purge_preview(df: DataFrame, marker: str, col: str = "source") -> DataFrame:
     return df.agg(F.count_if(hit).alias("to_delete"), F.count_if(~hit).alias("to_keep"))
 
 
+def purge_prefix_preview(files: DataFrame, prefix: str) -> DataFrame:
+    """Files (key, length) below a prefix: what removing it would free."""
+    below = F.col("key").startswith(prefix)
+    return files.agg(
+        F.count_if(below).alias("to_delete"),
+        F.coalesce(F.sum(F.when(below, F.col("length"))), F.lit(0).cast("long")).alias("bytes"),
+    )
+
+
 def purge(df: DataFrame, marker: str, col: str = "source") -> DataFrame:
     """Rows without the marker; write them to a new path, the input is not touched."""
     return df.where(~_is_test(marker, col))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from searchpulse.functions import keys
-from searchpulse.operators import metrics, quality, reports
+from searchpulse.operators import metrics, quality, reports, retention
 from searchpulse.operators.datagen import generate_log, generate_series
 from searchpulse.operators.datagen import HOT_QUERIES, TOPIC_QUERIES
 from searchpulse.operators.metrics import AlarmRule
@@ -218,6 +218,14 @@ def compressed_key(spark, sf_dir):
     )
 
 
+@query("purge_prefix_preview", f"""
+SELECT count(*) AS to_delete, CAST(sum(length(props)) AS BIGINT) AS bytes
+FROM ({KEY_SQL}) k JOIN events e ON e.event_id = k.event_id WHERE starts_with(key, 'logs/')
+""")
+def purge_prefix_preview(spark, sf_dir):
+    return retention.purge_prefix_preview(object_keys(spark, sf_dir).withColumnRenamed("size", "length"), "logs/")
+
+
 @query("check_summary", f"""
 SELECT count(*) FILTER (requests < 5) AS passed, count(*) FILTER (requests >= 5) AS failed, count(*) AS total,
        bool_and(requests < 5) AS all_passed, CAST(sum(requests) AS BIGINT) AS total_duration

@@ -29,7 +29,7 @@ def stream_consolidate(log: DataFrame, watermark: str = "1 day") -> DataFrame:
     per_query = per_user.groupBy(F.window("day", "1 day").alias("window"), "query_text").agg(
         F.sum("n").alias("query_count"),
         F.count("user_id").alias("unique_users"),
-        (F.sum("results") / F.sum("with_results")).alias("avg_results_count"),
+        F.try_divide(F.sum("results"), F.sum("with_results")).alias("avg_results_count"),
         (F.sum("clicks") / F.sum("n")).alias("click_through_rate"),
         F.min("first_event").alias("first_event"),
     )
