@@ -15,7 +15,7 @@ from searchpulse.operators import quality, reports, serve
 from searchpulse.operators.consolidate import canonical_log
 from searchpulse.operators.datagen import generate_time_series
 from searchpulse.operators.rank import nest_results
-from searchpulse.plans.daily import Tables, run_daily
+from searchpulse.plans.daily import Tables, run_daily, stored_results
 from searchpulse.session import build_session
 from searchpulse.sources.files import compress_files
 from searchpulse.sources.ingest import land_ndjson
@@ -90,13 +90,13 @@ def main(argv: list[str] | None = None) -> int:
         stored = run_daily(canonical_log(landed_events(spark, args.log)), Tables(args.root), args.as_of, run_ts, cfg)
         print(f"stored {stored.count()} rows for {args.as_of}")
     elif args.job == "page":
-        results = spark.read.parquet(Tables(args.root).results)
+        results = stored_results(spark, Tables(args.root))
         print(serve.page_document(results, args.date, args.limit, args.token).head()["document"])
     elif args.job == "compress":
         compress_files(spark, args.root, args.out).write.mode("overwrite").parquet(args.report)
         reports.compression_summary(spark.read.parquet(args.report)).show(truncate=False)
     elif args.job == "check":
-        results = spark.read.parquet(Tables(args.root).results)
+        results = stored_results(spark, Tables(args.root))
         checks = quality.run_suite(
             [
                 quality.check_has_data(results),

@@ -80,9 +80,10 @@ def store_results(rows: DataFrame, path: str) -> None:
     write_by_date(rows, path)
 
 
-def clustered_for_date(spark: SparkSession, path: str, date) -> DataFrame:
+def clustered_for_date(spark: SparkSession, path: str, date, schema: T.StructType | None = None) -> DataFrame:
     """Clustered rows of one date: a partition-pruned read, empty if the date is absent."""
-    return spark.read.parquet(path).where(F.col("date") == as_date(date))
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path).where(F.col("date") == as_date(date))
 
 
 def nest_results(rows: DataFrame) -> DataFrame:

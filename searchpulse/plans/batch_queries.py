@@ -58,9 +58,16 @@ def consolidate_query(spark, sf_dir):
     return daily.withColumn("avg_results_count", F.round("avg_results_count", 9))
 
 
-@query("approx_users")
+@query("approx_users", f"SELECT query_text, date, unique_users, true AS within_error FROM ({DAILY_SQL})")
 def approx_users(spark, sf_dir):
-    return consolidate(search_log(spark, sf_dir), exact_users=False).select("query_text", "date", "unique_users")
+    """The approximate distinct count next to the exact one: within a tenth of it."""
+    log = search_log(spark, sf_dir)
+    exact = consolidate(log).select("query_text", "date", "unique_users")
+    about = consolidate(log, exact_users=False).select("query_text", "date", F.col("unique_users").alias("about"))
+    error = F.abs(F.col("about") - F.col("unique_users"))
+    return exact.join(about, ["query_text", "date"]).select(
+        "query_text", "date", "unique_users", (error <= F.ceil(F.col("unique_users") * 0.1)).alias("within_error")
+    )
 
 
 @query("canonical_log", f"SELECT event_id, query_text FROM ({LOG_SQL})")

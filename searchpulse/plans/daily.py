@@ -15,6 +15,7 @@ from searchpulse.operators.consolidate import consolidate, recent_high_volume, w
 from searchpulse.operators.growth import day_growth
 from searchpulse.operators.label import attach_labels, label_by_keywords, label_with, text_lists, top_texts
 from searchpulse.operators.rank import clustered_for_date, rank_trends, result_rows, store_results, top_per_cluster
+from searchpulse.schemas import CLUSTERED, CONSOLIDATED, RESULT_ROW
 
 
 @dataclass(frozen=True)
@@ -50,12 +51,12 @@ def consolidate_stage(log: DataFrame, tables: Tables) -> None:
 
 def cluster_stage(spark: SparkSession, tables: Tables, as_of: str, run_ts: str, cfg: TrendConfig) -> int:
     """Cluster the recent high-volume rows; earlier dates of the clustered table stay."""
-    daily = spark.read.parquet(tables.consolidated)
+    daily = spark.read.schema(CONSOLIDATED).parquet(tables.consolidated)
     picked = recent_high_volume(daily, as_of, cfg.recent_days, cfg.min_query_count)
     picked = picked.where(F.col("date") <= as_date(as_of))
     result = cluster_queries(picked, run_ts, cfg)
     write_by_date(result.rows, tables.clustered)
-    written = spark.read.parquet(tables.clustered).where(F.col("date") > F.date_sub(as_date(as_of), cfg.recent_days))
+    written = spark.read.schema(CLUSTERED).parquet(tables.clustered).where(F.col("date") > F.date_sub(as_date(as_of), cfg.recent_days))
     group_stats(written, sample=cfg.label_texts, order=("date",)).write.mode("overwrite").parquet(tables.cluster_stats)
     even_chunks(written, ["query_text", "date"]).write.mode("overwrite").parquet(tables.cluster_texts)
     return result.k
@@ -70,9 +71,9 @@ def rank_stage(
     label_fn: Callable[[list[str]], str] | None = None,
 ) -> None:
     """Label the date's clusters, rank their top queries and replace the date's results."""
-    day = clustered_for_date(spark, tables.clustered, as_of)
+    day = clustered_for_date(spark, tables.clustered, as_of, CLUSTERED)
     if cfg.with_growth:
-        pair = spark.read.parquet(tables.consolidated).where(
+        pair = spark.read.schema(CONSOLIDATED).parquet(tables.consolidated).where(
             F.col("date").between(F.date_sub(as_date(as_of), 1), as_date(as_of))
         )
         growth = day_growth(pair).where(F.col("date") == as_date(as_of)).select("query_text", "date", "growth_rate")
@@ -101,4 +102,9 @@ def run_daily(
     consolidate_stage(log, tables)
     cluster_stage(spark, tables, as_of, run_ts, cfg)
     rank_stage(spark, tables, as_of, run_ts, cfg, label_fn)
-    return spark.read.parquet(tables.results).where(F.col("date") == as_date(as_of))
+    return stored_results(spark, tables).where(F.col("date") == as_date(as_of))
+
+
+def stored_results(spark: SparkSession, tables: Tables) -> DataFrame:
+    """The results table of all dates; empty, with its schema, before the first row."""
+    return spark.read.schema(RESULT_ROW).parquet(tables.results)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from searchpulse.config import TrendConfig
 from searchpulse.functions.text import tokens
 from searchpulse.operators import cluster, label
+from searchpulse.operators.consolidate import consolidate, recent_high_volume, write_by_date
 from searchpulse.operators.features import fit_features, simple_config, term_idf, term_tfidf
 from searchpulse.plans.daily import Tables, run_daily
-from searchpulse.plans.registry import query
+from searchpulse.plans.registry import DAILY_SQL, query
 from searchpulse.session import work_dir
 from searchpulse.sources.fixtures import AS_OF, query_docs, search_log, table
 
@@ -98,6 +99,15 @@ def tf_nnz(spark, sf_dir):
     return hashed.select("doc_id", _non_zero("tf").alias("nnz"), F.size("words").alias("n_tokens"))
 
 
+@query("tf_totals", f"SELECT doc_id, len({TOKENS_SQL}) AS n_tokens FROM documents")
+def tf_totals(spark, sf_dir):
+    """Hashing moves tokens into buckets but loses none."""
+    words = query_docs(spark, sf_dir).withColumn("words", tokens(F.col("query_text")))
+    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=1000).transform(words)
+    total = F.aggregate(vector_to_array("tf"), F.lit(0.0), lambda a, x: a + x)
+    return hashed.select("doc_id", total.cast("long").alias("n_tokens"))
+
+
 @query("features")
 def features(spark, sf_dir):
     _, rows = fit_features(query_docs(spark, sf_dir))
@@ -135,6 +145,27 @@ def cluster_queries_simple(spark, sf_dir):
     return _clustered(spark, sf_dir, simple_config()).rows.drop("query_text")
 
 
+@query("cluster_invariants", """
+SELECT count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS total_queries, CAST(10 AS BIGINT) AS clusters,
+       CAST(0 AS BIGINT) AS split_texts FROM documents
+""")
+def cluster_invariants(spark, sf_dir):
+    """Every row is in one of ten clusters, and equal texts are together."""
+    rows = _clustered(spark, sf_dir).rows
+    per_text = rows.groupBy(F.sha2("query_text", 256).alias("digest")).agg(
+        F.min("cluster_id").alias("low"),
+        F.max("cluster_id").alias("high"),
+        F.count("cluster_id").alias("n"),
+        F.sum("query_count").alias("volume"),
+    )
+    return per_text.agg(
+        F.sum("n").alias("n_rows"),
+        F.sum("volume").alias("total_queries"),
+        F.count_distinct("low").alias("clusters"),
+        F.count_if(F.col("low") != F.col("high")).alias("split_texts"),
+    )
+
+
 @query("cluster_sizes")
 def cluster_sizes(spark, sf_dir):
     return cluster.cluster_sizes(_clustered(spark, sf_dir).rows)
@@ -146,15 +177,32 @@ def cluster_stats(spark, sf_dir):
     return stats.withColumn("sample_queries", F.transform("sample_queries", F.md5))
 
 
-@query("clustered_write")
+# The folded log: twenty query texts.
+FOLDED_SQL = DAILY_SQL.replace("json_extract_string(props, '$.k')", "CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS VARCHAR)")
+
+
+@query("clustered_write", f"""
+SELECT query_text, date, query_count, unique_users, round(avg_results_count, 9) AS avg_results_count, click_through_rate,
+       true AS clustered, '{RUN_TS}' AS processing_timestamp
+FROM ({FOLDED_SQL}) WHERE date > DATE '{AS_OF}' - 7 AND query_count >= 5
+""")
 def clustered_write(spark, sf_dir):
     """Consolidate, filter, cluster and store by date; read the stored table back."""
-    from searchpulse.operators.consolidate import consolidate, recent_high_volume, write_by_date
-
     path = work_dir(spark, "clustered")
     daily = recent_high_volume(consolidate(search_log(spark, sf_dir, texts=20)), AS_OF)
     write_by_date(cluster.cluster_queries(daily, RUN_TS).rows, path)
-    return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    valid = F.col("cluster_id").between(0, F.col("cluster_count") - 1)
+    return stored.select(
+        "query_text",
+        "date",
+        "query_count",
+        "unique_users",
+        F.round("avg_results_count", 9).alias("avg_results_count"),
+        "click_through_rate",
+        valid.alias("clustered"),
+        "processing_timestamp",
+    )
 
 
 @query("daily_trends")
@@ -163,6 +211,23 @@ def daily_trends(spark, sf_dir):
     return run_daily(search_log(spark, sf_dir, texts=20), tables, AS_OF, "2024-01-31 02:00:00")
 
 
+@query("daily_true_top", f"""
+SELECT a.date, a.query_text AS query,
+       CAST(row_number() OVER (ORDER BY a.query_count DESC, a.query_text) AS INTEGER) AS rank, a.query_count AS count,
+       a.unique_users, 'other' AS category, CAST(round(a.click_through_rate, 3) AS DOUBLE) AS click_through_rate,
+       (a.query_count - b.query_count) / b.query_count AS growth_rate
+FROM ({FOLDED_SQL}) a LEFT JOIN ({FOLDED_SQL}) b ON b.query_text = a.query_text AND b.date = a.date - 1
+WHERE a.date = DATE '{AS_OF}' AND a.query_count >= 5
+QUALIFY rank <= 50
+""")
+def daily_true_top(spark, sf_dir):
+    """The whole daily run, ranking all clustered queries: everything but the cluster number is determined."""
+    tables = Tables(work_dir(spark, "daily"))
+    cfg = TrendConfig(per_cluster=None, with_growth=True)
+    stored = run_daily(search_log(spark, sf_dir, texts=20), tables, AS_OF, "2024-01-31 02:00:00", cfg)
+    return stored.select("date", "query", "rank", "count", "unique_users", "category", "click_through_rate", "growth_rate")
+
+
 def _top_texts(spark, sf_dir):
     return label.top_texts(query_docs(spark, sf_dir), key="source", order=("doc_id",))
 
