@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchpulse.config import TrendConfig
+from searchpulse.functions.joins import join_null_safe
 from searchpulse.operators.features import idf_stage, term_stages
 from searchpulse.session import ensure_checkpoint_dir
 
@@ -112,7 +113,9 @@ def cluster_sizes(clustered: DataFrame, key: str = "cluster_id") -> DataFrame:
     return clustered.groupBy(key).agg(F.count("*").alias("cluster_size"))
 
 
-def group_stats(df: DataFrame, key: str = "cluster_id", sample: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+def group_stats(
+    df: DataFrame, key: str = "cluster_id", sample: int | None = None, order: tuple[str, ...] = ()
+) -> DataFrame:
     """Size, total and mean volume per group, with its first ``sample`` texts by volume if asked.
 
     The complete list of a group's texts is ``group_text_chunks``: one array per
@@ -132,7 +135,7 @@ def group_stats(df: DataFrame, key: str = "cluster_id", sample: int | None = Non
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("_rn", "query_text")))["query_text"].alias("sample_queries"))
     )
-    return stats.join(top, key)
+    return join_null_safe(stats, top, [key], "left")
 
 
 def group_text_chunks(df: DataFrame, key: str, chunk: Column) -> DataFrame:
@@ -148,7 +151,9 @@ def group_text_chunks(df: DataFrame, key: str, chunk: Column) -> DataFrame:
     )
 
 
-def even_chunks(df: DataFrame, row_key: list[str], key: str = "cluster_id", rows_per_chunk: int = 100_000) -> DataFrame:
+def even_chunks(
+    df: DataFrame, row_key: list[str], key: str = "cluster_id", rows_per_chunk: int = 100_000
+) -> DataFrame:
     """``group_text_chunks`` with chunks of about ``rows_per_chunk`` rows.
 
     The number of chunks comes from the size of the largest group, so no chunk

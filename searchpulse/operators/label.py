@@ -28,15 +28,15 @@ OTHER = "other"
 
 # Default keyword dictionary of the offline labeller.
 KEYWORDS = {
-    "education": ["course", "courses", "tutorial", "tutorials", "learn", "degree", "certification", "bootcamp", "practice", "interview"],
-    "entertainment": ["movie", "music", "game", "series", "concert", "film"],
-    "technology": ["python", "programming", "cloud", "docker", "kubernetes", "software", "api", "database", "data", "code", "git", "machine"],
-    "shopping": ["buy", "price", "discount", "sale", "shop", "cheap"],
-    "health": ["doctor", "diet", "symptoms", "fitness", "medicine", "health"],
-    "news": ["news", "election", "weather", "breaking", "headlines"],
-    "travel": ["flight", "hotel", "trip", "travel", "visa", "beach"],
-    "finance": ["stock", "bank", "loan", "tax", "insurance", "cost"],
-    "sports": ["football", "basketball", "tennis", "score", "league", "marathon"],
+    "education": "course courses tutorial tutorials learn degree certification bootcamp practice interview".split(),
+    "entertainment": "movie music game series concert film".split(),
+    "technology": "python programming cloud docker kubernetes software api database data code git machine".split(),
+    "shopping": "buy price discount sale shop cheap".split(),
+    "health": "doctor diet symptoms fitness medicine health".split(),
+    "news": "news election weather breaking headlines".split(),
+    "travel": "flight hotel trip travel visa beach".split(),
+    "finance": "stock bank loan tax insurance cost".split(),
+    "sports": "football basketball tennis score league marathon".split(),
 }
 
 
@@ -133,7 +133,9 @@ def label_by_keywords(
     )
 
 
-def attach_labels(df: DataFrame, labels: DataFrame, key: str = "cluster_id", clusters: int | None = None) -> DataFrame:
+def attach_labels(
+    df: DataFrame, labels: DataFrame, key: str = "cluster_id", clusters: int | None = None
+) -> DataFrame:
     """Left join of the cluster label; rows without one become ``other``.
 
     With the number of clusters known to be small the label side is broadcast;

@@ -39,7 +39,9 @@ def window_start_seconds(ts: Column, seconds: int) -> Column:
     return F.floor(micros / (seconds * 1_000_000)).cast("long") * seconds
 
 
-def metric_windows(df: DataFrame, seconds: int, groups: list[str], stats: dict[str, Column], ts: str = "ts") -> DataFrame:
+def metric_windows(
+    df: DataFrame, seconds: int, groups: list[str], stats: dict[str, Column], ts: str = "ts"
+) -> DataFrame:
     """Aggregates per tumbling window and group; windows are named by their start."""
     return df.groupBy(window_start_seconds(F.col(ts), seconds).alias("window_start"), *groups).agg(
         *[c.alias(name) for name, c in stats.items()]
@@ -49,8 +51,9 @@ def metric_windows(df: DataFrame, seconds: int, groups: list[str], stats: dict[s
 def request_stats() -> dict[str, Column]:
     """Traffic, error and latency series of a request log.
 
-    p99 keeps a bounded summary per window; up to its accuracy of 10 000 points
-    it is the exact discrete percentile.
+    p99 keeps a bounded summary per window, so it also runs on streams; up to its
+    accuracy of 10 000 points it is the exact discrete percentile. For the exact
+    value of larger windows use ``percentiles.percentile_floor`` by window.
     """
     status = F.col("status")
     return {
@@ -133,7 +136,8 @@ def alarm_states(windows: DataFrame, rules: list[AlarmRule], groups: list[str],
     """
     out = []
     for rule in rules:
-        frame = Window.partitionBy(*groups).orderBy("window_start").rangeBetween(-(rule.periods - 1) * seconds, 0)
+        ordered = Window.partitionBy(*groups).orderBy("window_start")
+        frame = ordered.rangeBetween(-(rule.periods - 1) * seconds, 0)
         breach = F.when(F.col(rule.metric) >= rule.threshold, 1).otherwise(0)
         state = F.when(F.sum(breach).over(frame) == rule.periods, "ALARM").otherwise("OK")
         out.append((f"{rule.metric}_state", state))
@@ -155,8 +159,10 @@ def alarm_transitions(windows: DataFrame, rules: list[AlarmRule], groups: list[s
         .agg(F.min("window_start").alias("first"), F.count("*").alias("length"))
         .where(F.col("length") >= F.col("periods"))
     )
+    raised = F.col("first") + (F.col("periods") - 1) * seconds
+    cleared = F.col("first") + F.col("length") * seconds
     changes = F.array(
-        F.struct(F.lit("ALARM").alias("state"), (F.col("first") + (F.col("periods") - 1) * seconds).alias("changed_at")),
-        F.struct(F.lit("OK").alias("state"), (F.col("first") + F.col("length") * seconds).alias("changed_at")),
+        F.struct(F.lit("ALARM").alias("state"), raised.alias("changed_at")),
+        F.struct(F.lit("OK").alias("state"), cleared.alias("changed_at")),
     )
     return runs.select(*groups, "metric", F.inline(changes))

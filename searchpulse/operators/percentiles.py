@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from searchpulse.functions.joins import join_null_safe
+
 BUCKETS = 4096
 
 
@@ -36,17 +37,6 @@ def _fine_bucket(v: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi > lo, F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).otherwise(F.lit(0))
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join that keeps null groups.
-
-    It also adds no not-null filter to one side only, so both uses of the value
-    counts stay the same subplan and are computed once.
-    """
-    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(other, same).drop(*[f"_r_{k}" for k in keys])
-
-
 def order_statistics(
     df: DataFrame,
     groups: list[str],
@@ -71,7 +61,8 @@ def order_statistics(
 
     def locate(histogram: DataFrame, keys: list[str], bucket: str) -> DataFrame:
         """Keep the bucket that holds position ``_k``, re-basing ``_k`` to it."""
-        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0))
+        running = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+        upto = F.sum("_c").over(running)
         return (
             histogram.withColumn("_before", upto - c)
             .where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + c))
@@ -80,23 +71,25 @@ def order_statistics(
         )
 
     n = F.sum("_c").over(Window.partitionBy(*groups))
-    wanted = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), rank(F.col("_n")).alias("k")) for s, rank in ranks.items()]))
+    positions = [F.struct(F.lit(s).alias("s"), rank(F.col("_n")).alias("k")) for s, rank in ranks.items()]
     first = (
         coarse.groupBy(*groups, "_b")
         .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .withColumn("_n", n)
-        .withColumn("_w", wanted)
+        .withColumn("_w", F.explode(F.array(*positions)))
         .select("*", F.col("_w.s").alias("statistic"), F.col("_w.k").alias("_k"))
         .drop("_w", "_n")
     )
     by_stat = [*groups, "statistic"]
     hit = locate(first, by_stat, "_b")
 
-    fine = _join_null_safe(coarse, hit, [*groups, "_b"]).withColumn("_f", _fine_bucket(v, F.col("_lo"), F.col("_hi")))
+    fine = join_null_safe(coarse, hit, [*groups, "_b"])
+    fine = fine.withColumn("_f", _fine_bucket(v, F.col("_lo"), F.col("_hi")))
     second = fine.groupBy(*by_stat, "_k", "_f").agg(F.sum("_c").alias("_c"))
     hit2 = locate(second, by_stat, "_f").withColumnRenamed("_k", "_k2")
 
-    last = _join_null_safe(fine.drop("_k", "_lo", "_hi", "_b"), hit2, [*by_stat, "_f"]).withColumnRenamed("_k2", "_k")
+    last = join_null_safe(fine.drop("_k", "_lo", "_hi", "_b"), hit2, [*by_stat, "_f"])
+    last = last.withColumnRenamed("_k2", "_k")
     return locate(last, by_stat, "_v").select(*by_stat, v.alias("value"))
 
 
@@ -111,7 +104,8 @@ def medians(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """True median (mean of the middle values) and upper median."""
     stats = order_statistics(df, groups, value, {"lower": lower_middle, "upper": upper_middle})
     wide = spread(stats, groups, ["lower", "upper"])
-    return wide.select(*groups, ((F.col("lower") + F.col("upper")) / 2).alias("median"), F.col("upper").alias("upper_median"))
+    middle = (F.col("lower") + F.col("upper")) / 2
+    return wide.select(*groups, middle.alias("median"), F.col("upper").alias("upper_median"))
 
 
 def spread(stats: DataFrame, groups: list[str], names: list[str]) -> DataFrame:

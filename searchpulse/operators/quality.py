@@ -54,15 +54,19 @@ def check_result_freshness(rows: DataFrame, as_of, max_days: int = 7, name: str
     """The latest parseable date is at most ``max_days`` old; no date at all passes."""
     latest = rows.agg(F.max(F.try_to_date(F.col("date").cast("string"), "yyyy-MM-dd")).alias("d"))
     age = F.datediff(as_date(as_of), F.col("d"))
-    return _check(latest, name, F.coalesce(age <= max_days, F.lit(True)), F.coalesce(F.concat(F.lit("age days: "), age), F.lit("no data yet")))
+    details = F.coalesce(F.concat(F.lit("age days: "), age), F.lit("no data yet"))
+    return _check(latest, name, F.coalesce(age <= max_days, F.lit(True)), details)
 
 
-def check_event_freshness(events: DataFrame, as_of, ts: str = "timestamp", max_hours: int = 24, name: str = "event_freshness") -> DataFrame:
+def check_event_freshness(
+    events: DataFrame, as_of, ts: str = "timestamp", max_hours: int = 24, name: str = "event_freshness"
+) -> DataFrame:
     """The newest event is at most ``max_hours`` old; an empty log passes."""
     newest = events.agg(F.max(F.col(ts).cast("timestamp")).alias("t"))
     seconds = F.unix_timestamp(as_timestamp(as_of)) - F.unix_timestamp("t")
     hours = F.floor(seconds / 3600)
-    return _check(newest, name, F.coalesce(seconds <= max_hours * 3600, F.lit(True)), F.coalesce(F.concat(F.lit("age hours: "), hours), F.lit("no data yet")))
+    details = F.coalesce(F.concat(F.lit("age hours: "), hours), F.lit("no data yet"))
+    return _check(newest, name, F.coalesce(seconds <= max_hours * 3600, F.lit(True)), details)
 
 
 def check_schema(spark: SparkSession, df: DataFrame, declared: T.StructType, name: str = "schema") -> DataFrame:
@@ -74,7 +78,12 @@ def check_schema(spark: SparkSession, df: DataFrame, declared: T.StructType, nam
     )
 
 
-def check_partitions(spark: SparkSession, path: str, columns: tuple[str, ...] = ("year", "month", "day", "hour"), name: str = "partitions") -> DataFrame:
+def check_partitions(
+    spark: SparkSession,
+    path: str,
+    columns: tuple[str, ...] = ("year", "month", "day", "hour"),
+    name: str = "partitions",
+) -> DataFrame:
     """The table below ``path`` is partitioned by ``columns`` and has no empty file; only listings are read."""
     files = list_files(spark, path)
     pattern = "^" + "/".join(f"{c}=[^/]+" for c in columns) + "/[^/]+$"
@@ -84,7 +93,8 @@ def check_partitions(spark: SparkSession, path: str, columns: tuple[str, ...] =
         F.count_if(F.col("length") == 0).alias("empty"),
     )
     good = (F.col("files") > 0) & (F.col("misplaced") == 0) & (F.col("empty") == 0)
-    return _check(seen, name, good, F.concat(F.lit("misplaced: "), F.col("misplaced"), F.lit(", empty: "), F.col("empty")))
+    details = F.concat(F.lit("misplaced: "), F.col("misplaced"), F.lit(", empty: "), F.col("empty"))
+    return _check(seen, name, good, details)
 
 
 def run_suite(checks: list[DataFrame]) -> DataFrame:

@@ -11,7 +11,12 @@ from searchpulse.operators.consolidate import write_by_date
 from searchpulse.schemas import RESULT_ROW, TREND_ITEM_FIELDS
 
 
-def top_per_cluster(df: DataFrame, n: int = 5, keys: tuple[str, ...] = ("cluster_id",), tie: tuple[str, ...] = ("query_text", "date")) -> DataFrame:
+def top_per_cluster(
+    df: DataFrame,
+    n: int = 5,
+    keys: tuple[str, ...] = ("cluster_id",),
+    tie: tuple[str, ...] = ("query_text", "date"),
+) -> DataFrame:
     """The ``n`` rows with the highest volume in every cluster.
 
     The filter on row_number becomes a group limit below the shuffle, so each
@@ -19,10 +24,7 @@ def top_per_cluster(df: DataFrame, n: int = 5, keys: tuple[str, ...] = ("cluster
     """
     tie = tuple(t for t in tie if t in df.columns and t not in keys)
     order = Window.partitionBy(*keys).orderBy(F.desc("query_count"), *tie)
-    return (
-        df.withColumn("cluster_rank", F.row_number().over(order))
-        .where(F.col("cluster_rank") <= n)
-    )
+    return df.withColumn("cluster_rank", F.row_number().over(order)).where(F.col("cluster_rank") <= n)
 
 
 def trend_items(ranked: DataFrame) -> DataFrame:
@@ -114,4 +116,5 @@ def parse_json_results(texts: DataFrame) -> DataFrame:
 def explode_results(nested: DataFrame) -> DataFrame:
     """Back from one row per date to one row per query."""
     flat = nested.select("date", F.inline("trending_queries"), "ttl", "processed_at")
-    return flat.select("date", query_id(F.col("rank"), F.col("query")).alias("query_id"), *TREND_ITEM_FIELDS, "ttl", "processed_at")
+    key = query_id(F.col("rank"), F.col("query")).alias("query_id")
+    return flat.select("date", key, *TREND_ITEM_FIELDS, "ttl", "processed_at")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from searchpulse.functions.columns import as_date, percent_text, safe_ratio
+from searchpulse.functions.joins import join_null_safe
 from searchpulse.operators.percentiles import floor_rank, lower_middle, order_statistics, spread, upper_middle
 
 
@@ -31,9 +30,7 @@ def latency_report(requests: DataFrame, groups: list[str], target_rps: float | N
     wanted = {"lower": lower_middle, "upper": upper_middle, "p95": floor_rank(95), "p99": floor_rank(99)}
     order = spread(order_statistics(requests.where(ok), groups, "latency_ms", wanted), groups, list(wanted))
     duration = F.col("duration_seconds")
-    renamed = order.withColumnsRenamed({g: f"_o_{g}" for g in groups})
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in groups])
-    report = totals.join(renamed, same, "left").select(
+    report = join_null_safe(totals, order, groups, "left").select(
         *groups,
         "total_requests",
         "successful",
@@ -113,5 +110,8 @@ def compression_metrics(summary: DataFrame, at: Column, namespace: str = "search
         ("CompressedSize", F.col("total_compressed_size"), "Bytes"),
         ("CompressionRatio", F.col("compression_ratio") * 100, "Percent"),
     ]
-    structs = [F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.lit(u).alias("unit")) for n, v, u in points]
+    structs = [
+        F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"), F.lit(unit).alias("unit"))
+        for name, value, unit in points
+    ]
     return summary.select(F.lit(namespace).alias("namespace"), F.inline(F.array(*structs)), at.alias("ts"))

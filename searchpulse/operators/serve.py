@@ -68,7 +68,9 @@ def latest(results: DataFrame, as_of) -> DataFrame:
     return results.where(F.col("date") == newest)
 
 
-def trending_page(results: DataFrame, date: str | None, limit: str | int | None = None, token: str | None = None) -> DataFrame:
+def trending_page(
+    results: DataFrame, date: str | None, limit: str | int | None = None, token: str | None = None
+) -> DataFrame:
     """One page of a date, ordered by rank, with the token of the next page.
 
     Page borders follow ``query_id``. One row more than asked for is fetched to

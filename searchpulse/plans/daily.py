@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from searchpulse.config import TrendConfig
 from searchpulse.functions.columns import as_date
 from searchpulse.operators.cluster import cluster_queries, even_chunks, group_stats
-from searchpulse.operators.consolidate import consolidate, recent_high_volume, write_by_date
+from searchpulse.operators.consolidate import consolidate, recent, recent_high_volume, write_by_date
 from searchpulse.operators.growth import day_growth
 from searchpulse.operators.label import attach_labels, label_by_keywords, label_with, text_lists, top_texts
 from searchpulse.operators.rank import clustered_for_date, rank_trends, result_rows, store_results, top_per_cluster
@@ -56,8 +56,10 @@ def cluster_stage(spark: SparkSession, tables: Tables, as_of: str, run_ts: str,
     picked = picked.where(F.col("date") <= as_date(as_of))
     result = cluster_queries(picked, run_ts, cfg)
     write_by_date(result.rows, tables.clustered)
-    written = spark.read.schema(CLUSTERED).parquet(tables.clustered).where(F.col("date") > F.date_sub(as_date(as_of), cfg.recent_days))
-    group_stats(written, sample=cfg.label_texts, order=("date",)).write.mode("overwrite").parquet(tables.cluster_stats)
+    stored = spark.read.schema(CLUSTERED).parquet(tables.clustered)
+    written = recent(stored, as_of, cfg.recent_days).where(F.col("date") <= as_date(as_of))
+    stats = group_stats(written, sample=cfg.label_texts, order=("date",))
+    stats.write.mode("overwrite").parquet(tables.cluster_stats)
     even_chunks(written, ["query_text", "date"]).write.mode("overwrite").parquet(tables.cluster_texts)
     return result.k
 
@@ -72,13 +74,16 @@ def rank_stage(
 ) -> None:
     """Label the date's clusters, rank their top queries and replace the date's results."""
     day = clustered_for_date(spark, tables.clustered, as_of, CLUSTERED)
+    top = day if cfg.per_cluster is None else top_per_cluster(day, cfg.per_cluster)
     if cfg.with_growth:
         pair = spark.read.schema(CONSOLIDATED).parquet(tables.consolidated).where(
             F.col("date").between(F.date_sub(as_date(as_of), 1), as_date(as_of))
         )
+        if cfg.per_cluster is not None:
+            # At most cluster_count * per_cluster texts.
+            pair = pair.join(F.broadcast(top.select("query_text")), "query_text", "left_semi")
         growth = day_growth(pair).where(F.col("date") == as_date(as_of)).select("query_text", "date", "growth_rate")
-        day = day.join(growth, ["query_text", "date"], "left")
-    top = day if cfg.per_cluster is None else top_per_cluster(day, cfg.per_cluster)
+        top = top.join(growth, ["query_text", "date"], "left")
     texts = top_texts(top, cfg.label_texts)
     labels = label_by_keywords(texts) if label_fn is None else label_with(text_lists(texts), label_fn)
     items = rank_trends(attach_labels(top, labels, clusters=cfg.cluster_count), cfg.top_n)

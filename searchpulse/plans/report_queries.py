@@ -82,9 +82,10 @@ def cost_by_service(spark, sf_dir):
 SELECT count(*) FILTER (event_type <> 'error') AS files_processed, count(*) FILTER (event_type = 'error') AS files_failed,
        CAST(sum(event_id * 3 + 100) FILTER (event_type <> 'error') AS BIGINT) AS total_original_size,
        CAST(sum(event_id + length(props)) FILTER (event_type <> 'error') AS BIGINT) AS total_compressed_size,
-       1 - CAST(sum(event_id + length(props)) FILTER (event_type <> 'error') AS BIGINT) / CAST(sum(event_id * 3 + 100) FILTER (event_type <> 'error') AS BIGINT) AS compression_ratio
+       round(1 - sum(event_id + length(props)) FILTER (event_type <> 'error')
+                 / sum(event_id * 3 + 100) FILTER (event_type <> 'error'), 9) AS compression_ratio
 FROM events
-""".replace("1 - CAST", "round(1 - CAST").replace(" AS compression_ratio", ", 9) AS compression_ratio"))
+""")
 def compression_summary(spark, sf_dir):
     files = table(spark, sf_dir, "events").select(
         (F.col("event_type") != "error").alias("success"),

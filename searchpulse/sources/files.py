@@ -127,4 +127,5 @@ def compress_files(
 
     spread = plan.select("key", "compressed_key").repartition(int(tasks), "key")
     saved = F.col("original_size") - F.col("compressed_size")
-    return spread.mapInPandas(run, RESULT_SCHEMA).withColumn("compression_ratio", safe_ratio(saved, F.col("original_size")))
+    done = spread.mapInPandas(run, RESULT_SCHEMA)
+    return done.withColumn("compression_ratio", safe_ratio(saved, F.col("original_size")))

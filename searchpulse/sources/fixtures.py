@@ -80,10 +80,10 @@ def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object keys of the shapes the file predicates distinguish, one per event."""
     n = F.col("event_id")
-    folder = F.element_at(F.array(*map(F.lit, ["raw-data/", "logs/", "images/", "compressed/"])), (n % 4 + 1).cast("int"))
-    suffix = F.element_at(
-        F.array(*map(F.lit, [".json", ".LOG", ".png", ".gz", ".csv"])), (n % 5 + 1).cast("int")
-    )
+    folders = F.array(*map(F.lit, ["raw-data/", "logs/", "images/", "compressed/"]))
+    suffixes = F.array(*map(F.lit, [".json", ".LOG", ".png", ".gz", ".csv"]))
+    folder = F.element_at(folders, (n % 4 + 1).cast("int"))
+    suffix = F.element_at(suffixes, (n % 5 + 1).cast("int"))
     return table(spark, sf_dir, "events").select(
         n.alias("event_id"),
         F.concat(

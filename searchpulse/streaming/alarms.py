@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from searchpulse.operators.metrics import AlarmRule, breaches
 
 
-def stream_metric_windows(df: DataFrame, ts: str, seconds: int, groups: list[str], stats: dict[str, Column], watermark: str) -> DataFrame:
+def stream_metric_windows(
+    df: DataFrame, ts: str, seconds: int, groups: list[str], stats: dict[str, Column], watermark: str
+) -> DataFrame:
     """Tumbling-window aggregates with the window itself kept as ``window``."""
     return (
         df.withWatermark(ts, watermark)
@@ -28,9 +30,8 @@ def alarm_stream(windows: DataFrame, rules: list[AlarmRule], groups: list[str],
     """
     longest = max(r.periods for r in rules) + 1
     hits = breaches(windows, rules, ["window", *groups])
-    spans = hits.groupBy(
-        F.window("window", f"{longest * seconds} seconds", f"{seconds} seconds").alias("span"), *groups, "metric", "periods"
-    ).agg(F.collect_set("window_start").alias("starts"))
+    span = F.window("window", f"{longest * seconds} seconds", f"{seconds} seconds").alias("span")
+    spans = hits.groupBy(span, *groups, "metric", "periods").agg(F.collect_set("window_start").alias("starts"))
     last = F.unix_timestamp("span.end") - seconds
 
     def breached(offset: Column) -> Column:
@@ -39,4 +40,5 @@ def alarm_stream(windows: DataFrame, rules: list[AlarmRule], groups: list[str],
     now = F.forall(F.sequence(F.lit(0), F.col("periods") - 1), breached)
     before = F.forall(F.sequence(F.lit(1), F.col("periods")), breached)
     state = F.when(now & ~before, "ALARM").when(~now & before, "OK")
-    return spans.select(*groups, "metric", state.alias("state"), last.alias("changed_at")).where(F.col("state").isNotNull())
+    changes = spans.select(*groups, "metric", state.alias("state"), last.alias("changed_at"))
+    return changes.where(F.col("state").isNotNull())

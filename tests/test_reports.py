@@ -92,3 +92,12 @@ def test_compression_totals(spark):
     assert (empty.files_processed, empty.total_original_size, empty.compression_ratio) == (0, 0, 0.0)
     points = reports.compression_metrics(reports.compression_summary(df), F.current_timestamp()).collect()
     assert {p.name: (p.value, p.unit) for p in points}["CompressionRatio"] == (62.5, "Percent") and len(points) == 5
+
+
+def test_percentiles_read_the_input_once(spark, values, tmp_path):
+    path = str(tmp_path / "v")
+    values.write.parquet(path)
+    got = percentile_floor(spark.read.parquet(path), ["g"], "v", [50, 99])
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "CartesianProduct" not in final and "NestedLoop" not in final

@@ -121,3 +121,9 @@ def test_group_stats_and_whole_text_chunks(spark):
     assert len(chunks) > 2 and max(c.n_texts for c in chunks) < 30
     texts = Counter((c.cluster_id, t) for c in chunks for t in c.sample_queries)
     assert texts == Counter((c, t) for c, t, _ in data)
+
+
+def test_a_null_group_keeps_its_sample(spark):
+    df = spark.createDataFrame([(None, "a", 1), (None, "b", 2), ("x", "c", 3)], "lang string, query_text string, query_count long")
+    got = {r.lang: (r.cluster_size, r.sample_queries) for r in cluster.group_stats(df, "lang", sample=5).collect()}
+    assert got == {None: (2, ["b", "a"]), "x": (1, ["c"])}
