@@ -14,7 +14,7 @@ DATE_PARTS = ["year=", "month=", "day=", "hour="]
 COMPRESSED_PREFIX = "compressed/"
 
 
-def is_log_file(key: Column) -> Column:
+def looks_like_log(key: Column) -> Column:
     lowered = F.lower(key)
     return any_of([lowered.endswith(e) for e in LOG_EXTENSIONS]) | any_of(
         [lowered.contains(f) for f in LOG_FOLDERS]
@@ -28,7 +28,7 @@ def is_compressed(key: Column, prefix: str = COMPRESSED_PREFIX) -> Column:
 
 
 def needs_compression(key: Column, prefix: str = COMPRESSED_PREFIX) -> Column:
-    return is_log_file(key) & ~is_compressed(key, prefix)
+    return looks_like_log(key) & ~is_compressed(key, prefix)
 
 
 def compressed_key(key: Column, prefix: str = COMPRESSED_PREFIX) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def tokens(text: Column) -> Column:
     """Lower-cased tokens split on single whitespace characters, empty ones dropped."""
-    return F.filter(F.split(F.lower(text), r"\s"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"\s"), "")
 
 
 def without_stop_words(words: Column, stop_words: list[str]) -> Column:

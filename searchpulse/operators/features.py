@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from searchpulse.config import TrendConfig
 from searchpulse.functions.text import tokens
+from searchpulse.session import ensure_checkpoint_dir
 
 
 def term_stages(cfg: TrendConfig = TrendConfig(), text_col: str = "query_text") -> list[Transformer]:
@@ -70,26 +71,37 @@ def term_tfidf(
     text_col: str = "query_text",
     min_doc_freq: int = 2,
     hot_share: int = 100,
+    broadcast_terms: int = 1_000_000,
+    salts: int = 32,
 ) -> DataFrame:
     """Term counts per document times the term's IDF, on exact terms.
 
     Joining on the term alone would send every document's copy of a common word
     to one task. Terms found in more than one of ``hot_share`` documents are
-    joined as a broadcast side instead: there are at most ``hot_share`` times the
-    mean number of distinct terms per document of them, whatever the size of the
-    data. The other terms, each in at most 1/hot_share of the documents, take the
-    shuffle join.
+    joined apart: as a broadcast side when there are at most ``broadcast_terms``
+    of them, otherwise on (term, salt) with the salt taken from the document key.
+    The other terms, each in at most 1/hot_share of the documents, take the plain
+    shuffle join. The term table is checkpointed, so it is computed once for the
+    size check and both joins.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     counted = (
         docs.select(F.col(key), F.explode(tokens(F.col(text_col))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
-    weights = term_idf(docs, text_col, min_doc_freq)
+    weights = term_idf(docs, text_col, min_doc_freq).checkpoint()
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
     is_hot = F.col("doc_freq") * hot_share > n_docs
-    hot, cold = F.broadcast(weights.where(is_hot)), weights.where(~is_hot)
-    joined = counted.join(hot, "term").unionByName(
-        counted.join(hot.select("term"), "term", "left_anti").join(cold, "term")
-    )
-    return joined.select(key, "term", "tf", "doc_freq", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
+    hot, cold = weights.where(is_hot), weights.where(~is_hot)
+    on = ["term"]
+    if hot.count() <= broadcast_terms:
+        hot = F.broadcast(hot)
+    else:
+        on = ["term", "salt"]
+        counted = counted.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+        hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    columns = [key, "term", "tf", "doc_freq", "idf"]
+    common = counted.join(hot, on).select(columns)
+    rare = counted.join(hot.select(on), on, "left_anti").join(cold, "term").select(columns)
+    return common.unionByName(rare).withColumn("tfidf", F.col("tf") * F.col("idf"))

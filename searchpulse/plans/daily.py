@@ -79,8 +79,7 @@ def rank_stage(
         pair = spark.read.schema(CONSOLIDATED).parquet(tables.consolidated).where(
             F.col("date").between(F.date_sub(as_date(as_of), 1), as_date(as_of))
         )
-        if cfg.per_cluster is not None:
-            # At most cluster_count * per_cluster texts.
+        if cfg.per_cluster is not None and cfg.cluster_count * cfg.per_cluster <= 10_000:
             pair = pair.join(F.broadcast(top.select("query_text")), "query_text", "left_semi")
         growth = day_growth(pair).where(F.col("date") == as_date(as_of)).select("query_text", "date", "growth_rate")
         top = top.join(growth, ["query_text", "date"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchpulse.operators import quality
+from searchpulse.operators.consolidate import consolidate, write_by_date
 from searchpulse.plans.registry import LOG_SQL, query
 from searchpulse.session import work_dir
 from searchpulse.sources import ingest
@@ -115,9 +116,9 @@ def discover_schema(spark, sf_dir):
 
 @query("check_partitions", "SELECT 'partitions' AS validation, count(*) > 0 AS success, 'misplaced: 0, empty: 0' AS details FROM events")
 def check_partitions(spark, sf_dir):
-    path = work_dir(spark, "landed")
-    ingest.land_ndjson(search_log(spark, sf_dir), path)
-    return quality.check_partitions(spark, path)
+    path = work_dir(spark, "daily")
+    write_by_date(consolidate(search_log(spark, sf_dir)), path)
+    return quality.check_partitions(spark, path, ("date",))
 
 
 @query("compress_files", """

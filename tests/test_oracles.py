@@ -12,7 +12,7 @@ duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no bundled data")
 
 # Compared at sf0.01 by tools/check_oracles.py; here they would only repeat slow file layouts.
-ONLY_LARGER = {"ndjson_roundtrip", "land_stream", "check_partitions", "late_recompute"}
+ONLY_LARGER = {"ndjson_roundtrip", "land_stream", "late_recompute"}
 
 
 @pytest.fixture(scope="module")

@@ -48,9 +48,9 @@ def test_term_weights_match_brute_force(spark):
             idf = math.log((len(texts) + 1) / (df_of[term] + 1)) if df_of[term] >= 2 else 0.0
             want[i, term] = (tf, round(tf * idf, 9))
     # hot_share=1 makes every term cold, a large one makes every term hot.
-    for share in (1, 2, 1000):
-        got = {(r.doc_id, r.term): (r.tf, round(r.tfidf, 9)) for r in term_tfidf(docs, "doc_id", hot_share=share).collect()}
-        assert got == want
+    for share, broadcast_terms in [(1, 9), (2, 9), (1000, 9), (2, 0), (1000, 0)]:
+        weighted = term_tfidf(docs, "doc_id", hot_share=share, broadcast_terms=broadcast_terms)
+        assert {(r.doc_id, r.term): (r.tf, round(r.tfidf, 9)) for r in weighted.collect()} == want
     assert {r.term: r.doc_freq for r in term_idf(docs).collect()} == dict(df_of)
 
 
