@@ -22,6 +22,7 @@ from searchpulse.llm.tokens import END_ID, worker_encoder
 
 STRIPE_BYTES = 32 << 20
 ROW_STRIDE = 1000
+ROWS_AT_ONCE = 1024
 
 
 def write_tokens(
@@ -50,14 +51,14 @@ def write_tokens(
         place = 0
         for batch in batches:
             texts = batch.column(1)
-            for at in range(0, len(texts), 256):
-                part = [encoder.encode(t) for t in texts[at : at + 256].to_pylist()]
+            for at in range(0, len(texts), ROWS_AT_ONCE):
+                part = encoder.encode(texts[at : at + ROWS_AT_ONCE].to_pylist())
                 sizes = np.array([len(p) // 4 for p in part], np.int64)
                 ends = np.cumsum(sizes)
                 ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(part))])
                 offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at : at + 256], pa.array(place + ends - sizes), pa.array(sizes), pa.ListArray.from_arrays(offsets, ids)],
+                    [batch.column(0)[at : at + ROWS_AT_ONCE], pa.array(place + ends - sizes), pa.array(sizes), pa.ListArray.from_arrays(offsets, ids)],
                     ["doc_id", "start_in_file", "n_tokens", "ids"],
                 )
                 place += int(ends[-1])

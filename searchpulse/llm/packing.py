@@ -146,14 +146,15 @@ def pack_documents(
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            prompts = batch.column(2).to_pylist() if prompt_col else [None] * batch.num_rows
-            pieces = []
-            for key, text, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), prompts):
-                ids = encoder.encode(text)
-                before = encoder.encode(prompt)[:-4] if prompt_col else b""
-                pieces += packer.add(key, before + ids, len(ids) // 4)
-            if pieces:
-                yield made(pieces)
+            for at in range(0, batch.num_rows, POOL):
+                part = batch.slice(at, POOL)
+                texts = encoder.encode(part.column(1).to_pylist())
+                prompts = encoder.encode(part.column(2).to_pylist()) if prompt_col else [encoder.end] * len(texts)
+                pieces = []
+                for key, ids, prompt in zip(part.column(0).to_pylist(), texts, prompts):
+                    pieces += packer.add(key, prompt[:-4] + ids, len(ids) // 4)
+                if pieces:
+                    yield made(pieces)
         if pieces := packer.finish():
             yield made(pieces)
 

@@ -5,7 +5,7 @@ split holds white space behind another character, nor a letter and a full stop o
 comma behind it. So the ids of a text are those of its parts in a row, and each
 part needs the library only once: the parts repeat a lot, and a worker keeps their
 ids. Texts with unusual white space or the mark of a special token go to the
-library whole.
+library whole. Splitting, numbering and putting ids together runs in Arrow and numpy.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ PARTS_KEPT = 1_000_000
 
 # White space beyond the blank and the line feed, and the opening of a special token.
 UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]|<\\|")
-# Runs of blanks or lines that begin, end or consist of nothing else.
-IRREGULAR = re.compile("  |\n\n|\n | \n|^[ \n]|[ \n]$")
+#: Bytes of text whose parts are looked up together.
+BATCH_BYTES = 4 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,40 +52,85 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in found]
 
-    def split(self, text: str) -> list[str] | None:
-        """Parts whose ids follow one another; None where the text is to be encoded whole."""
+    def _regular(self, text: str) -> bool:
+        """Whether the text splits into parts; the others are encoded whole."""
         if UNUSUAL.search(text):
-            return None
+            return False
         if self.drops_blanks:
-            return text.encode().lower().decode().split()
-        if IRREGULAR.search(text):
-            return None
-        return text.replace("\n", " \n").replace(" ", "\0 ").replace("\0 \n", "\0\n").split("\0") if "\0" not in text else None
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.parts) > PARTS_KEPT:
-            self.parts.clear()
+            return True
+        return text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n\n", "\n ", " \n", "\0"))
+
+    def _split(self, texts: list[str]):
+        """Parts of each text as an Arrow list array.
+
+        A part stands for itself behind a blank, except that one with a mark of
+        its own (line feed, or NUL for the first) stands behind no blank.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pa.array(texts, pa.large_string())
+        if self.drops_blanks:
+            return pc.ascii_split_whitespace(pc.ascii_lower(column))
+        marked = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), column, pa.scalar("\0", pa.large_string()))
+        return pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+
+    def _text_of(self, part: str) -> str:
+        if self.drops_blanks:
+            return part
+        return part[1:] if part[0] == "\0" else part if part[0] == "\n" else " " + part
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, learning the unknown ones from the library."""
         known = self.parts
-        missing = {p for p in parts if p not in known}
-        closed = {p for p in missing if len(p) > 2 and p[-1] in ".," and p[-2].isascii() and p[-2].isalpha()}
-        bases = {p[:-1] for p in closed}
-        todo = [p for p in (missing - closed) | bases | {p[-1] for p in closed} if p not in known]
-        known.update(zip(todo, self.whole(todo)))
-        known.update({p: known[p[:-1]] + known[p[-1]] for p in closed})
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text in bytes, with the end id; null is the empty text."""
-        if not text:
-            return self.end
-        parts = self.split(text)
-        if parts is None:
-            return self.whole([text])[0] + self.end
-        found = list(map(self.parts.get, parts))
-        if None in found:
-            self._learn(parts)
-            found = list(map(self.parts.__getitem__, parts))
-        found.append(self.end)
-        return b"".join(found)
+        if len(known) > PARTS_KEPT:
+            known.clear()
+        known.setdefault("", b"")
+        missing = [p for p in parts if p not in known]
+        closed = [p for p in missing if len(p) > 2 and p[-1] in ".," and p[-2].isascii() and p[-2].isalpha()]
+        ends = dict(zip(".,", self.whole([".", ","]))) if closed else {}
+        todo = list((set(missing) - set(closed)) | {q for p in closed if (q := p[:-1]) not in known})
+        known.update(zip(todo, self.whole([self._text_of(p) for p in todo])))
+        known.update({p: known[p[:-1]] + ends[p[-1]] for p in closed})
+        return [known[p] for p in parts]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        words = self._split(texts)
+        coded = words.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        sizes = size[index]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        places = np.arange(ends[-1]) + np.repeat(begin[index] - ends[:-1], sizes)
+        stream = np.frombuffer(b"".join(ids), "<u4")[places]
+        borders = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [stream[a:b].tobytes() + self.end for a, b in zip(borders[:-1], borders[1:])]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text in bytes, with the end id; null is the empty text."""
+        out: list[bytes] = [self.end] * len(texts)
+        group: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self._regular(text):
+                out[i] = self.whole([text])[0] + self.end
+                continue
+            group.append(i)
+            size += len(text)
+            if size > BATCH_BYTES:
+                for j, ids in zip(group, self._together([texts[j] for j in group])):
+                    out[j] = ids
+                group, size = [], 0
+        if group:
+            for j, ids in zip(group, self._together([texts[j] for j in group])):
+                out[j] = ids
+        return out
 
 
 def worker_encoder(path: str, drops_blanks: bool, end_id: int = END_ID) -> Encoder:
