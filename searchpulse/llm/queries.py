@@ -9,6 +9,7 @@ from searchpulse.llm import token_rollup as rollup
 from searchpulse.llm.common import stored, table
 from searchpulse.llm.decontaminate import find_contamination
 from searchpulse.llm.license_scan import scan_licenses
+from searchpulse.llm.near_duplicates import near_duplicates
 from searchpulse.llm.orc_tokens import token_digest, write_tokens
 from searchpulse.llm.packing import pack_documents
 from searchpulse.llm.registry import ORACLES, QUERIES, query
@@ -143,6 +144,11 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), path, drops_blanks=True)
 
 
+@query("op9_near_duplicates")
+def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 @query("op10_orc_tokens")
 def orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{work_dir(spark, 'orc-tokens')}/ids"
