@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchpulse.llm import token_rollup as rollup
-from searchpulse.llm.common import stored, table
+from searchpulse.llm.common import remainder_of_id, stored, table
 from searchpulse.llm.decontaminate import find_contamination
 from searchpulse.llm.license_scan import scan_licenses
 from searchpulse.llm.near_duplicates import near_duplicates
@@ -14,6 +14,7 @@ from searchpulse.llm.orc_tokens import token_digest, write_tokens
 from searchpulse.llm.packing import pack_documents
 from searchpulse.llm.registry import ORACLES, QUERIES, query
 from searchpulse.llm.tokens import tokenizer_path
+from searchpulse.llm.toxicity import MAX_DOCS, THRESHOLD, labelled_sample, learn, score_documents
 from searchpulse.llm.url_filter import canonical_url, judge_urls
 from searchpulse.session import work_dir
 
@@ -132,6 +133,22 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    taught = remainder_of_id("doc_id", 4) != 2
+    model = learn(labelled_sample(docs, labels, taught, MAX_DOCS, "doc_id", "text", "toxic"))
+    scored = score_documents(docs, model, THRESHOLD)
+    return scored.select(
+        "doc_id",
+        (remainder_of_id("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
+        "worst_sentence",
+        F.size("offending").alias("n_offending"),
+    )
+
+
 @query("op7_decontaminate")
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
