@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,11 @@ def per_process(key, make):
     if key not in held:
         held[key] = make()
     return held[key]
+
+
+def share(spark: SparkSession, value):
+    """Broadcast an object of this package by value; the returned function gives it back once in each task."""
+    import pickle
+
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)

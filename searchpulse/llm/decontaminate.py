@@ -25,10 +25,10 @@ import re
 
 from pyspark.sql import DataFrame
 
-from searchpulse.llm.common import WORD_BYTES, alnum_words
+from searchpulse.llm.common import WORD_BYTES, alnum_words, share
 
 WINDOW = 10
-WORDS_PER_AUTOMATON = 2_000_000
+WORDS_PER_AUTOMATON = 200_000
 
 
 class SuffixAutomaton:
@@ -182,6 +182,20 @@ def _merge(spans: list) -> list:
     return out
 
 
+def _hits_of(docs_words: list, shared: list, held) -> list[tuple[list, set]]:
+    """Spans and items of each document of a batch; several automata are loaded one after the other."""
+    if held is not None:
+        return list(map(held.hits, docs_words))
+    found: list[tuple[list, set]] = [([], set()) for _ in docs_words]
+    for load in shared:
+        automaton = load()
+        for (spans, items), words in zip(found, docs_words):
+            more, names = automaton.hits(words)
+            spans += more
+            items |= names
+    return [(_merge(spans), items) for spans, items in found]
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -195,24 +209,18 @@ def find_contamination(
     """One row per document: its id and ``HIT_SCHEMA``; spans count words."""
     import pyarrow as pa
 
-    send = docs.sparkSession.sparkContext.broadcast
-    shared = [send(a) for a in automata(benchmark, window, item_id, item_text, words_per_automaton)]
+    shared = [share(docs.sparkSession, a) for a in automata(benchmark, window, item_id, item_text, words_per_automaton)]
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         types = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(span)]
         names = [c.split()[0] for c in HIT_SCHEMA.split(", ")[:6]] + ["spans"]
+        held = shared[0]() if len(shared) == 1 else None
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                words = alnum_words(text)
-                spans, items = [], set()
-                for automaton in shared:
-                    more, found = automaton.value.hits(words)
-                    spans += more
-                    items |= found
-                spans = _merge(spans) if len(shared) > 1 else spans
+            docs_words = list(map(alnum_words, batch.column(1).to_pylist()))
+            for words, (spans, items) in zip(docs_words, _hits_of(docs_words, shared, held)):
                 ids = sorted(items)
                 digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
                 n_hit = sum(e - s for s, e in spans)
@@ -253,20 +261,19 @@ def decontaminate(
     """
     import pyarrow as pa
 
-    send = docs.sparkSession.sparkContext.broadcast
-    shared = [send(a) for a in automata(benchmark, window, "item_id", "text", words_per_automaton)]
+    shared = [share(docs.sparkSession, a) for a in automata(benchmark, window, "item_id", "text", words_per_automaton)]
     at, chars = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def clean(batches):
+        held = shared[0]() if len(shared) == 1 else None
         for batch in batches:
             keep, texts, lengths = [], batch.column(at).to_pylist(), batch.column(chars).to_pylist() if chars is not None else []
-            for i, text in enumerate(texts):
-                words = alnum_words(text)
-                spans = _merge([s for a in shared for s in a.value.hits(words)[0]])
+            docs_words = list(map(alnum_words, texts))
+            for i, (words, (spans, _)) in enumerate(zip(docs_words, _hits_of(docs_words, shared, held))):
                 hit = sum(e - s for s, e in spans)
                 keep.append(hit <= max_coverage * len(words))
                 if hit and keep[-1]:
-                    texts[i] = cut_spans(text, spans)
+                    texts[i] = cut_spans(texts[i], spans)
                     if chars is not None:
                         lengths[i] = len(texts[i])
             arrays = batch.columns

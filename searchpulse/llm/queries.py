@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchpulse.llm import token_rollup as rollup
+from searchpulse.llm.ann import nearest
 from searchpulse.llm.common import remainder_of_id, stored, table
 from searchpulse.llm.decontaminate import find_contamination
 from searchpulse.llm.license_scan import scan_licenses
@@ -124,6 +125,11 @@ def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals(spark, root)
 
 
+@query("op4_ann")
+def ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 @query("op5_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchpulse.llm.common import stored
+from searchpulse.llm.common import share, stored
 
 MAX_DOCS = 20_000
 MAX_FEATURES = 5_000
@@ -179,13 +179,13 @@ def score_documents(docs: DataFrame, model: tuple[dict[str, float], float], thre
     """id and ``SCORE_SCHEMA`` of every document; sentences at or above the threshold are located by byte offsets."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def score(batches):
         import numpy as np
 
-        weights, bias = shared.value
+        weights, bias = shared()
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -217,11 +217,11 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     import pyarrow as pa
 
     model = learn(labelled_sample(docs, labels, F.lit(True), max_docs, id_col, text_col, "toxic"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def keep(batches):
-        weights, bias = shared.value
+        weights, bias = shared()
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
