@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a logistic score from its words
-(the word itself and its first four and five characters); the document's score is
+A document is a bag of sentences. Each sentence has a logistic score from its distinct
+words (the word itself and its first four and five characters); the document's score is
 their noisy-or, 1 - prod(1 - p). Only document labels are known, so the gradient of
 the document's likelihood is what teaches the sentence scores, and afterwards the
 sentence scores tell where the offence is.
@@ -72,9 +72,12 @@ def sentence_logits(texts: list[str | None], weights: dict[str, float], bias: fl
     get = weights.get
     of_word = np.array([sum(get(f, 0.0) for f in features_of(w)) if w else 0.0 for w in words], np.float64)
     real = np.array([w != "" for w in words], np.float64)
-    at = index if len(words) else np.zeros(0, np.int64)
-    logits = bias + _sums(of_word[at] if len(words) else np.zeros(0), word_borders)
-    return logits, _sums(real[at] if len(words) else np.zeros(0), word_borders), text_borders, lengths
+    # each distinct word of a sentence speaks once, however often it is repeated
+    n = len(word_borders) - 1
+    sentence = np.repeat(np.arange(n), np.diff(word_borders))
+    place, word = np.divmod(np.unique(sentence * max(1, len(words)) + index), max(1, len(words)))
+    logits = bias + np.bincount(place, of_word[word], n)
+    return logits, np.bincount(place, real[word], n), text_borders, lengths
 
 
 def noisy_or(logits, n_words, borders):
@@ -88,7 +91,7 @@ def noisy_or(logits, n_words, borders):
     return -np.expm1(-np.where(empty, first, bags))
 
 
-def fit_noisy_or(labels, bags, sentences_of, features, n_features: int, steps: int = 300, rate: float = 0.05, decay: float = 1e-5):
+def fit_noisy_or(labels, bags, sentences_of, features, n_features: int, steps: int = 200, rate: float = 0.08, decay: float = 1e-4):
     """Weights and bias from documents (label, sentences) and sentences (features), by Adam on the bags' likelihood.
 
     ``bags`` numbers the document of each sentence, ``sentences_of`` the sentence of
@@ -159,7 +162,7 @@ def learn(sample: DataFrame, max_features: int = MAX_FEATURES, min_docs: int = M
                 words, index, borders, _, _ = sentences([text])
                 of_word = [[k for f in features_of(w) if (k := get(f)) is not None] for w in words]
                 spans = [index[a:b] for a, b in zip(borders[:-1], borders[1:]) if b > a]
-                out.append([[k for i in span.tolist() for k in of_word[i]] for span in spans] or [[]])
+                out.append([[k for i in sorted(set(span.tolist())) for k in of_word[i]] for span in spans] or [[]])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["label", "sentences"])
 
     rows = sample.select("text", "label").mapInArrow(numbered, "label int, sentences array<array<int>>").collect()
