@@ -37,6 +37,19 @@ def blank_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def lowered(column):
+    """An Arrow string column with A-Z in lower case and nulls as empty texts.
+
+    It is copied first: Arrow's ASCII kernels misread columns that are slices.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    whole = pc.fill_null(column, "").cast(pa.large_string()).take(pa.array(np.arange(len(column))))
+    return pc.ascii_lower(whole)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below the shared folder and read back: work is not repeated and lineage ends."""
     spark = df.sparkSession

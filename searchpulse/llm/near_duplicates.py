@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchpulse.llm.common import blank_words, stored
+from searchpulse.llm.common import blank_words, lowered, stored
 from searchpulse.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -47,10 +47,9 @@ def shingle_hashes(column, shingle_words: int) -> list:
     """Distinct 64-bit shingle hashes of each text of an Arrow string array."""
     import numpy as np
     import pandas as pd
-    import pyarrow as pa
     import pyarrow.compute as pc
 
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "").cast(pa.large_string())))
+    words = pc.ascii_split_whitespace(lowered(column))
     coded = words.flatten().dictionary_encode()
     texts = np.array(coded.dictionary.to_pylist(), object)
     of_word = pd.util.hash_array(texts, categorize=False) if len(texts) else np.zeros(0, np.uint64)

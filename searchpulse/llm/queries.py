@@ -10,6 +10,7 @@ from searchpulse.llm.ann import nearest
 from searchpulse.llm.common import remainder_of_id, stored, table
 from searchpulse.llm.decontaminate import find_contamination
 from searchpulse.llm.license_scan import scan_licenses
+from searchpulse.llm.lm_mixing import score_texts
 from searchpulse.llm.near_duplicates import near_duplicates
 from searchpulse.llm.orc_tokens import token_digest, write_tokens
 from searchpulse.llm.packing import pack_documents
@@ -125,6 +126,15 @@ def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals(spark, root)
 
 
+@query("op3_lm_mixing")
+def lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_texts(docs, remainder_of_id("doc_id", 7) != 2)
+    return scored.select(
+        "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 @query("op4_ann")
 def ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
