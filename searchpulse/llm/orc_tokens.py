@@ -22,7 +22,7 @@ from searchpulse.llm.tokens import END_ID, worker_encoder
 
 STRIPE_BYTES = 32 << 20
 ROW_STRIDE = 1000
-ROWS_AT_ONCE = 1024
+ROWS_AT_ONCE = 2048
 
 
 def write_tokens(

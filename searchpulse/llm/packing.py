@@ -27,6 +27,8 @@ LENGTH = 4096
 MAX_SEGMENTS = 256
 #: Items a task looks at when it chooses the next piece.
 POOL = 1024
+#: Documents tokenised at once.
+ROWS_AT_ONCE = 4096
 
 PIECE_SCHEMA = (
     "start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, "
@@ -146,8 +148,8 @@ def pack_documents(
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, POOL):
-                part = batch.slice(at, POOL)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
                 texts = encoder.encode(part.column(1).to_pylist())
                 prompts = encoder.encode(part.column(2).to_pylist()) if prompt_col else [encoder.end] * len(texts)
                 pieces = []
