@@ -3,14 +3,18 @@
 A document's set is its distinct runs of ``shingle_words`` words. Documents of equal
 words form a class and go on as its smallest id. Each class has 128 MinHash samples:
 bands of four find candidates, and an odd sketch (the samples' parities folded into
-512 bits) tells from the bits two sketches differ in how similar the sets are, which
-removes false candidates without their texts. The rest is confirmed on full sets.
+512 bits) tells from the bits two sketches differ in how similar the sets are, and a
+second one of all the set's hashes does so more precisely for sets that do not fill
+it. They remove false candidates without their texts; the rest is confirmed on full
+sets.
 
 Candidates of a bucket are not all paired. First each member is checked against the
-bucket's smallest; components join what is linked. Then only pairs of a bucket that
-lie in different components are checked, with the largest component as one side, so
-that no link between components is lost and large groups of copies cost one check a
-member. A pair at the threshold misses all bands with a probability of 5e-8.
+bucket's smallest; components join what is linked. In some turns, members outside a
+bucket's largest component are then checked against a few of its members. What is
+left in other components after that is checked against all of its bucket that is not
+in its own: no link between components is lost, and a large group of copies costs a
+few checks a member, except for members that are candidates but link with none. A
+pair at the threshold misses all bands with a probability of 5e-8.
 
 Edge cases: null and empty texts have empty sets and link with nothing; a text of
 fewer words than a shingle has its whole sequence as its only one; repeated rows are
@@ -20,18 +24,25 @@ no group; very long texts are whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchpulse.llm.common import blank_words, lowered, stored
 from searchpulse.llm.components import components
 
 BANDS, ROWS = 32, 4
+#: Turns in which the members outside a bucket's largest component meet some of its members, and how many.
+HUB_TURNS, HUBS = 1, 4
 SKETCH_WORDS = 8  # of 64 bits
 #: Six deviations of the estimate (MinHash and sketch together) below the threshold.
 MARGIN = 0.25
 
-SIGNATURE_SCHEMA = "digest string, n_shingles long, bands array<long>, sketch array<long>"
+#: Words of 64 bits of the odd sketch of the whole set.
+WHOLE_WORDS = 16
+
+SIGNATURE_SCHEMA = "digest string, n_shingles long, bands array<long>, sketch array<long>, whole array<long>"
 
 
 def _mix(x):
@@ -104,15 +115,21 @@ def band_keys(samples):
     return keys.view(np.int64)
 
 
-def odd_sketch(samples):
-    """Bit p is set when an odd number of (position, sample) pairs falls on it."""
+def parities(hashes, words: int):
+    """Bitmap in which a bit is set when an odd number of the hashes falls on it."""
     import numpy as np
 
-    place = _mix(samples + np.arange(len(samples), dtype=np.uint64)) % np.uint64(64 * SKETCH_WORDS)
-    odd = np.bincount(place.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def odd_sketch(samples):
+    """Parities of the (position, sample) pairs."""
+    import numpy as np
+
+    return parities(_mix(samples + np.arange(len(samples), dtype=np.uint64)), SKETCH_WORDS)
+
+
 def signatures(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
     """id, digest of the words, set size, band keys and odd sketch of each row; no keys for empty sets."""
     import pyarrow as pa
@@ -135,29 +152,42 @@ def signatures(docs: DataFrame, shingle_words: int, id_col: str, text_col: str)
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([band_keys(s) if s is not None else [] for s in samples], pa.list_(pa.int64())),
                         pa.array([odd_sketch(s) if s is not None else [] for s in samples], pa.list_(pa.int64())),
+                        pa.array([parities(_mix(s), WHOLE_WORDS) for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["id", "digest", "n_shingles", "bands", "sketch"],
+                    ["id", "digest", "n_shingles", "bands", "sketch", "whole"],
                 )
 
     return docs.select(id_col, text_col).mapInArrow(sign, f"id {id_type}, {SIGNATURE_SCHEMA}")
 
 
-def estimated_similarity(sketch: Column, other: Column) -> Column:
-    """Jaccard similarity from the number of bits in which two odd sketches differ."""
+def _differing(words: list[tuple[Column, Column]]) -> Column:
+    """Number of bits in which two bitmaps differ."""
+    return reduce(lambda a, b: a + b, [F.bit_count(x.bitwiseXOR(y)) for x, y in words])
+
+
+def estimated_similarity(differing: Column) -> Column:
+    """Jaccard similarity from the number of bits in which two odd sketches of samples differ."""
     bits = 64 * SKETCH_WORDS
-    differ = sum(F.bit_count(sketch[i].bitwiseXOR(other[i])) for i in range(SKETCH_WORDS))
-    left = F.greatest(1 - 2 * differ / bits, F.lit(1e-9))
+    left = F.greatest(1 - 2 * differing / bits, F.lit(1e-9))
     return 1 + bits / (4 * BANDS * ROWS) * F.log(left)
 
 
-def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes and odd sketches allow the similarity."""
-    a = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    b = reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (
-        estimated_similarity(F.col("sketch_a"), F.col("sketch_b")) >= percent / 100 - MARGIN
+def may_be_similar(a: str, b: str, percent: int) -> Column:
+    """Whether set sizes and both odd sketches of the structs ``a`` and ``b`` allow the similarity.
+
+    Of two sets similar enough, at most (1 - s) / (1 + s) of both sizes are shingles of
+    one alone. Each of these changes one bit of the sketch of the whole set, so the
+    sketches never differ in more bits: this bound loses no pair. For sets that are
+    large beside the sketch it removes none either.
+    """
+    n_a, n_b = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    bits_apart = _differing([(F.col(f"{a}.{w}"), F.col(f"{b}.{w}")) for w in WHOLE])
+    samples_apart = _differing([(F.col(f"{a}.{w}"), F.col(f"{b}.{w}")) for w in SAMPLES])
+    return (
+        (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+        & (bits_apart * (100 + percent) <= (n_a + n_b) * (100 - percent))
+        & (estimated_similarity(samples_apart) >= percent / 100 - MARGIN)
     )
-    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle_words: int) -> DataFrame:
@@ -187,22 +217,56 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle_words:
     return both.mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
-def _first_pairs(keys: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's smallest."""
-    buckets = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
-    return keys.join(buckets.select("key", "a"), "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+def _shared_keys(keys: DataFrame) -> DataFrame:
+    """Rows of buckets with at least two members, with the bucket's smallest."""
+    buckets = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1")
+    return keys.join(buckets.select("key", "first"), "key")
+
+
+# Words of the two sketches as columns, which generated code compares without bounds checks.
+SAMPLES = [f"s{i}" for i in range(SKETCH_WORDS)]
+WHOLE = [f"w{i}" for i in range(WHOLE_WORDS)]
+SIGNED = ["id", "n_shingles", *SAMPLES, *WHOLE]
+
+
+def _first_pairs(shared: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Each member of a bucket with the bucket's smallest, where their sketches allow it."""
+    pairs = shared.where("id <> first").select("first", "id").distinct()
+    b = reps.select("id", F.struct(*SIGNED).alias("y"))
+    a = reps.select(F.col("id").alias("first"), F.struct(*SIGNED).alias("x"))
+    found = pairs.join(b, "id").join(a, "first").where(may_be_similar("x", "y", percent))
+    return found.select(F.col("first").alias("a"), F.col("id").alias("b"))
+
 
+def _pairs(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-def _open_pairs(keys: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components; one side is outside the bucket's largest component."""
-    rows = keys.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+
+def _open_rows(shared: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, with each row's and the bucket's largest one."""
+    rows = shared.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("groups"))
-    mixed = mixed.where("groups > 1").select("key", F.col("top.component").alias("main"))
-    members = rows.join(mixed, "key")
-    others = members.where("component <> main").select("key", F.col("id").alias("o"), F.col("component").alias("o_group"))
-    met = others.join(members, "key").where("o_group <> component AND (component = main OR o < id)")
-    return met.select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
+    rows = rows.join(mixed.where("groups > 1").select("key", F.col("top.component").alias("main")), "key")
+    return rows.join(reps.select("id", F.struct(*SIGNED).alias("y")), "id")
+
+
+def _hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each member outside its bucket's largest component with a few members of that component, others in each turn."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+    hubs = rows.where("component = main").withColumn("n", F.row_number().over(order)).where(F.col("n") <= HUBS)
+    others = rows.where("component <> main").select("key", F.col("id").alias("o"), F.col("y").alias("x"))
+    met = others.join(hubs.select("key", "id", "y"), "key").where(may_be_similar("x", "y", percent))
+    return met.select(*_pairs("o", "id")).distinct()
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket in different components; one side is outside the bucket's largest component."""
+    others = rows.where("component <> main")
+    others = others.select("key", F.col("id").alias("o"), F.col("component").alias("o_group"), F.col("y").alias("x"))
+    met = others.join(rows, "key").where("o_group <> component AND (component = main OR o < id)")
+    met = met.where(may_be_similar("x", "y", percent))
+    return met.select(*_pairs("o", "id")).distinct()
 
 
 def near_duplicates(
@@ -216,22 +280,32 @@ def near_duplicates(
     signed = stored(signatures(docs, shingle_words, id_col, text_col), "signatures")
     classes = signed.groupBy("digest").agg(F.min("id").alias("rep"))
     leaders = classes.select("digest", F.col("rep").alias("id"))
-    reps = stored(signed.where("n_shingles > 0").join(leaders, ["digest", "id"], "left_semi"), "representatives")
+    words = [*[F.col("sketch")[i].alias(w) for i, w in enumerate(SAMPLES)], *[F.col("whole")[i].alias(w) for i, w in enumerate(WHOLE)]]
+    leading = signed.where("n_shingles > 0").join(leaders, ["digest", "id"], "left_semi")
+    reps = stored(leading.select("id", "n_shingles", "bands", *words), "representatives")
     keys = reps.select("id", F.explode("bands").alias("key"))
-    reps = reps.select("id", "n_shingles", "sketch")
+    reps = reps.select(*SIGNED)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        near = stored(_promising(pairs, reps, percent), "candidates")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return _confirmed(near, texts.join(wanted, "id", "left_semi"), percent, shingle_words)
-
-    first = stored(_first_pairs(keys), "first-pairs")
-    groups = stored(components(links_of(first)), "components")
-    rest = _open_pairs(keys, groups).join(first, ["a", "b"], "left_anti")
-    more = stored(links_of(rest), "more-links")
-    joined = groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = components(joined)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return _confirmed(pairs, texts.join(wanted, "id", "left_semi"), percent, shingle_words)
+
+    def joined(links: DataFrame) -> DataFrame:
+        known = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return stored(components(known.unionByName(links)), "components")
+
+    shared = stored(_shared_keys(keys), "shared-keys")
+    tried = stored(_first_pairs(shared, reps, percent), "pairs")
+    groups = stored(components(links_of(tried)), "components")
+    for turn in range(HUB_TURNS):
+        rows = stored(_open_rows(shared, groups, reps), "open-rows")
+        pairs = stored(_hub_pairs(rows, turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        groups = joined(links_of(pairs))
+        tried = tried.unionByName(pairs)
+    rows = stored(_open_rows(shared, groups, reps), "open-rows")
+    rest = stored(_open_pairs(rows, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    final = joined(links_of(rest))
 
     members = signed.select("id", "digest", "n_shingles").join(classes, "digest")
     found = members.join(final.withColumnRenamed("id", "rep"), "rep", "left")
