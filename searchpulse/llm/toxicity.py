@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from searchpulse.llm.common import share, stored
 
-MAX_DOCS = 20_000
-MAX_FEATURES = 5_000
+MAX_DOCS = 12_000
+MAX_FEATURES = 3_000
 MIN_DOCS = 6
 PREFIXES = (4, 5)
 THRESHOLD = 0.3
@@ -121,7 +121,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, max_docs:
     known = known.groupBy(id_col).agg(F.max(F.col(label_col)).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_docs)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    return stored(rows.join(F.broadcast(chosen), id_col).select("text", F.col("_label").alias("label")), "labelled")
+    return stored(rows.join(F.broadcast(chosen), id_col).select("text", F.col("_label").alias("label"), F.xxhash64(id_col).alias("place")), "labelled")
 
 
 def learn(sample: DataFrame, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> tuple[dict[str, float], float]:
@@ -163,15 +163,18 @@ def learn(sample: DataFrame, max_features: int = MAX_FEATURES, min_docs: int = M
                 of_word = [[k for f in features_of(w) if (k := get(f)) is not None] for w in words]
                 spans = [index[a:b] for a, b in zip(borders[:-1], borders[1:]) if b > a]
                 out.append([[k for i in sorted(set(span.tolist())) for k in of_word[i]] for span in spans] or [[]])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["label", "sentences"])
-
-    rows = sample.select("text", "label").mapInArrow(numbered, "label int, sentences array<array<int>>").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))  # the same sums whatever the order of the tasks
-    labels = np.array([r[0] for r in rows], np.float64)
-    bags = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    sizes = [len(s) for r in rows for s in r[1]]
-    features = np.fromiter((k for r in rows for s in r[1] for k in s), np.int64, sum(sizes))
-    w, bias = fit_noisy_or(labels, bags, np.repeat(np.arange(len(sizes)), sizes), features, len(chosen))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(out, pa.list_(pa.list_(pa.int32())))], ["label", "place", "sentences"]
+            )
+
+    rows = sample.select("text", "label", "place").mapInArrow(numbered, "label int, place long, sentences array<array<int>>")
+    found = rows.orderBy("place").select("label", "sentences").toArrow().combine_chunks()  # numbers only, of a bounded sample
+    labels = found.column(0).to_numpy().astype(np.float64)
+    docs = found.column(1).combine_chunks()
+    parts = docs.flatten()
+    bags = np.repeat(np.arange(len(docs), dtype=np.int32), docs.value_lengths().to_numpy())
+    owners = np.repeat(np.arange(len(parts), dtype=np.int32), parts.value_lengths().to_numpy())
+    w, bias = fit_noisy_or(labels, bags, owners, parts.flatten().to_numpy(), len(chosen))
     return {f: float(x) for f, x in zip(chosen, w)}, bias
 
 
