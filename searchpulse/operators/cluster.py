@@ -14,6 +14,7 @@ from searchpulse.functions.joins import join_null_safe
 from searchpulse.operators.features import idf_stage, term_stages
 from searchpulse.session import ensure_checkpoint_dir
 
+# The columns of a clustered row.
 RESULT_COLUMNS = [
     "query_text",
     "date",
@@ -50,10 +51,8 @@ class Clustering:
 
 
 def _distinct_vectors_up_to(features: DataFrame, limit: int) -> int:
-    """min(distinct feature vectors, limit). A first look at a few rows usually settles it."""
-    vectors = features.select("features")
-    seen = vectors.limit(limit * 100).distinct().limit(limit).count()
-    return seen if seen >= limit else vectors.distinct().limit(limit).count()
+    """min(distinct feature vectors, limit)."""
+    return features.select("features").distinct().limit(limit).count()
 
 
 def cluster_queries(
@@ -72,9 +71,8 @@ def cluster_queries(
     """
     spark = daily.sparkSession
     ensure_checkpoint_dir(spark)
-    partitions = cfg.feature_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     stages = term_stages(cfg)
-    counted = PipelineModel(stages).transform(daily.repartition(partitions, *key).sortWithinPartitions(*key))
+    counted = PipelineModel(stages).transform(daily.repartition(cfg.feature_partitions, *key).sortWithinPartitions(*key))
     ordered = counted.drop("words", "filtered_words").checkpoint()
     n_rows = ordered.count()
     if n_rows == 0:
@@ -90,6 +88,7 @@ def cluster_queries(
         model, cost = None, 0.0
         assigned = features.withColumn("cluster_id", F.lit(0))
     else:
+        # Initialisation and tolerance.
         model = KMeans(
             k=k,
             seed=cfg.seed,
@@ -118,7 +117,7 @@ def group_stats(
 ) -> DataFrame:
     """Size, total and mean volume per group, with its first ``sample`` texts by volume if asked.
 
-    The complete list of a group's texts is ``group_text_chunks``: one array per
+    The complete list of a group's texts are the rows themselves: one array per
     group would have to be built by one task.
     """
     stats = df.groupBy(key).agg(
@@ -136,29 +135,3 @@ def group_stats(
         .agg(F.sort_array(F.collect_list(F.struct("_rn", "query_text")))["query_text"].alias("sample_queries"))
     )
     return join_null_safe(stats, top, [key], "left")
-
-
-def group_text_chunks(df: DataFrame, key: str, chunk: Column) -> DataFrame:
-    """All texts of every group, repeats included, as arrays of bounded length.
-
-    ``chunk`` splits a group into pieces that each fit one task, for instance a
-    hash of the row key modulo a count that grows with the group.
-    """
-    return (
-        df.withColumn("chunk", chunk)
-        .groupBy(key, "chunk")
-        .agg(F.count("*").alias("n_texts"), F.sort_array(F.collect_list("query_text")).alias("sample_queries"))
-    )
-
-
-def even_chunks(
-    df: DataFrame, row_key: list[str], key: str = "cluster_id", rows_per_chunk: int = 100_000
-) -> DataFrame:
-    """``group_text_chunks`` with chunks of about ``rows_per_chunk`` rows.
-
-    The number of chunks comes from the size of the largest group, so no chunk
-    grows with the data.
-    """
-    largest = cluster_sizes(df, key).agg(F.max("cluster_size")).scalar()
-    n_chunks = F.greatest(F.ceil(largest / rows_per_chunk), F.lit(1))
-    return group_text_chunks(df, key, F.pmod(F.xxhash64(*row_key), n_chunks))

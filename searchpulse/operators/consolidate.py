@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchpulse.functions.columns import as_date, click_rate, with_date_parts
-
-# Dates a recompute lists in its filter; about ten years.
-MAX_LISTED_DATES = 3660
-
+from searchpulse.functions.columns import as_date, with_date_parts
 
 def canonical_log(df: DataFrame) -> DataFrame:
     """One ``query_text`` column whichever of the two field names the producer used."""
@@ -18,34 +14,53 @@ def canonical_log(df: DataFrame) -> DataFrame:
     return df.withColumn("query_text", text).drop("query")
 
 
-def query_day_aggregates(order: list[str], exact_users: bool = True) -> list[Column]:
-    """The aggregates of a query-day.
+def earliest_key(log: DataFrame) -> Column:
+    """Event time, and the id where it is a number, as one decimal that sorts like the pair.
 
-    The distinct count is planned as two hash exchanges, the first one on
-    (query, day, user): a query that holds a third of the log is spread over its
-    users, and the second exchange carries one partial row per query and task.
-    ``source`` is the source of the earliest event, so it does not depend on the
-    order in which rows arrive.
+    A decimal has a fixed width, so its minimum lives in a hash aggregation, which
+    the minimum of a struct with text does not.
     """
-    users = F.count_distinct("user_id") if exact_users else F.approx_count_distinct("user_id", 0.02)
-    return [
-        F.count("*").alias("query_count"),
-        users.alias("unique_users"),
-        F.avg("results_count").alias("avg_results_count"),
-        click_rate(F.col("click_through")).alias("click_through_rate"),
-        F.min_by("source", F.struct(*order)).alias("source"),
-    ]
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp")).cast("decimal(19,0)")
+    numeric = "event_id" in log.columns and log.schema["event_id"].dataType.typeName() in ("long", "integer", "short")
+    place = F.coalesce(F.col("event_id"), F.lit(0)).cast("decimal(19,0)") if numeric else F.lit(0).cast("decimal(19,0)")
+    return (micros * F.lit("1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") + place
 
 
 def consolidate(log: DataFrame, exact_users: bool = True) -> DataFrame:
     """Volume, distinct users, mean results, click rate and first source per query and day.
 
     Texts are grouped as they are, without trimming or case folding; a null text
-    is a group of its own.
+    is a group of its own. ``source`` is that of the earliest event, so it does not
+    depend on the order in which rows arrive.
+
+    The log is first reduced by hash aggregation to one row per query, day, user
+    and source, which spreads a query with a third of the log over its users. The
+    distinct count and the first source run over what is left.
     """
-    order = [c for c in ("timestamp", "event_id", "source") if c in log.columns]
-    daily = log.groupBy("query_text", F.to_date("timestamp").alias("date")).agg(
-        *query_day_aggregates(order, exact_users)
+    keys = ["query_text", "date"]
+    named = log.select(
+        "query_text",
+        F.to_date("timestamp").alias("date"),
+        "user_id",
+        "source",
+        "results_count",
+        "click_through",
+        earliest_key(log).cast("decimal(38,0)").alias("first"),
+    )
+    reduced = named.groupBy(*keys, "user_id", "source").agg(
+        F.count("*").alias("n"),
+        F.sum("results_count").alias("results"),
+        F.count("results_count").alias("with_results"),
+        F.count_if(F.coalesce("click_through", F.lit(False))).alias("clicks"),
+        F.min("first").alias("first"),
+    )
+    users = F.count_distinct("user_id") if exact_users else F.approx_count_distinct("user_id", 0.02)
+    daily = reduced.groupBy(*keys).agg(
+        F.sum("n").alias("query_count"),
+        users.alias("unique_users"),
+        F.try_divide(F.sum("results"), F.sum("with_results")).cast("double").alias("avg_results_count"),
+        (F.sum("clicks") / F.sum("n")).alias("click_through_rate"),
+        F.min_by("source", F.struct("first", "source")).alias("source"),
     )
     return with_date_parts(daily)
 
@@ -79,15 +94,10 @@ def write_by_date(df: DataFrame, path: str, replace_all: bool = False) -> None:
 def recompute_touched_days(spark: SparkSession, raw_path: str, new_rows: DataFrame, out_path: str) -> None:
     """Redo the days that newly landed rows belong to, and only those.
 
-    The raw table is partitioned by ``date``. The touched dates become a literal
-    partition filter, so untouched days are not read and nothing is joined. A
-    load that touches more dates than ``MAX_LISTED_DATES`` uses a semi join.
+    The raw table is partitioned by ``date``. Its distinct dates are joined with
+    the touched ones as partition values, so untouched days are not read, however
+    many dates a load touches, and no date passes through the driver.
     """
     touched = new_rows.select(F.to_date("timestamp").alias("date")).distinct()
-    raw = spark.read.parquet(raw_path)
-    dates = [row["date"] for row in touched.limit(MAX_LISTED_DATES + 1).collect()]
-    if len(dates) <= MAX_LISTED_DATES:
-        affected = raw.where(F.col("date").isin(dates))
-    else:
-        affected = raw.join(touched, "date", "left_semi")
+    affected = spark.read.parquet(raw_path).join(touched, "date", "left_semi")
     write_by_date(consolidate(affected.drop("date")), out_path)

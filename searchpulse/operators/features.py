@@ -65,43 +65,22 @@ def term_idf(docs: DataFrame, text_col: str = "query_text", min_doc_freq: int =
     )
 
 
-def term_tfidf(
-    docs: DataFrame,
-    key: str,
-    text_col: str = "query_text",
-    min_doc_freq: int = 2,
-    hot_share: int = 100,
-    broadcast_terms: int = 1_000_000,
-    salts: int = 32,
-) -> DataFrame:
+def term_tfidf(docs: DataFrame, key: str, text_col: str = "query_text", min_doc_freq: int = 2) -> DataFrame:
     """Term counts per document times the term's IDF, on exact terms.
 
-    Joining on the term alone would send every document's copy of a common word
-    to one task. Terms found in more than one of ``hot_share`` documents are
-    joined apart: as a broadcast side when there are at most ``broadcast_terms``
-    of them, otherwise on (term, salt) with the salt taken from the document key.
-    The other terms, each in at most 1/hot_share of the documents, take the plain
-    shuffle join. The term table is checkpointed, so it is computed once for the
-    size check and both joins.
+    Documents are tokenised once: the counted terms are checkpointed and give both
+    the document frequencies and the side they are joined with. A term found in
+    every document is one large partition of that side, which adaptive execution
+    splits over tasks (its partner is a single row).
     """
     ensure_checkpoint_dir(docs.sparkSession)
     counted = (
         docs.select(F.col(key), F.explode(tokens(F.col(text_col))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
+        .checkpoint()
     )
-    weights = term_idf(docs, text_col, min_doc_freq).checkpoint()
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    is_hot = F.col("doc_freq") * hot_share > n_docs
-    hot, cold = weights.where(is_hot), weights.where(~is_hot)
-    on = ["term"]
-    if hot.count() <= broadcast_terms:
-        hot = F.broadcast(hot)
-    else:
-        on = ["term", "salt"]
-        counted = counted.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-        hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    columns = [key, "term", "tf", "doc_freq", "idf"]
-    common = counted.join(hot, on).select(columns)
-    rare = counted.join(hot.select(on), on, "left_anti").join(cold, "term").select(columns)
-    return common.unionByName(rare).withColumn("tfidf", F.col("tf") * F.col("idf"))
+    weights = counted.groupBy("term").agg(F.count("*").alias("doc_freq"))
+    weights = weights.withColumn("idf", _idf(n_docs, F.col("doc_freq"), min_doc_freq))
+    return counted.join(weights, "term").select(key, "term", "tf", "doc_freq", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))

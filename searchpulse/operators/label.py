@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from searchpulse.functions.joins import counted_side
 from searchpulse.functions.text import normalised_label, tokens
 
 # The closed label list and the two fallbacks.
@@ -76,6 +77,7 @@ def label_with(
     attempts: int = 3,
     delay: float = 2.0,
     throttled: tuple[type[Exception], ...] = (TimeoutError,),
+    tasks: int = 16,
 ) -> DataFrame:
     """Call ``label_fn`` once per cluster, inside the tasks.
 
@@ -103,7 +105,9 @@ def label_with(
             labels = [ask(list(items)) for items in batch["texts"]]
             yield batch[[key]].assign(category=labels)
 
-    return texts.select(key, "texts").mapInPandas(run, f"{key} {key_type}, category string")
+    # one cluster per task as far as possible: a call may wait for a remote service
+    spread = texts.select(key, "texts").repartition(tasks, key)
+    return spread.mapInPandas(run, f"{key} {key_type}, category string")
 
 
 def label_by_keywords(
@@ -133,16 +137,13 @@ def label_by_keywords(
     )
 
 
-def attach_labels(
-    df: DataFrame, labels: DataFrame, key: str = "cluster_id", clusters: int | None = None
-) -> DataFrame:
+def attach_labels(df: DataFrame, labels: DataFrame, key: str = "cluster_id") -> DataFrame:
     """Left join of the cluster label; rows without one become ``other``.
 
-    With the number of clusters known to be small the label side is broadcast;
-    otherwise adaptive execution decides from its measured size.
+    The labels, one row per cluster, are measured and broadcast if they are small:
+    the rows then stay where they are, however few keys they have.
     """
-    side = F.broadcast(labels) if clusters is not None and clusters <= 10_000 else labels
-    return df.join(side, key, "left").withColumn("category", F.coalesce("category", F.lit(OTHER)))
+    return df.join(counted_side(labels), key, "left").withColumn("category", F.coalesce("category", F.lit(OTHER)))
 
 
 def normalise_labels(df: DataFrame, col: str = "category", labels: list[str] = LABELS) -> DataFrame:

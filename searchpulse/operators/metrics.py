@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from searchpulse.functions.joins import join_null_safe
+from searchpulse.operators.percentiles import order_statistics
+
 
 @dataclass(frozen=True)
 class AlarmRule:
@@ -49,11 +52,10 @@ def metric_windows(
 
 
 def request_stats() -> dict[str, Column]:
-    """Traffic, error and latency series of a request log.
+    """Traffic, error and latency series of a request log, for batches and streams.
 
-    p99 keeps a bounded summary per window, so it also runs on streams; up to its
-    accuracy of 10 000 points it is the exact discrete percentile. For the exact
-    value of larger windows use ``percentiles.percentile_floor`` by window.
+    Streams cannot sort a window: their p99 comes from a bounded summary and says
+    so in its name. ``request_windows`` has the exact one.
     """
     status = F.col("status")
     return {
@@ -63,10 +65,26 @@ def request_stats() -> dict[str, Column]:
         "errors_5xx": F.count_if(status >= 500),
         "latency_avg_ms": F.avg("latency_ms"),
         "latency_max_ms": F.max("latency_ms"),
-        "latency_p99_ms": F.percentile_approx("latency_ms", 0.99, 10_000),
+        "latency_p99_approx_ms": F.percentile_approx("latency_ms", 0.99, 10_000),
     }
 
 
+def discrete_rank(percent: int):
+    """Zero-based position of the discrete percentile: the smallest value with at least that share at or below it."""
+    return lambda n: F.greatest(F.ceil(n * percent / 100).cast("long") - 1, F.lit(0))
+
+
+def request_windows(df: DataFrame, seconds: int, groups: list[str], ts: str = "ts") -> DataFrame:
+    """Windows of ``request_stats`` with the exact 99th percentile of the latency instead of the approximate one."""
+    stats = {name: c for name, c in request_stats().items() if name != "latency_p99_approx_ms"}
+    windows = metric_windows(df, seconds, groups, stats, ts)
+    keys = ["window_start", *groups]
+    placed = df.withColumn("window_start", window_start_seconds(F.col(ts), seconds))
+    exact = order_statistics(placed, keys, "latency_ms", {"p99": discrete_rank(99)})
+    exact = exact.select(*keys, F.col("value").alias("latency_p99_ms"))
+    return join_null_safe(windows, exact, keys, "left")
+
+
 def run_stats() -> dict[str, Column]:
     """Outcome and duration series of runs: columns status and duration_ms."""
     outcomes = ["succeeded", "failed", "timed_out"]

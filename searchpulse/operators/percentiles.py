@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchpulse.functions.joins import join_null_safe
+from searchpulse.functions.joins import counted_side, join_null_safe
 
 BUCKETS = 4096
 
@@ -26,9 +26,15 @@ def upper_middle(n: Column) -> Column:
 
 
 def _coarse_bucket(v: Column) -> Column:
-    """Monotone bucket number on a logarithmic scale, 1.6 % wide, the same for every input."""
-    size = F.least(F.log1p(F.abs(v)), F.lit(1000.0))
-    return F.when(F.isnan(v), F.lit(64_001)).otherwise((F.signum(v) * F.floor(size * 64)).cast("int"))
+    """Monotone bucket number, the same for every input: 64 buckets for each power of two.
+
+    Following the exponent of the number, buckets are as fine around a
+    microsecond as around a year.
+    """
+    size = F.abs(v)
+    place = F.floor(F.log2(F.greatest(size, F.lit(4.9e-324))) * 64) + 1_076 * 64
+    number = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(200_000)).otherwise(place)
+    return F.when(F.isnan(v), F.lit(200_001)).otherwise((F.signum(v) * number).cast("int"))
 
 
 def _fine_bucket(v: Column, lo: Column, hi: Column) -> Column:
@@ -45,19 +51,16 @@ def order_statistics(
 ) -> DataFrame:
     """Per group, the values at the given positions: columns groups, statistic, value.
 
-    Equal values are counted first (combining before the shuffle). A histogram
-    with logarithmic buckets then locates the bucket of every wanted position;
-    that bucket's own range is divided into 4096 parts, and only the values of
-    the part that holds the position are sorted. No step sorts or collects a
-    whole group, and the windows run over buckets, not rows.
+    A histogram taken straight from the scan locates the bucket of every wanted
+    position, and only its buckets are shuffled. A second scan keeps the rows of
+    the located buckets and divides each into 4096 parts; a third keeps the rows of
+    the parts that hold a position and counts their equal values. No step shuffles,
+    sorts or collects a whole group, and the windows run over buckets, not rows.
     """
     v, c = F.col("_v"), F.col("_c")
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_c"))
-    )
-    coarse = counts.withColumn("_b", _coarse_bucket(v))
+    values = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    coarse = values.withColumn("_b", _coarse_bucket(v))
+    extent = [F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
     def locate(histogram: DataFrame, keys: list[str], bucket: str) -> DataFrame:
         """Keep the bucket that holds position ``_k``, re-basing ``_k`` to it."""
@@ -74,23 +77,24 @@ def order_statistics(
     positions = [F.struct(F.lit(s).alias("s"), rank(F.col("_n")).alias("k")) for s, rank in ranks.items()]
     first = (
         coarse.groupBy(*groups, "_b")
-        .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .agg(*extent)
         .withColumn("_n", n)
         .withColumn("_w", F.explode(F.array(*positions)))
         .select("*", F.col("_w.s").alias("statistic"), F.col("_w.k").alias("_k"))
         .drop("_w", "_n")
     )
     by_stat = [*groups, "statistic"]
-    hit = locate(first, by_stat, "_b")
+    hit = counted_side(locate(first, by_stat, "_b"))
 
     fine = join_null_safe(coarse, hit, [*groups, "_b"])
     fine = fine.withColumn("_f", _fine_bucket(v, F.col("_lo"), F.col("_hi")))
-    second = fine.groupBy(*by_stat, "_k", "_f").agg(F.sum("_c").alias("_c"))
-    hit2 = locate(second, by_stat, "_f").withColumnRenamed("_k", "_k2")
+    second = fine.groupBy(*by_stat, "_b", "_k", "_f", F.col("_lo").alias("_from"), F.col("_hi").alias("_to")).agg(*extent)
+    hit2 = counted_side(locate(second, by_stat, "_f"))
 
-    last = join_null_safe(fine.drop("_k", "_lo", "_hi", "_b"), hit2, [*by_stat, "_f"])
-    last = last.withColumnRenamed("_k2", "_k")
-    return locate(last, by_stat, "_v").select(*by_stat, v.alias("value"))
+    last = join_null_safe(coarse, hit2.drop("_lo", "_hi"), [*groups, "_b"])
+    last = last.where(_fine_bucket(v, F.col("_from"), F.col("_to")) == F.col("_f"))
+    equal = last.groupBy(*by_stat, "_k", "_v").agg(F.count("*").alias("_c"))
+    return locate(equal, by_stat, "_v").select(*by_stat, v.alias("value"))
 
 
 def percentile_floor(df: DataFrame, groups: list[str], value: str, percents: list[int]) -> DataFrame:

@@ -28,7 +28,11 @@ def top_per_cluster(
 
 
 def trend_items(ranked: DataFrame) -> DataFrame:
-    """Rows in the published shape; missing fields take their defaults."""
+    """Rows in the published shape; missing fields take their defaults.
+
+    A growth that is null stays null (there was no day before); only a table
+    without growth gets 0.0.
+    """
 
     def col(name: str, default) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in ranked.columns else F.lit(default)
@@ -42,7 +46,7 @@ def trend_items(ranked: DataFrame) -> DataFrame:
         col("category", "other").alias("category"),
         col("cluster_id", 0).cast("int").alias("cluster_id"),
         F.round(col("click_through_rate", 0.0).cast("double"), 3).alias("click_through_rate"),
-        col("growth_rate", 0.0).cast("double").alias("growth_rate"),
+        (F.col("growth_rate") if "growth_rate" in ranked.columns else F.lit(0.0)).cast("double").alias("growth_rate"),
     )
 
 

@@ -30,7 +30,8 @@ def latency_report(requests: DataFrame, groups: list[str], target_rps: float | N
     wanted = {"lower": lower_middle, "upper": upper_middle, "p95": floor_rank(95), "p99": floor_rank(99)}
     order = spread(order_statistics(requests.where(ok), groups, "latency_ms", wanted), groups, list(wanted))
     duration = F.col("duration_seconds")
-    report = join_null_safe(totals, order, groups, "left").select(
+    joined = join_null_safe(join_null_safe(totals, order, groups, "left"), status_map(requests, groups), groups, "left")
+    report = joined.select(
         *groups,
         "total_requests",
         "successful",
@@ -38,6 +39,7 @@ def latency_report(requests: DataFrame, groups: list[str], target_rps: float | N
         duration,
         safe_ratio(F.col("total_requests"), duration).alias("actual_rps"),
         (F.col("successful") / F.col("total_requests")).alias("success_rate"),
+        "status_codes",
         *[F.coalesce(c, F.lit(0.0)).alias(name) for c, name in _latency_columns()],
     )
     return report if target_rps is None else report.withColumn("target_rps", F.lit(float(target_rps)))

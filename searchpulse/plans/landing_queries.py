@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchpulse.operators import quality
 from searchpulse.operators.consolidate import consolidate, write_by_date
-from searchpulse.plans.registry import LOG_SQL, query
+from searchpulse.plans.registry import DAILY_SQL, LOG_SQL, query
 from searchpulse.session import work_dir
 from searchpulse.sources import ingest
 from searchpulse.sources.files import compress_files
@@ -87,10 +89,12 @@ SELECT count(*) AS total, count(*) FILTER (source <> 'error') AS success, count(
 FROM ({LOG_SQL})
 """)
 def publish_batches(spark, sf_dir):
-    """Batches of 500; the receiving side refuses one kind of record."""
-    messages = ingest.to_wire(wire_log(search_log(spark, sf_dir)))
-    refused = ingest.send_batches(messages, lambda records: sum('"source":"error"' in value for _, value in records))
-    return ingest.send_summary(refused)
+    """Records of one kind have no key and are not published; the summary counts what was written."""
+    log = wire_log(search_log(spark, sf_dir))
+    log = log.withColumn("user_id", F.when(F.col("source") != "error", F.col("user_id")))
+    path = work_dir(spark, "published")
+    ingest.publish_keyed(log, path)
+    return ingest.publish_summary(log, spark.read.parquet(path))
 
 
 DISCOVER_SQL = f"""
@@ -106,9 +110,20 @@ def _two_generations(spark, sf_dir) -> str:
     cut = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp_ntz")
     log.where(cut).select("event_id", "query_text", "day").write.partitionBy("day").parquet(path)
     log.where(~cut).select("event_id", "query_text", "source", "day").write.mode("append").partitionBy("day").parquet(path)
+    log.limit(1).select("event_id").write.parquet(f"{path}/{ingest.ERRORS}")
     return path
 
 
+@query("catalogued_scan", f"SELECT query_text, date, query_count, unique_users, click_through_rate FROM ({DAILY_SQL})")
+def catalogued_scan(spark, sf_dir):
+    """Consolidation of a raw log read through the catalogue."""
+    path, name = work_dir(spark, "raw-table"), f"raw_{uuid.uuid4().hex[:12]}"
+    log = search_log(spark, sf_dir).withColumn("date", F.to_date("timestamp"))
+    write_by_date(log, path)
+    daily = consolidate(ingest.register_table(spark, name, path).drop("date"))
+    return daily.select("query_text", "date", "query_count", "unique_users", "click_through_rate")
+
+
 @query("discover_schema", DISCOVER_SQL)
 def discover_schema(spark, sf_dir):
     return ingest.discover(spark, _two_generations(spark, sf_dir))

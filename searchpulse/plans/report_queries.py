@@ -46,7 +46,7 @@ def median_variants(spark, sf_dir):
 SELECT day, total_requests, successful, errors, duration_seconds, actual_rps, success_rate, avg_latency_ms,
        {MEDIAN_SQL} AS median_latency_ms, {floor_percentile_sql(95)} AS p95_latency_ms,
        {floor_percentile_sql(99)} AS p99_latency_ms, vals[1] AS min_latency_ms, vals[len(vals)] AS max_latency_ms,
-       CAST(10 AS DOUBLE) AS target_rps
+       CAST(10 AS DOUBLE) AS target_rps, status_codes
 FROM (
   SELECT CAST(ts AS DATE) AS day, count(*) AS total_requests, count(*) FILTER (status < 400) AS successful,
          count(*) FILTER (status >= 400) AS errors,
@@ -54,13 +54,17 @@ FROM (
          round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000), 9) AS actual_rps,
          count(*) FILTER (status < 400) / count(*) AS success_rate,
          round(avg(latency_ms) FILTER (status < 400), 9) AS avg_latency_ms,
+         concat_ws(',', CASE WHEN count(*) FILTER (status = 200) > 0 THEN '200:' || count(*) FILTER (status = 200) END,
+                        CASE WHEN count(*) FILTER (status = 500) > 0 THEN '500:' || count(*) FILTER (status = 500) END) AS status_codes,
          list_sort(list(latency_ms) FILTER (status < 400)) AS vals
   FROM ({REQUESTS_SQL}) GROUP BY CAST(ts AS DATE))
 """)
 def latency_report(spark, sf_dir):
     log = requests(spark, sf_dir).withColumn("day", F.to_date("ts"))
     report = reports.latency_report(log, ["day"], target_rps=10)
-    return report.withColumns({c: F.round(c, 9) for c in ("actual_rps", "avg_latency_ms")})
+    codes = F.transform(F.array_sort(F.map_entries("status_codes")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    rounded = {c: F.round(c, 9) for c in ("actual_rps", "avg_latency_ms")}
+    return report.withColumns({**rounded, "status_codes": F.array_join(codes, ",")})
 
 
 @query("status_distribution", f"SELECT service, CAST(status AS INTEGER) AS status, count(*) AS requests FROM ({REQUESTS_SQL}) GROUP BY service, status")
@@ -107,12 +111,12 @@ FROM (""" + REQUESTS_SQL + """) GROUP BY 1, 2
 
 
 def hourly(spark, sf_dir):
-    return metrics.metric_windows(requests(spark, sf_dir), HOUR, ["service"], metrics.request_stats())
+    return metrics.request_windows(requests(spark, sf_dir), HOUR, ["service"])
 
 
 @query("metric_windows", WINDOWS_SQL.format(s=300))
 def metric_windows(spark, sf_dir):
-    windows = metrics.metric_windows(requests(spark, sf_dir), 300, ["service"], metrics.request_stats())
+    windows = metrics.request_windows(requests(spark, sf_dir), 300, ["service"])
     return windows.withColumn("latency_avg_ms", F.round("latency_avg_ms", 9))
 
 
@@ -244,9 +248,13 @@ def check_summary(spark, sf_dir):
 
 @query("quality_suite", f"""
 SELECT 'has_data' AS validation, count(*) > 0 AS success, 'rows: ' || count(*) AS details FROM ({RESULTS_SQL})
-UNION ALL SELECT 'required_fields', true, 'date: 0, query: 0, rank: 0, count: 0'
-UNION ALL SELECT 'item_fields', true, 'dates with errors: 0'
-UNION ALL SELECT 'rank_order', true, 'out of order: 0'
+UNION ALL SELECT 'required_fields', count(*) FILTER (date IS NULL OR query IS NULL OR rank IS NULL OR count IS NULL) = 0,
+  'date: ' || count(*) FILTER (date IS NULL) || ', query: ' || count(*) FILTER (query IS NULL)
+  || ', rank: ' || count(*) FILTER (rank IS NULL) || ', count: ' || count(*) FILTER (count IS NULL) FROM ({RESULTS_SQL})
+UNION ALL SELECT 'item_fields', count(DISTINCT date) FILTER (query IS NULL OR rank IS NULL OR count IS NULL) = 0,
+  'dates with errors: ' || count(DISTINCT date) FILTER (query IS NULL OR rank IS NULL OR count IS NULL) FROM ({RESULTS_SQL})
+UNION ALL SELECT 'rank_order', count(*) FILTER (before > rank) = 0, 'out of order: ' || count(*) FILTER (before > rank)
+  FROM (SELECT rank, lag(rank) OVER (PARTITION BY date ORDER BY query_id) AS before FROM ({RESULTS_SQL}))
 UNION ALL SELECT 'schema', true, 'differences: none'
 UNION ALL SELECT 'result_freshness', DATE '2024-02-01' - max(date) <= 7, 'age days: ' || (DATE '2024-02-01' - max(date)) FROM ({RESULTS_SQL})
 UNION ALL SELECT 'event_freshness', age <= 86400, 'age hours: ' || CAST(floor(age / 3600) AS BIGINT)

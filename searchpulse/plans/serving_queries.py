@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import base64
-
 from pyspark.sql import functions as F
 
 from searchpulse.operators import quality, serve
 from searchpulse.operators.consolidate import consolidate
-from searchpulse.plans.batch_queries import result_table
+from searchpulse.plans.batch_queries import result_table, served_results
 from searchpulse.plans.registry import DAILY_SQL, RESULT_COLUMNS_SQL, RESULTS_SQL, query
 from searchpulse.sources.fixtures import AS_OF, search_log
 
 PAGE_COLUMNS = ["date", "query_id", "query", "rank", "count", "next_token"]
-PAGE_START = "000010#~"
 
 
 def _page_sql(after: str, n: int) -> str:
@@ -29,23 +26,30 @@ FROM page WHERE rn <= {n}
 
 @query("trending_by_date", f"SELECT {RESULT_COLUMNS_SQL} FROM ({RESULTS_SQL}) WHERE date = DATE '2024-01-15'")
 def trending_by_date(spark, sf_dir):
-    return serve.by_date(result_table(spark, sf_dir), "2024-01-15")
+    return serve.by_date(served_results(spark, sf_dir), "2024-01-15")
 
 
 @query("trending_latest", f"SELECT {RESULT_COLUMNS_SQL} FROM ({RESULTS_SQL}) WHERE date = (SELECT max(CAST(ts AS DATE)) FROM events WHERE CAST(ts AS DATE) <= DATE '2024-02-10')")
 def trending_latest(spark, sf_dir):
-    return serve.latest(result_table(spark, sf_dir), "2024-02-10")
+    return serve.latest(served_results(spark, sf_dir), "2024-02-10")
 
 
 @query("page_first", _page_sql("", 10))
 def page_first(spark, sf_dir):
-    return serve.trending_page(result_table(spark, sf_dir), AS_OF, 10).select(*PAGE_COLUMNS)
+    return serve.trending_page(served_results(spark, sf_dir), AS_OF, 10).select(*PAGE_COLUMNS)
+
+
+FIRST_TOKEN_SQL = f"""
+(SELECT max(query_id) FROM (SELECT query_id FROM ({RESULTS_SQL}) WHERE date = DATE '{AS_OF}' ORDER BY query_id LIMIT 10))
+"""
 
 
-@query("page_next", _page_sql(PAGE_START, 15))
+@query("page_next", _page_sql("@", 15).replace("query_id > '@'", f"query_id > {FIRST_TOKEN_SQL}"))
 def page_next(spark, sf_dir):
-    token = base64.b64encode(f'{{"date":"{AS_OF}","query_id":"{PAGE_START}"}}'.encode()).decode()
-    return serve.trending_page(result_table(spark, sf_dir), AS_OF, 15, token).select(*PAGE_COLUMNS)
+    """The page after ``page_first``, by the token that page returns."""
+    rows = served_results(spark, sf_dir)
+    token = serve.trending_page(rows, AS_OF, 10).select("next_token").head()[0]
+    return serve.trending_page(rows, AS_OF, 15, token).select(*PAGE_COLUMNS)
 
 
 @query("page_token", f"""
@@ -54,19 +58,19 @@ SELECT date, query_id, base64(encode('{{"date":"' || date || '","query_id":"' ||
 FROM ({RESULTS_SQL})
 """)
 def page_token(spark, sf_dir):
-    rows = result_table(spark, sf_dir).select("date", "query_id", serve.next_token(F.col("date"), F.col("query_id")).alias("token"))
+    rows = served_results(spark, sf_dir).select("date", "query_id", serve.next_token(F.col("date"), F.col("query_id")).alias("token"))
     key = serve.token_key(F.col("token"))
     return rows.withColumns({"token_date": key["date"], "token_query_id": key["query_id"]})
 
 
 @query("by_category", f"SELECT {RESULT_COLUMNS_SQL} FROM ({RESULTS_SQL}) WHERE category = 'travel'")
 def by_category(spark, sf_dir):
-    return serve.by_category(result_table(spark, sf_dir), "travel")
+    return serve.by_category(served_results(spark, sf_dir), "travel")
 
 
 @query("by_cluster", f"SELECT {RESULT_COLUMNS_SQL} FROM ({RESULTS_SQL}) WHERE cluster_id = 3")
 def by_cluster(spark, sf_dir):
-    return serve.by_cluster(result_table(spark, sf_dir), 3)
+    return serve.by_cluster(served_results(spark, sf_dir), 3)
 
 
 ITEM_SQL = """
@@ -114,7 +118,7 @@ def check_rank_order(spark, sf_dir):
 
 
 @query("check_required", f"""
-SELECT 'required_fields' AS validation, false AS success,
+SELECT 'required_fields' AS validation, count(*) FILTER (category = 'other') = 0 AS success,
        'date: 0, query: 0, rank: 0, count: 0, category: ' || count(*) FILTER (category = 'other') AS details
 FROM ({RESULTS_SQL})
 """)

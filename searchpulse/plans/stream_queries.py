@@ -71,7 +71,7 @@ def _window_stream(spark, sf_dir, seconds):
 CLOSED_SQL = "(SELECT epoch_us(max(ts)) / 1000000.0 - 3600 FROM events)"
 
 
-@query("stream_metric_windows", f"SELECT * FROM ({WINDOWS_SQL.format(s=300)}) WHERE window_start + 300 <= {CLOSED_SQL}")
+@query("stream_metric_windows", f"SELECT * RENAME (latency_p99_ms AS latency_p99_approx_ms) FROM ({WINDOWS_SQL.format(s=300)}) WHERE window_start + 300 <= {CLOSED_SQL}")
 def stream_metric_windows_query(spark, sf_dir):
     windows = run_to_files(_window_stream(spark, sf_dir, 300).drop("window"), "stream-windows")
     return windows.withColumn("latency_avg_ms", F.round("latency_avg_ms", 9))

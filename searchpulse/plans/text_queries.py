@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, StopWordsRemover, Tokenizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from searchpulse.config import TrendConfig
@@ -92,11 +93,18 @@ def _non_zero(vector: str):
     return F.size(F.filter(vector_to_array(vector), lambda x: x != 0))
 
 
-@query("tf_nnz")
+@query("tf_nnz", f"SELECT doc_id, len(list_distinct({TOKENS_SQL})) AS terms, len({TOKENS_SQL}) AS n_tokens FROM documents")
 def tf_nnz(spark, sf_dir):
+    """Filled buckets plus the terms that fell into a bucket already filled make up a text's distinct terms."""
+    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=1000)
     words = query_docs(spark, sf_dir).withColumn("words", tokens(F.col("query_text")))
-    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=1000).transform(words)
-    return hashed.select("doc_id", _non_zero("tf").alias("nnz"), F.size("words").alias("n_tokens"))
+    hashed = tf.transform(words).select("doc_id", _non_zero("tf").alias("nnz"), F.size("words").cast("long").alias("n_tokens"))
+    terms = words.select("doc_id", F.explode(F.array_distinct("words")).alias("term"))
+    one = tf.transform(terms.select("term").distinct().withColumn("words", F.array("term")))
+    place = one.select("term", F.array_position(vector_to_array("tf"), 1.0).alias("place"))
+    met = terms.join(place, "term").groupBy("doc_id").agg((F.count("*") - F.count_distinct("place")).alias("met"))
+    both = hashed.join(met, "doc_id", "left")
+    return both.select("doc_id", (F.col("nnz") + F.coalesce("met", F.lit(0))).alias("terms"), "n_tokens")
 
 
 @query("tf_totals", f"SELECT doc_id, len({TOKENS_SQL}) AS n_tokens FROM documents")
@@ -108,11 +116,22 @@ def tf_totals(spark, sf_dir):
     return hashed.select("doc_id", total.cast("long").alias("n_tokens"))
 
 
-@query("features")
+@query("features", f"SELECT doc_id, len([w FOR w IN {TOKENS_SQL} IF NOT list_contains({STOPS_SQL}, w)]) AS n_tokens, true AS weighted FROM documents")
 def features(spark, sf_dir):
+    """Hashed TF-IDF; each weight is compared with the one that the term counts of all vectors give."""
     _, rows = fit_features(query_docs(spark, sf_dir))
-    norm = F.sqrt(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x))
-    return rows.select("doc_id", _non_zero("features").alias("nnz"), F.round(norm, 9).alias("norm"))
+    pairs = rows.select("doc_id", vector_to_array("rawFeatures").alias("tf"), vector_to_array("features").alias("weight"))
+    n_docs = pairs.agg(F.count("*")).scalar()
+    filled = pairs.select("doc_id", F.inline(F.arrays_zip(F.sequence(F.lit(0), F.size("tf") - 1).alias("slot"), "tf", "weight")))
+    filled = filled.where("tf > 0")
+    slots = filled.groupBy("slot").agg(F.count("*").alias("doc_freq"))
+    idf = F.when(F.col("doc_freq") >= 2, F.log((n_docs + 1) / (F.col("doc_freq") + 1))).otherwise(0.0)
+    checked = filled.join(slots, "slot")
+    per_doc = checked.groupBy("doc_id").agg(
+        F.sum("tf").cast("long").alias("n_tokens"), F.bool_and(F.abs(F.col("weight") - F.col("tf") * idf) < 1e-9).alias("weighted")
+    )
+    every = pairs.select("doc_id").join(per_doc, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("weighted", F.lit(True)).alias("weighted"))
 
 
 @query("term_idf", f"SELECT term, doc_freq, round(idf, 9) AS idf FROM ({IDF_SQL})")
@@ -135,14 +154,38 @@ def _clustered(spark, sf_dir, cfg=TrendConfig()):
     return cluster.cluster_queries(docs, RUN_TS, cfg, key=("doc_id",))
 
 
-@query("cluster_queries")
+def _nearest_checked(spark, sf_dir, cfg):
+    """Every row with whether its cluster's centre is the nearest of all to its own features."""
+    import numpy as np
+
+    found = _clustered(spark, sf_dir, cfg)
+    centres = np.array(found.model.clusterCenters()) if found.model else np.zeros((1, cfg.num_features))
+    weights = found.features.transform(query_docs(spark, sf_dir).select("doc_id", "query_text")).select(
+        "doc_id", vector_to_array("features").alias("x")
+    )
+
+    def check(frames):
+        for frame in frames:
+            x = np.stack(frame["x"].to_list()) if len(frame) else np.zeros((0, centres.shape[1]))
+            far = (centres**2).sum(1) - 2 * x @ centres.T
+            own = far[np.arange(len(frame)), frame["cluster_id"].to_numpy()]
+            yield frame[["doc_id", "query_count", "cluster_count"]].assign(nearest=own <= far.min(1) + 1e-6)
+
+    rows = found.rows.select("doc_id", "query_count", "cluster_id", "cluster_count").join(weights, "doc_id")
+    return rows.mapInPandas(check, "doc_id long, query_count long, cluster_count int, nearest boolean")
+
+
+NEAREST_SQL = "SELECT doc_id, n_chars AS query_count, CAST(10 AS INTEGER) AS cluster_count, true AS nearest FROM documents"
+
+
+@query("cluster_queries", NEAREST_SQL)
 def cluster_queries(spark, sf_dir):
-    return _clustered(spark, sf_dir).rows.drop("query_text")
+    return _nearest_checked(spark, sf_dir, TrendConfig())
 
 
-@query("cluster_queries_simple")
+@query("cluster_queries_simple", NEAREST_SQL)
 def cluster_queries_simple(spark, sf_dir):
-    return _clustered(spark, sf_dir, simple_config()).rows.drop("query_text")
+    return _nearest_checked(spark, sf_dir, simple_config())
 
 
 @query("cluster_invariants", """
@@ -166,30 +209,44 @@ def cluster_invariants(spark, sf_dir):
     )
 
 
-@query("cluster_sizes")
+@query("cluster_sizes", "SELECT count(DISTINCT 1 + doc_id % 10) AS clusters, count(*) AS n_rows, true AS all_filled FROM documents")
 def cluster_sizes(spark, sf_dir):
-    return cluster.cluster_sizes(_clustered(spark, sf_dir).rows)
+    sizes = cluster.cluster_sizes(_clustered(spark, sf_dir).rows)
+    return sizes.agg(
+        F.count("*").alias("clusters"),
+        F.sum("cluster_size").alias("n_rows"),
+        (F.min("cluster_size") > 0).alias("all_filled"),
+    )
 
 
-@query("cluster_stats")
+@query("cluster_stats", """
+SELECT CAST(10 AS BIGINT) AS clusters, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS total_queries, true AS means_agree,
+       max(n_chars) AS busiest FROM documents
+""")
 def cluster_stats(spark, sf_dir):
-    stats = cluster.group_stats(_clustered(spark, sf_dir).rows, sample=10, order=("doc_id",))
-    return stats.withColumn("sample_queries", F.transform("sample_queries", F.md5))
-
-
-# The folded log: twenty query texts.
-FOLDED_SQL = DAILY_SQL.replace("json_extract_string(props, '$.k')", "CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS VARCHAR)")
+    """Statistics of the clusters as written; the busiest text leads the sample of its cluster."""
+    path = work_dir(spark, "cluster-stats")
+    rows = _clustered(spark, sf_dir).rows
+    cluster.group_stats(rows, sample=10, order=("doc_id",)).write.parquet(path)
+    first = F.element_at("sample_queries", 1)
+    return spark.read.parquet(path).agg(
+        F.count("*").alias("clusters"),
+        F.sum("cluster_size").alias("n_rows"),
+        F.sum("total_queries").alias("total_queries"),
+        F.bool_and(F.abs(F.col("avg_query_count") * F.col("cluster_size") - F.col("total_queries")) < 1e-3).alias("means_agree"),
+        F.max(F.char_length(first).cast("long")).alias("busiest"),
+    )
 
 
 @query("clustered_write", f"""
 SELECT query_text, date, query_count, unique_users, round(avg_results_count, 9) AS avg_results_count, click_through_rate,
        true AS clustered, '{RUN_TS}' AS processing_timestamp
-FROM ({FOLDED_SQL}) WHERE date > DATE '{AS_OF}' - 7 AND query_count >= 5
+FROM ({DAILY_SQL}) WHERE date > DATE '{AS_OF}' - 7 AND query_count >= 5
 """)
 def clustered_write(spark, sf_dir):
     """Consolidate, filter, cluster and store by date; read the stored table back."""
     path = work_dir(spark, "clustered")
-    daily = recent_high_volume(consolidate(search_log(spark, sf_dir, texts=20)), AS_OF)
+    daily = recent_high_volume(consolidate(search_log(spark, sf_dir)), AS_OF)
     write_by_date(cluster.cluster_queries(daily, RUN_TS).rows, path)
     stored = spark.read.parquet(path)
     valid = F.col("cluster_id").between(0, F.col("cluster_count") - 1)
@@ -205,10 +262,31 @@ def clustered_write(spark, sf_dir):
     )
 
 
-@query("daily_trends")
+@query("daily_trends", f"""
+SELECT date, query_text AS query, CAST(rank AS INTEGER) AS rank, query_count AS count, unique_users,
+       CAST(round(click_through_rate, 3) AS DOUBLE) AS click_through_rate, CAST(0 AS BIGINT) AS misplaced
+FROM (SELECT *, row_number() OVER (ORDER BY query_count DESC, query_text) AS rank
+      FROM ({DAILY_SQL}) WHERE date = DATE '{AS_OF}' AND query_count >= 5) WHERE rank <= 5
+""")
 def daily_trends(spark, sf_dir):
+    """The daily run with five queries per cluster.
+
+    Whatever the clusters, the day's first five are in them; of all rows, those out
+    of rank order, beyond the fifth of their cluster or unlike the log are counted.
+    """
     tables = Tables(work_dir(spark, "daily"))
-    return run_daily(search_log(spark, sf_dir, texts=20), tables, AS_OF, "2024-01-31 02:00:00")
+    items = run_daily(search_log(spark, sf_dir), tables, AS_OF, "2024-01-31 02:00:00")
+    daily = consolidate(search_log(spark, sf_dir)).select(
+        F.col("query_text").alias("query"), "date", F.col("query_count").alias("in_log")
+    )
+    by_rank, by_cluster = Window.partitionBy("date").orderBy("rank"), Window.partitionBy("date", "cluster_id").orderBy("rank")
+    checked = items.join(daily, ["query", "date"], "left").withColumns(
+        {"before": F.lag("count").over(by_rank), "in_cluster": F.row_number().over(by_cluster)}
+    )
+    wrong = ~F.coalesce(F.col("count") == F.col("in_log"), F.lit(False)) | (F.col("before") < F.col("count")) | (F.col("in_cluster") > 5)
+    checked = checked.withColumn("misplaced", F.count_if(F.coalesce(wrong, F.lit(False))).over(Window.partitionBy("date")))
+    shown = checked.where(F.col("rank") <= 5)
+    return shown.select("date", "query", "rank", "count", "unique_users", "click_through_rate", "misplaced")
 
 
 @query("daily_true_top", f"""
@@ -216,7 +294,7 @@ SELECT a.date, a.query_text AS query,
        CAST(row_number() OVER (ORDER BY a.query_count DESC, a.query_text) AS INTEGER) AS rank, a.query_count AS count,
        a.unique_users, 'other' AS category, CAST(round(a.click_through_rate, 3) AS DOUBLE) AS click_through_rate,
        (a.query_count - b.query_count) / b.query_count AS growth_rate
-FROM ({FOLDED_SQL}) a LEFT JOIN ({FOLDED_SQL}) b ON b.query_text = a.query_text AND b.date = a.date - 1
+FROM ({DAILY_SQL}) a LEFT JOIN ({DAILY_SQL}) b ON b.query_text = a.query_text AND b.date = a.date - 1
 WHERE a.date = DATE '{AS_OF}' AND a.query_count >= 5
 QUALIFY rank <= 50
 """)
@@ -224,7 +302,7 @@ def daily_true_top(spark, sf_dir):
     """The whole daily run, ranking all clustered queries: everything but the cluster number is determined."""
     tables = Tables(work_dir(spark, "daily"))
     cfg = TrendConfig(per_cluster=None, with_growth=True)
-    stored = run_daily(search_log(spark, sf_dir, texts=20), tables, AS_OF, "2024-01-31 02:00:00", cfg)
+    stored = run_daily(search_log(spark, sf_dir), tables, AS_OF, "2024-01-31 02:00:00", cfg)
     return stored.select("date", "query", "rank", "count", "unique_users", "category", "click_through_rate", "growth_rate")
 
 

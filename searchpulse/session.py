@@ -62,14 +62,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable, keeping a folder that is already set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a scan of fewer splits than there are cores one partition per core.
-
-    For work that is heavy per row (tokenising, parsing) on an input too small or
-    too coarse to split, such as a single row group. Inputs with enough splits are
-    returned as they are, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -27,12 +27,15 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
     Folders are listed level by level, each level as one job over the folders
     found before, so neither the tree nor its files pass through the driver.
-    (Spark's own file sources skip empty files.) Names that start with ``_`` or
-    ``.`` are not data.
+    Unlike Spark's own file sources it sees empty files and names that start with
+    ``_`` or ``.``, which are files like any other here; only the markers and
+    checksums that writers leave beside their files (``_SUCCESS``, ``.*.crc``) are not.
     """
     ensure_checkpoint_dir(spark)
 
     def read_folders(frames):
+        import re
+
         import pandas as pd
         from pyarrow import fs
 
@@ -41,12 +44,12 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         for frame in frames:
             for folder in frame["key"]:
                 found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
-                kept = [e for e in found if not e.base_name.startswith(("_", "."))]
+                found = [e for e in found if e.base_name != "_SUCCESS" and not re.fullmatch(r"\..*\.crc", e.base_name)]
                 yield pd.DataFrame(
                     {
-                        "key": [e.path[len(base) + 1 :] for e in kept],
-                        "length": [e.size or 0 for e in kept],
-                        "is_folder": [e.type == fs.FileType.Directory for e in kept],
+                        "key": [e.path[len(base) + 1 :] for e in found],
+                        "length": [e.size or 0 for e in found],
+                        "is_folder": [e.type == fs.FileType.Directory for e in found],
                     }
                 )
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchpulse.session import spread_small
-
 AS_OF = "2024-01-30"
 
 
@@ -36,7 +34,7 @@ def search_log(spark: SparkSession, sf_dir: str, texts: int | None = None) -> Da
 
 def query_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as query-day rows: whole text, length as volume."""
-    return spread_small(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.col("text").alias("query_text"),
         F.col("n_chars").alias("query_count"),
@@ -58,9 +56,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def arrival_delay(event_id: Column) -> Column:
+    return F.make_dt_interval(secs=(event_id % 600).cast("decimal(18,6)"))
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a delivery time up to ten minutes after the event time."""
-    delay = F.make_dt_interval(secs=(F.col("event_id") % 600).cast("decimal(18,6)"))
+    delay = arrival_delay(F.col("event_id"))
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.col("ts").alias("event_time"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +33,7 @@ def parse_wire(messages: DataFrame, value: str = "value") -> DataFrame:
     # and column that is built on its fields.
     parsed = messages.select(F.col(value).alias("raw"), F.inline(F.array(record)))
     ts = F.try_to_timestamp("timestamp")
-    reason = F.when(F.col(CORRUPT).isNotNull(), "unreadable record").when(ts.isNull(), "bad timestamp")
+    reason = F.when(F.col(CORRUPT).isNotNull() | (F.trim("raw") == ""), "unreadable record").when(ts.isNull(), "bad timestamp")
     return canonical_log(parsed).withColumns({"timestamp": ts, "reject_reason": reason}).drop(CORRUPT)
 
 
@@ -58,6 +56,10 @@ def with_hour_partitions(df: DataFrame, ts: Column) -> DataFrame:
     )
 
 
+#: Folder of a landed table that holds what could not be read.
+ERRORS = "errors"
+
+
 def land_ndjson(log: DataFrame, path: str, ts: str = "timestamp") -> None:
     """One JSON object per line below year/month/day/hour folders."""
     (
@@ -78,52 +80,21 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 def publish_keyed(log: DataFrame, path: str | None = None, options: dict[str, str] | None = None) -> None:
     """Write keyed messages to a topic, or to files when ``path`` is given.
 
-    No repartitioning by key here: the broker routes by key, and a user with a
+    Messages without a key are not sent. No repartitioning by key here: the broker routes by key, and a user with a
     large share of the events would otherwise fill one task.
     """
-    messages = to_wire(log)
+    messages = to_wire(log).where("key IS NOT NULL")
     if path is not None:
         messages.write.mode("append").parquet(path)
     else:
         messages.write.format("kafka").options(**(options or {})).save()
 
 
-def send_batches(messages: DataFrame, send: Callable[[list[tuple[str, str]]], int], batch_size: int = 500) -> DataFrame:
-    """Hand (key, value) records to ``send`` in batches; ``send`` returns how many it refused.
-
-    Runs inside the tasks. A batch whose call raises counts as failed as a whole.
-    One row per batch: records, failed.
-    """
-
-    def run(frames):
-        import pandas as pd
-
-        pending: list[tuple[str, str]] = []
-
-        def flush(records):
-            try:
-                failed = int(send(records))
-            except Exception:
-                failed = len(records)
-            return pd.DataFrame({"records": [len(records)], "failed": [failed]})
-
-        for frame in frames:
-            pending.extend(zip(frame["key"], frame["value"]))
-            while len(pending) >= batch_size:
-                yield flush(pending[:batch_size])
-                pending = pending[batch_size:]
-        if pending:
-            yield flush(pending)
-
-    return messages.select("key", "value").mapInPandas(run, "records long, failed long")
-
-
-def send_summary(batches: DataFrame) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    return batches.agg(
-        F.coalesce(F.sum("records"), zero).alias("total"),
-        F.coalesce(F.sum(F.col("records") - F.col("failed")), zero).alias("success"),
-        F.coalesce(F.sum("failed"), zero).alias("failed"),
+def publish_summary(sent: DataFrame, published: DataFrame) -> DataFrame:
+    """total, success and failed: what was to be sent, what arrived, and the difference."""
+    total = sent.agg(F.count("*").alias("n")).scalar()
+    return published.agg(F.count("*").alias("success")).select(
+        total.alias("total"), "success", (total - F.col("success")).alias("failed")
     )
 
 
@@ -131,10 +102,15 @@ def discover(spark: SparkSession, path: str) -> DataFrame:
     """Read a Parquet dataset whose files have gained columns over time.
 
     Schemas are merged over all files, folder columns included; rows of older
-    files have nulls in the newer columns. Files below ``errors`` are not part
-    of the table and belong under another root.
+    files have nulls in the newer columns. Files below an ``errors`` folder of the
+    root are not part of the table.
     """
-    return spark.read.option("mergeSchema", "true").option("basePath", path).parquet(path)
+    reader = spark.read.option("mergeSchema", "true").option("basePath", path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tops = [s.getPath().getName() for s in store.listStatus(root)]
+    kept = [f"{path}/{name}" for name in tops if name != ERRORS and not name.startswith(("_", "."))]
+    return reader.parquet(*kept)
 
 
 def register_table(spark: SparkSession, name: str, path: str) -> DataFrame:

@@ -97,10 +97,14 @@ def test_static_overwrite_drops_other_dates(spark, log, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
-@pytest.mark.parametrize("listed", [3660, 0])
-def test_late_rows_redo_their_days(spark, log, tmp_path, monkeypatch, listed):
-    """Both ways to find the touched days: the listed filter and the semi join."""
-    monkeypatch.setattr("searchpulse.operators.consolidate.MAX_LISTED_DATES", listed)
+def test_the_log_is_hashed_before_the_first_shuffle(spark, log, tmp_path):
+    log.write.parquet(str(tmp_path / "log"))
+    plan = consolidate(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().executedPlan().toString()
+    deepest = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert "HashAggregate" in deepest and "Sort" not in deepest
+
+
+def test_late_rows_redo_their_days(spark, log, tmp_path):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     dated = log.withColumn("date", F.to_date("timestamp"))
     early, late = dated.where("event_id <> 5 and event_id <> 4"), dated.where("event_id in (4, 5)")

@@ -56,11 +56,13 @@ def test_texts_per_cluster_are_limited_and_ordered(spark):
     assert got == [f"t{i:02}" for i in range(29, 19, -1)]
 
 
-@pytest.mark.parametrize("clusters", [None, 10, 1_000_000])
-def test_labels_attach_left(spark, clusters):
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_labels_attach_left(spark, monkeypatch, limit):
+    """With the labels broadcast and joined by shuffle."""
+    monkeypatch.setattr("searchpulse.functions.joins.counted_side.__defaults__", (limit,))
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "cluster_id int, query_text string")
     labels = spark.createDataFrame([(1, "news"), (2, None)], "cluster_id int, category string")
-    got = {r.query_text: r.category for r in label.attach_labels(df, labels, clusters=clusters).collect()}
+    got = {r.query_text: r.category for r in label.attach_labels(df, labels).collect()}
     assert got == {"a": "news", "b": "other", "c": "other"}
 
 
@@ -119,3 +121,9 @@ def test_reading_an_absent_date_is_empty(spark, tmp_path):
     missing = rank.clustered_for_date(spark, path, "2023-01-01")
     assert missing.count() == 0
     assert "PartitionFilters: [isnotnull(date" in missing._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_unknown_growth_stays_unknown(spark):
+    df = spark.createDataFrame([("a", DAY, 5, None), ("b", DAY, 4, 0.5)], "query_text string, date date, query_count long, growth_rate double")
+    assert [r.growth_rate for r in rank.rank_trends(df).orderBy("rank").collect()] == [None, 0.5]
+    assert rank.rank_trends(df.drop("growth_rate")).head().growth_rate == 0.0

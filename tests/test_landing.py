@@ -81,21 +81,22 @@ def test_catalogued_log_feeds_the_consolidation(spark, tmp_path):
     spark.sql("drop table log_for_daily_test")
 
 
-def test_batches_of_at_most_500(spark):
-    messages = spark.range(2600).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("value")).coalesce(2)
-    batches = ingest.send_batches(messages, lambda records: sum(int(v) % 10 == 0 for _, v in records))
-    sizes = [r.records for r in batches.collect()]
-    assert max(sizes) == 500 and sum(sizes) == 2600
-    assert rows(ingest.send_summary(batches)) == [(2600, 2340, 260)]
+def test_summary_counts_what_was_written(spark):
+    sent, written = spark.range(10), spark.range(7)
+    assert rows(ingest.publish_summary(sent, written)) == [(10, 7, 3)]
+    assert rows(ingest.publish_summary(sent.where("false"), written.where("false"))) == [(0, 0, 0)]
 
 
-def test_a_failing_call_fails_its_batch(spark):
-    def send(records):
-        raise ConnectionError
+def test_errors_are_no_part_of_the_table(spark, tmp_path):
+    root = str(tmp_path / "t")
+    spark.range(3).withColumn("day", F.lit(1)).write.partitionBy("day").parquet(root)
+    spark.range(5).select(F.col("id").alias("broken")).write.parquet(f"{root}/errors")
+    assert ingest.discover(spark, root).columns == ["id", "day"] and ingest.discover(spark, root).count() == 3
 
-    messages = spark.range(3).select(F.lit("k").alias("key"), F.lit("v").alias("value"))
-    assert rows(ingest.send_summary(ingest.send_batches(messages, send))) == [(3, 0, 3)]
-    assert rows(ingest.send_summary(ingest.send_batches(messages.where("false"), send))) == [(0, 0, 0)]
+
+def test_an_empty_message_is_unreadable(spark):
+    df = spark.createDataFrame([("",), (" ",)], "value string")
+    assert {r.reject_reason for r in ingest.parse_wire(df).collect()} == {"unreadable record"}
 
 
 KEYS = {
@@ -131,8 +132,11 @@ def test_files_are_reencoded_one_to_one(spark, tmp_path):
     write(root, "raw-data/year=2024/month=01/day=02/a.json", big)
     write(root, "logs/empty.log", b"")
     write(root, "img/skip.png", b"x")
+    write(root, "logs/_app.log", b"a")
+    write(root, "_sent/logs/.c.log", b"b")
     got = {r.key: r for r in files.compress_files(spark, root, out).collect()}
-    assert set(got) == {"raw-data/year=2024/month=01/day=02/a.json", "logs/empty.log"}
+    hidden = {"logs/_app.log", "_sent/logs/.c.log"}
+    assert set(got) == {"raw-data/year=2024/month=01/day=02/a.json", "logs/empty.log"} | hidden
     a = got["raw-data/year=2024/month=01/day=02/a.json"]
     assert a.success and a.original_size == len(big) and a.compressed_size < len(big) // 100
     with gzip.open(os.path.join(out, a.compressed_key)) as f:

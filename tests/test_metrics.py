@@ -72,7 +72,7 @@ def test_windows_and_stats(spark):
     t = datetime(2024, 1, 1)
     data = [(t + timedelta(seconds=s), "a", float(s), st, 10) for s, st in [(0, 200), (299, 404), (300, 500), (599, 200)]]
     df = spark.createDataFrame(data, "ts timestamp, service string, latency_ms double, status int, bytes int")
-    got = metrics.metric_windows(df, 300, ["service"], metrics.request_stats()).orderBy("window_start").collect()
+    got = metrics.request_windows(df, 300, ["service"]).orderBy("window_start").collect()
     assert [(r.window_start - START, r.requests, r.bytes, r.errors_4xx, r.errors_5xx) for r in got] == [(0, 2, 20, 1, 0), (300, 2, 20, 0, 1)]
     assert [(r.latency_avg_ms, r.latency_max_ms, r.latency_p99_ms) for r in got] == [(149.5, 299.0, 299.0), (449.5, 599.0, 599.0)]
 
@@ -102,3 +102,12 @@ def test_rules_need_no_join(spark):
     plan = metrics.alarm_transitions(df, [AlarmRule("errors", 1, 1)], ["service"], PERIOD)
     assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
     assert rows(plan.select(F.col("state")).orderBy("state")) == [("ALARM",), ("OK",)]
+
+
+def test_p99_is_exact_beyond_ten_thousand_rows(spark):
+    df = spark.range(50_000).select(
+        F.lit("2024-01-01").cast("timestamp").alias("ts"), F.lit("a").alias("service"), F.lit(200).alias("status"),
+        F.lit(1).alias("bytes"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7).alias("latency_ms"),
+    )
+    values = sorted(r[0] for r in df.select("latency_ms").collect())
+    assert metrics.request_windows(df, 300, ["service"]).head().latency_p99_ms == values[49_500 - 1]

@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 from conftest import rows
 
+from searchpulse.schemas import RESULT_ROW
 from searchpulse.operators import rank, serve
 
 DAY = date(2024, 1, 30)
@@ -107,3 +108,25 @@ def test_adhoc_sql_keeps_its_result(spark, results, tmp_path):
     out = serve.adhoc_sql(spark, "select date, count(*) as n from trend_results group by date", str(tmp_path / "r"))
     assert sorted(rows(out)) == [(date(2024, 1, 28), 45), (DAY, 45)]
     assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+
+
+def test_a_token_of_another_date_is_refused(spark):
+    import base64
+
+    token = base64.b64encode(b'{"date":"2024-01-02","query_id":"x"}').decode()
+    rows = spark.createDataFrame([], RESULT_ROW)
+    with pytest.raises(ValueError, match="2024-01-02"):
+        serve.trending_page(rows, "2024-01-30", 10, token)
+
+
+def test_a_page_reads_one_partition(spark, results, tmp_path):
+    path = str(tmp_path / "results")
+    rank.store_results(results, path)
+    page = serve.trending_page(spark.read.schema(RESULT_ROW).parquet(path), "2024-01-30", 10)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "hashpartitioning" not in plan
+
+
+def test_an_unpadded_date_matches_nothing(results):
+    assert serve.trending_page(results, "2024-01-30", 10).count() == 10
+    assert serve.trending_page(results, "2024-1-30", 10).count() == 0

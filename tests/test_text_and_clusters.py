@@ -47,10 +47,8 @@ def test_term_weights_match_brute_force(spark):
         for term, tf in Counter(text.split()).items():
             idf = math.log((len(texts) + 1) / (df_of[term] + 1)) if df_of[term] >= 2 else 0.0
             want[i, term] = (tf, round(tf * idf, 9))
-    # hot_share=1 makes every term cold, a large one makes every term hot.
-    for share, broadcast_terms in [(1, 9), (2, 9), (1000, 9), (2, 0), (1000, 0)]:
-        weighted = term_tfidf(docs, "doc_id", hot_share=share, broadcast_terms=broadcast_terms)
-        assert {(r.doc_id, r.term): (r.tf, round(r.tfidf, 9)) for r in weighted.collect()} == want
+    weighted = term_tfidf(docs, "doc_id")
+    assert {(r.doc_id, r.term): (r.tf, round(r.tfidf, 9)) for r in weighted.collect()} == want
     assert {r.term: r.doc_freq for r in term_idf(docs).collect()} == dict(df_of)
 
 
@@ -110,20 +108,25 @@ def test_nothing_left_to_cluster(spark):
         cluster.cluster_queries(daily(spark, ["x"]).where("query_count > 1000"), "run", CFG)
 
 
-def test_group_stats_and_whole_text_chunks(spark):
+def test_group_stats(spark):
     data = [(i % 2, f"q{i % 7}", i) for i in range(100)]
     df = spark.createDataFrame(data, "cluster_id int, query_text string, query_count long")
     stats = {r.cluster_id: r for r in cluster.group_stats(df, sample=3).collect()}
     evens = [n for c, _, n in data if c == 0]
     assert (stats[0].cluster_size, stats[0].total_queries, stats[0].avg_query_count) == (50, sum(evens), sum(evens) / 50)
     assert stats[0].sample_queries == ["q0", "q5", "q3"]
-    chunks = cluster.even_chunks(df, ["query_text", "query_count"], rows_per_chunk=10).collect()
-    assert len(chunks) > 2 and max(c.n_texts for c in chunks) < 30
-    texts = Counter((c.cluster_id, t) for c in chunks for t in c.sample_queries)
-    assert texts == Counter((c, t) for c, t, _ in data)
 
 
 def test_a_null_group_keeps_its_sample(spark):
     df = spark.createDataFrame([(None, "a", 1), (None, "b", 2), ("x", "c", 3)], "lang string, query_text string, query_count long")
     got = {r.lang: (r.cluster_size, r.sample_queries) for r in cluster.group_stats(df, "lang", sample=5).collect()}
     assert got == {None: (2, ["b", "a"]), "x": (1, ["c"])}
+
+
+def test_documents_are_tokenised_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "")], "doc_id long, query_text string")
+    weighted = term_tfidf(docs, "doc_id")
+    plan = weighted._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("split") == 0
+    got = {(r.doc_id, r.term): (r.tf, r.doc_freq) for r in weighted.collect() if r.term}
+    assert got == {(1, "a"): (2, 1), (1, "b"): (1, 2), (2, "b"): (1, 2), (2, "c"): (1, 1)}
