@@ -19,7 +19,7 @@ from searchpulse.plans.daily import Tables, run_daily, stored_results
 from searchpulse.session import build_session
 from searchpulse.sources.files import compress_files
 from searchpulse.sources.ingest import land_ndjson
-from searchpulse.streaming.land import land_stream, landed_events
+from searchpulse.streaming.land import land_stream, landed_events, message_files
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
         log = generate_time_series(spark, args.hours, args.per_hour, args.end, args.seed)
         land_ndjson(log, args.out)
     elif args.job == "land":
-        messages = spark.readStream.option("recursiveFileLookup", "true").text(args.messages)
+        messages = message_files(spark, args.messages)
         by_event = F.col("timestamp") if args.by_event_time else None
         run = land_stream(messages, args.table, args.checkpoint, available_now=args.once, partition_time=by_event)
         run.awaitTermination()

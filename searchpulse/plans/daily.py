@@ -46,8 +46,17 @@ class Tables:
         return f"{self.root}/results"
 
 
-def consolidate_stage(log: DataFrame, tables: Tables) -> None:
-    write_by_date(consolidate(log), tables.consolidated)
+def consolidate_stage(log: DataFrame, tables: Tables, as_of: str, cfg: TrendConfig = TrendConfig()) -> None:
+    """Redo the dates that the run for ``as_of`` reads; the filter on the time reaches the scan.
+
+    Earlier dates stay as they were stored. Rows that arrive for them later are
+    redone by ``recompute_touched_days``.
+    """
+    day = as_date(as_of)
+    since, until = F.date_sub(day, max(cfg.recent_days - 1, 1)), F.date_add(day, 1)
+    kind = log.schema["timestamp"].dataType
+    window = log.where((F.col("timestamp") >= since.cast(kind)) & (F.col("timestamp") < until.cast(kind)))
+    write_by_date(consolidate(window), tables.consolidated)
 
 
 def cluster_stage(spark: SparkSession, tables: Tables, as_of: str, run_ts: str, cfg: TrendConfig) -> int:
@@ -106,7 +115,7 @@ def run_daily(
     again alone. Errors are raised, not reported as results.
     """
     spark = log.sparkSession
-    consolidate_stage(log, tables)
+    consolidate_stage(log, tables, as_of, cfg)
     cluster_stage(spark, tables, as_of, run_ts, cfg)
     rank_stage(spark, tables, as_of, run_ts, cfg, label_fn)
     return stored_results(spark, tables).where(F.col("date") == as_date(as_of))

@@ -9,6 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 from searchpulse.sources.ingest import HOUR_PARTITIONS, parse_wire, with_hour_partitions
 
 ACCEPTED, REJECTED = "accepted", "rejected"
+FILES_PER_FOLDER = 4
+#: Fixed value: a landing batch holds at most this much, or what came in the interval.
+BATCH_BYTES = 5 << 20
+
+
+def message_files(spark: SparkSession, path: str, max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Stream of the text files below ``path``, one message a line, at most ``max_bytes`` a batch (or one file)."""
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("maxBytesPerTrigger", max_bytes)
+    return reader.text(path)
 
 
 def landing_rows(messages: DataFrame, partition_time: Column | None = None) -> DataFrame:
@@ -42,9 +51,14 @@ def land_stream(
 
     One pass over the messages writes both outcomes: the file sink commits every
     micro-batch exactly once, and readers of one outcome prune the other's folders.
+    A batch writes at most ``FILES_PER_FOLDER`` files into a folder: rows are dealt by
+    folder and a hash, so neither many tasks write one folder nor one task writes a
+    large one.
     """
+    rows = landing_rows(messages, partition_time)
+    dealt = F.pmod(F.xxhash64("raw", *[c for c in ("user_id", "event_id", "query_text") if c in rows.columns]), F.lit(FILES_PER_FOLDER))
     writer = (
-        landing_rows(messages, partition_time)
+        rows.repartition("outcome", *HOUR_PARTITIONS, dealt)
         .writeStream.format("parquet")
         .outputMode("append")
         .partitionBy("outcome", *HOUR_PARTITIONS)

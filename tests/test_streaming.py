@@ -12,7 +12,7 @@ from searchpulse.operators.metrics import AlarmRule
 from searchpulse.schemas import SEARCH_EVENT
 from searchpulse.streaming.alarms import alarm_stream, stream_metric_windows
 from searchpulse.streaming.consolidate import stream_consolidate
-from searchpulse.streaming.land import land_stream, landed_events, landed_rejects
+from searchpulse.streaming.land import land_stream, landed_events, landed_rejects, message_files
 
 
 def run(stream, path):
@@ -48,7 +48,7 @@ def test_landing_is_incremental_and_exactly_once(spark, tmp_path):
 def test_landing_defaults_to_arrival_time(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     spark.createDataFrame([('{"event_id": 1, "timestamp": "2001-01-01T00:00:00Z"}',)], "value string").write.text(src)
-    land_stream(spark.readStream.text(src), out, f"{out}-cp", available_now=True).awaitTermination()
+    land_stream(message_files(spark, src, 1000), out, f"{out}-cp", available_now=True).awaitTermination()
     assert int(landed_events(spark, out).head().year) >= 2024
 
 
