@@ -182,6 +182,14 @@ def _merge(spans: list) -> list:
     return out
 
 
+def _parts(batches, many: bool):
+    """Batches in parts whose words fit a task; larger ones where each part loads several automata."""
+    rows = 4096 if many else 256
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _hits_of(docs_words: list, shared: list, held) -> list[tuple[list, set]]:
     """Spans and items of each document of a batch; several automata are loaded one after the other."""
     if held is not None:
@@ -217,7 +225,7 @@ def find_contamination(
         types = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(span)]
         names = [c.split()[0] for c in HIT_SCHEMA.split(", ")[:6]] + ["spans"]
         held = shared[0]() if len(shared) == 1 else None
-        for batch in batches:
+        for batch in _parts(batches, held is None):
             rows = []
             docs_words = list(map(alnum_words, batch.column(1).to_pylist()))
             for words, (spans, items) in zip(docs_words, _hits_of(docs_words, shared, held)):
@@ -266,7 +274,7 @@ def decontaminate(
 
     def clean(batches):
         held = shared[0]() if len(shared) == 1 else None
-        for batch in batches:
+        for batch in _parts(batches, held is None):
             keep, texts, lengths = [], batch.column(at).to_pylist(), batch.column(chars).to_pylist() if chars is not None else []
             docs_words = list(map(alnum_words, texts))
             for i, (words, (spans, _)) in enumerate(zip(docs_words, _hits_of(docs_words, shared, held))):
