@@ -144,6 +144,20 @@ def test_probabilities_of_all_next_symbols_sum_to_one():
     assert sum(10 ** (e - before) for e in each) == pytest.approx(1.0, abs=1e-4)
 
 
+def test_counts_above_32_bits(spark):
+    tables = np.zeros((lm_mixing.TABLES, 2 << lm_mixing.SLOT_BITS), np.int64)
+    tables[0, :4] = [2**31 - 1, 1, 0, 2**33]
+    pieces = [tuple(r.values()) for batch in lm_mixing._chunks(tables) for r in batch.to_pylist()]
+    parts = spark.createDataFrame([(p, bytearray(b)) for p, b in pieces * 2], lm_mixing.PIECE_SCHEMA)
+    total = lm_mixing.summed_tables(parts)
+    assert total[0, :4].tolist() == [2**32 - 2, 2, 0, 2**34] and total.sum() == 2 * tables.sum()
+    code = lm_mixing.Code.huffman([1, 1])
+    lm_mixing.count_decisions(total, code, np.array([0]), np.array([0]), lm_mixing.WORD_CONTEXTS)
+    assert total.sum() == 2 * tables.sum() + lm_mixing.TABLES and total.min() == 0
+    stretched, confidence = lm_mixing.predictions(total)
+    assert stretched[0, :2].tolist() == [-127, 127] and confidence[0, :2].tolist() == [3, 3]
+
+
 # 4: nearest neighbours
 
 
