@@ -32,7 +32,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens, with their ids."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), drops_blanks=True)
 
 

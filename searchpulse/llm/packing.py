@@ -32,8 +32,10 @@ ROWS_AT_ONCE = 4096
 
 PIECE_SCHEMA = (
     "start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, "
-    "sequence_id long, offset long, sequence_length long"
+    "sequence_id long, offset long, sequence_length long, ids array<int>"
 )
+#: Tokens of the pieces passed on at once.
+TOKENS_AT_ONCE = 1 << 20
 
 
 class Packer:
@@ -99,14 +101,14 @@ class Packer:
                 plain = take - int(demand[at, 2])
                 take = int(min(take, room[0], plain + room[2]))
             bears = max(0, start + take - max(start, n - loss))
-            chosen.append((key, start, take, zlib.crc32(ids[4 * start : 4 * (start + take)]), n, bears))
+            chosen.append((key, start, take, ids[4 * start : 4 * (start + take)], n, bears))
             room -= [take, 1, bears]
             self.items[at][4] = start + take
             demand[at] = [n - start - take, 1, min(loss, n - start - take)]
             alive[at] = n > start + take
         offset, out, total = 0, [], sum(c[2] for c in chosen)
-        for key, start, take, crc, n, bears in chosen:
-            out.append((key, start, take, crc, n, bears, self.next_id, offset, total))
+        for key, start, take, ids, n, bears in chosen:
+            out.append((key, start, take, zlib.crc32(ids), n, bears, self.next_id, offset, total, ids))
             offset += take
         self.next_id += 1
         return out
@@ -124,11 +126,12 @@ def pack_documents(
     max_loss: int | None = None,
     end_id: int = END_ID,
 ) -> DataFrame:
-    """Pieces of all documents with their place: the id and ``PIECE_SCHEMA``.
+    """Pieces of all documents with their token ids and place: the id and ``PIECE_SCHEMA``.
 
     For instruction data ``prompt_col`` holds the prompt, whose tokens come first
     and bear no loss. A sequence's number is the task's number and a running one.
     """
+    import numpy as np
     import pyarrow as pa
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -143,8 +146,11 @@ def pack_documents(
         kind = None
 
         def made(pieces):
-            arrays = [pa.array(c, t) for c, t in zip(zip(*pieces), [kind] + [pa.int64()] * 8)]
-            return pa.RecordBatch.from_arrays(arrays, names)
+            *places, ids = zip(*pieces)
+            arrays = [pa.array(c, t) for c, t in zip(places, [kind] + [pa.int64()] * 8)]
+            ends = np.cumsum([0, *(len(i) // 4 for i in ids)], dtype=np.int32)
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), values)], names)
 
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -152,12 +158,38 @@ def pack_documents(
                 part = batch.slice(at, ROWS_AT_ONCE)
                 texts = encoder.encode(part.column(1).to_pylist())
                 prompts = encoder.encode(part.column(2).to_pylist()) if prompt_col else [encoder.end] * len(texts)
-                pieces = []
+                pieces, held = [], 0
                 for key, ids, prompt in zip(part.column(0).to_pylist(), texts, prompts):
-                    pieces += packer.add(key, prompt[:-4] + ids, len(ids) // 4)
+                    full = packer.add(key, prompt[:-4] + ids, len(ids) // 4)
+                    pieces += full
+                    held += sum(p[2] for p in full)
+                    if held >= TOKENS_AT_ONCE:
+                        yield made(pieces)
+                        pieces, held = [], 0
                 if pieces:
                     yield made(pieces)
         if pieces := packer.finish():
             yield made(pieces)
 
     return docs.select(*columns).mapInArrow(pack, f"{id_col} {id_type}, {PIECE_SCHEMA}")
+
+
+def piece_digest(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``ids_crc32`` computed from their ids, without the ids."""
+    import pyarrow as pa
+
+    kept = [f for f in pieces.schema if f.name not in ("ids", "ids_crc32")]
+
+    def digest(batches):
+        import numpy as np
+
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            ends = lists.offsets.to_numpy()
+            raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<u4")).cast("B")
+            crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crcs, pa.int64())], [*batch.schema.names[:-1], "ids_crc32"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids_crc32 long"])
+    found = pieces.select(*[f"`{f.name}`" for f in kept], "ids").mapInArrow(digest, schema)
+    return found.select(*[f"`{c}`" for c in pieces.columns if c != "ids"])

@@ -13,7 +13,7 @@ from searchpulse.llm.license_scan import scan_licenses
 from searchpulse.llm.lm_mixing import score_texts
 from searchpulse.llm.near_duplicates import near_duplicates
 from searchpulse.llm.orc_tokens import token_digest, write_tokens
-from searchpulse.llm.packing import pack_documents
+from searchpulse.llm.packing import pack_documents, piece_digest
 from searchpulse.llm.registry import ORACLES, QUERIES, query
 from searchpulse.llm.tokens import tokenizer_path
 from searchpulse.llm.toxicity import MAX_DOCS, THRESHOLD, labelled_sample, learn, score_documents
@@ -204,7 +204,7 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
-    return pack_documents(table(spark, sf_dir, "documents"), path, drops_blanks=True)
+    return piece_digest(pack_documents(table(spark, sf_dir, "documents"), path, drops_blanks=True))
 
 
 _GROUPS_SQL = rf"""

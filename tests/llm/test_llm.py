@@ -322,6 +322,23 @@ def test_sequences_hold_every_id_once(docs, none):
     assert packing.pack_documents(none, path, True).count() == 0
 
 
+def test_pieces_hold_their_ids(spark, docs, tmp_path):
+    import corpus_pipeline
+    from searchpulse.llm import queries
+
+    docs.where("doc_id > 3").write.parquet(str(tmp_path / "documents.parquet"))
+    path = tokenizer_path("word_bpe_49k.json")
+    once = {r[0]: np.frombuffer(Encoder(path, True).encode([r[1]])[0], "<i4").tolist() for r in corpus() if r[0] is not None}
+    pieces = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {i for i in once if i > 3}
+    assert all(r.ids == once[r.doc_id][r.start : r.start + r.length] for r in pieces)
+    digests = queries.packing(spark, str(tmp_path))
+    assert "ids" not in digests.columns
+    assert sorted((r.doc_id, r.start, r.ids_crc32) for r in digests.collect()) == sorted(
+        (r.doc_id, r.start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in pieces
+    )
+
+
 def test_loss_limit_and_prompts(spark):
     df = spark.createDataFrame([(i, "answer " * (5 + i % 40), "question " * 30) for i in range(300)], "doc_id long, text string, prompt string")
     pieces = packing.pack_documents(df, tokenizer_path("word_bpe_49k.json"), True, prompt_col="prompt", length=512, max_segments=8, max_loss=128)
