@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchpulse.functions.columns import as_date, with_date_parts
+from searchpulse.functions.joins import join_null_safe
 
 def canonical_log(df: DataFrame) -> DataFrame:
     """One ``query_text`` column whichever of the two field names the producer used."""
@@ -101,3 +102,27 @@ def recompute_touched_days(spark: SparkSession, raw_path: str, new_rows: DataFra
     touched = new_rows.select(F.to_date("timestamp").alias("date")).distinct()
     affected = spark.read.parquet(raw_path).join(touched, "date", "left_semi")
     write_by_date(consolidate(affected.drop("date")), out_path)
+
+
+def changed_dates(log: DataFrame, daily: DataFrame) -> DataFrame:
+    """Dates of ``log`` whose number of rows is not the one consolidated in ``daily``, null among them.
+
+    Before the first run nothing is consolidated, so these are all dates. Only the
+    times of the log and the counts of the table are read.
+    """
+    landed = log.groupBy(F.to_date("timestamp").alias("date")).agg(F.count("*").alias("n"))
+    held = daily.groupBy("date").agg(F.sum("query_count").alias("n"))
+    return join_null_safe(landed, held, ["date", "n"], "left_anti").select("date")
+
+
+def rows_of_dates(log: DataFrame, dates: DataFrame) -> DataFrame:
+    """Rows of ``log`` on the given dates; the span of the dates reaches the scan."""
+    first, last, undated = dates.agg(F.min("date"), F.max("date"), F.count_if(F.col("date").isNull())).head()
+    time, kind = F.col("timestamp"), log.schema["timestamp"].dataType
+    within = F.lit(False)
+    if first is not None:
+        within = (time >= F.lit(first).cast(kind)) & (time < F.date_add(F.lit(last), 1).cast(kind))
+    if undated:  # also a time that is no date
+        within = within | F.to_date("timestamp").isNull()
+    named = dates.select(F.col("date").alias("_date"))
+    return log.where(within).join(F.broadcast(named), F.to_date("timestamp").eqNullSafe(F.col("_date")), "left_semi")

@@ -12,11 +12,12 @@ from searchpulse.config import TrendConfig
 from searchpulse.functions.columns import as_date
 from searchpulse.functions.joins import counted_side, join_null_safe
 from searchpulse.operators.cluster import cluster_queries, group_stats
-from searchpulse.operators.consolidate import consolidate, recent, recent_high_volume, write_by_date
+from searchpulse.operators.consolidate import changed_dates, consolidate, recent, recent_high_volume, rows_of_dates, write_by_date
 from searchpulse.operators.growth import day_growth
 from searchpulse.operators.label import attach_labels, label_by_keywords, label_with, text_lists, top_texts
 from searchpulse.operators.rank import clustered_for_date, rank_trends, result_rows, store_results, top_per_cluster
 from searchpulse.schemas import CLUSTERED, CONSOLIDATED, RESULT_ROW
+from searchpulse.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -46,17 +47,30 @@ class Tables:
         return f"{self.root}/results"
 
 
-def consolidate_stage(log: DataFrame, tables: Tables, as_of: str, cfg: TrendConfig = TrendConfig()) -> None:
-    """Redo the dates that the run for ``as_of`` reads; the filter on the time reaches the scan.
+def consolidate_stage(
+    log: DataFrame, tables: Tables, as_of: str, cfg: TrendConfig = TrendConfig(), new_rows: DataFrame | None = None
+) -> None:
+    """Redo the dates that the run for ``as_of`` reads and those with newly landed rows, however old.
 
-    Earlier dates stay as they were stored. Rows that arrive for them later are
-    redone by ``recompute_touched_days``.
+    ``new_rows`` are the rows landed since the run before. Without them the dates
+    are found by counting: those on which the log has not as many rows as were
+    consolidated. The first run consolidates all dates. Other dates stay as stored.
     """
-    day = as_date(as_of)
-    since, until = F.date_sub(day, max(cfg.recent_days - 1, 1)), F.date_add(day, 1)
-    kind = log.schema["timestamp"].dataType
-    window = log.where((F.col("timestamp") >= since.cast(kind)) & (F.col("timestamp") < until.cast(kind)))
-    write_by_date(consolidate(window), tables.consolidated)
+    spark, day = log.sparkSession, as_date(as_of)
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables.consolidated)
+    first_run = not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    if first_run:
+        write_by_date(consolidate(log), tables.consolidated)
+        return
+    if new_rows is None:
+        touched = changed_dates(log, spark.read.schema(CONSOLIDATED).parquet(tables.consolidated))
+    else:
+        touched = new_rows.select(F.to_date("timestamp").alias("date")).distinct()
+    since = F.date_sub(day, max(cfg.recent_days - 1, 1))
+    window = spark.range(1).select(F.explode(F.sequence(since, day)).alias("date"))
+    ensure_checkpoint_dir(spark)
+    dates = touched.union(window).distinct().checkpoint()  # the table they are read from is written next
+    write_by_date(consolidate(rows_of_dates(log, dates)), tables.consolidated)
 
 
 def cluster_stage(spark: SparkSession, tables: Tables, as_of: str, run_ts: str, cfg: TrendConfig) -> int:
@@ -108,14 +122,18 @@ def run_daily(
     run_ts: str,
     cfg: TrendConfig = TrendConfig(),
     label_fn: Callable[[list[str]], str] | None = None,
+    new_rows: DataFrame | None = None,
 ) -> DataFrame:
     """All stages for ``as_of``; returns the stored rows of that date.
 
+    Late rows of any date reach the consolidated table; ``new_rows`` are those landed
+    since the run before, where the caller knows them (see ``consolidate_stage``).
+
     Every stage reads the written output of the one before, so each can be run
     again alone. Errors are raised, not reported as results.
     """
     spark = log.sparkSession
-    consolidate_stage(log, tables, as_of, cfg)
+    consolidate_stage(log, tables, as_of, cfg, new_rows)
     cluster_stage(spark, tables, as_of, run_ts, cfg)
     rank_stage(spark, tables, as_of, run_ts, cfg, label_fn)
     return stored_results(spark, tables).where(F.col("date") == as_date(as_of))

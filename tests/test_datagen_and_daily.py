@@ -87,3 +87,24 @@ def test_true_top_k_takes_all_rows(spark, log, tmp_path):
 def test_empty_window_raises(log, tmp_path):
     with pytest.raises(ValueError):
         run_daily(log, Tables(str(tmp_path / "run")), "2025-06-01", "2025-06-02 02:00:00", TrendConfig(feature_partitions=4))
+
+
+def test_history_and_late_rows_are_consolidated(spark, log, tmp_path):
+    from searchpulse.operators.consolidate import consolidate
+    from searchpulse.plans.daily import consolidate_stage
+
+    def old(day, n):
+        return log.limit(n).withColumn("timestamp", F.lit(f"{day} 10:00:00").cast(log.schema["timestamp"].dataType))
+
+    tables = Tables(str(tmp_path / "run"))
+    history = log.union(old("2023-12-01", 20)).union(old("2024-01-10", 5)).checkpoint()
+    later = history.union(old("2023-12-01", 3)).union(old("2023-11-30", 2)).checkpoint()
+    known = later.union(old("2024-01-10", 4)).checkpoint()
+    undated = known.union(old("2024-01-10", 1).withColumn("timestamp", F.lit(None).cast(log.schema["timestamp"].dataType))).checkpoint()
+    runs = [(history, None), (later, None), (known, old("2024-01-10", 4)), (undated, None)]
+    for landed, new_rows in runs:
+        consolidate_stage(landed, tables, "2024-01-30", TrendConfig(feature_partitions=4), new_rows)
+        columns = ["date", "query_text", "query_count", "unique_users"]
+        got = spark.read.parquet(tables.consolidated).select(columns)
+        want = consolidate(landed).select(columns)
+        assert sorted(rows(got), key=str) == sorted(rows(want), key=str)
