@@ -5,6 +5,11 @@ keywords: a rule runs only on texts that hold all of its keywords. Of overlappin
 detections the one of higher priority wins; a detection that lies inside another, or
 overlaps it in part, is suppressed by the one taken first.
 
+Rules and keywords see a copy of the text in which white space and comment marks between
+words are one blank, so wrapped, indented and commented notices match; spans are those of
+the text itself. A numbered item behind an empty line stays apart from what is before it,
+as in a licence's title and its clause 2.
+
 Besides the rules, three phrases are located by word position and always reported.
 
 Edge cases: null and empty texts have no words and no labels; whole texts of any
@@ -165,10 +170,62 @@ def build_rules() -> list[tuple[int, str, int, float, tuple[str, ...], str]]:
     return [(i, *rule) for i, (_, rule) in enumerate(ordered)]
 
 
+# Lines, what comments may begin them with, and their words with single blanks between.
+LINE = re.compile(r"[^\n\r\v\f\x85\u2028\u2029]+")
+LEADERS = re.compile(
+    r"\s*+(?:(?://[/!]*+|/\*++!?|\*++/?|#++!?|;++|--++>?|%++|<!--++|>++|\|++|!++|::|\.?\\\"|'|(?:rem|dnl|c)(?=\s|$))\s*+)*+"
+)
+SEGMENT = re.compile(r"\S++(?: \S++)*+")
+ITEM = re.compile(r"\d+[.)](?:\s|$)")
+CLOSERS = ("*/", "-->")
+MARKS = frozenset("*#|/;%-=+!")
+
+
+def _end_of_line(text: str, start: int, end: int) -> int:
+    """End of the line's words: without the close of a comment or a last word of marks alone."""
+    line = text[start:end].rstrip()
+    for closer in CLOSERS:
+        if line.endswith(closer):
+            return start + len(line[: -len(closer)].rstrip("*- \t"))
+    last = line[max(line.rfind(" "), line.rfind("\t")) + 1 :]
+    return start + len(line) - (len(last) if last and MARKS.issuperset(last) else 0)
+
+
+def flattened(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with one blank between words, and where its segments begin in this copy and in ``text``."""
+    parts, here, there, size, line_end = [], [], [], 0, 0
+    for line in LINE.finditer(text):
+        start = LEADERS.match(text, line.start(), line.end()).end()
+        end = _end_of_line(text, start, line.end())
+        first = True
+        for m in SEGMENT.finditer(text, start, end):
+            if parts:
+                apart = first and ITEM.match(text, m.start(), end) and _empty_line(text, line_end, m.start())
+                parts.append("\n" if apart else " ")
+                size += 1
+            first = False
+            parts.append(m.group())
+            here.append(size)
+            there.append(m.start())
+            size += m.end() - m.start()
+            line_end = m.end()
+    return "".join(parts), here, there
+
+
+def _empty_line(text: str, start: int, end: int) -> bool:
+    return text.count("\n", start, end) > 1
+
+
 def detections(text: str, rules: list) -> list[tuple[int, int, int, str, int, float]]:
     """All matches of the rules whose keywords occur, as (start, end, rule, label, priority, score); ``text`` in lower case."""
+    text, here, there = flattened(text)
     if not any(word in text for word in GATE):
         return []
+
+    def place(at: int) -> int:
+        segment = bisect.bisect_right(here, at) - 1
+        return there[segment] + at - here[segment]
+
     seen: dict[str, bool] = {}
 
     def occurs(keyword: str) -> bool:
@@ -177,7 +234,7 @@ def detections(text: str, rules: list) -> list[tuple[int, int, int, str, int, fl
         return seen[keyword]
 
     return [
-        (m.start(), m.end(), number, label, priority, score)
+        (place(m.start()), place(m.end() - 1) + 1, number, label, priority, score)
         for number, label, priority, score, keywords, pattern in rules
         if all(map(occurs, keywords))
         for m in re.finditer(pattern, text)

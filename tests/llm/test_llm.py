@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -216,6 +217,31 @@ def test_licences(spark):
     assert len(license_scan.build_rules()) > 300
 
 
+WRAPPED = [
+    ("GNU General Public\n * License, version 3", "gpl-3.0", "general public\n * license, version 3"),
+    ("Mozilla Public\nLicense Version 2.0", "mpl-2.0", "mozilla public\nlicense version 2.0"),
+    ("# Redistribution and\n# use in source and binary forms", "bsd", "redistribution and\n# use in source and binary forms"),
+    ("Licensed  under the\r\n\t// Apache License,\r\n\t// Version 2.0", "apache-2.0", "licensed  under the\r\n\t// apache license,\r\n\t// version 2.0"),
+    ("/* Creative   Commons */\n/* Attribution 4.0 */", "cc-by-4.0", "creative   commons */\n/* attribution 4.0"),
+    ("All rights reserved. Neither the name of the\n;; owner nor the names of its\n;; contributors", "bsd-3-clause", "neither the name of the\n;; owner nor the names of its\n;; contributors"),
+    ("is in the public\n\n  domain", "public-domain", "is in the public\n\n  domain"),
+]
+
+
+@pytest.mark.parametrize("text,label,span", WRAPPED)
+def test_wrapped_and_commented_notices(text, label, span):
+    rules = [(*rule[:5], re.compile(rule[5])) for rule in license_scan.build_rules()]
+    row = license_scan.scan_text("é intro\n\n" + text + "\n * the end", rules)
+    assert label in row[5].split(",") and row[6] > 0
+    low = ("é intro\n\n" + text).lower()
+    assert any(s["label"] == label and low[s["start"] : s["end"]].endswith(span) for s in row[7])
+
+
+def test_clause_behind_a_title_is_no_version():
+    rules = [(*rule[:5], re.compile(rule[5])) for rule in license_scan.build_rules()]
+    assert "apache-2.0" not in license_scan.scan_text("Apache License\n\n2. Grant of rights", rules)[5]
+
+
 def test_contained_detections_are_suppressed():
     found = [(0, 10, 1, "a", 50, 0.5), (2, 8, 2, "b", 90, 0.9), (9, 20, 3, "c", 50, 0.5), (30, 40, 4, "d", 10, 0.1), (30, 40, 5, "e", 10, 0.1)]
     assert [d[3] for d in license_scan.resolve(found)] == ["b", "c", "d"]
