@@ -1,7 +1,7 @@
 from dataclasses import replace
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from searchpulse.config import TrendConfig

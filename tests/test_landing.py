@@ -4,7 +4,7 @@ import os
 from datetime import datetime
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from searchpulse.functions import keys

@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from searchpulse.operators import metrics

@@ -1,6 +1,6 @@
 from datetime import date, datetime
 
-from conftest import rows
+from support import rows
 
 from searchpulse.operators import quality, retention
 from searchpulse.schemas import CONSOLIDATED

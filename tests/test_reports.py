@@ -3,7 +3,7 @@ import statistics
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from searchpulse.operators import reports

@@ -3,7 +3,7 @@ import json
 from datetime import date
 
 import pytest
-from conftest import rows
+from support import rows
 
 from searchpulse.schemas import RESULT_ROW
 from searchpulse.operators import rank, serve

@@ -4,7 +4,7 @@ from dataclasses import replace
 from datetime import date
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
