@@ -11,9 +11,11 @@ from searchpulse.llm.common import remainder_of_id, stored, table
 from searchpulse.llm.decontaminate import find_contamination
 from searchpulse.llm.license_scan import scan_licenses
 from searchpulse.llm.lm_mixing import score_texts
+from searchpulse.llm.merkle import fold, leaf_digest, merkle_manifest, proof_digest
 from searchpulse.llm.near_duplicates import near_duplicates
 from searchpulse.llm.orc_tokens import token_digest, write_tokens
 from searchpulse.llm.packing import pack_documents, piece_digest
+from searchpulse.llm.rank_codec import decode_ids, encode_texts
 from searchpulse.llm.registry import ORACLES, QUERIES, query
 from searchpulse.llm.tokens import tokenizer_path
 from searchpulse.llm.toxicity import MAX_DOCS, THRESHOLD, labelled_sample, learn, score_documents
@@ -241,6 +243,102 @@ def orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, out)
 
 
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+_FIELD_SQL = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD_SQL.format(c) for c in [*LEAF_COLUMNS[:-1], text]) + ")"
+
+
+# the lowest bit of crc32, bit by bit
+_EVEN_SQL = """(xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 1) & 1) = 0"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of trees of fanout three above ``leaves`` (scope, idx, h, n), level by level."""
+    return f"""{name} AS (
+  SELECT scope, 0 AS level, idx, h, n FROM {leaves}
+  UNION ALL
+  SELECT scope, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3
+  FROM {name} WHERE n > 1 GROUP BY scope, level, idx // 3, n
+)"""
+
+
+def _fold_sql(name: str, tree: str, start: str) -> str:
+    """``start`` (row, scope, idx, n, h) hashed up its tree with the siblings' digests."""
+    return f"""{name} AS (
+  SELECT row, scope, 0 AS level, idx, n, h FROM {start}
+  UNION ALL
+  SELECT f.row, f.scope, f.level + 1, f.idx // 3, (f.n + 2) // 3,
+         sha256(string_agg(CASE WHEN t.idx = f.idx THEN f.h ELSE t.h END, '' ORDER BY t.idx))
+  FROM {name} f JOIN {tree} t ON t.scope = f.scope AND t.level = f.level AND t.idx // 3 = f.idx // 3
+  WHERE f.n > 1 GROUP BY f.row, f.scope, f.level, f.idx, f.n
+)"""
+
+
+def _siblings_sql(tree: str, rows: str) -> str:
+    return f"""
+  SELECT r.row, string_agg(t.h, '' ORDER BY t.level, t.idx) AS p
+  FROM {rows} r JOIN {tree} t ON t.scope = r.scope AND t.idx // 3 = r.idx // CAST(pow(3, t.level + 1) AS BIGINT)
+    AND t.idx <> r.idx // CAST(pow(3, t.level) AS BIGINT) AND t.n > 1
+  GROUP BY r.row"""
+
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS scope, {_leaf_sql("text")} AS h,
+         CASE WHEN coalesce({_EVEN_SQL}, false) THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS changed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY scope ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY scope) AS n,
+         row_number() OVER (ORDER BY scope, doc_id NULLS FIRST, h) AS row
+  FROM leaf
+), {_tree_sql("tree", "placed")}, tops AS (
+  SELECT scope AS source, '' AS scope, row_number() OVER (ORDER BY scope) - 1 AS idx, h, count(*) OVER () AS n FROM tree WHERE n = 1
+), {_tree_sql("crown", "tops")}, changed AS (
+  SELECT row, scope, idx, n, changed AS h FROM placed
+), {_fold_sql("low", "tree", "changed")}, middle AS (
+  SELECT l.row, '' AS scope, t.idx, t.n, l.h FROM low l JOIN tops t ON t.source = l.scope WHERE l.n = 1
+), {_fold_sql("high", "crown", "middle")}, below AS ({_siblings_sql("tree", "placed")}
+), above AS ({_siblings_sql("crown", "middle")}
+), root AS (
+  SELECT h FROM crown WHERE n = 1
+)
+SELECT doc_id, placed.h AS leaf, tops.h AS subroot, root.h AS root, sha256(coalesce(below.p, '') || coalesce(above.p, '')) AS proof_sha256,
+       high.h AS folded_root, high.h = root.h AS verified
+FROM placed JOIN tops ON tops.source = placed.scope CROSS JOIN root JOIN high ON high.row = placed.row AND high.n = 1
+LEFT JOIN below ON below.row = placed.row LEFT JOIN above ON above.row = placed.row
+"""
+
+
+@query("op12_merkle", _MERKLE_SQL)
+def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, checked against a copy of which half has lost its line feeds."""
+    docs = table(spark, sf_dir, "documents")
+    lost = leaf_digest(*[F.col(c) for c in LEAF_COLUMNS[:-1]], F.replace("text", F.lit("\n"), F.lit("")))
+    found = merkle_manifest(docs, LEAF_COLUMNS, extra={"changed": F.when(remainder_of_id("doc_id", 2) == 0, lost)})
+    folded = found.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"),
+        fold(F.coalesce("_changed", "leaf"), F.col("steps")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_rank_codec")
+def rank_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def all_queries():
     return dict(QUERIES)
 
