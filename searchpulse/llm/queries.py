@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchpulse.llm import token_rollup as rollup
+from searchpulse.llm.alignment import BROADCAST_PAIRS, align_texts, link_totals
 from searchpulse.llm.ann import nearest
 from searchpulse.llm.common import remainder_of_id, stored, table
 from searchpulse.llm.decontaminate import find_contamination
@@ -243,6 +244,26 @@ def orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, out)
 
 
+def aligned_digest(docs: DataFrame, path_a: str, path_b: str, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """Numbers of tokens, groups and links of each text, how usual its links are, and the digest of its groups."""
+    aligned = align_texts(docs, path_a, path_b)
+    totals = link_totals(aligned, broadcast_pairs)
+    # the groups are digested before the join, so they are not shuffled
+    own = aligned.select(
+        "row", "doc_id", "n_a", "n_b", "n_groups",
+        F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256"),
+    )
+    none = F.lit(0).cast("long")
+    return own.join(totals, "row", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", *[F.coalesce(c, none).alias(c) for c in ("n_links", "n_best", "count_sum")], "groups_sha256"
+    )
+
+
+@query("op11_alignment")
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 _FIELD_SQL = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
