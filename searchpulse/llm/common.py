@@ -73,6 +73,36 @@ def per_process(key, make):
     return held[key]
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the allocator hold but no longer use, at the end of a task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
+def by_bytes(batches, column: int, limit: int, rows: int = 1 << 30):
+    """Slices of record batches of about ``limit`` bytes in a string column, and ``rows`` rows, at most; a longer text is alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            held = ends[at - 1] if at else 0
+            stop = min(max(at + 1, int(np.searchsorted(ends, held + limit, "right"))), at + rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def share(spark: SparkSession, value):
     """Broadcast an object of this package by value; the returned function gives it back once in each task."""
     import pickle

@@ -9,13 +9,17 @@ item, and the words are hit. An item shorter than ``window`` is one window itsel
 Only stretches of words that all occur in some item are streamed: any other word
 resets the automaton, so leaving it out changes nothing.
 
-The automaton is broadcast and its size is bounded: items are dealt over as many
-automata as keep each within ``words_per_automaton`` words; with more than one,
-the documents are streamed through each and the hits merged by position.
+Items are dealt by hash over as many automata as keep each at about
+``words_per_automaton`` words. Tasks build them and write them to a table in the
+shared folder; they are broadcast from there one after the other, so the driver holds one at
+most. With more than one, the documents are streamed through each and the hits
+merged by position.
 
 Edge cases: null texts have no words and no hits; items without words (or null)
-are never found; repeated items each count; very long documents are streamed like
-any other; an empty benchmark hits nothing; a null item id is left out.
+are never found; repeated items each count; an item without an id hits and is cut like
+any other, but is in no list of items; very long documents are streamed like
+any other; an empty benchmark hits nothing; a null document id is kept, repeated ids
+are judged row by row; only the named columns are read, so other columns' names may clash.
 """
 
 from __future__ import annotations
@@ -24,17 +28,20 @@ import hashlib
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from searchpulse.llm.common import WORD_BYTES, alnum_words, share
+from searchpulse.llm.common import WORD_BYTES, alnum_words, by_bytes, give_back, stored
 
 WINDOW = 10
 WORDS_PER_AUTOMATON = 200_000
+#: Bytes of text whose words are held at once, and documents at most: with one automaton, and with several to load for each portion.
+TEXT_BYTES, ROWS_AT_ONCE = (4 << 20, 32 << 20), (256, 1 << 16)
 
 
 class SuffixAutomaton:
-    """Suffix automaton of several word sequences, with the items of each window."""
+    """Suffix automaton of several word sequences, with the items of each window; an item without a name is None."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.number: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -45,7 +52,7 @@ class SuffixAutomaton:
             for letter in letters:
                 last = self._extend(last, letter)
         self.shortest = min([window, *(len(x) for _, x in coded)]) if coded else window
-        self.windows: dict[int, list[str]] = {}  # items by the state of the window
+        self.windows: dict[int, list[str | None]] = {}  # items by the state of the window
         self.short: dict[int, list[tuple[int, str]]] = {}  # short whole items by their state
         for name, letters in coded:
             state = 0
@@ -149,21 +156,38 @@ class SuffixAutomaton:
 
 
 def automata(benchmark: DataFrame, window: int, item_id: str, text_col: str, words_per_automaton: int) -> list:
-    """Automata over all items of the benchmark, each within the bound on words.
+    """Loaders of the automata over all items of the benchmark, of about ``words_per_automaton`` words each."""
+    import pickle
 
-    The test items themselves are the one table that is read by the driver: they
-    are streamed in order of id and each automaton is closed at the bound.
-    """
-    built, group, size = [], [], 0
-    rows = benchmark.selectExpr(f"cast({item_id} AS string) AS id", text_col).where("id IS NOT NULL").orderBy("id")
-    for name, text in rows.toLocalIterator():
-        words = alnum_words(text)
-        if group and size + len(words) > words_per_automaton:
-            built.append(SuffixAutomaton(group, window))
-            group, size = [], 0
-        group.append((name, words))
-        size += len(words)
-    return [*built, SuffixAutomaton(group, window)]
+    import pandas as pd
+
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text_col).alias("text"))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    total = items.agg(F.sum(words.cast("long"))).head()[0] or 0
+    groups = max(1, -(-total // words_per_automaton))
+
+    def build(rows):
+        texts = sorted(zip(rows["id"], rows["text"]), key=lambda r: (r[0] is None, r[0] or "", r[1] or ""))
+        built = SuffixAutomaton([(name, alnum_words(text)) for name, text in texts], window)
+        return pd.DataFrame({"automaton": [pickle.dumps(built.__dict__)]})
+
+    group = F.pmod(F.xxhash64("id", "text"), F.lit(groups)).alias("group")
+    made = stored(items.select("id", "text", group).groupBy("group").applyInPandas(build, "automaton binary"), "automata")
+    return [_sent(benchmark.sparkSession, row[0]) for row in made.toLocalIterator()]
+
+
+def _sent(spark, state: bytes):
+    """Broadcast a pickled automaton; the returned function gives it back in a task."""
+    import pickle
+
+    sent = spark.sparkContext.broadcast(bytes(state))
+
+    def load() -> SuffixAutomaton:
+        automaton = SuffixAutomaton.__new__(SuffixAutomaton)
+        automaton.__dict__.update(pickle.loads(sent.value))
+        return automaton
+
+    return load
 
 
 HIT_SCHEMA = (
@@ -182,12 +206,9 @@ def _merge(spans: list) -> list:
     return out
 
 
-def _parts(batches, many: bool):
-    """Batches in parts whose words fit a task; larger ones where each part loads several automata."""
-    rows = 4096 if many else 256
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def _parts(batches, column: int, many: bool):
+    """Portions of the documents whose words fit a task; larger ones where each loads several automata."""
+    return by_bytes(batches, column, TEXT_BYTES[many], ROWS_AT_ONCE[many])
 
 
 def _hits_of(docs_words: list, shared: list, held) -> list[tuple[list, set]]:
@@ -217,7 +238,7 @@ def find_contamination(
     """One row per document: its id and ``HIT_SCHEMA``; spans count words."""
     import pyarrow as pa
 
-    shared = [share(docs.sparkSession, a) for a in automata(benchmark, window, item_id, item_text, words_per_automaton)]
+    shared = automata(benchmark, window, item_id, item_text, words_per_automaton)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
@@ -225,11 +246,11 @@ def find_contamination(
         types = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(span)]
         names = [c.split()[0] for c in HIT_SCHEMA.split(", ")[:6]] + ["spans"]
         held = shared[0]() if len(shared) == 1 else None
-        for batch in _parts(batches, held is None):
+        for batch in _parts(batches, 1, held is None):
             rows = []
             docs_words = list(map(alnum_words, batch.column(1).to_pylist()))
             for words, (spans, items) in zip(docs_words, _hits_of(docs_words, shared, held)):
-                ids = sorted(items)
+                ids = sorted(items - {None})
                 digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
                 n_hit = sum(e - s for s, e in spans)
                 rows.append(
@@ -238,6 +259,7 @@ def find_contamination(
             columns = list(zip(*rows)) or [()] * len(types)
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [id_col, *names])
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(scan, f"{id_col} {id_type}, {HIT_SCHEMA}")
 
@@ -269,12 +291,12 @@ def decontaminate(
     """
     import pyarrow as pa
 
-    shared = [share(docs.sparkSession, a) for a in automata(benchmark, window, "item_id", "text", words_per_automaton)]
+    shared = automata(benchmark, window, "item_id", "text", words_per_automaton)
     at, chars = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def clean(batches):
         held = shared[0]() if len(shared) == 1 else None
-        for batch in _parts(batches, held is None):
+        for batch in _parts(batches, at, held is None):
             keep, texts, lengths = [], batch.column(at).to_pylist(), batch.column(chars).to_pylist() if chars is not None else []
             docs_words = list(map(alnum_words, texts))
             for i, (words, (spans, _)) in enumerate(zip(docs_words, _hits_of(docs_words, shared, held))):
@@ -289,5 +311,6 @@ def decontaminate(
             if chars is not None:
                 arrays[chars] = pa.array(lengths, batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(clean, docs.schema)

@@ -19,7 +19,9 @@ pair at the threshold misses all bands with a probability of 5e-8.
 Edge cases: null and empty texts have empty sets and link with nothing; a text of
 fewer words than a shingle has its whole sequence as its only one; repeated rows are
 copies; a repeated id is judged row by row; a null id links its copies but can lead
-no group; very long texts are whole.
+no group (``deduplicate`` tells such documents apart); ties go to the smallest id; an empty
+table gives no rows; very long texts are whole; only the id and the text are read, so
+other columns' names may clash.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from searchpulse.llm.common import blank_words, lowered, stored
 from searchpulse.llm.components import components
+from searchpulse.llm.merkle import numbered
 
 BANDS, ROWS = 32, 4
 #: Turns in which the members outside a bucket's largest component meet some of its members, and how many.
@@ -317,13 +320,19 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that lead their group, one row each, with all their columns.
 
-    Rows without an id are kept unless they copy a document that has one.
+    Exact copies with the same id are one document, of which any row stays. Where an id
+    is null, or stands at different texts, each pair of id and text is a document of its
+    own, numbered in order of the ids (null last); then the smallest number leads.
     """
-    judged = near_duplicates(docs, shingle_words, percent, id_col, text_col)
-    kept = judged.where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    digest = F.sha2(F.col(text_col).cast("binary"), 256)
-    unnamed = docs.where(F.col(id_col).isNull())
-    copied = docs.where(F.col(id_col).isNotNull()).select(digest.alias("_copied")).distinct()
-    alone = unnamed.join(copied, digest == F.col("_copied"), "left_anti")
-    return named.select(*docs.columns).unionByName(alone.select(*docs.columns))
+    digest = F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit(""))
+    pairs = docs.select(id_col, digest.alias("_digest"))
+    spread = pairs.groupBy(id_col).agg((F.min("_digest") < F.max("_digest")).alias("several"))
+    if not spread.where(F.col("several") | F.col(id_col).isNull()).limit(1).count():
+        kept = near_duplicates(docs, shingle_words, percent, id_col, text_col).where("kept").select(id_col).distinct()
+        return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    keys = pairs.distinct().withColumn("_none", F.col(id_col).isNull())
+    keys = numbered(keys, [], ["_none", id_col, "_digest"]).select(F.col(id_col).alias("_id"), "_digest", F.col("position").alias("_key"))
+    rows = docs.withColumn("_digest", digest)
+    rows = stored(rows.join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (rows["_digest"] == keys["_digest"])).select(*docs.columns, "_key"), "keyed")
+    kept = near_duplicates(rows, shingle_words, percent, "_key", text_col).where("kept").select("_key").distinct()
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

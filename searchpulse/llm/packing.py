@@ -9,10 +9,17 @@ unless a limit other than tokens closes them.
 Each task packs what it reads, through a pool of bounded size, without a shuffle;
 the order of a split's rows is that of its file, so a repeated task gives the same
 bins. What is left when the rows end goes into sequences of power-of-two lengths,
-which need no padding.
+which need no padding. Unless a limit on segments is given, as many pieces share a
+sequence as it has room for; with one, documents of few tokens close sequences early
+and are padded.
+
+Texts are encoded, and items pooled, in portions bounded by bytes, and the encoder
+forgets its parts at a bound; one text longer than these is held alone.
 
 Edge cases: null and empty texts have the end id alone; very long texts are cut;
-repeated rows are packed each; an empty table gives no pieces.
+repeated rows are packed each; of pieces with the same product the first read comes
+first; an empty table gives no pieces; only the id, the text and the prompt are read,
+so other columns' names may clash.
 """
 
 from __future__ import annotations
@@ -21,21 +28,23 @@ import zlib
 
 from pyspark.sql import DataFrame
 
+from searchpulse.llm.common import by_bytes, give_back
 from searchpulse.llm.tokens import END_ID, worker_encoder
 
 LENGTH = 4096
-MAX_SEGMENTS = 256
-#: Items a task looks at when it chooses the next piece.
-POOL = 1024
-#: Documents tokenised at once.
-ROWS_AT_ONCE = 4096
+#: Items a task looks at when it chooses the next piece, and their tokens, about.
+POOL, POOL_TOKENS = 1024, 1 << 19
+#: Bytes of text tokenised at once, and documents at most.
+TEXT_BYTES, ROWS_AT_ONCE = 2 << 20, 4096
+#: Bytes of known parts that a worker keeps.
+PARTS_BYTES = 32 << 20
 
 PIECE_SCHEMA = (
     "start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, "
     "sequence_id long, offset long, sequence_length long, ids array<int>"
 )
 #: Tokens of the pieces passed on at once.
-TOKENS_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1 << 19
 
 
 class Packer:
@@ -48,6 +57,7 @@ class Packer:
         self.pool = pool
         self.next_id = first_id
         self.items: list[list] = []  # [key, ids, tokens of the document, loss tokens, start of what is left]
+        self.held = 0  # tokens of the items
 
     def _demand(self):
         import numpy as np
@@ -59,17 +69,22 @@ class Packer:
         """Take an item; gives pieces once the pool is full."""
         n = len(ids) // 4
         self.items.append([key, ids, n, n if loss is None else loss, 0])
-        return self.fill(self.pool // 2) if len(self.items) >= self.pool else []
+        self.held += n
+        full = len(self.items) >= self.pool and self.held >= 2 * self.limits[0] or self.held >= POOL_TOKENS
+        return self.fill(self.pool // 2, POOL_TOKENS // 2) if full else []
 
-    def fill(self, keep: int = 0) -> list[tuple]:
-        """Pieces of full sequences until ``keep`` items are left or the tokens no longer fill one."""
+    def fill(self, keep: int = 0, tokens: int = 0) -> list[tuple]:
+        """Pieces of full sequences until ``keep`` items of ``tokens`` are left or the tokens no longer fill one."""
         import numpy as np
 
         pieces: list[tuple] = []
         demand = self._demand()
         alive = np.ones(len(self.items), bool)
-        while alive.sum() > keep and demand[alive, 0].sum() >= self.limits[0]:
+        left = demand[:, 0].sum()
+        while (alive.sum() > keep or left > tokens) and left >= self.limits[0]:
             pieces += self._sequence(demand, alive, self.limits)
+            left = demand[alive, 0].sum()
+        self.held = int(left)
         self.items = [item for item, on in zip(self.items, alive) if on]
         return pieces
 
@@ -83,7 +98,7 @@ class Packer:
             left = int(demand[alive, 0].sum())
             size = min(self.limits[0], 1 << (left.bit_length() - 1))
             pieces += self._sequence(demand, alive, np.array([size, *self.limits[1:]]))
-        self.items = []
+        self.items, self.held = [], 0
         return pieces
 
     def _sequence(self, demand, alive, limits) -> list[tuple]:
@@ -122,7 +137,7 @@ def pack_documents(
     text_col: str = "text",
     prompt_col: str | None = None,
     length: int = LENGTH,
-    max_segments: int = MAX_SEGMENTS,
+    max_segments: int | None = None,
     max_loss: int | None = None,
     end_id: int = END_ID,
 ) -> DataFrame:
@@ -141,8 +156,8 @@ def pack_documents(
     def pack(batches):
         from pyspark import TaskContext
 
-        encoder = worker_encoder(path, drops_blanks, end_id)
-        packer = Packer(length, max_segments, max_loss or length, TaskContext.get().partitionId() << 32)
+        encoder = worker_encoder(path, drops_blanks, end_id, PARTS_BYTES)
+        packer = Packer(length, max_segments or length, max_loss or length, TaskContext.get().partitionId() << 32)
         kind = None
 
         def made(pieces):
@@ -152,24 +167,23 @@ def pack_documents(
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), values)], names)
 
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                texts = encoder.encode(part.column(1).to_pylist())
-                prompts = encoder.encode(part.column(2).to_pylist()) if prompt_col else [encoder.end] * len(texts)
-                pieces, held = [], 0
-                for key, ids, prompt in zip(part.column(0).to_pylist(), texts, prompts):
-                    full = packer.add(key, prompt[:-4] + ids, len(ids) // 4)
-                    pieces += full
-                    held += sum(p[2] for p in full)
-                    if held >= TOKENS_AT_ONCE:
-                        yield made(pieces)
-                        pieces, held = [], 0
-                if pieces:
+        for part in by_bytes(batches, 1, TEXT_BYTES, ROWS_AT_ONCE):
+            kind = part.schema.field(0).type
+            texts = encoder.encode(part.column(1).to_pylist())
+            prompts = encoder.encode(part.column(2).to_pylist()) if prompt_col else [encoder.end] * len(texts)
+            pieces, held = [], 0
+            for key, ids, prompt in zip(part.column(0).to_pylist(), texts, prompts):
+                full = packer.add(key, prompt[:-4] + ids, len(ids) // 4)
+                pieces += full
+                held += sum(p[2] for p in full)
+                if held >= TOKENS_AT_ONCE:
                     yield made(pieces)
+                    pieces, held = [], 0
+            if pieces:
+                yield made(pieces)
         if pieces := packer.finish():
             yield made(pieces)
+        give_back()
 
     return docs.select(*columns).mapInArrow(pack, f"{id_col} {id_type}, {PIECE_SCHEMA}")
 

@@ -176,7 +176,7 @@ WITH doc AS (
 ), item AS (
   SELECT item_id, w, least(10, len(w)) AS k
   FROM (SELECT item_id, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
-  WHERE item_id IS NOT NULL AND len(w) > 0
+  WHERE len(w) > 0
 ), windows AS (
   SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
   FROM (SELECT item_id, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM item)
@@ -190,7 +190,7 @@ WITH doc AS (
   FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS place FROM (SELECT DISTINCT doc_id, k, i FROM met)) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM met) GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM met WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

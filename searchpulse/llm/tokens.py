@@ -42,9 +42,11 @@ class Encoder:
     parts are an Arrow array; their ids lie in a row in one numpy array.
     """
 
-    def __init__(self, path: str, drops_blanks: bool, end_id: int = END_ID):
+    def __init__(self, path: str, drops_blanks: bool, end_id: int = END_ID, parts_bytes: int | None = None):
         from tokenizers import Tokenizer
 
+        self.parts_bytes = parts_bytes
+
         self.library = Tokenizer.from_file(path)
         self.drops_blanks = drops_blanks
         self.end = end_id.to_bytes(4, "little")
@@ -61,6 +63,10 @@ class Encoder:
         self.parts = pa.array([""], pa.large_string())
         self.begin, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def _held(self) -> int:
+        """Bytes of the known parts, the index that Arrow builds over them, and their ids."""
+        return self.parts.nbytes + 32 * len(self.parts) + self.begin.nbytes + self.size.nbytes + self.ids.nbytes
+
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids straight from the library."""
         import array
@@ -135,7 +141,7 @@ class Encoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self.parts) > PARTS_KEPT:
+        if len(self.parts) > PARTS_KEPT or self.parts_bytes and self._held() > self.parts_bytes:
             self._forget()
         found = pc.index_in(parts, value_set=self.parts)
         new = parts.filter(found.is_null())
@@ -185,9 +191,11 @@ class Encoder:
         return out
 
 
-def worker_encoder(path: str, drops_blanks: bool, end_id: int = END_ID) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+def worker_encoder(path: str, drops_blanks: bool, end_id: int = END_ID, parts_bytes: int | None = None) -> Encoder:
+    """The worker's encoder for a vocabulary file; known parts are forgotten beyond ``parts_bytes``."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return per_process(("encoder", path, drops_blanks, end_id), lambda: Encoder(path, drops_blanks, end_id))
+    return per_process(
+        ("encoder", path, drops_blanks, end_id, parts_bytes), lambda: Encoder(path, drops_blanks, end_id, parts_bytes)
+    )

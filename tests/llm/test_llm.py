@@ -305,6 +305,34 @@ def test_hits_match_brute_force(spark):
     assert not decontaminate.find_contamination(docs, bench.where("false")).where("contaminated").count()
 
 
+def test_items_without_an_id_hit_but_are_not_named(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, f"{passage} twelve alpha beta gamma delta"), (3, "clean"), (None, passage)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (7, "alpha beta gamma"), (None, None)], "item_id long, text string")
+    for size in (200_000, 5):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in decontaminate.find_contamination(docs, bench, words_per_automaton=size).collect()}
+        assert got == {1: (11, 0, [], True), 2: (14, 1, ["7"], True), 3: (0, 0, [], False), None: (11, 0, [], True)}
+        cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, max_coverage=0.95, words_per_automaton=size).collect()}
+        assert cut == {1: "before  after", 2: " twelve  delta", 3: "clean"}
+
+
+def test_hits_match_their_sql_with_null_items(spark, tmp_path):
+    import duckdb
+
+    from searchpulse.llm import queries
+
+    passage = "one two three four five six seven eight nine ten eleven"
+    texts = [passage, passage + " x " + passage.upper(), "alpha beta", None, "", "gamma delta one two"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, passage), (2, "alpha beta"), (None, "gamma"), (3, passage)], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["op7_decontaminate"])
+    got = queries.decontaminate(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_passages_are_cut(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     rows = [(1, f"Before it: {passage.title()}! After that, more and more words follow here, as a text is mostly its own.", 9), (2, passage, 9), (3, "clean", 5), (4, None, None)]
@@ -348,6 +376,46 @@ def test_sequences_hold_every_id_once(docs, none):
     assert packing.pack_documents(none, path, True).count() == 0
 
 
+def test_tiny_documents_fill_their_sequences(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    df = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).repartition(2)
+    sizes = packing.pack_documents(df, path, True).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).collect()
+    assert sum(r.n for r in sizes) == 36_000 and sum(4096 - r.n for r in sizes if r.n & (r.n - 1)) == 0
+    assert max(r.k for r in sizes) > 1024
+    pieces = packing.pack_documents(df, path, True, max_segments=100)
+    assert pieces.groupBy("sequence_id").count().where("count > 100").count() == 0
+
+
+def test_pool_and_parts_are_bounded_by_bytes():
+    path = tokenizer_path("word_bpe_49k.json")
+    packer = packing.Packer(64, 64, 64, 0)
+    given = made = 0
+    for i in range(400):
+        ids = np.arange(3000, dtype="<u4").tobytes()
+        given += 3000
+        made += sum(p[2] for p in packer.add(i, ids))
+        assert packer.held == given - made <= packing.POOL_TOKENS
+    assert made + sum(p[2] for p in packer.finish()) == given and packer.held == 0
+    small, plain = Encoder(path, True, parts_bytes=2000), Encoder(path, True)
+    for at in range(0, 400, 40):
+        texts = [f"word{i} other{i * 7} tail" for i in range(at, at + 40)]
+        assert small.encode(texts) == plain.encode(texts)
+    assert len(small.parts) < len(plain.parts)
+
+
+def test_portions_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from searchpulse.llm.common import by_bytes
+
+    texts = [None, "", "x" * 5, "y" * 50, "z", None, "w" * 9, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["i", "t"])
+    for limit in (1, 6, 10, 1000):
+        parts = list(by_bytes([batch, batch.slice(0, 0)], 1, limit, 3))
+        assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+        assert all(p.num_rows == 1 or p.num_rows <= 3 and sum(len(t or "") for t in p.column(1).to_pylist()) <= limit for p in parts)
+
+
 def test_pieces_hold_their_ids(spark, docs, tmp_path):
     import corpus_pipeline
     from searchpulse.llm import queries
@@ -419,6 +487,17 @@ def test_deduplicated_rows(docs, none):
     assert {60, 61, 62, 63} <= set(ids)
 
 
+def test_rows_of_one_id_with_different_texts_are_documents_of_their_own(spark):
+    rng = random.Random(6)
+    long = [prose(rng, 80) for _ in range(5)]
+    rows = [(1, long[0], "a"), (1, long[1], "b"), (1, long[1], "c"), (2, long[0] + " tail", "d"), (3, long[2], "e"), (4, None, "f"), (4, "", "g"), (None, long[3], "h"), (None, long[3] + " tail", "i"), (None, long[2], "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id or 0, r.text or "", r.text is None) for r in near.deduplicate(df).collect())
+    unnamed = [g for g in got if g[0] == 0]
+    assert [g for g in got if g[0]] == sorted([(1, long[0], False), (1, long[1], False), (3, long[2], False), (4, "", True), (4, "", False)])
+    assert len(unnamed) == 1 and unnamed[0][1].startswith(long[3])
+
+
 def test_chains_become_one_component(spark):
     n = 200
     order = random.Random(1).sample(range(n), n)
@@ -451,3 +530,27 @@ def test_pipeline_runs_over_a_table(spark, tmp_path):
     spark.createDataFrame([(1, "no such passage in any of these documents at all today")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert got == {i for i, _, y in toxic_rows()[:200] if not y} | {901}
+
+
+def test_pipeline_of_awkward_tables(spark, docs, tmp_path):
+    """Null and repeated ids, null columns, extra columns, a document with a passage; then no documents at all."""
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    passage = prose(rng, 14)
+    extra = spark.createDataFrame([(700, f"{prose(rng, 60)} {passage} {prose(rng, 60)}"), (60, "another text with the id of row sixty")], "doc_id long, text string")
+    every = docs.unionByName(extra, allowMissingColumns=True)
+    bench = [(None, passage), (2, None)]
+    for name, table in (("full", every), ("none", every.where("false"))):
+        base = tmp_path / name
+        table.write.parquet(str(base / "documents.parquet"))
+        spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(base / "labels.parquet"))
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(base / "benchmark.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path / "full"))
+    whole = {(r.doc_id, r.ids[-1]) for r in found.select("doc_id", "ids").collect()}
+    assert (None, 2) in whole and (700, 2) in whole and (60, 2) in whole
+    encoder = Encoder(tokenizer_path("word_bpe_49k.json"), True)
+    uncut = len(encoder.encode([extra.where("doc_id = 700").head().text])[0]) // 4
+    assert found.where("doc_id = 700").agg(F.sum("length")).head()[0] <= uncut - 14
+    assert found.where("doc_id = 60 AND start = 0").count() == 2
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
