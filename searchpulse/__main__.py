@@ -1,4 +1,4 @@
-"""Job entry points for spark-submit: generate, land, daily, page, compress, check.
+"""Job entry points for spark-submit: generate, land, compact, daily, page, compress, check.
 
 Example: spark-submit --py-files searchpulse.zip -m searchpulse daily --log LOG --root OUT --as-of 2024-01-30
 """
@@ -14,12 +14,22 @@ from searchpulse.config import TrendConfig
 from searchpulse.operators import quality, reports, serve
 from searchpulse.operators.consolidate import canonical_log
 from searchpulse.operators.datagen import generate_time_series
+from searchpulse.operators.feed import ArrivalFeed
 from searchpulse.operators.rank import nest_results
 from searchpulse.plans.daily import Tables, run_daily, stored_results
 from searchpulse.session import build_session
 from searchpulse.sources.files import compress_files
 from searchpulse.sources.ingest import land_ndjson
-from searchpulse.streaming.land import land_stream, landed_events, message_files
+from searchpulse.streaming.compact import FOLDERS, compact_hours
+from searchpulse.streaming.land import (
+    FLUSH_BYTES,
+    FLUSH_SECONDS,
+    accepted_rows,
+    land_files,
+    land_stream,
+    landed_events,
+    message_files,
+)
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -39,6 +49,13 @@ def arguments() -> argparse.ArgumentParser:
     job.add_argument("--checkpoint", required=True)
     job.add_argument("--by-event-time", action="store_true")
     job.add_argument("--once", action="store_true", help="process what is there and stop")
+    job.add_argument("--flush-bytes", type=int, default=FLUSH_BYTES, help="land as soon as this much has arrived")
+    job.add_argument("--flush-seconds", type=float, default=FLUSH_SECONDS, help="and after this time in any case")
+
+    job = jobs.add_parser("compact", help="copy landed hours that are over into larger files")
+    job.add_argument("--table", required=True)
+    job.add_argument("--out", required=True)
+    job.add_argument("--before", required=True, help="yyyy-MM-dd HH:mm:ss, UTC")
 
     job = jobs.add_parser("daily", help="consolidate, cluster, label, rank and store one day")
     job.add_argument("--log", required=True, help="raw table written by land")
@@ -75,10 +92,15 @@ def main(argv: list[str] | None = None) -> int:
         log = generate_time_series(spark, args.hours, args.per_hour, args.end, args.seed)
         land_ndjson(log, args.out)
     elif args.job == "land":
-        messages = message_files(spark, args.messages)
         by_event = F.col("timestamp") if args.by_event_time else None
-        run = land_stream(messages, args.table, args.checkpoint, available_now=args.once, partition_time=by_event)
-        run.awaitTermination()
+        if args.once:
+            messages = message_files(spark, args.messages)
+            land_stream(messages, args.table, args.checkpoint, available_now=True, partition_time=by_event).awaitTermination()
+        else:
+            where = (args.messages, args.table, args.checkpoint)
+            land_files(spark, *where, args.flush_bytes, args.flush_seconds, partition_time=by_event)
+    elif args.job == "compact":
+        print(f"compacted {compact_hours(spark, args.table, args.out, args.before)} folders")
     elif args.job == "daily":
         cfg = TrendConfig(
             cluster_count=args.clusters,
@@ -87,7 +109,9 @@ def main(argv: list[str] | None = None) -> int:
             with_growth=args.growth,
         )
         run_ts = args.run_ts or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        stored = run_daily(canonical_log(landed_events(spark, args.log)), Tables(args.root), args.as_of, run_ts, cfg)
+        tables = Tables(args.root)
+        feed = ArrivalFeed(spark, args.log, tables.feed, FOLDERS, accepted_rows)
+        stored = run_daily(canonical_log(landed_events(spark, args.log)), tables, args.as_of, run_ts, cfg, feed=feed)
         print(f"stored {stored.count()} rows for {args.as_of}")
     elif args.job == "page":
         results = stored_results(spark, Tables(args.root))

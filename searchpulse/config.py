@@ -30,3 +30,5 @@ class TrendConfig:
     label_texts: int = 10
     ttl_days: int = 30
     with_growth: bool = False
+    # Also keep a sketch of each query-day's users, for distinct users over any range.
+    with_user_sketches: bool = False

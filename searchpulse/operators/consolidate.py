@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchpulse.functions.columns import as_date, with_date_parts
-from searchpulse.functions.joins import join_null_safe
+from searchpulse.functions.joins import counted_side
+
 
 def canonical_log(df: DataFrame) -> DataFrame:
     """One ``query_text`` column whichever of the two field names the producer used."""
@@ -38,7 +39,14 @@ def consolidate(log: DataFrame, exact_users: bool = True) -> DataFrame:
     and source, which spreads a query with a third of the log over its users. The
     distinct count and the first source run over what is left.
     """
-    keys = ["query_text", "date"]
+    return daily_rows(reduce_log(log), exact_users)
+
+
+DAY_KEYS = ["query_text", "date"]
+
+
+def reduce_log(log: DataFrame, **extra: Column) -> DataFrame:
+    """One row per query, day, user and source; such rows of several loads may stand side by side."""
     named = log.select(
         "query_text",
         F.to_date("timestamp").alias("date"),
@@ -47,21 +55,28 @@ def consolidate(log: DataFrame, exact_users: bool = True) -> DataFrame:
         "results_count",
         "click_through",
         earliest_key(log).cast("decimal(38,0)").alias("first"),
+        *[c for c in ("timestamp",) if extra],
     )
-    reduced = named.groupBy(*keys, "user_id", "source").agg(
+    return named.groupBy(*DAY_KEYS, "user_id", "source").agg(
         F.count("*").alias("n"),
         F.sum("results_count").alias("results"),
         F.count("results_count").alias("with_results"),
         F.count_if(F.coalesce("click_through", F.lit(False))).alias("clicks"),
         F.min("first").alias("first"),
+        *[c.alias(name) for name, c in extra.items()],
     )
+
+
+def daily_rows(reduced: DataFrame, exact_users: bool = True, **extra: Column) -> DataFrame:
+    """Query-days from the rows of ``reduce_log``."""
     users = F.count_distinct("user_id") if exact_users else F.approx_count_distinct("user_id", 0.02)
-    daily = reduced.groupBy(*keys).agg(
+    daily = reduced.groupBy(*DAY_KEYS).agg(
         F.sum("n").alias("query_count"),
         users.alias("unique_users"),
         F.try_divide(F.sum("results"), F.sum("with_results")).cast("double").alias("avg_results_count"),
         (F.sum("clicks") / F.sum("n")).alias("click_through_rate"),
         F.min_by("source", F.struct("first", "source")).alias("source"),
+        *[c.alias(name) for name, c in extra.items()],
     )
     return with_date_parts(daily)
 
@@ -100,19 +115,18 @@ def recompute_touched_days(spark: SparkSession, raw_path: str, new_rows: DataFra
     many dates a load touches, and no date passes through the driver.
     """
     touched = new_rows.select(F.to_date("timestamp").alias("date")).distinct()
-    affected = spark.read.parquet(raw_path).join(touched, "date", "left_semi")
+    # the comparison on the measured side lets Spark prune partitions while it runs
+    wanted = counted_side(touched).where("date >= DATE '0001-01-01'")
+    affected = spark.read.parquet(raw_path).join(wanted, "date", "left_semi")
     write_by_date(consolidate(affected.drop("date")), out_path)
 
 
-def changed_dates(log: DataFrame, daily: DataFrame) -> DataFrame:
-    """Dates of ``log`` whose number of rows is not the one consolidated in ``daily``, null among them.
+def changed_dates(now: DataFrame, held: DataFrame) -> DataFrame:
+    """Dates, null among them, whose fingerprints (``feed.date_prints``) are not those held from the last run.
 
-    Before the first run nothing is consolidated, so these are all dates. Only the
-    times of the log and the counts of the table are read.
+    A corrected row changes its date's fingerprint also where the number of rows stays.
     """
-    landed = log.groupBy(F.to_date("timestamp").alias("date")).agg(F.count("*").alias("n"))
-    held = daily.groupBy("date").agg(F.sum("query_count").alias("n"))
-    return join_null_safe(landed, held, ["date", "n"], "left_anti").select("date")
+    return now.exceptAll(held).unionByName(held.exceptAll(now)).select("date").distinct()
 
 
 def rows_of_dates(log: DataFrame, dates: DataFrame) -> DataFrame:
@@ -125,4 +139,4 @@ def rows_of_dates(log: DataFrame, dates: DataFrame) -> DataFrame:
     if undated:  # also a time that is no date
         within = within | F.to_date("timestamp").isNull()
     named = dates.select(F.col("date").alias("_date"))
-    return log.where(within).join(F.broadcast(named), F.to_date("timestamp").eqNullSafe(F.col("_date")), "left_semi")
+    return log.where(within).join(counted_side(named), F.to_date("timestamp").eqNullSafe(F.col("_date")), "left_semi")

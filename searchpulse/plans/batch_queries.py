@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,13 @@ from searchpulse.operators.consolidate import (
     recompute_touched_days,
     write_by_date,
 )
+from searchpulse.operators.index import refresh_index
+from searchpulse.operators.users import EXACT, RELATIVE_ERROR, shared_users, user_sketches, users_between
 from searchpulse.plans.registry import DAILY_SQL, LABEL_CASE_SQL, LOG_SQL, RESULT_COLUMNS_SQL, RESULTS_SQL, query
 from searchpulse.schemas import RESULT_ROW
 from searchpulse.session import ensure_checkpoint_dir, work_dir
 from searchpulse.sources.fixtures import AS_OF, arrival_delay, search_log, table
+from searchpulse.sources.ingest import register_table
 
 DAILY_OUT_SQL = (
     "query_text, date, query_count, unique_users, round(avg_results_count, 9) AS avg_results_count, "
@@ -66,6 +71,16 @@ def served_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(RESULT_ROW).parquet(_STORED[key])
 
 
+def served_index(spark: SparkSession, sf_dir: str, column: str) -> str:
+    """Where the stored results have their index of ``column``: written once in a session, as the put does."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#{column}")
+    if key not in _STORED:
+        path = work_dir(spark, f"served-by-{column}")
+        refresh_index(served_results(spark, sf_dir), path, column)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 @query("consolidate", f"SELECT {DAILY_OUT_SQL}, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, CAST(day(date) AS INTEGER) AS day FROM ({DAILY_SQL})")
 def consolidate_query(spark, sf_dir):
     daily = consolidate(search_log(spark, sf_dir))
@@ -235,7 +250,7 @@ def parse_json_results(spark, sf_dir):
 
 @query("ttl_filter", f"SELECT date, query_id, ttl FROM ({RESULTS_SQL}) WHERE ttl > epoch(TIMESTAMP '2024-02-15 00:00:00')")
 def ttl_filter(spark, sf_dir):
-    return retention.visible(result_table(spark, sf_dir), "2024-02-15 00:00:00").select("date", "query_id", "ttl")
+    return retention.visible(served_results(spark, sf_dir), "2024-02-15 00:00:00").select("date", "query_id", "ttl")
 
 
 @query("retention_keep", f"SELECT query_text, date, query_count FROM ({DAILY_SQL}) WHERE date > DATE '{AS_OF}' - 10")
@@ -258,11 +273,57 @@ def purge_preview(spark, sf_dir):
     return retention.purge_preview(search_log(spark, sf_dir), "error")
 
 
-@query("purge_apply", f"SELECT event_id, query_text, source FROM ({LOG_SQL}) WHERE NOT contains(source, 'error')")
+@query("purge_apply", f"SELECT event_id, query_text, source, CAST(ts AS DATE) AS date FROM ({LOG_SQL}) WHERE NOT contains(source, 'error') AND event_id % 40 <> 7")
 def purge_apply(spark, sf_dir):
+    """Purged twice in place: one kind of rows, which every date has, then rows marked on a few dates only."""
     path = work_dir(spark, "purged")
-    retention.purge(search_log(spark, sf_dir), "error").write.parquet(path)
-    return spark.read.parquet(path).select("event_id", "query_text", "source")
+    log = search_log(spark, sf_dir).withColumn("date", F.to_date("timestamp"))
+    marked = F.when((F.col("event_id") % 40 == 7), F.lit("test")).otherwise(F.col("source"))
+    write_by_date(log.select("event_id", "query_text", marked.alias("source"), "date"), path)
+    retention.purge_stored(spark, path, ["date"], "error")
+    retention.purge_stored(spark, path, ["date"], "test")
+    return spark.read.parquet(path).select("event_id", "query_text", "source", "date")
+
+
+@query("expired_removed", f"SELECT query_text, date, query_count FROM ({DAILY_SQL}) WHERE date > DATE '{AS_OF}' - 10")
+def expired_removed(spark, sf_dir):
+    """The daily table has lost its expired dates, in the catalogue and then on the disk."""
+    path, name = work_dir(spark, "expiring"), f"expiring_{uuid.uuid4().hex[:12]}"
+    write_by_date(consolidate(search_log(spark, sf_dir)), path)
+    register_table(spark, name, path)
+    retention.expire_partitions(spark, name, path, AS_OF, 10, dry_run=False)
+    retention.sweep_expired(spark, name, path, AS_OF, grace_days=0)
+    return spark.read.parquet(path).select("query_text", "date", "query_count")
+
+
+@query("users_between", f"""
+SELECT query_text, count(DISTINCT CAST(ts AS DATE)) AS days, count(DISTINCT user_id) AS exact_users, true AS within_error
+FROM ({LOG_SQL}) WHERE CAST(ts AS DATE) BETWEEN DATE '{AS_OF}' - 6 AND DATE '{AS_OF}' GROUP BY query_text
+""")
+def users_between_query(spark, sf_dir):
+    """Users of seven days from stored sketches of single days, against the exact count of the log."""
+    path, log = work_dir(spark, "user-sketches"), search_log(spark, sf_dir)
+    write_by_date(user_sketches(log), path)
+    day = F.to_date("timestamp")
+    first, last = F.date_sub(F.lit(AS_OF).cast("date"), 6), F.lit(AS_OF).cast("date")
+    found = users_between(spark.read.parquet(path), first, last)
+    exact = log.where(day.between(first, last)).groupBy("query_text").agg(F.count_distinct("user_id").alias("exact_users"))
+    within = F.abs(F.col("n_users") - F.col("exact_users")) <= F.ceil(RELATIVE_ERROR * F.greatest(F.col("exact_users") - EXACT, F.lit(0)))
+    return found.join(exact, "query_text").select("query_text", "days", "exact_users", within.alias("within_error"))
+
+
+@query("shared_users", f"""
+WITH u AS (SELECT DISTINCT query_text, user_id, k FROM ({LOG_SQL}))
+SELECT a.query_text, b.query_text AS other_text, count(*) FILTER (a.user_id = b.user_id) AS both,
+       count(DISTINCT a.user_id) + count(DISTINCT b.user_id) - count(*) FILTER (a.user_id = b.user_id) AS either
+FROM u a JOIN u b ON b.k = a.k + 1 GROUP BY 1, 2
+""")
+def shared_users_query(spark, sf_dir):
+    """Users that search for neighbouring queries, from merged sketches; counts below the sketch's size are exact."""
+    merged = users_between(user_sketches(search_log(spark, sf_dir)), "2024-01-01", "2024-12-31")
+    k = F.element_at(F.split("query_text", " "), -1).cast("long")
+    pairs = merged.select("query_text", F.concat(F.lit("query "), k + 1).alias("other_text"))
+    return shared_users(merged, pairs)
 
 
 @query("group_stats", """

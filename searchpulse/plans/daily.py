@@ -12,14 +12,29 @@ from searchpulse.config import TrendConfig
 from searchpulse.functions.columns import as_date
 from searchpulse.functions.joins import counted_side, join_null_safe
 from searchpulse.operators.cluster import cluster_queries, group_stats
-from searchpulse.operators.consolidate import changed_dates, consolidate, recent, recent_high_volume, rows_of_dates, write_by_date
+from searchpulse.operators.consolidate import (
+    changed_dates,
+    consolidate,
+    recent,
+    recent_high_volume,
+    rows_of_dates,
+    write_by_date,
+)
+from searchpulse.operators.feed import ArrivalFeed, date_prints
 from searchpulse.operators.growth import day_growth
+from searchpulse.operators.index import refresh_index
 from searchpulse.operators.label import attach_labels, label_by_keywords, label_with, text_lists, top_texts
 from searchpulse.operators.rank import clustered_for_date, rank_trends, result_rows, store_results, top_per_cluster
+from searchpulse.operators.retention import drop_folders
+from searchpulse.operators.users import user_sketches
 from searchpulse.schemas import CLUSTERED, CONSOLIDATED, RESULT_ROW
 from searchpulse.session import ensure_checkpoint_dir
 
 
+#: Columns of the results that have an index of their own.
+INDEXED = ("category", "cluster_id")
+
+
 @dataclass(frozen=True)
 class Tables:
     """Where the stages keep their output, below one root."""
@@ -30,6 +45,21 @@ class Tables:
     def consolidated(self) -> str:
         return f"{self.root}/consolidated-queries"
 
+    @property
+    def date_prints(self) -> str:
+        return f"{self.root}/date-prints"
+
+    @property
+    def feed(self) -> str:
+        return f"{self.root}/feed"
+
+    @property
+    def user_sketches(self) -> str:
+        return f"{self.root}/user-sketches"
+
+    def index(self, column: str) -> str:
+        return f"{self.root}/results-by-{column}"
+
     @property
     def clustered(self) -> str:
         return f"{self.root}/clustered-queries"
@@ -48,29 +78,62 @@ class Tables:
 
 
 def consolidate_stage(
-    log: DataFrame, tables: Tables, as_of: str, cfg: TrendConfig = TrendConfig(), new_rows: DataFrame | None = None
+    log: DataFrame,
+    tables: Tables,
+    as_of: str,
+    cfg: TrendConfig = TrendConfig(),
+    new_rows: DataFrame | None = None,
+    feed: ArrivalFeed | None = None,
 ) -> None:
-    """Redo the dates that the run for ``as_of`` reads and those with newly landed rows, however old.
+    """Redo the dates that have changed since the run before, however old; other dates stay as stored.
 
-    ``new_rows`` are the rows landed since the run before. Without them the dates
-    are found by counting: those on which the log has not as many rows as were
-    consolidated. The first run consolidates all dates. Other dates stay as stored.
+    A ``feed`` over the landed log finds them by itself and reads only folders that
+    have changed or hold one of these dates. Without it, ``new_rows`` are the rows landed since the
+    run before, whose dates are redone together with those that the run for ``as_of`` reads. Without
+    either, the fingerprints of all dates of the log are compared with those of the run before.
+    The first run consolidates all dates.
     """
-    spark, day = log.sparkSession, as_date(as_of)
-    path = spark._jvm.org.apache.hadoop.fs.Path(tables.consolidated)
-    first_run = not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    if first_run:
-        write_by_date(consolidate(log), tables.consolidated)
+    spark = log.sparkSession
+    ensure_checkpoint_dir(spark)
+    if feed is not None:
+        dates = feed.touched_dates().checkpoint()
+        _redo(spark, tables, feed.rows_of(dates), dates, cfg)
+        feed.commit()
         return
-    if new_rows is None:
-        touched = changed_dates(log, spark.read.schema(CONSOLIDATED).parquet(tables.consolidated))
+    held = _stored_prints(spark, tables)
+    if held is None or new_rows is None:
+        prints = date_prints(log).checkpoint()
+        dates = prints.select("date") if held is None else changed_dates(prints, held).checkpoint()
+        rows = log if held is None else rows_of_dates(log, dates)
     else:
-        touched = new_rows.select(F.to_date("timestamp").alias("date")).distinct()
-    since = F.date_sub(day, max(cfg.recent_days - 1, 1))
-    window = spark.range(1).select(F.explode(F.sequence(since, day)).alias("date"))
-    ensure_checkpoint_dir(spark)
-    dates = touched.union(window).distinct().checkpoint()  # the table they are read from is written next
-    write_by_date(consolidate(rows_of_dates(log, dates)), tables.consolidated)
+        since = F.date_sub(as_date(as_of), max(cfg.recent_days - 1, 1))
+        window = spark.range(1).select(F.explode(F.sequence(since, as_date(as_of))).alias("date"))
+        touched = new_rows.select(F.to_date("timestamp").alias("date"))
+        dates = touched.union(window).distinct().checkpoint()
+        rows = rows_of_dates(log, dates)
+        others = held.join(dates.select(F.col("date").alias("_date")), F.col("date").eqNullSafe(F.col("_date")), "left_anti")
+        prints = others.unionByName(date_prints(rows)).checkpoint()
+    _redo(spark, tables, rows, dates, cfg)
+    prints.coalesce(1).write.mode("overwrite").parquet(tables.date_prints)
+
+
+def _stored_prints(spark: SparkSession, tables: Tables) -> DataFrame | None:
+    """Fingerprints of the dates as they were consolidated; None before the first run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables.date_prints)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema("date date, n long, print long, total long").parquet(tables.date_prints)
+
+
+def _redo(spark: SparkSession, tables: Tables, rows: DataFrame, dates: DataFrame, cfg: TrendConfig) -> None:
+    """Write the query-days of the given dates; a date of which no row is left goes."""
+    write_by_date(consolidate(rows), tables.consolidated)
+    written = rows.select(F.to_date("timestamp").alias("_date")).distinct()
+    gone = dates.join(written, F.col("date").eqNullSafe(F.col("_date")), "left_anti")
+    drop_folders(spark, tables.consolidated, gone, ["date"])
+    if cfg.with_user_sketches:
+        write_by_date(user_sketches(rows), tables.user_sketches)
+        drop_folders(spark, tables.user_sketches, gone, ["date"])
 
 
 def cluster_stage(spark: SparkSession, tables: Tables, as_of: str, run_ts: str, cfg: TrendConfig) -> int:
@@ -113,6 +176,9 @@ def rank_stage(
     labels = label_by_keywords(texts) if label_fn is None else label_with(text_lists(texts), label_fn)
     items = rank_trends(attach_labels(top, labels), cfg.top_n)
     store_results(result_rows(items, run_ts, cfg.ttl_days), tables.results)
+    written = spark.range(1).select(as_date(as_of).alias("date"))
+    for column in INDEXED:
+        refresh_index(stored_results(spark, tables), tables.index(column), column, written)
 
 
 def run_daily(
@@ -123,17 +189,18 @@ def run_daily(
     cfg: TrendConfig = TrendConfig(),
     label_fn: Callable[[list[str]], str] | None = None,
     new_rows: DataFrame | None = None,
+    feed: ArrivalFeed | None = None,
 ) -> DataFrame:
     """All stages for ``as_of``; returns the stored rows of that date.
 
-    Late rows of any date reach the consolidated table; ``new_rows`` are those landed
-    since the run before, where the caller knows them (see ``consolidate_stage``).
+    Late and corrected rows of any date reach the consolidated table, found by ``feed``,
+    by ``new_rows`` or by fingerprints (see ``consolidate_stage``).
 
     Every stage reads the written output of the one before, so each can be run
     again alone. Errors are raised, not reported as results.
     """
     spark = log.sparkSession
-    consolidate_stage(log, tables, as_of, cfg, new_rows)
+    consolidate_stage(log, tables, as_of, cfg, new_rows, feed)
     cluster_stage(spark, tables, as_of, run_ts, cfg)
     rank_stage(spark, tables, as_of, run_ts, cfg, label_fn)
     return stored_results(spark, tables).where(F.col("date") == as_date(as_of))

@@ -129,6 +129,30 @@ def discover_schema(spark, sf_dir):
     return ingest.discover(spark, _two_generations(spark, sf_dir))
 
 
+WIDENED_SQL = f"""
+SELECT event_id, query_text, CASE WHEN day(ts) < 11 THEN CAST(k AS VARCHAR) WHEN day(ts) < 21 THEN CAST(k / 4 AS VARCHAR) ELSE 'n' || k END AS amount,
+       CAST(k AS DOUBLE) / CASE WHEN day(ts) < 21 THEN 1 ELSE 4 END AS weight, CAST(day(ts) AS INTEGER) AS day
+FROM ({LOG_SQL})
+"""
+
+
+@query("discover_widened", WIDENED_SQL)
+def discover_widened(spark, sf_dir):
+    """A column that is a whole number, then a fraction, then text, and one that is int, then long, then a fraction."""
+    path = work_dir(spark, "retyped")
+    k = F.element_at(F.split("query_text", " "), -1).cast("int")
+    log = search_log(spark, sf_dir).select("event_id", "query_text", k.alias("k"), F.dayofmonth("timestamp").alias("day"))
+    kinds = [
+        (F.col("day") < 11, F.col("k"), F.col("k")),
+        (F.col("day").between(11, 20), F.col("k") / 4, F.col("k").cast("long")),
+        (F.col("day") > 20, F.concat(F.lit("n"), "k"), F.col("k") / 4),
+    ]
+    for part, amount, weight in kinds:
+        rows = log.where(part).select("event_id", "query_text", amount.alias("amount"), weight.alias("weight"), "day")
+        rows.write.mode("append").partitionBy("day").parquet(path)
+    return ingest.discover_widened(spark, path)[0].select("event_id", "query_text", "amount", "weight", "day")
+
+
 @query("check_partitions", "SELECT 'partitions' AS validation, count(*) > 0 AS success, 'misplaced: 0, empty: 0' AS details FROM events")
 def check_partitions(spark, sf_dir):
     path = work_dir(spark, "daily")

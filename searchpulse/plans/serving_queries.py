@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from searchpulse.operators import quality, serve
 from searchpulse.operators.consolidate import consolidate
-from searchpulse.plans.batch_queries import result_table, served_results
+from searchpulse.operators.index import lookup
+from searchpulse.plans.batch_queries import result_table, served_index, served_results
 from searchpulse.plans.registry import DAILY_SQL, RESULT_COLUMNS_SQL, RESULTS_SQL, query
+from searchpulse.schemas import RESULT_ROW
 from searchpulse.sources.fixtures import AS_OF, search_log
 
 PAGE_COLUMNS = ["date", "query_id", "query", "rank", "count", "next_token"]
@@ -65,12 +67,13 @@ def page_token(spark, sf_dir):
 
 @query("by_category", f"SELECT {RESULT_COLUMNS_SQL} FROM ({RESULTS_SQL}) WHERE category = 'travel'")
 def by_category(spark, sf_dir):
-    return serve.by_category(served_results(spark, sf_dir), "travel")
+    """From the index: the files of other buckets are not opened."""
+    return serve.by_category(lookup(spark, served_index(spark, sf_dir, "category"), RESULT_ROW, "category", "travel"), "travel")
 
 
 @query("by_cluster", f"SELECT {RESULT_COLUMNS_SQL} FROM ({RESULTS_SQL}) WHERE cluster_id = 3")
 def by_cluster(spark, sf_dir):
-    return serve.by_cluster(served_results(spark, sf_dir), 3)
+    return serve.by_cluster(lookup(spark, served_index(spark, sf_dir, "cluster_id"), RESULT_ROW, "cluster_id", 3), 3)
 
 
 ITEM_SQL = """
@@ -86,14 +89,14 @@ SELECT '{{"date":"{AS_OF}","trending_queries":[' || string_agg({ITEM_SQL}, ',' O
 FROM ({RESULTS_SQL}) WHERE date = DATE '{AS_OF}' AND rank <= 20
 """)
 def page_document(spark, sf_dir):
-    rows = result_table(spark, sf_dir).withColumn("category", F.nullif(F.col("category"), F.lit("other")))
+    rows = served_results(spark, sf_dir).withColumn("category", F.nullif(F.col("category"), F.lit("other")))
     return serve.page_document(rows, AS_OF, 20)
 
 
 @query("format_page", f"SELECT date, query, rank, {ITEM_SQL} AS item FROM ({RESULTS_SQL})")
 def format_page(spark, sf_dir):
     """Rows without a category leave it out of the JSON item."""
-    rows = result_table(spark, sf_dir).withColumn("category", F.nullif(F.col("category"), F.lit("other")))
+    rows = served_results(spark, sf_dir).withColumn("category", F.nullif(F.col("category"), F.lit("other")))
     return serve.format_items(rows).select("date", "query", "rank", "item")
 
 

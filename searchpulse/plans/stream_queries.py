@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchpulse.operators import metrics
+from searchpulse.operators.quantiles import RANK_ERROR, quantile, roll_up, sketch_stats, sketch_windows
 from searchpulse.plans.batch_queries import DAILY_OUT_SQL, rounded
 from searchpulse.plans.landing_queries import REJECT_SQL, messages_with_defects, summarise
-from searchpulse.plans.registry import DAILY_SQL, query
+from searchpulse.plans.registry import DAILY_SQL, LOG_SQL, query
 from searchpulse.plans.report_queries import FIXTURE_RULES, HOUR, TRANSITIONS_SQL, WINDOWS_SQL
 from searchpulse.session import work_dir
-from searchpulse.sources.fixtures import as_search_log
+from searchpulse.sources.fixtures import as_search_log, requests
 from searchpulse.streaming.alarms import alarm_stream, stream_metric_windows
 from searchpulse.streaming.consolidate import stream_consolidate
+from searchpulse.streaming.late import LateAwareDays, StreamTables, late_aware_daily
 from searchpulse.streaming.land import land_stream, landed_events, landed_rejects
 
 
@@ -52,6 +54,34 @@ def stream_consolidate_query(spark, sf_dir):
     return rounded(run_to_files(stream_consolidate(log, "1 day"), "stream-daily"))
 
 
+LATE_FILES = 4
+
+# Batch b of the stream holds the events whose id leaves the remainder b; a day is late in it when the watermark of the batches before has passed its end.
+LATE_SQL = f"""
+WITH RECURSIVE file AS (SELECT event_id % {LATE_FILES} AS b, max(ts) AS last FROM events GROUP BY 1),
+mark AS (SELECT b, (SELECT max(last) FROM file f WHERE f.b < file.b) - INTERVAL 1 DAY AS w FROM file),
+late AS (
+  SELECT query_text, CAST(ts AS DATE) AS date, count(*) FILTER (CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) <= w) AS late_rows
+  FROM ({LOG_SQL}) l JOIN mark ON mark.b = l.event_id % {LATE_FILES} GROUP BY 1, 2
+)
+SELECT {DAILY_OUT_SQL}, late_rows FROM ({DAILY_SQL}) JOIN late USING (query_text, date)
+"""
+
+
+@query("stream_late_rows", LATE_SQL)
+def stream_late_rows(spark, sf_dir):
+    """The log in four loads that all span the whole month: most rows of the later ones are late, and none is lost."""
+    src, root = work_dir(spark, "late-source"), work_dir(spark, "late")
+    log = as_search_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    days = LateAwareDays(StreamTables(root))
+    for b in range(LATE_FILES):
+        log.where(F.col("event_id") % LATE_FILES == b).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(log.schema).parquet(src)
+        days.start(stream, f"{root}/checkpoint", availableNow=True).awaitTermination()
+    days.close_all(spark)
+    return rounded(late_aware_daily(spark, days.tables), "late_rows")
+
+
 def _request_stream(spark, sf_dir) -> DataFrame:
     return event_stream(spark, sf_dir).select(
         F.col("ts").cast("timestamp").alias("ts"),
@@ -81,3 +111,47 @@ def stream_metric_windows_query(spark, sf_dir):
 def alarm_stream_query(spark, sf_dir):
     windows = _window_stream(spark, sf_dir, HOUR)
     return run_to_files(alarm_stream(windows, FIXTURE_RULES, ["service"], HOUR), "stream-alarms")
+
+
+RANKS_SQL = f"""
+SELECT service, CAST(floor(epoch(ts) / {HOUR}) * {HOUR} AS BIGINT) AS window_start, count(*) AS n_values, min(latency_ms) AS least,
+       max(latency_ms) AS most, true AS within_bound
+FROM (SELECT ts, event_type AS service, value AS latency_ms FROM events) GROUP BY 1, 2
+"""
+
+
+def ranks_checked(windows: DataFrame, requests: DataFrame, seconds: int, shares=(0.5, 0.95, 0.99)) -> DataFrame:
+    """Rolled-up windows with whether each quantile's true rank among the window's rows is within the stated error."""
+    answers = F.array(*[F.struct(F.lit(q).alias("share"), quantile(q).alias("value")) for q in shares])
+    asked = windows.select("service", "window_start", "n_values", "least", "most", answers.alias("answers"))
+    placed = requests.withColumn("window_start", metrics.window_start_seconds(F.col("ts"), seconds))
+    met = asked.join(placed.select("service", "window_start", "latency_ms"), ["service", "window_start"])
+    met = met.select("*", F.inline("answers"))
+    keys = ["service", "window_start", "n_values", "least", "most"]
+    ranked = met.groupBy(*keys, "share").agg(
+        F.avg((F.col("latency_ms") < F.col("value")).cast("int")).alias("below"),
+        F.avg((F.col("latency_ms") <= F.col("value")).cast("int")).alias("upto"),
+    )
+    # one value among few weighs more than the error: the ranks just around it count
+    slack = RANK_ERROR + 1 / F.col("n_values")
+    held = (F.col("below") - slack <= F.col("share")) & (F.col("share") <= F.col("upto") + slack)
+    return ranked.groupBy(*keys).agg(F.every(held).alias("within_bound"))
+
+
+@query("quantile_sketches", RANKS_SQL)
+def quantile_sketches(spark, sf_dir):
+    """Sketches of five minutes, stored, merged into hours, and asked for three quantiles."""
+    path = work_dir(spark, "sketches")
+    sketch_windows(requests(spark, sf_dir), 300, ["service"]).write.parquet(path)
+    hours = roll_up(spark.read.parquet(path), HOUR, ["service"])
+    return ranks_checked(hours, requests(spark, sf_dir), HOUR)
+
+
+@query("stream_quantile_sketches", f"SELECT * FROM ({RANKS_SQL.replace(str(HOUR), '86400')}) WHERE window_start + 86400 <= {CLOSED_SQL} - CAST({CLOSED_SQL} AS BIGINT) % 86400")
+def stream_quantile_sketches(spark, sf_dir):
+    """Sketches of hours from the stream, merged into days; only whole days that the stream has closed."""
+    stream = stream_metric_windows(_request_stream(spark, sf_dir), "ts", HOUR, ["service"], sketch_stats(), "1 hour")
+    hours = run_to_files(stream.drop("window"), "stream-sketches")
+    closed = hours.agg(F.floor((F.max("window_start") + HOUR) / 86_400) * 86_400).head()[0] or 0
+    days = roll_up(hours.where(F.col("window_start") < closed), 86_400, ["service"])
+    return ranks_checked(days, requests(spark, sf_dir), 86_400)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,6 +115,91 @@ def discover(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(*kept)
 
 
+#: Fixed order in which types give way to each other when a column has several.
+WIDTH = ["tinyint", "smallint", "int", "bigint", "double", "string"]
+
+
+def wider(a: str, b: str) -> str:
+    """The type that holds values of both: along ``WIDTH``, with float as double; anything else meets in text."""
+    if a == b:
+        return a
+    a, b = ("double" if t == "float" else t for t in (a, b))
+    if a in WIDTH and b in WIDTH:
+        return max(a, b, key=WIDTH.index)
+    if {a, b} <= {"date", "timestamp", "timestamp_ntz"} and "date" in (a, b):
+        return a if b == "date" else b
+    return a if a == b else "string"
+
+
+def _table_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the data files below the root but for the folder of errors, in order."""
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    kept = listing.where(~F.regexp_extract("path", "([^/]+)/[^/]*$", 1).isin(ERRORS)).select("path")
+    return sorted(row.path for row in kept.toLocalIterator())
+
+
+def generations(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The table in parts whose files agree on the types of their columns.
+
+    Spark merges the schemas of many files at once, reading footers in parallel;
+    where types conflict the list is halved. Types change seldom, so a table of a few
+    generations takes a few merges, not one a file. Only file names pass through the driver.
+    """
+
+    def read(files: list[str]) -> DataFrame:
+        return spark.read.option("mergeSchema", "true").option("basePath", path).parquet(*files)
+
+    def agree(a: list[str], b: list[str]) -> bool:
+        """Whether two files have the same types where they have the same columns."""
+        left, right = dict(read(a).dtypes), dict(read(b).dtypes)
+        return all(right.get(c, t) == t for c, t in left.items())
+
+    def parts(files: list[str]) -> list[list[str]]:
+        if len(files) == 1:
+            return [files]
+        # two footers tell most conflicts, before a job over all of them fails
+        if agree(files[:1], files[-1:]):
+            try:
+                read(files)
+                return [files]
+            except Exception as error:
+                if "CANNOT_MERGE" not in str(error):
+                    raise
+        half = len(files) // 2
+        return parts(files[:half]) + parts(files[half:])
+
+    found: list[tuple[dict, list[str]]] = []
+    for files in parts(_table_files(spark, path)):
+        types = dict(read(files).dtypes)
+        # files of one generation may lie apart in the list
+        for known, listed in found:
+            if all(known.get(c, t) == t for c, t in types.items()):
+                known.update(types)
+                listed.extend(files)
+                break
+        else:
+            found.append((types, list(files)))
+    return [read(files) for _, files in found]
+
+
+def discover_widened(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """A Parquet dataset whose columns have gained others or changed type, and the columns that changed, with their types.
+
+    Every column has the narrowest type that holds all its values; each generation
+    of files is read with its own types and cast.
+    """
+    parts = generations(spark, path)
+    seen: dict[str, list[str]] = {}
+    for part in parts:
+        for name, kind in part.dtypes:
+            if kind not in seen.setdefault(name, []):
+                seen[name].append(kind)
+    types = {name: reduce(wider, kinds) for name, kinds in seen.items()}
+    cast = [part.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in part.columns]) for part in parts]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
+    return whole.select(*[f"`{c}`" for c in types]), {c: kinds for c, kinds in seen.items() if len(kinds) > 1}
+
+
 def register_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """Catalogue a Parquet folder as an external table with its partitions.
 
