@@ -12,8 +12,12 @@ as in a licence's title and its clause 2.
 
 Besides the rules, three phrases are located by word position and always reported.
 
+SPDX lines are read as expressions: each licence that one names is a detection.
+
 Edge cases: null and empty texts have no words and no labels; whole texts of any
-length are scanned; repeated rows are scanned row by row.
+length are scanned; repeated rows are scanned row by row; an empty table gives no rows;
+of rules with the same priority the longer match wins, then the first in the text; only the
+id and the text are read, so other columns' names may clash.
 """
 
 from __future__ import annotations
@@ -132,8 +136,177 @@ BODIES = [
     ("no-license", r"no licen[sc]e (?:is )?granted", ["granted"]),
     ("licensed-unknown", r"licen[sc]ed under (?:the )?(?:terms of )?", ["licen"]),
 ]
+# Sentences that only one licence's text or notice holds: (label, pattern, keywords).
+SENTENCES = [
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission notice"]),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim, damages or other liability", ["holders be liable"]),
+    ("x11", r"except as contained in this notice, the names? of .{1,80}? shall not be used in advertising", ["used in advertising"]),
+    ("isc", r"the software is provided .{0,2}as is.{0,2} and (?:the author|isc) disclaims all warranties", ["disclaims all warranties"]),
+    ("isc", r"provided that the above copyright notice and this permission notice appear in all copies", ["permission notice"]),
+    ("0bsd", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\.", ["and/or distribute"]),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", ["redistributions"]),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", ["redistributions"]),
+    ("bsd", r"this software is provided by the (?:copyright holders and contributors|regents and contributors|authors?) .{0,2}as is", ["software is provided by"]),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", ["advertising materials"]),
+    ("bsd-3-clause", r"may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote"]),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an .{0,2}as is.{0,2} basis", ["applicable law"]),
+    ("apache-2.0", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license", ["hereby grants"]),
+    ("apache-2.0", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements", ["apache software foundation"]),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", ["apache software foundation"]),
+    ("gpl-1.0-or-later", r"either version 1,? or \(at your option\) any later version", ["any later version"]),
+    ("gpl-2.0-or-later", r"(?:general public license as published by the free software foundation[;,] )?either version 2 of the license, or \(at your option\) any later version", ["any later version"]),
+    ("gpl-3.0-or-later", r"(?:general public license as published by the free software foundation[;,] )?either version 3 of the license, or \(at your option\) any later version", ["any later version"]),
+    ("gpl-2.0-only", r"under the terms of version 2 of the gnu general public license as published by the free software foundation", ["version 2 of the gnu"]),
+    ("gpl-2.0", r"terms of the gnu general public license,? version 2,? as published by the free software foundation", ["general public license"]),
+    ("gpl-3.0", r"terms of the gnu general public license,? version 3,? as published by the free software foundation", ["general public license"]),
+    ("lgpl-2.1-or-later", r"lesser general public license as published by the free software foundation[;,] either version 2\.1 of the license, or \(at your option\) any later version", ["any later version"]),
+    ("lgpl-3.0-or-later", r"lesser general public license as published by the free software foundation[;,] either version 3 of the license, or \(at your option\) any later version", ["any later version"]),
+    ("lgpl-2.0-or-later", r"library general public license as published by the free software foundation[;,] either version 2 of the license, or \(at your option\) any later version", ["any later version"]),
+    ("agpl-3.0-or-later", r"affero general public license as published by the free software foundation[;,] either version 3 of the license, or \(at your option\) any later version", ["any later version"]),
+    ("agpl-3.0", r"your modified version must prominently offer all users interacting with it remotely through a computer network", ["interacting with it remotely"]),
+    ("lgpl", r"this library is free software[:;,] you can redistribute it", ["free software"]),
+    ("gpl", r"you should have received a copy of the gnu general public license along with this program", ["general public license"]),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license along with this", ["general public license"]),
+    ("agpl-3.0", r"you should have received a copy of the gnu affero general public license along with this", ["affero general public"]),
+    ("gpl", r"(?:program|software|library) is distributed in the hope that it will be useful, but without any warranty", ["hope that it will be useful"]),
+    ("gfdl-1.3", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license", ["free documentation"]),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license,? v\. ?2\.0", ["source code form"]),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1\.1", ["contents of this file"]),
+    ("epl-1.0", r"made available under the terms of the eclipse public license v1\.0", ["eclipse public license"]),
+    ("epl-2.0", r"made available under the terms of the eclipse public license (?:v\. ?)?2\.0", ["eclipse public license"]),
+    ("cddl-1.0", r"subject to the terms of the common development and distribution license", ["common development"]),
+    ("zlib", r"altered source versions must be plainly marked as such,? and must not be misrepresented as being the original software", ["plainly marked"]),
+    ("zlib", r"this software is provided .{0,2}as-is.{0,2},? without any express or implied warranty", ["without any express"]),
+    ("bsl-1.0", r"any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["accompanying documentation"]),
+    ("unlicense", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ["anyone is free"]),
+    ("cc0-1.0", r"to the extent possible under law, .{1,80}? has waived all copyright and related or neighboring rights", ["extent possible under law"]),
+    ("public-domain", r"(?:this (?:work|file|code|software) (?:is|has been) (?:hereby )?placed|placed) in(?:to)? the public domain", ["public domain"]),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document,? and changing it is allowed", ["changing it is allowed"]),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license", ["font software"]),
+    ("ofl-1.1", r"the font software may be sold as part of a larger software package", ["font software"]),
+    ("postgresql", r"for any purpose, without fee, and without a written agreement is hereby granted", ["written agreement"]),
+    ("python-2.0", r"psf is making python available to licensee on an .{0,2}as is.{0,2} basis", ["psf is making"]),
+    ("php-3.01", r"this product includes php(?: software)?, freely available from", ["includes php"]),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", ["openssl toolkit"]),
+    ("beerware", r"as long as you retain this notice you can do whatever you want with this stuff", ["whatever you want"]),
+    ("artistic-2.0", r"everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed", ["changing it is not allowed"]),
+    ("artistic-1.0", r"the intent of this document is to state the conditions under which a package may be copied", ["intent of this document"]),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", ["jpeg group"]),
+    ("ftl", r"portions of this software are copyright .{1,60}? the freetype project", ["freetype project"]),
+    ("ms-pl", r"if you bring a patent claim against any contributor over patents that you claim are infringed by the software", ["patent claim"]),
+    ("ncsa", r"deal with the software without restriction", ["deal with the software"]),
+    ("w3c", r"permission to copy, modify, and distribute this (?:work|software and its documentation), with or without modification, for any purpose and without fee or royalty", ["fee or royalty"]),
+    ("vim", r"there are no restrictions on distributing unmodified copies of vim", ["copies of vim"]),
+    ("sleepycat", r"redistributions in any form must be accompanied by information on how to obtain complete source code", ["complete source code"]),
+    ("busl-1.1", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use", ["non-production use"]),
+    ("elastic-2.0", r"you may not provide the software to third parties as a hosted or managed service", ["managed service"]),
+    ("sspl-1.0", r"if you make the functionality of the program .{1,40}? available to third parties as a service, you must make the service source code available", ["service source code"]),
+    ("eupl-1.2", r"licen[sc]ed under the eupl", ["eupl"]),
+    ("cc-by", r"this (?:work|article|book|document|file) is (?:licensed|made available|distributed) under (?:the terms of )?(?:a|the) creative commons attribution", ["creative commons attribution"]),
+    ("odbl-1.0", r"this .{1,60}? is made available under the open database license", ["open database license"]),
+    ("proprietary", r"unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document|material)", ["unauthori"]),
+    ("proprietary", r"(?:this|the) (?:software|document|material) (?:contains|is) (?:the )?(?:confidential|proprietary) (?:information|property) of", ["confidential|proprietary"]),
+]
+# Addresses of licence texts, behind their scheme: (label, pattern, keyword).
+ADDRESSES = [
+    ("apache-2.0", r"apache\.org/licenses/license-2\.0", "apache.org/licenses"),
+    ("apache-1.1", r"apache\.org/licenses/license-1\.1", "apache.org/licenses"),
+    ("gpl-2.0", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0", "gnu.org/licenses"),
+    ("gpl-3.0", r"gnu\.org/licenses/gpl-3\.0", "gnu.org/licenses"),
+    ("gpl", r"gnu\.org/(?:licenses|copyleft)/gpl(?:\.\w+)?(?![\w-])", "gnu.org"),
+    ("lgpl-2.1", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1", "gnu.org/licenses"),
+    ("lgpl-3.0", r"gnu\.org/licenses/lgpl-3\.0", "gnu.org/licenses"),
+    ("lgpl", r"gnu\.org/(?:licenses|copyleft)/(?:lgpl|lesser)(?:\.\w+)?(?![\w-])", "gnu.org"),
+    ("agpl-3.0", r"gnu\.org/licenses/agpl(?:-3\.0)?", "gnu.org/licenses"),
+    ("gfdl-1.3", r"gnu\.org/(?:licenses|copyleft)/fdl", "gnu.org"),
+    ("gpl", r"gnu\.org/licenses/?(?![\w/])", "gnu.org/licenses"),
+    ("mpl-2.0", r"mozilla\.org/(?:[a-z-]+/)?mpl/2\.0", "mozilla.org"),
+    ("mpl-1.1", r"mozilla\.org/(?:[a-z-]+/)?mpl/(?:1\.1|mpl-1\.1)", "mozilla.org"),
+    ("epl-1.0", r"eclipse\.org/(?:legal|org/documents)/epl-v10", "eclipse.org"),
+    ("epl-2.0", r"eclipse\.org/legal/epl-(?:2\.0|v20)", "eclipse.org"),
+    ("bsl-1.0", r"boost\.org/license_1_0", "boost.org"),
+    ("unlicense", r"unlicense\.org", "unlicense.org"),
+    ("wtfpl", r"wtfpl\.net", "wtfpl.net"),
+    ("cc0-1.0", r"creativecommons\.org/publicdomain/zero/1\.0", "creativecommons"),
+    ("public-domain", r"creativecommons\.org/(?:publicdomain/mark|licenses/publicdomain)", "creativecommons"),
+    ("ofl-1.1", r"(?:scripts\.sil\.org/ofl|openfontlicense\.org)", "sil.org|openfontlicense"),
+    ("php-3.01", r"php\.net/license/3_01", "php.net/license"),
+    ("python-2.0", r"(?:python\.org/psf/license|docs\.python\.org/3/license)", "python.org"),
+    ("zlib", r"zlib\.net/zlib_license", "zlib.net"),
+    ("openssl", r"openssl\.org/source/license", "openssl.org"),
+    ("postgresql", r"postgresql\.org/about/licen[sc]e", "postgresql.org"),
+    ("odbl-1.0", r"opendatacommons\.org/licenses/odbl", "opendatacommons"),
+    ("odc-by-1.0", r"opendatacommons\.org/licenses/by", "opendatacommons"),
+    ("pddl-1.0", r"opendatacommons\.org/licenses/pddl", "opendatacommons"),
+    ("cddl-1.0", r"(?:opensource\.org/licenses/cddl|glassfish\.dev\.java\.net/public/cddl)", "cddl"),
+    ("artistic-2.0", r"(?:perlfoundation|dev\.perl)\.org/(?:artistic_license_2_0|artistic-license-20)", "perl"),
+    ("json", r"json\.org/license", "json.org"),
+    ("elastic-2.0", r"elastic\.co/licensing/elastic-license", "elastic.co"),
+    ("sspl-1.0", r"mongodb\.com/licensing/server-side-public-license", "mongodb.com"),
+    ("busl-1.1", r"mariadb\.com/bsl11", "mariadb.com"),
+    ("ijg", r"ijg\.org", "ijg.org"),
+    ("mulanpsl-2.0", r"license\.coscl\.org\.cn/mulanpsl2", "coscl"),
+    ("cecill-2.1", r"cecill\.info/licences", "cecill.info"),
+    ("eupl-1.2", r"joinup\.ec\.europa\.eu/[\w/-]*eupl", "europa.eu"),
+]
+# Short names as people write them: (label, pattern, keywords).
+SHORT = [
+    ("gpl-1.0", r"(?:gnu )?gpl[- ]?(?:version |v\.? ?)?1(?:\.0)?", ["gpl"]),
+    ("gpl-2.0", r"(?:gnu )?gpl[- ,]{0,2}(?:version |v\.? ?)?2(?:\.0)?", ["gpl"]),
+    ("gpl-2.0-or-later", r"(?:gnu )?gpl[- ,]{0,2}(?:version |v\.? ?)?2(?:\.0)?(?:\+|[- ,]{0,2}or (?:any )?later)", ["gpl"]),
+    ("gpl-2.0-only", r"(?:gnu )?gpl[- ,]{0,2}(?:version |v\.? ?)?2(?:\.0)?[- ,]{0,2}only", ["gpl"]),
+    ("gpl-3.0", r"(?:gnu )?gpl[- ,]{0,2}(?:version |v\.? ?)?3(?:\.0)?", ["gpl"]),
+    ("gpl-3.0-or-later", r"(?:gnu )?gpl[- ,]{0,2}(?:version |v\.? ?)?3(?:\.0)?(?:\+|[- ,]{0,2}or (?:any )?later)", ["gpl"]),
+    ("gpl-3.0-only", r"(?:gnu )?gpl[- ,]{0,2}(?:version |v\.? ?)?3(?:\.0)?[- ,]{0,2}only", ["gpl"]),
+    ("lgpl-2.0", r"(?:gnu )?lgpl[- ,]{0,2}(?:version |v\.? ?)?2(?:\.0)?(?!\.1)", ["lgpl"]),
+    ("lgpl-2.1", r"(?:gnu )?lgpl[- ,]{0,2}(?:version |v\.? ?)?2\.1", ["lgpl"]),
+    ("lgpl-2.1-or-later", r"(?:gnu )?lgpl[- ,]{0,2}(?:version |v\.? ?)?2\.1(?:\+|[- ,]{0,2}or (?:any )?later)", ["lgpl"]),
+    ("lgpl-3.0", r"(?:gnu )?lgpl[- ,]{0,2}(?:version |v\.? ?)?3(?:\.0)?", ["lgpl"]),
+    ("lgpl-3.0-or-later", r"(?:gnu )?lgpl[- ,]{0,2}(?:version |v\.? ?)?3(?:\.0)?(?:\+|[- ,]{0,2}or (?:any )?later)", ["lgpl"]),
+    ("agpl-3.0", r"(?:gnu )?agpl[- ,]{0,2}(?:version |v\.? ?)?3(?:\.0)?", ["agpl"]),
+    ("agpl-3.0-or-later", r"(?:gnu )?agpl[- ,]{0,2}(?:version |v\.? ?)?3(?:\.0)?(?:\+|[- ,]{0,2}or (?:any )?later)", ["agpl"]),
+    ("gpl", r"(?:(?:under|by) (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl|gnu gpl|gpl[- ]licen[sc]ed?|gpl licen[sc]e)", ["gpl"]),
+    ("lgpl", r"(?:(?:under|by) (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl|gnu lgpl|lgpl[- ]licen[sc]ed?|lgpl licen[sc]e)", ["lgpl"]),
+    ("agpl-3.0", r"(?:under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl|gnu agpl|agpl[- ]licen[sc]ed?|agpl licen[sc]e)", ["agpl"]),
+    ("gfdl-1.3", r"(?:gnu (?:fdl|gfdl)|under the gfdl)", ["fdl"]),
+    ("mit", r"(?:mit[- ]licen[sc]ed|(?:released|available|licen[sc]ed|distributed|published) under (?:the )?(?:terms of )?(?:the )?mit)", ["mit"]),
+    ("apache-2.0", r"apache[- ]2(?:\.0)?(?: licen[sc]ed?)?", ["apache"]),
+    ("apache-2.0", r"(?:asl|al)[- ]?2\.0", ["asl|al"]),
+    ("apache-2.0", r"(?:released|available|licen[sc]ed|distributed) under (?:the )?apache v\.? ?2(?:\.0)?", ["apache"]),
+    ("bsd", r"bsd[- ](?:style )?licen[sc]ed?", ["bsd"]),
+    ("bsd", r"(?:released|available|licen[sc]ed|distributed) under (?:the )?(?:terms of )?(?:the )?bsd", ["bsd"]),
+    ("bsd-2-clause", r"bsd[- ]2(?![\w.])", ["bsd"]),
+    ("bsd-3-clause", r"bsd[- ]3(?![\w.])", ["bsd"]),
+    ("mpl-2.0", r"mpl[- ]?(?:version |v\.? ?)?2(?:\.0)?", ["mpl"]),
+    ("mpl-1.1", r"mpl[- ]?(?:version |v\.? ?)?1\.1", ["mpl"]),
+    ("epl-1.0", r"epl[- ]?(?:version |v\.? ?)?1\.0", ["epl"]),
+    ("epl-2.0", r"epl[- ]?(?:version |v\.? ?)?2\.0", ["epl"]),
+    ("eupl-1.2", r"eupl[- ]?(?:version |v\.? ?)?1\.2", ["eupl"]),
+    ("cddl-1.0", r"cddl(?:[- ]?(?:version |v\.? ?)?1\.[01])?", ["cddl"]),
+    ("bsl-1.0", r"bsl[- ]1\.0", ["bsl"]),
+    ("ofl-1.1", r"(?:sil )?ofl[- ]?(?:version |v\.? ?)?1\.1", ["ofl"]),
+    ("odbl-1.0", r"odbl(?:[- ]?(?:v\.? ?)?1\.0)?", ["odbl"]),
+    ("pddl-1.0", r"pddl(?:[- ]?(?:v\.? ?)?1\.0)?", ["pddl"]),
+    ("ms-pl", r"ms-pl", ["ms-pl"]),
+    ("python-2.0", r"psfl?[- ](?:licen[sc]ed?|2\.0)", ["psf"]),
+    ("artistic-2.0", r"artistic[- ]2\.0", ["artistic"]),
+    ("sspl-1.0", r"sspl(?:[- ]?(?:v\.? ?)?1(?:\.0)?)?", ["sspl"]),
+    ("busl-1.1", r"busl[- ]1\.1", ["busl"]),
+    ("cc0-1.0", r"cc[- ]zero", ["cc-zero|cc zero"]),
+    ("public-domain", r"public[- ]domain (?:software|work|dedication|mark)", ["domain"]),
+]
+# What an SPDX line may name besides the families and Creative Commons variants.
+SPDX_MORE = ["lgpl-2.0", "agpl-1.0", "gfdl-1.1", "gfdl-1.2", "cc0-1.0", "bsd-1-clause", "epl-1.0", "apache-1.0", "mpl-1.0", "cddl-1.1", "hpnd", "blueoak-1.0.0", "bsd-3-clause-clear", "etalab-2.0", "unicode-3.0"]
+SPDX_LINE = r"spdx-license-identifier:\s*(?P<expression>\(*[a-z0-9][\w.+-]*\)*(?:\s+(?:and|or|with)\s+\(*[a-z0-9][\w.+-]*\)*)*)"
+
 # Nothing is scanned in a text without one of these.
 GATE = (
+    "gnu.org", "mozilla.org", "boost.org", "wtfpl.net", "ijg.org", "coscl", "mariadb.com", "apache", "agpl", "mpl", "epl", "cddl", "ofl",
+    "odbl", "pddl", "ms-pl", "psf", "sspl", "busl", "bsl-", "bsl ", "asl", "al-2", "al 2", "mit", "artistic", "cc-zero", "cc zero",
+    "any later version", "permission notice", "holders be liable", "advertising", "warrant", "endorse or promote", "written agreement",
+    "whatever you want", "plainly marked", "anyone is free", "extent possible under law", "jpeg", "copies of vim", "complete source code",
+    "patent claim", "deal with the software", "fee or royalty", "managed service", "intent of this document", "unauthori", "confidential",
+    "freetype", "accompanying documentation", "hope that it will be useful", "fdl",
     "licen", "copyright", "spdx", "creative commons", "creativecommons", "cc-by", "cc by", "cc0", "gpl", "public domain",
     "rights reserved", "redistribut", "hereby granted", "unencumbered", "openrail", "wtfpl", "bsd", "and/or distribute",
     "nasa open", "jpeg group", "no attribution", "general public", "open data commons", "proprietary", "may not be",
@@ -166,6 +339,19 @@ def build_rules() -> list[tuple[int, str, int, float, tuple[str, ...], str]]:
     for label, pattern, keywords in BODIES:
         plain = label in ("gpl", "lgpl", "licensed-unknown", "proprietary")
         rules.append((label, 20 if plain else 50, 0.5 if plain else 0.85, tuple(keywords), pattern))
+    for label, pattern, keywords in SENTENCES:
+        weak = label in ("gpl", "lgpl", "proprietary")
+        rules.append((label, 45 if weak else 65, 0.7 if weak else 0.9, tuple(keywords), pattern))
+    for label, pattern, keyword in ADDRESSES:
+        rules.append((label, 70, 0.9, (keyword,), rf"(?:https?://)?(?:www\.)?{pattern}"))
+    for site in (r"opensource\.org/licen[sc]es?", r"spdx\.org/licenses", r"choosealicense\.com/licenses"):
+        for label, _, _, tag in FAMILIES:
+            rules.append((label, 70, 0.9, (site.split("\\")[0],), rf"{site}/{re.escape(tag)}(?:\.html|\.php)?(?![\w.-]*\w)"))
+    for label, pattern, keywords in SHORT:
+        # behind longer names of the same licence, and the versioned before the plain
+        versioned = any(c.isdigit() for c in label) or label in ("mit", "bsd")
+        priority = 62 if label.endswith(("-only", "-or-later")) else 58 if versioned else 40
+        rules.append((label, priority, 0.75 if versioned else 0.6, tuple(keywords), rf"(?<![\w-]){pattern}(?!\w)(?![.-]\w)"))
     ordered = sorted(enumerate(rules), key=lambda r: (-r[1][1], r[0]))
     return [(i, *rule) for i, (_, rule) in enumerate(ordered)]
 
@@ -216,6 +402,35 @@ def _empty_line(text: str, start: int, end: int) -> bool:
     return text.count("\n", start, end) > 1
 
 
+#: Number of the rule that reads SPDX expressions; it comes before all others.
+SPDX_RULE = -1
+_SPDX = re.compile(SPDX_LINE)
+_SPDX_NAMES = {tag for *_, tag in FAMILIES} | {f"cc-{p}-{v}" for p in CC_PARTS for v in CC_VERSIONS} | set(SPDX_MORE)
+
+
+def spdx_labels(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, label) of each licence that an SPDX line names, however they are combined.
+
+    ``+`` is the older form of ``-or-later``; what follows ``with`` is an exception, not a licence.
+    """
+    found = []
+    for line in _SPDX.finditer(text):
+        begin, excepted = line.start("expression"), False
+        for m in re.finditer(r"[a-z0-9][\w.+-]*", line["expression"]):
+            word = m.group()
+            if word in ("and", "or", "with"):
+                excepted = word == "with"
+                continue
+            if not excepted:
+                name = word[:-1] + "-or-later" if word.endswith("+") else word
+                plain = re.sub(r"-(?:only|or-later)$", "", name)
+                label = name if plain in _SPDX_NAMES else "licenseref" if name.startswith("licenseref-") else "spdx-other"
+                start = line.start() if not found or found[-1][1] <= line.start() else begin + m.start()
+                found.append((start, begin + m.end(), label))
+            excepted = False
+    return found
+
+
 def detections(text: str, rules: list) -> list[tuple[int, int, int, str, int, float]]:
     """All matches of the rules whose keywords occur, as (start, end, rule, label, priority, score); ``text`` in lower case."""
     text, here, there = flattened(text)
@@ -233,7 +448,11 @@ def detections(text: str, rules: list) -> list[tuple[int, int, int, str, int, fl
             seen[keyword] = any(part in text for part in keyword.split("|"))
         return seen[keyword]
 
-    return [
+    found = [
+        (place(a), place(b - 1) + 1, SPDX_RULE, label, 95, 1.0)
+        for a, b, label in (spdx_labels(text) if "spdx-license-identifier" in text else ())
+    ]
+    return found + [
         (place(m.start()), place(m.end() - 1) + 1, number, label, priority, score)
         for number, label, priority, score, keywords, pattern in rules
         if all(map(occurs, keywords))

@@ -237,6 +237,57 @@ def test_wrapped_and_commented_notices(text, label, span):
     assert any(s["label"] == label and low[s["start"] : s["end"]].endswith(span) for s in row[7])
 
 
+NAMED = [
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0)", {"mit", "apache-2.0"}),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later", {"gpl-2.0-or-later"}),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause", {"gpl-2.0-only", "bsd-3-clause"}),
+    ("SPDX-License-Identifier: LGPL-2.1+ OR LicenseRef-Own", {"lgpl-2.1-or-later", "licenseref"}),
+    ("see http://www.apache.org/licenses/LICENSE-2.0 for more", {"apache-2.0"}),
+    ("https://www.gnu.org/licenses/old-licenses/gpl-2.0.html", {"gpl-2.0"}),
+    ("https://opensource.org/licenses/BSD-3-Clause", {"bsd-3-clause"}),
+    ("https://creativecommons.org/publicdomain/zero/1.0/", {"cc0-1.0"}),
+    ("GNU GPL v2", {"gpl-2.0"}),
+    ("GPL version 3", {"gpl-3.0"}),
+    ("it is GPLv2+ code", {"gpl-2.0-or-later"}),
+    ("BSD License", {"bsd"}),
+    ("licensed under the LGPL", {"lgpl"}),
+    ("MPL 2.0", {"mpl-2.0"}),
+    ("either version 3 of the License, or\n * (at your option) any later version", {"gpl-3.0-or-later"}),
+    ("Redistributions in binary form must reproduce the above copyright notice,", {"bsd"}),
+    ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", {"zlib"}),
+    ('THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES', {"isc"}),
+    ("The submit button and a commit; emails are no licence. The apache tribe, an epl match, a simple rule.", set()),
+    ("the gplx file of version 3, an impl 2.0 and a simplex 1.1", set()),
+]
+
+
+@pytest.mark.parametrize("text,labels", NAMED)
+def test_expressions_addresses_and_short_names(text, labels):
+    rules = [(*rule[:5], re.compile(rule[5])) for rule in license_scan.build_rules()]
+    assert set(filter(None, license_scan.scan_text(text, rules)[5].split(","))) == labels
+
+
+def test_every_written_rule_finds_its_own_label():
+    """Each rule in lists compiles and has a keyword that its matches hold; a gate word opens the text."""
+    for label, pattern, keywords in license_scan.SENTENCES + license_scan.BODIES + [(a, b, [c]) for a, b, c in license_scan.ADDRESSES] + license_scan.SHORT:
+        assert re.compile(pattern) and keywords and label
+    assert len(license_scan.SENTENCES) + len(license_scan.BODIES) + len(license_scan.ADDRESSES) + len(license_scan.SHORT) + 87 > 200
+
+
+def test_base_columns_match_brute_force(spark):
+    rng = random.Random(12)
+    bits = ["mit", "license", "apache", "general", "public", "MIT", "License", "the", "é", "licenses", "xmit"]
+    texts = [rng.choice(["", ". ", "-"]).join([""]) + "".join(rng.choice(bits) + rng.choice([" ", "\n", "--", ", ", "."]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "license", "mit license " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"labels": F.lit("clash"), "spans": F.lit(1)})
+    for r in license_scan.scan_licenses(df).collect():
+        words = brute.words_of_letters(texts[r.doc_id])
+        places = [(i, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+                  for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        starts = [i for i, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(r.base_labels.split(",")) <= set(r.labels.split(","))
+
+
 def test_clause_behind_a_title_is_no_version():
     rules = [(*rule[:5], re.compile(rule[5])) for rule in license_scan.build_rules()]
     assert "apache-2.0" not in license_scan.scan_text("Apache License\n\n2. Grant of rights", rules)[5]
