@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from searchpulse.llm.common import per_process, stored
+from searchpulse.llm.common import give_back, per_process, stored
 from searchpulse.llm.tokens import Encoder
 
 #: Bytes of text that are aligned together.
-TEXT_BYTES = 4 << 20
-#: Bytes of remembered parts, and of remembered windows, at which a worker starts afresh.
+TEXT_BYTES = 2 << 20
+#: Bytes of remembered parts, and of remembered windows, that a worker keeps.
 MEMO_BYTES = 64 << 20
 #: Distinct pairs up to which their counts (17 bytes a pair) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_PAIRS = 400_000
@@ -71,21 +71,24 @@ def runs(parts: list[bytes], kind: str):
     return flat, np.cumsum(size) - size, size
 
 
-class Memo(dict):
-    """A dict that is emptied when what it holds exceeds a number of bytes."""
+class Memo:
+    """Remembered values in two generations of a bounded number of bytes; what is asked for stays in the younger one."""
 
     def __init__(self, limit: int = MEMO_BYTES):
-        super().__init__()
-        self.limit, self.held = limit, 0
+        self.young, self.old, self.limit, self.held = {}, {}, limit // 2, 0
 
-    def make_room(self) -> None:
+    def values(self, keys: list, learn, size) -> list:
+        """The values of distinct keys; ``learn`` gives those of unknown ones, ``size`` the bytes of a value."""
         if self.held > self.limit:
-            self.clear()
-            self.held = 0
-
-    def put(self, keys: list, values: list, size: int) -> None:
-        self.update(zip(keys, values))
-        self.held += size + ENTRY_BYTES * len(keys)
+            self.young, self.old, self.held = {}, self.young, 0
+        young, old = self.young, self.old
+        new = [k for k in keys if k not in young]
+        unknown = [k for k in new if k not in old]
+        if old:
+            young.update((k, old[k]) for k in new if k in old)
+        young.update(zip(unknown, learn(unknown) if unknown else ()))
+        self.held += sum(len(k) + size(young[k]) for k in new) + ENTRY_BYTES * len(new)
+        return [young[k] for k in keys]
 
 
 class Vocabulary:
@@ -126,14 +129,13 @@ class Aligner:
 
     # ids
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids of distinct parts: behind a blank, or behind the line feed they start with."""
         import array
 
-        ids_a = self.a._part_ids(parts) if parts else []
         # the space before a line feed is a piece of its own
         ids_b = [array.array("I", b[p[0] == "\n" :]).tobytes() for p, b in zip(parts, self.b.encode(parts, num_threads=1))]
-        self.parts.put(parts, list(zip(ids_a, ids_b)), sum(map(len, parts)) + sum(map(len, ids_a)) + sum(map(len, ids_b)))
+        return list(zip(self.a._part_ids(parts), ids_b))
 
     def _regular(self, texts: list[str]):
         """For A and B: ids of all texts in a row, and where each text ends."""
@@ -144,11 +146,10 @@ class Aligner:
         words = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
         coded = words.flatten().dictionary_encode()
         parts = coded.dictionary.to_pylist()
-        self.parts.make_room()
-        self._learn([p for p in parts if p not in self.parts])
+        known = self.parts.values(parts, self._learn, lambda ids: len(ids[0]) + len(ids[1]))
         index, borders = coded.indices.to_numpy(), words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         for side in (0, 1):
-            ids, ends = gather(*runs([self.parts[p][side] for p in parts], "<u4"), index)
+            ids, ends = gather(*runs([k[side] for k in known], "<u4"), index)
             yield ids, ends[borders - 1]
 
     def _whole(self, texts: list[str]):
@@ -219,14 +220,6 @@ class Aligner:
         offsets = pa.py_buffer(np.concatenate(([0], ends * 4)).astype(np.int64))
         return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(keys)]), anchors
 
-    def _remembered(self, keys: list[bytes]) -> list[tuple[str, bytes]]:
-        self.windows.make_room()
-        new = [key for key in keys if key not in self.windows]
-        if new:
-            found = self._align(new)
-            self.windows.put(new, found, sum(len(k) + len(t) + len(p) for k, (t, p) in zip(new, found)))
-        return [self.windows[key] for key in keys]
-
     def _aligned(self, texts: list[str], streams):
         """(n_a, n_b, n_groups, groups, links) of each text."""
         import numpy as np
@@ -247,7 +240,7 @@ class Aligner:
         length = np.array([len(w) for w in wanted], np.int64) * good
         keys, anchors = self._window_keys(sides, int(length.sum()))
         coded = keys.dictionary_encode()
-        known = self._remembered(coded.dictionary.to_pylist())
+        known = self.windows.values(coded.dictionary.to_pylist(), self._align, lambda found: len(found[0]) + len(found[1]))
         index = coded.indices.to_numpy()
         # a text's windows: they start at its first byte at the latest, so none reaches over a border
         borders = np.searchsorted(anchors, np.concatenate(([0], np.cumsum(length))))
@@ -311,6 +304,7 @@ def align_texts(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id
                     yield made(batch.column(0).slice(begin, len(texts)), aligner.align(texts), row)
                     row += len(texts)
                     begin, texts, held = i + 1, [], 0
+        give_back()
 
     schema = f"row long, `{id_col}` {id_type}, n_a long, n_b long, n_groups long, groups string, links {LINKS}"
     return stored(docs.select(id_col, text_col).mapInArrow(run, schema), "alignment", compression="zstd")
