@@ -35,9 +35,9 @@ LENGTH = 4096
 #: Items a task looks at when it chooses the next piece, and their tokens, about.
 POOL, POOL_TOKENS = 1024, 1 << 19
 #: Bytes of text tokenised at once, and documents at most.
-TEXT_BYTES, ROWS_AT_ONCE = 2 << 20, 4096
+TEXT_BYTES, ROWS_AT_ONCE = 4 << 20, 4096
 #: Bytes of known parts that a worker keeps.
-PARTS_BYTES = 32 << 20
+PARTS_BYTES = 48 << 20
 
 PIECE_SCHEMA = (
     "start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, "
