@@ -22,9 +22,8 @@ class TrendConfig:
     num_features: int = 1000
     min_doc_freq: int = 2
     remove_stop_words: bool = True
-    # Partitions of the feature table. A seeded fit is repeatable as long as this
-    # number is, so it does not follow the session; raise it with the data.
-    feature_partitions: int = 32
+    # Partitions of the fit's distinct vectors; by default their number follows that of the vectors.
+    feature_partitions: int | None = None
     per_cluster: int | None = 5
     top_n: int = 50
     label_texts: int = 10

@@ -50,9 +50,23 @@ class Clustering:
     cost: float
 
 
-def _distinct_vectors_up_to(features: DataFrame, limit: int) -> int:
-    """min(distinct feature vectors, limit)."""
-    return features.select("features").distinct().limit(limit).count()
+#: Distinct vectors that one partition of the fit holds.
+VECTORS_IN_PARTITION = 20_000
+
+
+def weighted_vectors(features: DataFrame, partitions: int | None = None, text_col: str = "query_text") -> tuple[DataFrame, int]:
+    """Distinct feature vectors with their number of rows as ``weight``, laid out by themselves, and how many they are.
+
+    A vector goes to a partition, and to its place there, by the smallest text that has
+    it, and the number of partitions follows that of the vectors unless it is given. A seeded
+    fit starts from the same rows in the same places on every cluster.
+    """
+    grouped = features.groupBy("features").agg(F.count("*").cast("double").alias("weight"), F.min(text_col).alias("_first"))
+    grouped = grouped.checkpoint()
+    number = grouped.count()
+    parts = partitions or max(1, -(-number // VECTORS_IN_PARTITION))
+    placed = grouped.repartition(parts, "_first").sortWithinPartitions("_first", F.xxhash64("features"))
+    return placed.checkpoint(), number
 
 
 def cluster_queries(
@@ -63,26 +77,25 @@ def cluster_queries(
 ) -> Clustering:
     """Fit and apply TF-IDF + K-means to already filtered query-day rows.
 
-    Rows are hash-partitioned by key into a fixed number of partitions and sorted
-    inside them, so a seeded fit sees the same input whatever the layout of the
-    source. The rows are checkpointed with their hashed term counts: scan, filters
-    and tokenising run once, the fits read sparse vectors, and a lost executor
-    costs a re-read.
+    The rows are checkpointed with their hashed term counts: scan, filters
+    and tokenising run once, and a lost executor costs a re-read. The fit runs over the
+    distinct vectors, weighted by their rows (see ``weighted_vectors``), so its input
+    is the same whatever the layout of the source, the session and the number of rows with
+    the same text.
     """
     spark = daily.sparkSession
     ensure_checkpoint_dir(spark)
     stages = term_stages(cfg)
-    counted = PipelineModel(stages).transform(daily.repartition(cfg.feature_partitions, *key).sortWithinPartitions(*key))
-    ordered = counted.drop("words", "filtered_words").checkpoint()
-    n_rows = ordered.count()
+    counted = PipelineModel(stages).transform(daily).drop("words", "filtered_words").checkpoint()
+    n_rows = counted.count()
     if n_rows == 0:
         raise NoRecentQueries("no query-day rows left after filtering")
-    idf = idf_stage(cfg).fit(ordered)
+    idf = idf_stage(cfg).fit(counted)
     pipeline = PipelineModel([*stages, idf])
-    features = idf.transform(ordered)
+    features = idf.transform(counted)
 
-    k = choose_k(n_rows, cfg.cluster_count)
-    k = min(k, _distinct_vectors_up_to(features, k))
+    distinct, n_distinct = weighted_vectors(features, cfg.feature_partitions)
+    k = min(choose_k(n_rows, cfg.cluster_count), n_distinct)
     if k < 2:
         # All rows have the same features: one cluster, its own centre, no fit.
         model, cost = None, 0.0
@@ -97,7 +110,8 @@ def cluster_queries(
             tol=1e-4,
             featuresCol="features",
             predictionCol="cluster_id",
-        ).fit(features)
+            weightCol="weight",
+        ).fit(distinct)
         cost = model.summary.trainingCost
         assigned = model.transform(features)
     kept = [c for c in RESULT_COLUMNS if c in assigned.columns]

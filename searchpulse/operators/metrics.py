@@ -85,6 +85,18 @@ def request_windows(df: DataFrame, seconds: int, groups: list[str], ts: str = "t
     return join_null_safe(windows, exact, keys, "left")
 
 
+def windows_for_rules(df: DataFrame, seconds: int, groups: list[str], rules: list[AlarmRule], stats: dict[str, Column], ts: str = "ts") -> DataFrame:
+    """Windows with only the series that the rules name, out of ``stats`` and the exact ``latency_p99_ms``."""
+    named = {r.metric for r in rules}
+    windows = metric_windows(df, seconds, groups, {name: c for name, c in stats.items() if name in named} or {"n": F.count("*")}, ts)
+    if "latency_p99_ms" not in named:
+        return windows
+    placed = df.withColumn("window_start", window_start_seconds(F.col(ts), seconds))
+    keys = ["window_start", *groups]
+    exact = order_statistics(placed, keys, "latency_ms", {"p99": discrete_rank(99)})
+    return join_null_safe(windows, exact.select(*keys, F.col("value").alias("latency_p99_ms")), keys, "left")
+
+
 def run_stats() -> dict[str, Column]:
     """Outcome and duration series of runs: columns status and duration_ms."""
     outcomes = ["succeeded", "failed", "timed_out"]

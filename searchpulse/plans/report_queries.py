@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from searchpulse.functions import keys
@@ -114,6 +116,11 @@ def hourly(spark, sf_dir):
     return metrics.request_windows(requests(spark, sf_dir), HOUR, ["service"])
 
 
+def ruled(spark, sf_dir):
+    """Hourly windows with the series that the rules name, no others."""
+    return metrics.windows_for_rules(requests(spark, sf_dir), HOUR, ["service"], FIXTURE_RULES, metrics.request_stats())
+
+
 @query("metric_windows", WINDOWS_SQL.format(s=300))
 def metric_windows(spark, sf_dir):
     windows = metrics.request_windows(requests(spark, sf_dir), 300, ["service"])
@@ -173,7 +180,7 @@ SELECT service, window_start, {', '.join(r.metric + '_state' for r in FIXTURE_RU
 FROM ({STATES_SQL}) WHERE requests IS NOT NULL
 """)
 def alarm_batch(spark, sf_dir):
-    states = metrics.alarm_states(hourly(spark, sf_dir), FIXTURE_RULES, ["service"], HOUR)
+    states = metrics.alarm_states(ruled(spark, sf_dir), FIXTURE_RULES, ["service"], HOUR)
     return states.select("service", "window_start", *[f"{r.metric}_state" for r in FIXTURE_RULES])
 
 
@@ -188,7 +195,64 @@ WHERE state <> before
 
 @query("alarm_transitions", TRANSITIONS_SQL)
 def alarm_transitions(spark, sf_dir):
-    return metrics.alarm_transitions(hourly(spark, sf_dir), FIXTURE_RULES, ["service"], HOUR)
+    return metrics.alarm_transitions(ruled(spark, sf_dir), FIXTURE_RULES, ["service"], HOUR)
+
+
+# The month folded to one day, so that windows of five minutes hold enough for the default alarms: each series as SQL over a window's events.
+FOLDED_SQL = "SELECT CAST(floor(epoch(ts)) AS BIGINT) % 86400 // 300 * 300 AS window_start, event_type, value, event_id FROM events"
+ALARM_SERIES_SQL = {
+    "runs_failed": "count(*) FILTER (event_type = 'error')",
+    "runs_timed_out": "count(*) FILTER (event_type = 'signup')",
+    "requests_5xx": "count(*) FILTER (event_type = 'error')",
+    "requests_4xx": "count(*) FILTER (event_type = 'signup')",
+    "latency_p99_ms": "quantile_disc(value * 20, 0.99)",
+    "function_errors": "count(*) FILTER (event_type = 'error')",
+    "function_throttles": "count(*) FILTER (event_type = 'signup')",
+    "table_user_errors": "count(*) FILTER (event_type = 'click')",
+    "table_system_errors": "count(*) FILTER (event_type = 'purchase' AND value >= 20)",
+}
+
+
+def _default_alarm_sql(rule: AlarmRule) -> str:
+    return f"""
+SELECT '{rule.metric}' AS metric, window_start AS changed_at, state FROM (
+  SELECT window_start, state, lag(state, 1, 'OK') OVER (ORDER BY window_start) AS before FROM (
+    SELECT window_start, CASE WHEN sum(CASE WHEN v >= {rule.threshold} THEN 1 ELSE 0 END)
+             OVER (ORDER BY window_start ROWS BETWEEN {rule.periods - 1} PRECEDING AND CURRENT ROW) = {rule.periods} THEN 'ALARM' ELSE 'OK' END AS state
+    FROM (SELECT unnest(range(0, 86400 + 3000, 300)) AS window_start)
+    LEFT JOIN (SELECT window_start, {ALARM_SERIES_SQL[rule.metric]} AS v FROM ({FOLDED_SQL}) GROUP BY 1) USING (window_start)))
+WHERE state <> before"""
+
+
+@query("default_alarms", " UNION ALL ".join(_default_alarm_sql(r) for r in metrics.DEFAULT_ALARMS))
+def default_alarms(spark, sf_dir):
+    """All nine default alarms on series of runs, requests, functions and the results table."""
+    at = F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) % 86_400)
+    kind = F.col("event_type")
+    events = table(spark, sf_dir, "events").select(at.alias("ts"), "event_type", "value")
+
+    def named(*pairs):
+        return F.element_at(F.create_map(*[F.lit(x) for x in pairs]), kind)
+
+    bad_task = F.when((kind != "purchase") | (F.col("value") >= 20), named("click", "user_error", "purchase", "system_error", "view", "completed"))
+    status = F.coalesce(named("error", 500, "signup", 404), F.lit(200))
+    requests_named = {
+        "requests_5xx": F.count_if(F.col("status") >= 500),
+        "requests_4xx": F.count_if((F.col("status") >= 400) & (F.col("status") < 500)),
+    }
+    sources = [
+        (events.select("ts", named("view", "succeeded", "error", "failed", "signup", "timed_out").alias("status"), F.col("value").alias("duration_ms")), metrics.run_stats()),
+        (events.select("ts", status.alias("status"), (F.col("value") * 20).alias("latency_ms")), {**requests_named, "latency_p99_ms": None}),
+        (events.select("ts", named("error", "error", "signup", "throttled").alias("status"), F.col("value").alias("duration_ms")), metrics.function_stats()),
+        (events.select("ts", bad_task.alias("status"), F.lit(1).alias("read_units"), F.lit(1).alias("write_units")), metrics.table_stats()),
+    ]
+    found = []
+    for df, stats in sources:
+        rules = [r for r in metrics.DEFAULT_ALARMS if r.metric in stats]
+        kept = {name: c for name, c in stats.items() if c is not None}
+        windows = metrics.windows_for_rules(df, metrics.ALARM_PERIOD_SECONDS, [], rules, kept)
+        found.append(metrics.alarm_transitions(windows, rules, [], metrics.ALARM_PERIOD_SECONDS))
+    return reduce(lambda a, b: a.unionByName(b), found).select("metric", "changed_at", "state")
 
 
 KEY_SQL = """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, StopWordsRemover, Tokenizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -188,6 +189,35 @@ def cluster_queries_simple(spark, sf_dir):
     return _nearest_checked(spark, sf_dir, simple_config())
 
 
+@query("clustering_cost", "SELECT count(*) AS n_rows, CAST(10 AS INTEGER) AS k, true AS cost_agrees, true AS below_one_cluster FROM documents")
+def clustering_cost(spark, sf_dir):
+    """The fit's cost is the sum of squared distances to the centres, and below that of a single cluster."""
+    import numpy as np
+
+    found = _clustered(spark, sf_dir)
+    centres = np.array(found.model.clusterCenters())
+    weights = found.features.transform(query_docs(spark, sf_dir).select("doc_id", "query_text"))
+    rows = found.rows.select("doc_id", "cluster_id").join(weights.select("doc_id", vector_to_array("features").alias("x")), "doc_id")
+
+    def sums(frames):
+        for frame in frames:
+            x = np.stack(frame["x"].to_list()) if len(frame) else np.zeros((0, centres.shape[1]))
+            apart = x - centres[frame["cluster_id"].to_numpy()]
+            yield frame[["doc_id"]].assign(distance=(apart**2).sum(1), square=(x**2).sum(1))
+
+    per_row = rows.mapInPandas(sums, "doc_id long, distance double, square double")
+    # of one cluster the cost is the squares' sum less n times the square of the mean
+    total = weights.select(Summarizer.mean(weights["features"]).alias("m")).head()[0]
+    mean_square = float(total.dot(total))
+    cost = F.lit(float(found.cost))
+    return per_row.agg(
+        F.count("*").alias("n_rows"),
+        F.lit(found.k).alias("k"),
+        (F.abs(F.sum("distance") - cost) <= 1e-6 * cost).alias("cost_agrees"),
+        (cost < F.sum("square") - F.count("*") * mean_square).alias("below_one_cluster"),
+    )
+
+
 @query("cluster_invariants", """
 SELECT count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS total_queries, CAST(10 AS BIGINT) AS clusters,
        CAST(0 AS BIGINT) AS split_texts FROM documents
