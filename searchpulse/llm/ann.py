@@ -18,7 +18,8 @@ best of all blocks are merged.
 Edge cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do those of another than the most common length, nor null ids; a query
 with fewer candidates gets them all; ties go to the smaller id; rows that repeat an
-id and its vector are one; an empty table gives no rows.
+id and its vector are one; an empty table gives no rows; only the id and the vector are
+read, so other columns' names may clash.
 """
 
 from __future__ import annotations

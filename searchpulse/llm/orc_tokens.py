@@ -8,7 +8,9 @@ filter rules the wanted ids out.
 
 Edge cases: null and empty texts have the end id alone; a null id sorts first;
 repeated ids keep all their rows, ordered by text; an empty table gives no rows;
-texts of any length are one row.
+texts of any length are one row; the order of files needs all rows of an id in one of them, so
+an id that repeats very often fills one task; only the id and the text are read, so
+other columns' names may clash.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ a new table; batches at or below the horizon are then refused as already counted
 Edge cases: null sources, languages or versions are keys of their own; null counts
 are 0; repeated change rows in one batch each count, as the feed is the record of
 what happened; an empty batch is committed as a batch without sums; groups whose
-documents and tokens have both come back to 0 are left out of the totals.
+documents and tokens have both come back to 0 are left out of the totals; the feed holds counts,
+not texts, so a very long text is one number; columns beyond those named are not read,
+so their names may clash.
 """
 
 from __future__ import annotations

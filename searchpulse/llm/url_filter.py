@@ -7,7 +7,7 @@ exact hash join, which then removes the false positives.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, no
 canonical form, and is allowed; repeated URLs are judged row by row; an empty list
-blocks nothing; columns of the input whose names clash with an output column are
+blocks nothing; an empty table gives no rows; URLs of any length are judged whole; columns of the input whose names clash with an output column are
 replaced by it.
 """
 

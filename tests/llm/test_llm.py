@@ -71,6 +71,14 @@ def test_urls_by_hand(spark):
     assert url_filter.judge_urls(df.where("false"), listed.where("false"), URL_RULES).count() == 0
 
 
+def test_repeated_and_very_long_urls(spark):
+    long = "http://a.org/" + "p" * 300_000
+    df = spark.createDataFrame([(1, long), (2, long), (2, long), (3, "http://h." + "x" * 5000 + ".net/fr/")], "page_id long, url string").withColumns({"rule": F.lit(1), "verdict": F.lit(None).cast("int")})
+    listed = spark.createDataFrame([("a.org/" + "p" * 300_000,)] * 3, "canonical string")
+    got = url_filter.judge_urls(df, listed, URL_RULES).collect()
+    assert sorted((r.page_id, len(r.path), r.rule, r.verdict) for r in got) == [(1, 300_001, None, "block"), (2, 300_001, None, "block"), (2, 300_001, None, "block"), (3, 4, "net/fr/", "block")]
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("h/"), "id").alias("canonical"))
     pages = spark.range(20_000).select("id", F.concat(F.lit("http://h/"), "id").alias("url"))
@@ -335,6 +343,54 @@ def test_toxic_documents_and_their_sentences(spark, docs):
     assert toxicity.reject_toxic(docs.where("false"), labels).columns == docs.columns
 
 
+def plain_noisy_or(text, weights, bias):
+    """1 - prod(1 - p) over the sentences of a text, p logistic over each distinct word's features."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    parts = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s) for s in re.split(r"[.!?\n]", low)]
+    clean = 1.0
+    for words in [p for p in parts if p] or [[]]:
+        z = bias + sum(weights.get(f, 0.0) for w in set(words) for f in [w, *[f"{w[:n]}*" for n in (4, 5) if len(w) > n]])
+        clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+def test_scores_match_a_plain_noisy_or(spark, docs):
+    rng = random.Random(7)
+    weights = {w: rng.uniform(-2, 2) for w in [*WORDS, "wate*", "modelx", "copp*", "windo*", "é", "ét"]}
+    model = (weights, -3.0)
+    scored = toxicity.score_documents(docs, model, 0.3).collect()
+    of_id = {}
+    for i, t, *_ in corpus():
+        of_id.setdefault(i, []).append(plain_noisy_or(t, *model))
+    got = {}
+    for r in scored:
+        got.setdefault(r.doc_id, []).append(r.score)
+    assert {i: sorted(v) for i, v in got.items()} == {i: pytest.approx(sorted(v), abs=1e-9) for i, v in of_id.items()}
+
+
+def test_fit_follows_the_gradient_of_the_likelihood():
+    """The fitted weights are better than ones moved a little in any direction, up to the weight decay."""
+    rng = np.random.default_rng(0)
+    docs = [[rng.integers(0, 6, 3).tolist() for _ in range(rng.integers(1, 4))] for _ in range(400)]
+    labels = np.array([float(any(0 in s for s in d) != (rng.random() < 0.1)) for d in docs])  # some wrong: the optimum is finite
+    bags = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    parts = [sorted(set(s)) for d in docs for s in d]
+    owners = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    features = np.concatenate(parts)
+    w, bias = toxicity.fit_noisy_or(labels, bags, owners, features, 6, steps=1500, rate=0.05)
+
+    def loss(w, bias):
+        z = bias + np.bincount(owners, w[features], len(bags))
+        bag = np.maximum(np.bincount(bags, np.logaddexp(0, z), len(docs)), 1e-9)
+        return -np.mean(labels * np.log(-np.expm1(-bag)) - (1 - labels) * bag) + 0.5e-4 * (w**2).sum()
+
+    best = loss(w, bias)
+    for k in range(6):
+        for step in (-0.5, 0.5):
+            assert loss(w + step * (np.arange(6) == k), bias) > best - 1e-4
+    assert loss(w, bias + 0.5) > best and loss(w, bias - 0.5) > best and w[0] == max(w)
+
+
 # 7: decontamination
 
 
