@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchpulse.llm.common import blank_words, lowered, stored
+from searchpulse.llm.common import blank_words, by_bytes, give_back, lowered, stored
 from searchpulse.llm.components import components
 from searchpulse.llm.merkle import numbered
 
@@ -39,6 +39,8 @@ BANDS, ROWS = 32, 4
 #: Turns in which the members outside a bucket's largest component meet some of its members, and how many.
 HUB_TURNS, HUBS = 1, 4
 SKETCH_WORDS = 8  # of 64 bits
+#: Bytes of text that are signed together.
+TEXT_BYTES = 2 << 20
 #: Six deviations of the estimate (MinHash and sketch together) below the threshold.
 MARGIN = 0.25
 
@@ -142,23 +144,22 @@ def signatures(docs: DataFrame, shingle_words: int, id_col: str, text_col: str)
     def sign(batches):
         import hashlib
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sets = shingle_hashes(part.column(1), shingle_words)
-                digests = [hashlib.sha256(b" ".join(blank_words(t))).hexdigest() for t in part.column(1).to_pylist()]
-                samples = [minhash(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(digests),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([band_keys(s) if s is not None else [] for s in samples], pa.list_(pa.int64())),
-                        pa.array([odd_sketch(s) if s is not None else [] for s in samples], pa.list_(pa.int64())),
-                        pa.array([parities(_mix(s), WHOLE_WORDS) for s in sets], pa.list_(pa.int64())),
-                    ],
-                    ["id", "digest", "n_shingles", "bands", "sketch", "whole"],
-                )
+        for part in by_bytes(batches, 1, TEXT_BYTES, 1024):
+            sets = shingle_hashes(part.column(1), shingle_words)
+            digests = [hashlib.sha256(b" ".join(blank_words(t))).hexdigest() for t in part.column(1).to_pylist()]
+            samples = [minhash(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array(digests),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([band_keys(s) if s is not None else [] for s in samples], pa.list_(pa.int64())),
+                    pa.array([odd_sketch(s) if s is not None else [] for s in samples], pa.list_(pa.int64())),
+                    pa.array([parities(_mix(s), WHOLE_WORDS) for s in sets], pa.list_(pa.int64())),
+                ],
+                ["id", "digest", "n_shingles", "bands", "sketch", "whole"],
+            )
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(sign, f"id {id_type}, {SIGNATURE_SCHEMA}")
 
@@ -213,6 +214,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle_words:
                 both = len(set_a & set_b)
                 keep.append(both > 0 and 100 * both >= percent * (len(set_a) + len(set_b) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     kind = pairs.schema["a"].dataType.simpleString()
     a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
@@ -281,10 +283,12 @@ def near_duplicates(
     ``percent`` % of the union; the component is the smallest id reachable.
     """
     signed = stored(signatures(docs, shingle_words, id_col, text_col), "signatures")
-    classes = signed.groupBy("digest").agg(F.min("id").alias("rep"))
-    leaders = classes.select("digest", F.col("rep").alias("id"))
+    # only texts that occur several times; stored, so that the join can split a class with many members
+    classes = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("members")).where("members > 1")
+    classes = stored(classes.select("digest", "rep"), "classes")
+    classed = signed.join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
     words = [*[F.col("sketch")[i].alias(w) for i, w in enumerate(SAMPLES)], *[F.col("whole")[i].alias(w) for i, w in enumerate(WHOLE)]]
-    leading = signed.where("n_shingles > 0").join(leaders, ["digest", "id"], "left_semi")
+    leading = classed.where("n_shingles > 0 AND id = rep")
     reps = stored(leading.select("id", "n_shingles", "bands", *words), "representatives")
     keys = reps.select("id", F.explode("bands").alias("key"))
     reps = reps.select(*SIGNED)
@@ -310,7 +314,7 @@ def near_duplicates(
     rest = stored(_open_pairs(rows, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     final = joined(links_of(rest))
 
-    members = signed.select("id", "digest", "n_shingles").join(classes, "digest")
+    members = classed.select("id", "rep", "n_shingles")
     found = members.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     lead = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
     found = found.select(F.col("id").alias(id_col), "n_shingles", lead.alias("component_id"))

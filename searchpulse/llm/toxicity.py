@@ -13,7 +13,10 @@ chosen there by how unevenly they occur; every document is then scored whole.
 Edge cases: null and empty texts are one sentence without words; labels that are
 null or without a document teach nothing; of repeated labels of an id the largest
 counts; repeated rows are scored each; without a document of either label every
-score is 0. Label, language, source and id are never inputs of a score.
+score is 0; of features with the same weight the smaller text is chosen; an empty table gives
+no rows; very long texts are scored whole; only the id, the text and the label are read, so other
+columns' names may clash. Label, language, source and id are never inputs of a score.
+The bound on features is one on the model that is broadcast, as the sample's is on the fit: it cuts no document.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchpulse.llm.common import share, stored
+from searchpulse.llm.common import by_bytes, give_back, share, stored
 
 MAX_DOCS = 12_000
 MAX_FEATURES = 3_000
 MIN_DOCS = 6
 PREFIXES = (4, 5)
 THRESHOLD = 0.3
+#: Bytes of text that are scored together.
+TEXT_BYTES = 2 << 20
 
 # A-Z lower-cased; full stop, ! and ? end a sentence like a line feed; other ASCII characters divide words.
 SENTENCE_BYTES = bytes(
@@ -193,27 +198,26 @@ def score_documents(docs: DataFrame, model: tuple[dict[str, float], float], thre
 
         weights, bias = shared()
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                logits, n_words, borders, lengths = sentence_logits(part.column(1).to_pylist(), weights, bias)
-                scores = noisy_or(logits, n_words, borders)
-                p = np.where(n_words > 0, 1 / (1 + np.exp(-np.clip(logits, -700, 700))), 0.0)
-                ends = np.cumsum(lengths + 1)
-                worst, found = [], []
-                for a, b in zip(borders[:-1], borders[1:]):
-                    shift = ends[a] - lengths[a] - 1
-                    worst.append(int(np.argmax(p[a:b])) if n_words[a:b].any() else None)
-                    found.append(
-                        [
-                            {"start": int(ends[s] - 1 - lengths[s] - shift), "end": int(ends[s] - 1 - shift), "probability": float(p[s])}
-                            for s in (np.flatnonzero(p[a:b] >= threshold) + a)
-                        ]
-                    )
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(scores, pa.float64()), pa.array(worst, pa.int32()), pa.array(found, pa.list_(span))],
-                    [id_col, "score", "worst_sentence", "offending"],
+        for part in by_bytes(batches, 1, TEXT_BYTES, 1024):
+            logits, n_words, borders, lengths = sentence_logits(part.column(1).to_pylist(), weights, bias)
+            scores = noisy_or(logits, n_words, borders)
+            p = np.where(n_words > 0, 1 / (1 + np.exp(-np.clip(logits, -700, 700))), 0.0)
+            ends = np.cumsum(lengths + 1)
+            worst, found = [], []
+            for a, b in zip(borders[:-1], borders[1:]):
+                shift = ends[a] - lengths[a] - 1
+                worst.append(int(np.argmax(p[a:b])) if n_words[a:b].any() else None)
+                found.append(
+                    [
+                        {"start": int(ends[s] - 1 - lengths[s] - shift), "end": int(ends[s] - 1 - shift), "probability": float(p[s])}
+                        for s in (np.flatnonzero(p[a:b] >= threshold) + a)
+                    ]
                 )
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(scores, pa.float64()), pa.array(worst, pa.int32()), pa.array(found, pa.list_(span))],
+                [id_col, "score", "worst_sentence", "offending"],
+            )
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(score, f"{id_col} {id_type}, {SCORE_SCHEMA}")
 
@@ -228,10 +232,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
 
     def keep(batches):
         weights, bias = shared()
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
-                logits, n_words, borders, _ = sentence_logits(part.column(at).to_pylist(), weights, bias)
-                yield part.filter(pa.array(noisy_or(logits, n_words, borders) < threshold))
+        for part in by_bytes(batches, at, TEXT_BYTES, 1024):
+            logits, n_words, borders, _ = sentence_logits(part.column(at).to_pylist(), weights, bias)
+            yield part.filter(pa.array(noisy_or(logits, n_words, borders) < threshold))
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)
