@@ -16,7 +16,11 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from searchpulse.plans import all_queries  # noqa: E402
-from searchpulse.session import build_session  # noqa: E402
+from searchpulse.plans.landing_queries import wire_log  # noqa: E402
+from searchpulse.session import build_session, work_dir  # noqa: E402
+from searchpulse.sources.fixtures import search_log  # noqa: E402
+from searchpulse.sources.ingest import to_wire  # noqa: E402
+from searchpulse.streaming.land import arrived_bytes, land_files  # noqa: E402
 
 HEADLINE = [
     "consolidate",
@@ -30,6 +34,7 @@ HEADLINE = [
     "reject_split",
     "ndjson_roundtrip",
     "land_stream",
+    "stream_late_rows",
     "late_recompute",
     "compress_files",
     "tokens",
@@ -45,12 +50,30 @@ HEADLINE = [
     "store_served",
     "page_first",
     "page_next",
+    "by_category",
+    "purge_apply",
+    "expired_removed",
+    "users_between",
+    "quantile_sketches",
+    "discover_widened",
+    "default_alarms",
+    "clustering_cost",
     "stream_consolidate",
     "alarm_stream",
     "daily_trends",
 ]
 
 
+def landing_rate(spark, sf_dir: str) -> float:
+    """MB of messages that a backlog in files lands each second, in batches of at most 4 MB."""
+    source, table = work_dir(spark, "backlog"), work_dir(spark, "landed")
+    to_wire(wire_log(search_log(spark, sf_dir))).select("value").repartition(16).write.text(source)
+    there, begun = arrived_bytes(spark, source), time.perf_counter()
+    turns = iter([False, True])
+    land_files(spark, source, table, f"{table}-checkpoint", max_bytes=4 << 20, stop=lambda: next(turns))
+    return round(there / 1e6 / (time.perf_counter() - begun), 3)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -73,6 +96,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    rate = landing_rate(spark, sf_dir)
     spark.stop()
     print(
         json.dumps(
@@ -81,6 +105,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "landing_mb_per_sec": rate,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )
