@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-The trees are grown on a bounded sample: a node splits its points by the hyperplane
-between two means until a leaf is small enough. Every vector is then filed in one
-leaf of each tree. A query takes nodes from one priority queue shared by all trees,
-the most promising margin first, until it has visited ``visits`` leaves; the vectors
-of those leaves are its candidates and are reranked exactly.
+The trees are grown on a bounded sample, one in a task: a node splits its points by
+the hyperplane between two means until a leaf is small enough. The number of leaves follows that of the
+vectors, so leaves keep their size (up to ``MAX_LEAVES``, which bounds what is broadcast). Every vector is
+filed in one leaf of each tree. A query takes nodes from one priority queue shared by all
+trees, the most promising margin first, until it has visited enough leaves; the vectors of
+those leaves are its candidates and are reranked exactly. How many leaves are enough is
+measured: some queries are answered exactly by a pass over all vectors, and the visits are those that find
+the wanted share of their neighbours.
 
 Nearness is the largest inner product. For the trees each vector gets one more
 component that makes all norms equal, so that the largest product is the nearest
 point. Equal vectors are searched once, as the class of their smallest id, and only
 the ids that can be among the nearest leave a class.
 
-Leaves are cut into blocks of at most ``BLOCK`` rows, and the queries of a leaf too,
-so no task holds a leaf whole; a block gives each query its best candidates, and the
+Leaves that lie together in a tree form a bucket; its vectors meet the queries that visit any of its leaves.
+Buckets are cut into blocks of about ``BLOCK`` rows, and their queries too,
+so no task holds a bucket whole; a block gives each query its best candidates, and the
 best of all blocks are merged.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take
@@ -30,33 +34,39 @@ from pyspark.sql.window import Window
 
 from searchpulse.llm.common import share, stored
 
-TREES = 4
-#: Leaves of a tree.
-LEAVES = 128
-#: Leaves a query visits, over all trees.
-VISITS = 160
+TREES = 12
+#: Vectors in a leaf, about, and the leaves that a tree has at most.
+LEAF, MAX_LEAVES = 24, 8192
+#: Neighbouring leaves whose vectors are kept together.
+BUCKET = 32
+#: Share of the nearest that the measured queries must find, and how many queries are measured.
+TARGET, MEASURED = 0.93, 96
 #: Vectors the trees are grown on.
-SAMPLE = 20_000
+SAMPLE = 65_536
 BLOCK = 4096
 
 
 class Forest:
-    """Trees as arrays: normals, offsets, children; a child below 0 is the leaf -1 - child."""
+    """Trees as arrays: normals, offsets, children, root; a child below 0 is the leaf -1 - child."""
 
-    def __init__(self, points, trees: int, leaves: int, seed: int = 7):
+    def __init__(self, trees: list[tuple]):
+        self.trees = trees
+
+    @classmethod
+    def tree(cls, points, leaves: int, seed: int) -> tuple:
+        """A tree over ``points`` with about so many leaves, numbered from one side to the other."""
         import numpy as np
 
-        rng = np.random.default_rng(seed)
-        self.trees = [self._grow(points, max(1, len(points) // leaves), rng) for _ in range(trees)]
+        return cls._grow(points, max(1, len(points) // leaves), np.random.default_rng(seed))
 
     @staticmethod
     def _plane(points, rng):
         """Unit normal and offset of the plane between two means; the median where that is lopsided."""
         import numpy as np
 
-        a, b = points[rng.choice(len(points), 2, replace=False)]
+        a, b = points[rng.integers(0, len(points), 2)]
         for _ in range(4):
-            some = points[rng.choice(len(points), min(64, len(points)), replace=False)]
+            some = points[rng.integers(0, len(points), min(64, len(points)))]
             near = ((some - a) ** 2).sum(1) < ((some - b) ** 2).sum(1)
             if near.any() and not near.all():
                 a, b = some[near].mean(0), some[~near].mean(0)
@@ -69,7 +79,8 @@ class Forest:
             offset = np.median(along)
         return normal, offset, along > offset
 
-    def _grow(self, points, leaf_size, rng):
+    @classmethod
+    def _grow(cls, points, leaf_size, rng):
         import numpy as np
 
         normals, offsets, below, above, leaves = [], [], [], [], 0
@@ -77,7 +88,7 @@ class Forest:
         def node(rows) -> int:
             nonlocal leaves
             if len(rows) > leaf_size and len(rows) > 1:
-                normal, offset, up = self._plane(points[rows], rng)
+                normal, offset, up = cls._plane(points[rows], rng)
                 if up.any() and not up.all():
                     me = len(normals)
                     normals.append(normal)
@@ -108,22 +119,28 @@ class Forest:
             out[:, k] = -1 - at
         return out
 
-    def visit(self, vector, visits: int) -> list[tuple[int, int]]:
-        """(tree, leaf) of the most promising leaves, from one priority queue over all trees."""
+    def visit(self, vectors, visits: int):
+        """For each vector the (tree, leaf) of its most promising leaves, from one priority queue over all trees."""
         import heapq
 
-        margins = [normals @ vector - offsets for normals, offsets, *_ in self.trees]
-        queue = [(float("-inf"), k, tree[4]) for k, tree in enumerate(self.trees)]
-        found = []
-        while queue and len(found) < visits:
-            far, k, at = heapq.heappop(queue)
-            if at < 0:
-                found.append((k, -1 - at))
-                continue
-            margin = float(margins[k][at])
-            heapq.heappush(queue, (max(far, -margin), k, int(self.trees[k][3][at])))
-            heapq.heappush(queue, (max(far, margin), k, int(self.trees[k][2][at])))
-        return found
+        below = [t[2].tolist() for t in self.trees]
+        above = [t[3].tolist() for t in self.trees]
+        for at in range(0, len(vectors), 64):
+            some = vectors[at : at + 64]
+            margins = [some @ normals.T - offsets for normals, offsets, *_ in self.trees]
+            for i in range(len(some)):
+                own = [m[i].tolist() for m in margins]
+                queue = [(float("-inf"), k, tree[4]) for k, tree in enumerate(self.trees)]
+                found: list[tuple[int, int]] = []
+                while queue and len(found) < visits:
+                    far, k, node = heapq.heappop(queue)
+                    if node < 0:
+                        found.append((k, -1 - node))
+                        continue
+                    margin = own[k][node]
+                    heapq.heappush(queue, (max(far, -margin), k, above[k][node]))
+                    heapq.heappush(queue, (max(far, margin), k, below[k][node]))
+                yield found
 
 
 def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -140,6 +157,19 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _needed_visits(forest: Forest, queries, neighbours, target: float) -> int:
+    """Leaves to visit so that the given share of all ``neighbours`` (an array of vectors for each query) is met."""
+    import numpy as np
+
+    total = sum(len(t[0]) + 1 for t in forest.trees)
+    needs = []
+    for order, near in zip(forest.visit(queries, total), neighbours):
+        place = {leaf: n for n, leaf in enumerate(order)}
+        leaves = forest.leaves_of(near)
+        needs += [min(place.get((k, int(leaf)), total) for k, leaf in enumerate(row)) + 1 for row in leaves]
+    return int(np.sort(needs)[int(np.ceil(target * len(needs))) - 1]) if needs else 1
+
+
 def nearest(
     table: DataFrame,
     queries: Column,
@@ -147,11 +177,13 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     trees: int = TREES,
-    leaves: int = LEAVES,
-    visits: int = VISITS,
+    leaf: int = LEAF,
+    target: float = TARGET,
     sample: int = SAMPLE,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found of every row that ``queries`` selects by ``id``."""
+    import pickle
+
     import numpy as np
     import pyarrow as pa
 
@@ -166,23 +198,68 @@ def nearest(
     asking = stored(members.where(queries).distinct(), "query-classes")
 
     norm = F.sqrt(inner_product(F.col("v"), F.col("v")))
-    longest = classes.agg(F.max(norm)).head()[0]
+    longest, n_classes = classes.agg(F.max(norm), F.count("*")).head()
     answer = "query_id long, rank int, vec_id long, score double"
     if longest is None:
         return spark.createDataFrame([], answer)
-    grown_on = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow().column(0)
-    points = np.array(grown_on.to_pylist(), np.float64)
+    grown_on = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow().column(0).combine_chunks()
+    points = grown_on.flatten().to_numpy(zero_copy_only=False).reshape(len(grown_on), -1)
+    width = points.shape[1]
 
     def lifted(vectors):
         rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))
-        return np.column_stack((vectors, rest))
+        return np.column_stack((vectors, rest)).astype(np.float32)
 
-    forest = share(spark, Forest(lifted(points), trees, leaves))
-    width = points.shape[1]
+    def asked_for(vectors):
+        return np.column_stack((vectors, np.zeros(len(vectors)))).astype(np.float32)
+
+    leaves = max(1, min(MAX_LEAVES, n_classes // leaf, len(points) // 4))
+    seeds = share(spark, lifted(points))
+
+    def grow(batches):
+        given = seeds()
+        for batch in batches:
+            grown = [pickle.dumps(Forest.tree(given, leaves, number)) for number in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grown, pa.binary())], ["id", "tree"])
+
+    grown = spark.range(0, trees, 1, trees).mapInArrow(grow, "id long, tree binary").orderBy("id").toLocalIterator()
+    grown = Forest([pickle.loads(bytes(row["tree"])) for row in grown])
+    forest = share(spark, grown)
 
     def matrix(column):
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
+    asked = classes.join(asking.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "v")
+    asked = stored(asked, "queries")
+
+    # some queries exactly, by a pass over all vectors
+    few = asked.orderBy(F.xxhash64("id"), "id").limit(MEASURED).toArrow().combine_chunks()
+    few_ids = few.column(0).to_numpy()
+    few_v = matrix(few.column(1).combine_chunks()) if len(few_ids) else np.zeros((0, width))
+
+    def exactly(batches):
+        for batch in batches:
+            products = few_v @ matrix(batch.column(1)).T
+            n = min(k + 1, batch.num_rows)
+            if n:
+                best = np.argpartition(-products, n - 1, axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(few_ids, n)),
+                        batch.column(0).take(pa.array(best.ravel())),
+                        pa.array(np.take_along_axis(products, best, 1).ravel()),
+                    ],
+                    ["q", "c", "s"],
+                )
+
+    met = classes.select(F.col("rep").alias("id"), "v").mapInArrow(exactly, "q long, c long, s double").where("q <> c")
+    first = Window.partitionBy("q").orderBy(F.desc("s"), "c")
+    met = met.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
+    found = met.join(classes.select(F.col("rep").alias("c"), "v"), "c").groupBy("q").agg(F.flatten(F.collect_list("v")).alias("v"))
+    truth = {row["q"]: np.array(row["v"]).reshape(-1, width) for row in found.toLocalIterator()}
+    near = [lifted(truth.get(q, np.zeros((0, width)))) for q in few_ids.tolist()]
+    visits = _needed_visits(grown, asked_for(few_v), near, target)
+
     def file(batches):
         grown = forest()
         for batch in batches:
@@ -193,47 +270,62 @@ def nearest(
     def ask(batches):
         grown = forest()
         for batch in batches:
-            vectors = np.column_stack((matrix(batch.column(1)), np.zeros(batch.num_rows)))
-            found = [[t << 20 | leaf for t, leaf in grown.visit(v, visits)] for v in vectors]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "leaves"])
+            vectors, rows = asked_for(matrix(batch.column(1))), []
+            for i, found in enumerate(grown.visit(vectors, visits)):
+                by_place: dict[int, list[int]] = {}
+                for t, number in found:
+                    by_place.setdefault(t << 20 | number // BUCKET, []).append(number)
+                rows += [(i, place, some) for place, some in by_place.items()]
+            at, places, lists = zip(*rows) if rows else ((), (), ())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(places, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(lists, pa.list_(pa.int32()))],
+                ["place", "id", "v", "leaves"],
+            )
 
     filed = classes.select(F.col("rep").alias("id"), "v").mapInArrow(file, "id long, v array<double>, leaves array<int>")
     filed = filed.select("id", "v", F.posexplode("leaves").alias("tree", "leaf"))
-    filed = stored(filed.select((F.shiftleft("tree", 20) + F.col("leaf")).alias("place"), "id", "v"), "leaves")
-    asked = classes.join(asking.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "v")
-    asked = stored(asked, "queries")
-    visited = asked.mapInArrow(ask, "id long, v array<double>, leaves array<int>").select("id", "v", F.explode("leaves").alias("place"))
-    visited = stored(visited, "visited")
+    place = F.shiftleft("tree", 20) + F.floor(F.col("leaf") / BUCKET).cast("int")
+    filed = stored(filed.select(place.alias("place"), "id", "v", F.array("leaf").alias("leaves")), "leaves")
+    visited = stored(asked.mapInArrow(ask, "place int, id long, v array<double>, leaves array<int>"), "visited")
 
     def blocks(rows, block):
         """Rows of a place in blocks of about BLOCK rows, one array each."""
         counted = rows.groupBy("place").agg(F.count("*").alias("n"))
         dealt = rows.join(counted, "place").withColumn(block, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-        return dealt.groupBy("place", block).agg(F.collect_list("id").alias(f"{block}_ids"), F.flatten(F.collect_list("v")).alias(f"{block}_v"))
+        # the lists of one aggregation keep the same order of rows
+        lists = [F.collect_list("id").alias(f"{block}_ids"), F.flatten(F.collect_list("v")).alias(f"{block}_v"), F.collect_list("leaves").alias(f"{block}_leaves")]
+        return dealt.groupBy("place", block).agg(*lists)
 
-    met = blocks(visited, "q").join(blocks(filed, "c"), "place").select("q_ids", "q_v", "c_ids", "c_v")
+    met = blocks(visited, "q").join(blocks(filed, "c"), "place").select("q_ids", "q_v", "q_leaves", "c_ids", "c_v", "c_leaves")
     keep = k + 5
 
     def score(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                q_ids, c_ids = (batch.column(j)[i].values.to_numpy() for j in (0, 2))
-                q, c = (batch.column(j)[i].values.to_numpy().reshape(-1, width) for j in (1, 3))
-                for at in range(0, len(q), 512):
-                    products = q[at : at + 512] @ c.T
-                    n = min(keep, len(c_ids))
-                    best = np.argpartition(-products, n - 1, axis=1)[:, :n]
-                    rows = np.repeat(q_ids[at : at + 512], n)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows), pa.array(c_ids[best.ravel()]), pa.array(np.take_along_axis(products, best, 1).ravel())],
-                        ["q", "c", "s"],
-                    )
+                q_ids, c_ids = (batch.column(j)[i].values.to_numpy() for j in (0, 3))
+                q, c = (batch.column(j)[i].values.to_numpy().reshape(-1, width) for j in (1, 4))
+                wanted = batch.column(2)[i].as_py()
+                own = batch.column(5)[i].values.flatten().to_numpy()  # each vector has one leaf
+                order = np.argsort(own, kind="stable")
+                own = own[order]
+                out = []
+                for number, at_leaves in enumerate(wanted):
+                    ends = np.searchsorted(own, [at_leaves, [x + 1 for x in at_leaves]])
+                    rows = np.concatenate([order[a:b] for a, b in zip(*ends)])
+                    if len(rows):
+                        products = c[rows] @ q[number]
+                        if len(rows) > keep:
+                            best = np.argpartition(-products, keep - 1)[:keep]
+                            rows, products = rows[best], products[best]
+                        out.append((np.full(len(rows), q_ids[number]), c_ids[rows], products))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["q", "c", "s"])
 
     scored = met.mapInArrow(score, "q long, c long, s double")
     # one candidate comes from several trees, with products that may differ in the last bit
     best = Window.partitionBy("q").orderBy(F.desc("s"), "c")
-    near = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep * trees)
-    near = near.groupBy("q", "c").agg(F.max("s").alias("s")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep)
+    near = scored.groupBy("q", "c").agg(F.max("s").alias("s")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep)
     near = near.select("q", "c").unionByName(asked.select(F.col("id").alias("q"), F.col("id").alias("c"))).distinct()
 
     vectors = classes.select("rep", "v")
