@@ -70,6 +70,7 @@ def reduce_log(log: DataFrame, **extra: Column) -> DataFrame:
 def daily_rows(reduced: DataFrame, exact_users: bool = True, **extra: Column) -> DataFrame:
     """Query-days from the rows of ``reduce_log``."""
     users = F.count_distinct("user_id") if exact_users else F.approx_count_distinct("user_id", 0.02)
+    # The columns of a consolidated row.
     daily = reduced.groupBy(*DAY_KEYS).agg(
         F.sum("n").alias("query_count"),
         users.alias("unique_users"),

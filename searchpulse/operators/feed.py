@@ -136,6 +136,12 @@ class ArrivalFeed:
         rows = self.project(self._in_folders(folders))
         return rows.join(counted_side(named), F.to_date("timestamp").eqNullSafe(F.col("_date")), "left_semi")
 
+    def present_dates(self) -> DataFrame:
+        """Dates that the log holds rows of, as found by ``touched_dates``."""
+        if self._next is None:
+            raise RuntimeError("touched_dates comes first")
+        return self._next.where("n IS NOT NULL").select("date").distinct()
+
     def commit(self) -> None:
         """Keep what ``touched_dates`` found as the state that the next run compares with."""
         if self._next is None:

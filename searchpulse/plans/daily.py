@@ -97,7 +97,7 @@ def consolidate_stage(
     ensure_checkpoint_dir(spark)
     if feed is not None:
         dates = feed.touched_dates().checkpoint()
-        _redo(spark, tables, feed.rows_of(dates), dates, cfg)
+        _redo(spark, tables, feed.rows_of(dates), dates, feed.present_dates(), cfg)
         feed.commit()
         return
     held = _stored_prints(spark, tables)
@@ -113,7 +113,7 @@ def consolidate_stage(
         rows = rows_of_dates(log, dates)
         others = held.join(dates.select(F.col("date").alias("_date")), F.col("date").eqNullSafe(F.col("_date")), "left_anti")
         prints = others.unionByName(date_prints(rows)).checkpoint()
-    _redo(spark, tables, rows, dates, cfg)
+    _redo(spark, tables, rows, dates, prints.select("date"), cfg)
     prints.coalesce(1).write.mode("overwrite").parquet(tables.date_prints)
 
 
@@ -125,11 +125,11 @@ def _stored_prints(spark: SparkSession, tables: Tables) -> DataFrame | None:
     return spark.read.schema("date date, n long, print long, total long").parquet(tables.date_prints)
 
 
-def _redo(spark: SparkSession, tables: Tables, rows: DataFrame, dates: DataFrame, cfg: TrendConfig) -> None:
-    """Write the query-days of the given dates; a date of which no row is left goes."""
+def _redo(spark: SparkSession, tables: Tables, rows: DataFrame, dates: DataFrame, present: DataFrame, cfg: TrendConfig) -> None:
+    """Write the query-days of the given dates; one that is not ``present`` any more goes."""
     write_by_date(consolidate(rows), tables.consolidated)
-    written = rows.select(F.to_date("timestamp").alias("_date")).distinct()
-    gone = dates.join(written, F.col("date").eqNullSafe(F.col("_date")), "left_anti")
+    named = present.select(F.col("date").alias("_date")).distinct()
+    gone = dates.join(named, F.col("date").eqNullSafe(F.col("_date")), "left_anti")
     drop_folders(spark, tables.consolidated, gone, ["date"])
     if cfg.with_user_sketches:
         write_by_date(user_sketches(rows), tables.user_sketches)
