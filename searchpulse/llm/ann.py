@@ -7,7 +7,8 @@ filed in one leaf of each tree. A query takes nodes from one priority queue shar
 trees, the most promising margin first, until it has visited enough leaves; the vectors of
 those leaves are its candidates and are reranked exactly. How many leaves are enough is
 measured: some queries are answered exactly by a pass over all vectors, and the visits are those that find
-the wanted share of their neighbours.
+the wanted share of their neighbours. A product that enough vectors of the sample reach bounds a query's
+nearest from below; of the candidates beneath it a bucket passes on only as many as a full answer may need.
 
 Nearness is the largest inner product. For the trees each vector gets one more
 component that makes all norms equal, so that the largest product is the nearest
@@ -214,6 +215,7 @@ def nearest(
         return np.column_stack((vectors, np.zeros(len(vectors)))).astype(np.float32)
 
     leaves = max(1, min(MAX_LEAVES, n_classes // leaf, len(points) // 4))
+    keep = k + 5
     seeds = share(spark, lifted(points))
 
     def grow(batches):
@@ -267,45 +269,58 @@ def nearest(
             places = pa.array(list(found), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places], ["id", "v", "leaves"])
 
+    def lower_bounds(vectors, given):
+        """A product that k others of the sample reach, so that nothing below it is among the k nearest."""
+        out = np.full(len(vectors), -np.inf)
+        for at in range(0, len(vectors) if len(given) > k else 0, 64):
+            products = vectors[at : at + 64] @ given.T  # the last component of a query is 0
+            out[at : at + 64] = np.partition(products, len(given) - k - 1, axis=1)[:, len(given) - k - 1]
+        return out - 1e-4 * longest**2  # products of the sample are in single precision
+
     def ask(batches):
-        grown = forest()
+        grown, given = forest(), seeds()
         for batch in batches:
             vectors, rows = asked_for(matrix(batch.column(1))), []
+            bounds = lower_bounds(vectors, given)
             for i, found in enumerate(grown.visit(vectors, visits)):
                 by_place: dict[int, list[int]] = {}
                 for t, number in found:
                     by_place.setdefault(t << 20 | number // BUCKET, []).append(number)
-                rows += [(i, place, some) for place, some in by_place.items()]
-            at, places, lists = zip(*rows) if rows else ((), (), ())
+                # a vector stands in one bucket of each tree: so many from each are enough for all of ``keep``
+                enough = -(-keep * trees // len(by_place))
+                rows += [(i, place, some, enough) for place, some in by_place.items()]
+            at, places, lists, enough = zip(*rows) if rows else ((), (), (), ())
+            least = pa.array(bounds[list(at)], pa.float64())
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(places, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(lists, pa.list_(pa.int32()))],
-                ["place", "id", "v", "leaves"],
+                [pa.array(places, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(lists, pa.list_(pa.int32())), least, pa.array(enough, pa.int32())],
+                ["place", "id", "v", "leaves", "least", "enough"],
             )
 
     filed = classes.select(F.col("rep").alias("id"), "v").mapInArrow(file, "id long, v array<double>, leaves array<int>")
     filed = filed.select("id", "v", F.posexplode("leaves").alias("tree", "leaf"))
     place = F.shiftleft("tree", 20) + F.floor(F.col("leaf") / BUCKET).cast("int")
     filed = stored(filed.select(place.alias("place"), "id", "v", F.array("leaf").alias("leaves")), "leaves")
-    visited = stored(asked.mapInArrow(ask, "place int, id long, v array<double>, leaves array<int>"), "visited")
+    visited = stored(asked.mapInArrow(ask, "place int, id long, v array<double>, leaves array<int>, least double, enough int"), "visited")
 
-    def blocks(rows, block):
+    def blocks(rows, block, *more):
         """Rows of a place in blocks of about BLOCK rows, one array each."""
         counted = rows.groupBy("place").agg(F.count("*").alias("n"))
         dealt = rows.join(counted, "place").withColumn(block, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
         # the lists of one aggregation keep the same order of rows
         lists = [F.collect_list("id").alias(f"{block}_ids"), F.flatten(F.collect_list("v")).alias(f"{block}_v"), F.collect_list("leaves").alias(f"{block}_leaves")]
+        lists += [F.collect_list(c).alias(f"{block}_{c}") for c in more]
         return dealt.groupBy("place", block).agg(*lists)
 
-    met = blocks(visited, "q").join(blocks(filed, "c"), "place").select("q_ids", "q_v", "q_leaves", "c_ids", "c_v", "c_leaves")
-    keep = k + 5
+    met = blocks(visited, "q", "least", "enough").join(blocks(filed, "c"), "place")
+    met = met.select("q_ids", "q_v", "q_leaves", "c_ids", "c_v", "c_leaves", "q_least", "q_enough")
 
     def score(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 q_ids, c_ids = (batch.column(j)[i].values.to_numpy() for j in (0, 3))
                 q, c = (batch.column(j)[i].values.to_numpy().reshape(-1, width) for j in (1, 4))
-                wanted = batch.column(2)[i].as_py()
+                wanted, least, enough = batch.column(2)[i].as_py(), *(batch.column(j)[i].values.to_numpy() for j in (6, 7))
                 own = batch.column(5)[i].values.flatten().to_numpy()  # each vector has one leaf
                 order = np.argsort(own, kind="stable")
                 own = own[order]
@@ -315,8 +330,9 @@ def nearest(
                     rows = np.concatenate([order[a:b] for a, b in zip(*ends)])
                     if len(rows):
                         products = c[rows] @ q[number]
-                        if len(rows) > keep:
-                            best = np.argpartition(-products, keep - 1)[:keep]
+                        n = min(keep, max(int((products >= least[number]).sum()), int(enough[number])))
+                        if len(rows) > n:
+                            best = np.argpartition(-products, n - 1)[:n]
                             rows, products = rows[best], products[best]
                         out.append((np.full(len(rows), q_ids[number]), c_ids[rows], products))
                 if out:
