@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +70,26 @@ def weighted_vectors(features: DataFrame, partitions: int | None = None, text_co
     return placed.checkpoint(), number
 
 
+def final_cost(model: KMeansModel, distinct: DataFrame) -> float:
+    """Sum of the weighted squared distances of the fitted vectors to the centres they end in.
+
+    The summary's training cost is that of the centres before the last update, not of the model.
+    """
+    import numpy as np
+    import pandas as pd
+
+    centres = np.array(model.clusterCenters())
+
+    def costs(frames):
+        for frame in frames:
+            x = np.stack(frame["x"].to_list()) if len(frame) else np.zeros((0, centres.shape[1]))
+            apart = x - centres[frame["cluster_id"].to_numpy()]
+            yield pd.DataFrame({"cost": [float(((apart**2).sum(1) * frame["weight"].to_numpy()).sum())]})
+
+    assigned = model.transform(distinct).select(vector_to_array("features").alias("x"), "cluster_id", "weight")
+    return float(assigned.mapInPandas(costs, "cost double").agg(F.sum("cost")).head()[0] or 0.0)
+
+
 def cluster_queries(
     daily: DataFrame,
     run_ts: str,
@@ -112,7 +133,7 @@ def cluster_queries(
             predictionCol="cluster_id",
             weightCol="weight",
         ).fit(distinct)
-        cost = model.summary.trainingCost
+        cost = final_cost(model, distinct)
         assigned = model.transform(features)
     kept = [c for c in RESULT_COLUMNS if c in assigned.columns]
     extra = [c for c in key if c not in kept]

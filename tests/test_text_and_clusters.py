@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 from dataclasses import replace
 from datetime import date
@@ -87,6 +88,17 @@ def test_same_seed_same_clusters_whatever_the_layout(spark):
     assert sorted(rows(first.rows)) == sorted(rows(second.rows)) and first.cost == pytest.approx(second.cost)
 
 
+def test_cost_is_that_of_the_final_centres(spark):
+    # one iteration: the summary's cost is still that of the starting centres
+    words, pick = "red blue green tea sky apple pie cake day night leaf cup".split(), random.Random(0)
+    texts = sorted({" ".join(pick.sample(words, 3)) for _ in range(30)})
+    out = cluster.cluster_queries(daily(spark, texts), "run", replace(CFG, cluster_count=3, max_iterations=1))
+    centres = [c.tolist() for c in out.model.clusterCenters()]
+    x = {r.query_text: r.features.toArray().tolist() for r in out.features.transform(daily(spark, texts)).collect()}
+    want = sum(sum((a - b) ** 2 for a, b in zip(x[r.query_text], centres[r.cluster_id])) for r in out.rows.collect())
+    assert out.cost == pytest.approx(want, rel=1e-9)
+
+
 def test_fewer_vectors_than_clusters(spark):
     out = cluster.cluster_queries(daily(spark, ["pair x", "pair x y", "pair y"], per_text=5), "run", CFG)
     assert out.k <= 3 and out.rows.count() == 15
