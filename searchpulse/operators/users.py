@@ -45,3 +45,25 @@ def shared_users(merged: DataFrame, pairs: DataFrame) -> DataFrame:
         F.theta_sketch_estimate(F.theta_intersection("_a", "_b")).alias("both"),
         F.theta_sketch_estimate(F.theta_union("_a", "_b", F.lit(LOG_ENTRIES))).alias("either"),
     )
+
+
+def shared_users_exact(log: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each of the given (query_text, other_text) pairs of queries in the log: users of both and of either, exact.
+
+    A sketch estimates beyond ``EXACT`` users; here the distinct users of the two queries are joined by user,
+    so each shared user meets its other query once.
+    """
+    users = log.where(F.col("user_id").isNotNull()).select("query_text", "user_id").distinct()
+    present = log.select("query_text").distinct()
+    counted = present.join(users.groupBy("query_text").agg(F.count("*").alias("_n")), "query_text", "left")
+    a = counted.select("query_text", F.coalesce("_n", F.lit(0)).alias("_a"))
+    b = a.select(F.col("query_text").alias("other_text"), F.col("_a").alias("_b"))
+    common = (
+        pairs.join(users, "query_text")
+        .join(users.select(F.col("query_text").alias("other_text"), "user_id"), ["other_text", "user_id"])
+        .groupBy("query_text", "other_text")
+        .agg(F.count("*").alias("_both"))
+    )
+    met = pairs.join(a, "query_text").join(b, "other_text").join(common, ["query_text", "other_text"], "left")
+    both = F.coalesce("_both", F.lit(0))
+    return met.select("query_text", "other_text", both.alias("both"), (F.col("_a") + F.col("_b") - both).alias("either"))

@@ -186,6 +186,19 @@ def test_users_over_days_and_queries(spark):
     assert users.user_sketches(log.where("false")).count() == 0
 
 
+def test_shared_users_exact_beyond_the_sketch(spark, tmp_path):
+    # 6000 users search query 1, 5000 of them and 1500 others query 2: beyond EXACT, a sketch only estimates
+    data = [(i, datetime(2024, 1, 1 + i % 3), u, '{"k": 1}', 1.0, "search") for i, u in enumerate(range(6000))]
+    data += [(10_000 + i, datetime(2024, 1, 2), u, '{"k": 2}', 1.0, "search") for i, u in enumerate(range(1000, 7500))]
+    data += [(20_000, datetime(2024, 1, 2), None, '{"k": 3}', 1.0, "search")]
+    schema = "event_id long, ts timestamp, user_id long, props string, value double, event_type string"
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "events.parquet"))
+    from searchpulse.plans.batch_queries import shared_users_query
+
+    got = {(r.query_text, r.other_text): (r.both, r.either) for r in shared_users_query(spark, str(tmp_path)).collect()}
+    assert got == {("query 1", "query 2"): (5000, 7500), ("query 2", "query 3"): (0, 6500)}
+
+
 def test_merged_quantiles_stay_within_the_rank_error(spark):
     rng = random.Random(4)
     data = [(datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(86_400)), "hot" if i % 4 else "cold", rng.lognormvariate(3, 2)) for i in range(60_000)]
