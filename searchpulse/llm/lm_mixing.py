@@ -8,8 +8,8 @@ Every decision is predicted by several tables of counts, each addressed by a has
 a context and the decision's node: for words no context, the last word, the last two
 and the last but one; for bytes the last zero to three bytes. The predictions are
 mixed in the logistic domain by weights chosen by a gate (how much two of the contexts
-have seen). The gates' first weights are fitted on a bounded sample whose own counts are
-taken out of the tables; from there the weights follow the document, after 32 decisions, then
+have seen). The gates' first weights are fitted on all training texts, piece by piece with
+each piece's own counts taken out of the tables, and averaged; from there the weights follow the document, after 32 decisions, then
 64 and so on up to every 1024, and an adaptive map from mixed to observed probabilities
 refines the result, so a document's score depends on what came before in it. Spelling has fixed weights, so a rare word costs
 the same wherever it stands and is spelled once for the whole corpus.
@@ -49,7 +49,7 @@ COUNTED = 500_000
 #: Bytes of text a task turns into decisions at once.
 BATCH_BYTES = 1 << 20
 
-#: Training texts, their bytes, and rare words whose decisions fit the gates' first weights.
+#: Bounds of ``_bounded_sample``, which no longer fits the gates' first weights: all training texts and words do.
 SAMPLE_TEXTS, SAMPLE_BYTES, SAMPLE_WORDS = 300, 2 << 20, 20_000
 
 END, ESCAPE = 0, 1
@@ -204,9 +204,9 @@ def inputs_of(model, code: Code, symbols, starts, depths):
 
 
 def fit_weights(tables, code: Code, symbols, starts, depths, steps: int = 60, rate: float = 0.05):
-    """Weights of each gate learnt from a sample of training sequences.
+    """Weights of each gate learnt from some training sequences, and how many of their decisions each gate had.
 
-    The sample's own counts are taken out of the tables first, as a text that is
+    Their own counts are taken out of the tables first, as a text that is
     scored later need not have been counted.
     """
     import numpy as np
@@ -222,7 +222,41 @@ def fit_weights(tables, code: Code, symbols, starts, depths, steps: int = 60, ra
         g = np.stack([np.bincount(gates, missed * inputs[k], GATES) for k in range(TABLES)], 1) / share_of_gate
         m, v = 0.8 * m + 0.2 * g, 0.98 * v + 0.02 * g * g
         w += rate * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-4)
-    return w.astype(np.float32)
+    return w.astype(np.float32), np.bincount(gates, minlength=GATES)
+
+
+def fitted_weights(parts: DataFrame, tables, code: Code, pieces, depths):
+    """Weights of each gate learnt from every row of ``parts``.
+
+    ``pieces(batch)`` gives (symbols, starts) of bounded pieces of an Arrow batch. Each task
+    fits every piece of its rows, with the piece's own counts taken out, and the weights
+    of all pieces are averaged per gate by its number of decisions in them; a gate
+    without decisions keeps its first weights.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    sent = share(parts.sparkSession, (tables, code))
+
+    def fit(batches):
+        tables, code = sent()
+        for batch in batches:
+            for symbols, starts in pieces(batch):
+                if not len(starts):
+                    continue
+                w, seen = fit_weights(tables, code, symbols, starts, depths)
+                gate, k = np.divmod(np.arange(GATES * TABLES), TABLES)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gate, pa.int32()), pa.array(k, pa.int32()), pa.array(w.ravel().astype(np.float64) * seen[gate]), pa.array(seen[gate], pa.int64())],
+                    ["gate", "k", "weighted", "n"],
+                )
+
+    summed = parts.mapInArrow(fit, "gate int, k int, weighted double, n long").groupBy("gate", "k").agg(F.sum("weighted"), F.sum("n"))
+    w = first_weights()
+    for gate, k, weighted, n in summed.collect():
+        if n:
+            w[gate, k] = weighted / n
+    return w
 
 
 def mix(model, first, code: Code, symbols, starts, depths, adapt: bool):
@@ -438,11 +472,14 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
         yield from _chunks(tables)
 
     tables = summed_tables(taught.select("text").mapInArrow(train, PIECE_SCHEMA))
-    some = _bounded_sample(taught)
-    _, _, _, symbols, starts, _ = document_symbols(
-        pa.array([r["text"] for r in some.collect()], pa.string()), pa.array([r["word"] for r in frequent], pa.large_string())
-    )
-    words_model = share(spark, (predictions(tables), fit_weights(tables, code, symbols, starts, WORD_CONTEXTS)))
+
+    def word_pieces(batch):
+        head = pa.array(shared()[1], pa.large_string())
+        for part in slices(batch, 0):
+            yield document_symbols(part.column(0), head)[3:5]
+
+    first = fitted_weights(taught.select("text"), tables, code, word_pieces, WORD_CONTEXTS)
+    words_model = share(spark, (predictions(tables), first))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def score(batches):
@@ -531,9 +568,13 @@ def _spelled(words: DataFrame) -> DataFrame:
 
     learnt = words.where("c > 0").select("word").mapInArrow(train, PIECE_SCHEMA)
     tables = summed_tables(learnt)
-    some = words.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).select("word")
-    sample = _byte_symbols(pa.array([r[0] for r in some.collect()], pa.string()))
-    model = share(spark, (predictions(tables), fit_weights(tables, Code.of_bytes(), *sample, BYTE_CONTEXTS)))
+
+    def byte_pieces(batch):
+        for at in range(0, batch.num_rows, at_once):
+            yield _byte_symbols(batch.column(0)[at : at + at_once])
+
+    first = fitted_weights(words.where("c > 0").select("word"), tables, Code.of_bytes(), byte_pieces, BYTE_CONTEXTS)
+    model = share(spark, (predictions(tables), first))
 
     def spell(batches):
         loaded, (tables, first) = code(), model()

@@ -122,3 +122,21 @@ def test_sample_is_bounded_by_bytes(spark, monkeypatch):
     df = spark.createDataFrame([(i, "word " * (10 if i % 3 else 5000)) for i in range(200)] + [(500, None)], "id long, text string")
     texts = [r.text or "" for r in lm._bounded_sample(df).collect()]
     assert 10 < len(texts) and sum(map(len, texts)) <= 4000
+
+
+def test_first_weights_are_fitted_on_all_training_words(spark):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    symbols, starts = lm._byte_symbols(pa.array(words))
+    code, tables = lm.Code.of_bytes(), np.zeros((lm.TABLES, 2 << lm.SLOT_BITS), np.int64)
+    for _ in range(2):  # the words are counted twice, so that taking one fit's own counts out leaves some
+        lm.count_decisions(tables, code, symbols, starts, lm.BYTE_CONTEXTS)
+    whole = lm.fit_weights(tables, code, symbols, starts, lm.BYTE_CONTEXTS)[0]
+    few = lm.fit_weights(tables, code, *lm._byte_symbols(pa.array(words[:300])), lm.BYTE_CONTEXTS)[0]
+    df = spark.createDataFrame([(w,) for w in words], "word string").coalesce(1)
+    got = lm.fitted_weights(df, tables, code, lambda batch: [lm._byte_symbols(batch.column(0))], lm.BYTE_CONTEXTS)
+    assert np.allclose(got, whole, atol=1e-5) and not np.allclose(got, few, atol=1e-3)
