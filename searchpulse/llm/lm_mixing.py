@@ -28,6 +28,8 @@ task; only the id, the text and what ``trains`` names are read, so other columns
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,10 +238,11 @@ def fitted_weights(parts: DataFrame, tables, code: Code, pieces, depths):
     import numpy as np
     import pyarrow as pa
 
-    sent = share(parts.sparkSession, (tables, code))
+    sent = share(parts.sparkSession, (pa.compress(np.ascontiguousarray(tables).tobytes(), "zstd", asbytes=True), tables.shape, code))
 
     def fit(batches):
-        tables, code = sent()
+        packed, shape, code = sent()
+        tables = np.frombuffer(pa.decompress(packed, 8 * math.prod(shape), "zstd", asbytes=True), np.int64).reshape(shape)
         for batch in batches:
             for symbols, starts in pieces(batch):
                 if not len(starts):
