@@ -171,7 +171,13 @@ def predictions(tables):
     import numpy as np
 
     counts = np.asarray(tables).reshape(TABLES, -1, 2).astype(np.float32)
-    zero, one = counts[..., 0], counts[..., 1]
+    return predicted(counts[..., 0], counts[..., 1])
+
+
+def predicted(zero, one):
+    """``predictions`` of counts of zeros and ones as float32 arrays."""
+    import numpy as np
+
     stretched = np.log((one + 0.3) / (zero + 0.3))
     total = zero + one
     confidence = (total > 0).astype(np.int8) + (total >= 4) + (total >= 16)
@@ -213,18 +219,39 @@ def fit_weights(tables, code: Code, symbols, starts, depths, steps: int = 60, ra
     """
     import numpy as np
 
-    own = np.zeros_like(tables)
-    count_decisions(own, code, symbols, starts, depths)
-    inputs, gates, bits, _ = inputs_of(predictions(tables - own), code, symbols, starts, depths)
+    nodes, bits, sizes = code.decisions(symbols)
+    inputs = np.empty((TABLES, len(bits)), np.float32)
+    gates = np.zeros(len(bits), np.int64)
+    for k, context in enumerate(contexts(symbols, starts, depths)):
+        # as ``inputs_of(predictions(tables - own counts))``, at the slots these decisions touch only
+        at = slots(context, nodes, sizes)
+        at <<= 1
+        own = np.bincount(at + bits, minlength=len(tables[k]))
+        counts = (tables[k][at] - own[at]).astype(np.float32), (tables[k][at + 1] - own[at + 1]).astype(np.float32)
+        stretched, confidence = predicted(*counts)
+        np.multiply(stretched, np.float32(1 / 16), out=inputs[k])
+        if k in (1, 2):
+            gates += confidence.astype(np.int64) * (4 if k == 1 else 1)
+    # inputs are sixteenths of single bytes: equal decisions are fitted once, weighted by how often they occur
+    q = np.round(inputs * 16).astype(np.int64) + 128
+    key = (gates << 33) | (bits.astype(np.int64) << 32) | (q[0] << 24) | (q[1] << 16) | (q[2] << 8) | q[3]
+    key, times = np.unique(key, return_counts=True)
+    x_of = np.stack([((key >> s) & 255) - 128 for s in (24, 16, 8, 0)], 1) / 16.0
+    y, times, bounds = ((key >> 32) & 1).astype(np.float64), times.astype(np.float64), np.searchsorted(key >> 33, np.arange(GATES + 1))
+    seen = np.bincount(gates, minlength=GATES)
     w = first_weights().astype(np.float64)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    share_of_gate = np.maximum(np.bincount(gates, minlength=GATES), 1)[:, None]
+    share_of_gate = np.maximum(seen, 1)[:, None]
     for step in range(1, steps + 1):
-        missed = bits - 1 / (1 + np.exp(-sum(w[:, k][gates] * inputs[k] for k in range(TABLES))))
-        g = np.stack([np.bincount(gates, missed * inputs[k], GATES) for k in range(TABLES)], 1) / share_of_gate
+        g = np.zeros_like(w)
+        for gate in np.flatnonzero(bounds[1:] > bounds[:-1]):
+            a, b = bounds[gate], bounds[gate + 1]
+            missed = y[a:b] - 1 / (1 + np.exp(-(x_of[a:b] @ w[gate])))
+            g[gate] = (times[a:b] * missed) @ x_of[a:b]
+        g /= share_of_gate
         m, v = 0.8 * m + 0.2 * g, 0.98 * v + 0.02 * g * g
         w += rate * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-4)
-    return w.astype(np.float32), np.bincount(gates, minlength=GATES)
+    return w.astype(np.float32), seen
 
 
 def fitted_weights(parts: DataFrame, tables, code: Code, pieces, depths):

@@ -140,3 +140,35 @@ def test_first_weights_are_fitted_on_all_training_words(spark):
     df = spark.createDataFrame([(w,) for w in words], "word string").coalesce(1)
     got = lm.fitted_weights(df, tables, code, lambda batch: [lm._byte_symbols(batch.column(0))], lm.BYTE_CONTEXTS)
     assert np.allclose(got, whole, atol=1e-5) and not np.allclose(got, few, atol=1e-3)
+
+
+def test_fit_of_a_piece_reads_only_its_slots_and_fits_each_decision(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 7))) for _ in range(2000)]
+    symbols, starts = lm._byte_symbols(pa.array(words))
+    code, tables = lm.Code.of_bytes(), np.zeros((lm.TABLES, 2 << lm.SLOT_BITS), np.int64)
+    for _ in range(3):
+        lm.count_decisions(tables, code, symbols, starts, lm.BYTE_CONTEXTS)
+    # a plain fit: predictions of whole tables without the piece's own counts, every decision a term of its own
+    own = np.zeros_like(tables)
+    lm.count_decisions(own, code, symbols, starts, lm.BYTE_CONTEXTS)
+    inputs, gates, bits, _ = lm.inputs_of(lm.predictions(tables - own), code, symbols, starts, lm.BYTE_CONTEXTS)
+    w = lm.first_weights().astype(np.float64)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    share_of_gate = np.maximum(np.bincount(gates, minlength=lm.GATES), 1)[:, None]
+    for step in range(1, 61):
+        missed = bits - 1 / (1 + np.exp(-sum(w[:, k][gates] * inputs[k] for k in range(lm.TABLES))))
+        g = np.stack([np.bincount(gates, missed * inputs[k], lm.GATES) for k in range(lm.TABLES)], 1) / share_of_gate
+        m, v = 0.8 * m + 0.2 * g, 0.98 * v + 0.02 * g * g
+        w += 0.05 * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-4)
+
+    def whole_tables(_):
+        raise AssertionError("a piece's fit turned the whole tables into predictions")
+
+    monkeypatch.setattr(lm, "predictions", whole_tables)
+    got, seen = lm.fit_weights(tables, code, symbols, starts, lm.BYTE_CONTEXTS)
+    assert np.allclose(got, w, rtol=0, atol=1e-6) and (seen == np.bincount(gates, minlength=lm.GATES)).all()
