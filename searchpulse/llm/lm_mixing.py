@@ -220,7 +220,9 @@ def fit_weights(tables, code: Code, symbols, starts, depths, steps: int = 60, ra
     import numpy as np
 
     nodes, bits, sizes = code.decisions(symbols)
-    inputs = np.empty((TABLES, len(bits)), np.float32)
+    # each decision as one key of gate, bit and its inputs, sixteenths of single bytes: equal decisions
+    # are fitted once, weighted by how often they occur
+    key = bits.astype(np.int64) << 32
     gates = np.zeros(len(bits), np.int64)
     for k, context in enumerate(contexts(symbols, starts, depths)):
         # as ``inputs_of(predictions(tables - own counts))``, at the slots these decisions touch only
@@ -228,17 +230,19 @@ def fit_weights(tables, code: Code, symbols, starts, depths, steps: int = 60, ra
         at <<= 1
         own = np.bincount(at + bits, minlength=len(tables[k]))
         counts = (tables[k][at] - own[at]).astype(np.float32), (tables[k][at + 1] - own[at + 1]).astype(np.float32)
+        del at, own
         stretched, confidence = predicted(*counts)
-        np.multiply(stretched, np.float32(1 / 16), out=inputs[k])
+        del counts
+        key |= (stretched.astype(np.int64) + 128) << (24 - 8 * k)
         if k in (1, 2):
             gates += confidence.astype(np.int64) * (4 if k == 1 else 1)
-    # inputs are sixteenths of single bytes: equal decisions are fitted once, weighted by how often they occur
-    q = np.round(inputs * 16).astype(np.int64) + 128
-    key = (gates << 33) | (bits.astype(np.int64) << 32) | (q[0] << 24) | (q[1] << 16) | (q[2] << 8) | q[3]
+    seen = np.bincount(gates, minlength=GATES)
+    gates <<= 33
+    key |= gates
+    del gates, nodes
     key, times = np.unique(key, return_counts=True)
     x_of = np.stack([((key >> s) & 255) - 128 for s in (24, 16, 8, 0)], 1) / 16.0
     y, times, bounds = ((key >> 32) & 1).astype(np.float64), times.astype(np.float64), np.searchsorted(key >> 33, np.arange(GATES + 1))
-    seen = np.bincount(gates, minlength=GATES)
     w = first_weights().astype(np.float64)
     m, v = np.zeros_like(w), np.zeros_like(w)
     share_of_gate = np.maximum(seen, 1)[:, None]
